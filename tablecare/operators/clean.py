@@ -147,7 +147,7 @@ def apply_safe_clean(df: DataFrame, spec: SafeCleanSpec, dedup: bool = True) ->
             tok = F.when(~is_missing_token(t), t)
             kind = kinds.get(f.name)
             if kind == "numeric:bigint":
-                c = F.try_cast(F.trim(tok), "bigint")
+                c = F.trim(tok).try_cast("bigint")
             elif kind == "numeric":
                 c = guarded_double(tok)
             elif kind == "datetime":

@@ -15,9 +15,13 @@ def q(s: str) -> str:
 
 
 def with_dirty(body: str) -> str:
-    """Prefix the dirty views as CTEs."""
-    return (f"WITH dirty_orders AS ({duck_sql(DIRTY_ORDERS_SQL)}),\n"
-            f"dirty_events AS ({duck_sql(DIRTY_EVENTS_SQL)})\n{body}")
+    """Prefix the dirty views as CTEs (merged with the body's own WITH)."""
+    head = (f"WITH dirty_orders AS ({duck_sql(DIRTY_ORDERS_SQL)}),\n"
+            f"dirty_events AS ({duck_sql(DIRTY_EVENTS_SQL)})")
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"{head},\n{stripped[5:]}"
+    return f"{head}\n{body}"
 
 
 def source(table: str) -> str:
@@ -70,3 +74,27 @@ def profile_columns_sql(table: str, src: str | None = None) -> str:
             f"CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count, count(DISTINCT {c}) <= 1 AS is_constant, "
             f"{mom}, {hc} AS high_cardinality FROM {src or table}")
     return "\nUNION ALL\n".join(parts)
+
+
+def snake_sql(c: str) -> str:
+    s = f"regexp_replace({c}, '[^\\w\\s]', '_', 'g')"
+    s = f"regexp_replace({s}, '\\s+', '_', 'g')"
+    s = f"regexp_replace({s}, '([a-z])([A-Z])', '\\1_\\2', 'g')"
+    s = f"regexp_replace({s}, '_+', '_', 'g')"
+    s = f"lower(regexp_replace({s}, '^_+|_+$', '', 'g'))"
+    return f"(CASE WHEN {s} = '' THEN 'unnamed' ELSE {s} END)"
+
+
+# Name variants of part.p_name shared by both engines (plain SQL functions that
+# Spark and DuckDB evaluate identically on ASCII text).
+NAME_VARIANTS = [
+    "p_name",
+    "replace(p_name, ' ', '_')",
+    "upper(replace(p_name, ' ', '-'))",
+    "concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2), "
+    "upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2))",
+    "concat(replace(p_name, ' ', ''), 's')",
+    "concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1))",
+    "concat(substr(p_name, 1, 3), substr(p_name, 5))",
+    "concat('qq ', p_type)",
+]
