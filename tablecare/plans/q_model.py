@@ -1 +1,203 @@
+"""Registered queries: baseline modelling and metrics."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions.numeric import hash_bucket_sql, rnd, rnd_sql
+from ..operators import metrics as M
+from ..operators import model as ML
+from ..operators.profile import profile
+from ..sources.tables import load_table
+from .pack import PACK_SIZE
+from .registry import query
+
+# Rule-based predictions, identical text in both engines.
+ORDER_RULE = ("CASE WHEN o_totalprice > 200000 THEN 'O' WHEN o_orderdate < TIMESTAMP '1997-01-01 00:00:00' "
+              "THEN 'F' ELSE 'P' END")
+LINE_RULE = "l_quantity * 2100.0"
+
+
+def _orders_pred(spark, sf):
+    return load_table(spark, sf, "orders").select(F.col("o_orderstatus").alias("actual"),
+                                                 F.expr(ORDER_RULE).alias("predicted"))
+
+
+def _line_pred(spark, sf):
+    return load_table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("actual"),
+                                                   F.expr(LINE_RULE).alias("predicted"))
+
+
+_OP = f"(SELECT o_orderstatus AS actual, {ORDER_RULE} AS predicted FROM orders)"
+_LP = f"(SELECT l_extendedprice AS actual, {LINE_RULE} AS predicted FROM lineitem)"
+
+
+# ---- M2 / M3 / M4 / M6 / M8 --------------------------------------------------------------
+
+@query("hash_split", "M2", f"SELECT o_orderkey, {hash_bucket_sql('o_orderkey')} < 2000 AS is_test FROM orders")
+def q_split(spark, sf):
+    return ML.hash_split(load_table(spark, sf, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
+
+
+_STD_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("standardize", "M3", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"{rnd_sql(f'({c} - (SELECT avg({c}) FROM lineitem)) / coalesce(NULLIF((SELECT stddev_pop({c}) FROM lineitem), 0), 1)')} AS {c}"
+    for c in _STD_COLS) + " FROM lineitem")
+def q_standardize(spark, sf):
+    li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_STD_COLS)
+    s = ML.standardize(li, _STD_COLS)
+    return s.select("l_orderkey", "l_linenumber", *[rnd(F.col(c)).alias(c) for c in _STD_COLS])
+
+
+@query("class_weights", "M6", f"""WITH c AS (SELECT CAST(l_linenumber AS VARCHAR) AS label, count(*) AS n_c
+  FROM lineitem GROUP BY 1), t AS (SELECT sum(n_c) AS n, count(*) AS k, max(n_c) AS mx, min(n_c) AS mn FROM c)
+SELECT label, CAST(n_c AS BIGINT) AS n_c, {rnd_sql('CASE WHEN mx / mn > 2 THEN n / (k * n_c) ELSE 1.0 END')} AS weight
+FROM c, t""")
+def q_weights(spark, sf):
+    w = ML.class_weights(load_table(spark, sf, "lineitem"), "l_linenumber")
+    return w.select("label", "n_c", rnd(F.col("weight")).alias("weight"))
+
+
+@query("one_hot", "M4, M5", f"""SELECT o_orderkey, 'cat__o_orderpriority_' || o_orderpriority AS feature, 1.0 AS value
+FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE NOT ({hash_bucket_sql('o_orderkey')} < 2000))""")
+def q_onehot(spark, sf):
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    o = ML.hash_split(load_table(spark, sf, "orders"), ["o_orderkey"])
+    idx = StringIndexer(inputCol="o_orderpriority", outputCol="i", stringOrderType="alphabetAsc",
+                        handleInvalid="keep").fit(o.where(~F.col("is_test")))
+    enc = OneHotEncoder(inputCol="i", outputCol="v", dropLast=True).fit(idx.transform(o))
+    names = F.array(*[F.lit(f"cat__o_orderpriority_{x}") for x in idx.labels])
+    v = enc.transform(idx.transform(o)).select("o_orderkey", F.posexplode(vector_to_array("v")).alias("j", "value"))
+    return v.where(F.col("value") != 0).select("o_orderkey", F.element_at(names, F.col("j") + 1).alias("feature"),
+                                               "value")
+
+
+@query("ridge_one_feature", "M8", f"""SELECT {rnd_sql('sxy / (sxx + 1.0)')} AS coefficient,
+  {rnd_sql('my - sxy / (sxx + 1.0) * mx')} AS intercept
+FROM (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) AS sxy, sum((l_quantity - mx) * (l_quantity - mx)) AS sxx,
+        any_value(mx) AS mx, any_value(my) AS my
+      FROM lineitem, (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem))""")
+def q_ridge(spark, sf):
+    coef, icpt = ML.ridge_fit(load_table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", 1.0)
+    return spark.range(1).select(rnd(F.lit(coef[0])).alias("coefficient"), rnd(F.lit(icpt)).alias("intercept"))
+
+
+# ---- M10-M14, M17 ------------------------------------------------------------------------
+
+@query("confusion", "M12, D25", f"""SELECT CAST(actual AS VARCHAR) AS actual, CAST(predicted AS VARCHAR) AS predicted,
+  CAST(count(*) AS BIGINT) AS n FROM {_OP} GROUP BY 1, 2""")
+def q_confusion(spark, sf):
+    return M.confusion(_orders_pred(spark, sf))
+
+
+@query("accuracy", "M10", f"SELECT {rnd_sql('avg(CAST(actual = predicted AS DOUBLE))')} AS accuracy FROM {_OP}")
+def q_accuracy(spark, sf):
+    return M.accuracy(_orders_pred(spark, sf))
+
+
+@query("macro_f1", "M11", f"""WITH cm AS (SELECT actual, predicted, count(*) AS n FROM {_OP} GROUP BY 1, 2),
+labels AS (SELECT actual AS label FROM cm UNION SELECT predicted FROM cm),
+per AS (SELECT l.label,
+  coalesce((SELECT sum(n) FROM cm WHERE actual = l.label AND predicted = l.label), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cm WHERE predicted = l.label AND actual <> l.label), 0) AS fp,
+  coalesce((SELECT sum(n) FROM cm WHERE actual = l.label AND predicted <> l.label), 0) AS fn FROM labels l)
+SELECT {rnd_sql('avg(coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0))')} AS macro_f1 FROM per""")
+def q_f1(spark, sf):
+    return M.macro_f1(_orders_pred(spark, sf))
+
+
+@query("regression_metrics", "M13", f"""SELECT {rnd_sql('sqrt(avg((actual - predicted) * (actual - predicted)))')} AS rmse,
+  {rnd_sql('avg(abs(actual - predicted))')} AS mae,
+  {rnd_sql('1 - sum((actual - predicted) * (actual - predicted)) / NULLIF(var_pop(actual) * count(*), 0)')} AS r2
+FROM {_LP}""")
+def q_regm(spark, sf):
+    return M.regression_metrics(_line_pred(spark, sf))
+
+
+@query("residuals", "M14", f"SELECT CAST(predicted AS DOUBLE) AS predicted, CAST(actual - predicted AS DOUBLE) AS residual FROM {_LP}")
+def q_resid(spark, sf):
+    return M.residuals(_line_pred(spark, sf))
+
+
+@query("quality_band", "M17", f"""SELECT 'classification' AS task_type,
+  CASE WHEN a >= 0.75 THEN 'Good' WHEN a >= 0.5 THEN 'Medium' ELSE 'Weak' END AS band
+FROM (SELECT avg(CAST(actual = predicted AS DOUBLE)) AS a FROM {_OP})
+UNION ALL SELECT 'regression', CASE WHEN r2 >= 0.5 THEN 'Good' WHEN r2 >= 0.2 THEN 'Medium' ELSE 'Weak' END
+FROM (SELECT 1 - sum((actual - predicted) * (actual - predicted)) / NULLIF(var_pop(actual) * count(*), 0) AS r2 FROM {_LP})""")
+def q_band(spark, sf):
+    a = M.accuracy(_orders_pred(spark, sf)).select(F.lit("classification").alias("task_type"),
+                                                  F.col("accuracy").alias("acc"), F.lit(None).cast("double").alias("r2"))
+    r = M.regression_metrics(_line_pred(spark, sf)).select(F.lit("regression").alias("task_type"),
+                                                          F.lit(None).cast("double").alias("acc"), "r2")
+    u = a.unionByName(r)
+    return u.select("task_type", M.quality_band(F.col("task_type"), F.col("acc"), F.col("r2")).alias("band"))
+
+
+# ---- M1, M5, M7, M9, M15, M16, M18-M20 (fitted models: rows-only) -----------------------
+
+def _classifier(spark, sf):
+    orders = load_table(spark, sf, "orders")
+    cust = load_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    df = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal")
+    prof = profile(df, "orders_customer")
+    prof.columns = [c for c in prof.columns if c["name"] != "o_orderkey"]
+    return ML.train_baseline(df, "o_orderstatus", prof, ["o_orderkey"], run_id="orders_status")
+
+
+def _regressor(spark, sf):
+    li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
+                                                  "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    prof = profile(li, "lineitem")
+    prof.columns = [c for c in prof.columns if c["name"] not in ("l_orderkey", "l_linenumber")]
+    return ML.train_baseline(li, "l_extendedprice", prof, ["l_orderkey", "l_linenumber"], run_id="line_price")
+
+
+@query("train_classifier", "M1, M4-M7, M9")
+def q_train_cls(spark, sf):
+    return _classifier(spark, sf).predictions
+
+
+@query("train_regressor", "M1, M3, M5, M8, M9")
+def q_train_reg(spark, sf):
+    return _regressor(spark, sf).predictions
+
+
+@query("coef_ranking", "M15, D24")
+def q_coef(spark, sf):
+    return _classifier(spark, sf).importance
+
+
+@query("leakage_features", "M16, D27")
+def q_leakage(spark, sf):
+    res = _regressor(spark, sf)
+    return M.leakage_suspects(res.importance, F.lit(res.target), top_n=10)
+
+
+@query("key_drivers", "M18")
+def q_drivers(spark, sf):
+    return M.key_drivers(_regressor(spark, sf).importance)
+
+
+@query("model_report", "M19")
+def q_report(spark, sf):
+    return ML.model_report(_classifier(spark, sf))
+
+
+@query("analysis_facts", "M20")
+def q_facts(spark, sf):
+    from ..operators.clean import safe_clean
+    orders = load_table(spark, sf, "orders")
+    res = _classifier(spark, sf)
+    cleaned = safe_clean(orders)
+    n_actions = cleaned.log.count()
+    report = ML.model_report(res)
+    n_rows = orders.count()
+    return report.select(
+        F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(len(orders.columns)).alias("n_cols"),
+        F.lit(n_actions).cast("bigint").alias("cleaning_actions"), F.lit(PACK_SIZE).alias("results"),
+        F.lit(n_rows < 100).alias("small_sample"), "task_type", "accuracy", "macro_f1",
+        F.floor(F.col("accuracy") * 10).cast("int").alias("accuracy_out_of_ten"))
