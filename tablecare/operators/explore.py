@@ -93,31 +93,35 @@ def category_frequency(df: DataFrame, column: str, top_n: int = 10) -> DataFrame
 
 # ---- V4 / V5 ----------------------------------------------------------------------------
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, chunk: int = 300) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """V4: long (x, y, r) over all numeric pairs, pairwise-complete; r NULL
     for constant input; diagonal 1.0 (NULL for a constant column).
 
-    One fused aggregate per ``chunk`` pairs keeps generated code small on
-    wide tables; every chunk is a single pass with partial aggregation."""
+    Long layout: every row is unpivoted into one (pair, x, y) row per pair
+    with both values present, then ``groupBy(pair)`` computes covariance and
+    standard deviations (stable central-moment aggregates). The generated
+    code stays the same size for any number of columns, partial aggregation
+    ships one row per pair per task, and each pair's result is emitted in
+    both orientations without a second pass."""
     cols = columns or numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    diag = [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
-                     F.when(F.stddev_pop(as_double(F.col(c))) > 0, F.lit(1.0)).alias("r")) for c in cols]
-    if diag:
-        parts.append(df.agg(F.array(*diag).alias("a")).select(F.inline("a")))
-    for s in range(0, len(pairs), chunk):
-        structs = []
-        for a, b in pairs[s:s + chunk]:
-            r = rnd(safe_corr(as_double(F.col(a)), as_double(F.col(b))))
-            structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-        part = df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
-        parts.append(part)
-        parts.append(part.select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = [(a, a) for a in cols] + [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("p"), as_double(F.col(a)).alias("x"), as_double(F.col(b)).alias("y"))
+        for i, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    g = long.groupBy("p").agg(F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"),
+                              F.stddev_pop("y").alias("sy"))
+    names = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                      for i, (a, b) in enumerate(pairs)])
+    meta = df.sparkSession.range(1).select(F.inline(names))
+    r = F.when(F.col("a") == F.col("b"), F.when(F.col("sx") > 0, F.lit(1.0))) \
+        .otherwise(rnd(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))))
+    res = meta.join(g, "p", "left").select("a", "b", r.alias("r"))
+    s1 = F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("r"))
+    s2 = F.struct(F.col("b").alias("x"), F.col("a").alias("y"), F.col("r"))
+    arr = F.when(F.col("a") == F.col("b"), F.array(s1)).otherwise(F.array(s1, s2))
+    return res.select(F.explode(arr).alias("s")).select("s.*")
 
 
 def correlation_summary(corr: DataFrame) -> DataFrame:
