@@ -134,10 +134,13 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
                                     dropLast=True))
     stages.append(VectorAssembler(inputCols=num + [f"__oh_{c}" for c in cat], outputCol="features"))
     label_col = "__label"
+    labels: list[str] = []
     if task == "classification":
+        # classes seen in training, sorted; unseen test labels index to NULL (never used to predict)
         prepared = prepared.withColumn("__y", F.col(target).cast("string"))
-        stages.append(StringIndexer(inputCol="__y", outputCol=label_col, stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
+        labels = sorted(r[0] for r in prepared.where(~F.col("is_test")).select("__y").distinct().collect())
+        lab_lit = F.array(*[F.lit(x) for x in labels])
+        prepared = prepared.withColumn(label_col, (F.array_position(lab_lit, F.col("__y")) - 1).cast("double"))
     else:
         prepared = prepared.withColumn(label_col, as_double(F.col(target)))
     pre = Pipeline(stages=stages).fit(prepared.where(~F.col("is_test")))
@@ -151,7 +154,6 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
         w = class_weights(tr.withColumn("__y", F.col("__y")), "__y")
         trw = tr.join(F.broadcast(w.select(F.col("label").alias("__y"), "weight")), "__y")
         sum_w = trw.agg(F.sum("weight")).first()[0]
-        labels = pre.stages[-1].labels
         est = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
                                  regParam=1.0 / sum_w, elasticNetParam=0.0, standardization=False,
                                  maxIter=max_iter, tol=1e-9,
