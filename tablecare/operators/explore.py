@@ -93,31 +93,72 @@ def category_frequency(df: DataFrame, column: str, top_n: int = 10) -> DataFrame
 
 # ---- V4 / V5 ----------------------------------------------------------------------------
 
+def _gram_partials(k: int, shift: list[float]):
+    """Per-partition pairwise-complete sums for k columns (numpy BLAS).
+
+    With x' = x − shift and masks m (value present): N = MᵀM,
+    SX[i,j] = Σ m_j·x'_i, SXX[i,j] = Σ m_j·x'_i², SXY = X'ᵀX' (NULL → 0).
+    One output batch of k(k+1)/2 rows (i ≤ j, both orientations of the
+    one-sided sums) per partition, whatever its row count."""
+    import numpy as np
+    import pandas as pd
+
+    sh = np.asarray(shift, dtype=float)
+
+    def fn(batches):
+        n = np.zeros((k, k))
+        sx = np.zeros((k, k))
+        sxx = np.zeros((k, k))
+        sxy = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan)
+            m = ~np.isnan(x)
+            x0 = np.where(m, x - sh, 0.0)
+            mf = m.astype(float)
+            n += mf.T @ mf
+            sx += x0.T @ mf
+            sxx += (x0 * x0).T @ mf
+            sxy += x0.T @ x0
+        ii, jj = np.triu_indices(k)
+        yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "n": n[ii, jj],
+                            "sx_a": sx[ii, jj], "sx_b": sx[jj, ii], "sxx_a": sxx[ii, jj], "sxx_b": sxx[jj, ii],
+                            "sxy": sxy[ii, jj]})
+    return fn
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """V4: long (x, y, r) over all numeric pairs, pairwise-complete; r NULL
     for constant input; diagonal 1.0 (NULL for a constant column).
 
-    Long layout: every row is unpivoted into one (pair, x, y) row per pair
-    with both values present, then ``groupBy(pair)`` computes covariance and
-    standard deviations (stable central-moment aggregates). The generated
-    code stays the same size for any number of columns, partial aggregation
-    ships one row per pair per task, and each pair's result is emitted in
-    both orientations without a second pass."""
+    Two passes: (1) per-column midrange (a shift that keeps sums of squares
+    well conditioned and makes a constant column exactly zero); (2) one
+    ``mapInPandas`` pass computing the pairwise-complete Gram matrices of
+    each partition with numpy, whose k(k+1)/2 partial rows are summed by
+    ``groupBy(i, j)`` (partial aggregation: that many rows per task reach
+    the shuffle, independent of the row count). r follows from the sums;
+    both orientations are emitted."""
     cols = columns or numeric_columns(df)
-    pairs = [(a, a) for a in cols] + [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("p"), as_double(F.col(a)).alias("x"), as_double(F.col(b)).alias("y"))
-        for i, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    g = long.groupBy("p").agg(F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"),
-                              F.stddev_pop("y").alias("sy"))
-    names = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                      for i, (a, b) in enumerate(pairs)])
-    meta = df.sparkSession.range(1).select(F.inline(names))
-    r = F.when(F.col("a") == F.col("b"), F.when(F.col("sx") > 0, F.lit(1.0))) \
-        .otherwise(rnd(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))))
-    res = meta.join(g, "p", "left").select("a", "b", r.alias("r"))
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "x string, y string, r double")
+    k = len(cols)
+    vals = df.select(*[as_double(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    mm = vals.agg(*[F.min(f"c{i}").alias(f"lo{i}") for i in range(k)],
+                  *[F.max(f"c{i}").alias(f"hi{i}") for i in range(k)]).first()
+    shift = [((mm[f"lo{i}"] + mm[f"hi{i}"]) / 2.0) if mm[f"lo{i}"] is not None else 0.0 for i in range(k)]
+    sums = ("n", "sx_a", "sx_b", "sxx_a", "sxx_b", "sxy")
+    parts = vals.mapInPandas(_gram_partials(k, shift), "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.col("n")
+    mx, my = F.col("sx_a") / n, F.col("sx_b") / n
+    vx = F.col("sxx_a") / n - mx * mx
+    vy = F.col("sxx_b") / n - my * my
+    cov = F.col("sxy") / n - mx * my
+    r = F.when(F.col("i") == F.col("j"), F.when((n > 0) & (vx > 0), F.lit(1.0))) \
+        .otherwise(F.when((n > 0) & (vx > 0) & (vy > 0), rnd(cov / F.sqrt(vx * vy))))
+    names = F.array(*[F.lit(c) for c in cols])
+    res = g.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
+                   r.alias("r"))
     s1 = F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("r"))
     s2 = F.struct(F.col("b").alias("x"), F.col("a").alias("y"), F.col("r"))
     arr = F.when(F.col("a") == F.col("b"), F.array(s1)).otherwise(F.array(s1, s2))

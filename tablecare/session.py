@@ -63,3 +63,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plans would otherwise grow with every pass."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
