@@ -222,3 +222,43 @@ def q_schema_hints(spark, sf):
 def q_flatten(spark, sf):
     return flatten_text(load_table(spark, sf, "documents"))
 
+
+
+# ---- I1, I5, I6, I9 (CSV sink + source round trip) ---------------------------------------
+
+@query("csv_roundtrip", "I1, I3, I5, I6, I9", with_dirty(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+    f"{trim_sql('order_priority')} AS order_priority, total_cents, order_date, order_status FROM dirty_orders"))
+def q_csv_roundtrip(spark, sf):
+    """Write dirty_orders as CSV into the shared checkpoint folder, read it
+    back with the header-repairing, row-length-checking CSV reader."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import read_csv, write_table
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tablecare-io/{uuid.uuid4().hex}"
+    write_table(dirty_orders(spark, sf), path, "csv")
+    return read_csv(spark, path)
+
+
+# ---- I7 / I8 -----------------------------------------------------------------------------
+
+@query("preview", "I7", """SELECT coalesce(CAST(o_orderkey AS VARCHAR), '') AS o_orderkey,
+  coalesce(CAST(o_custkey AS VARCHAR), '') AS o_custkey, coalesce(o_orderstatus, '') AS o_orderstatus,
+  coalesce(CAST(o_totalprice AS VARCHAR), '') AS o_totalprice, coalesce(CAST(o_orderdate AS VARCHAR), '') AS o_orderdate,
+  coalesce(o_orderpriority, '') AS o_orderpriority
+FROM (SELECT * FROM orders ORDER BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+      o_orderpriority LIMIT 10)""")
+def q_preview(spark, sf):
+    from ..sources.files import preview
+    return preview(load_table(spark, sf, "orders"), 10)
+
+
+@query("load_summary", "I8", """SELECT CAST(count(*) AS BIGINT) AS n_rows, 11 AS n_cols,
+  'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,'
+  || 'l_linestatus,l_shipdate' AS columns FROM lineitem""")
+def q_load_summary(spark, sf):
+    from ..sources.files import load_summary
+    s = load_summary(load_table(spark, sf, "lineitem"))
+    return s.select("n_rows", "n_cols", F.array_join("columns", ",").alias("columns"))
