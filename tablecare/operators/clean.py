@@ -77,12 +77,21 @@ class SafeCleanSpec:
     rows_before: int = 0
 
 
-def _vote_aggs(df: DataFrame, text_cols: list[str]) -> list[Column]:
+def _tokenized(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """Project trimmed (``__t{i}``) and token-nulled (``__k{i}``) text once.
+
+    The two selects stay separate plan nodes (Catalyst does not inline an
+    expensive expression referenced several times), so the trim regex runs
+    once per value however many guards read the result."""
+    trimmed = df.select("*", *[edge_trim(F.col(c)).alias(f"__t{i}") for i, c in enumerate(text_cols)])
+    return trimmed.select("*", *[F.when(~is_missing_token(F.col(f"__t{i}")), F.col(f"__t{i}")).alias(f"__k{i}")
+                                 for i in range(len(text_cols))])
+
+
+def _vote_aggs(text_cols: list[str]) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(text_cols):
-        raw = F.col(c)
-        t = edge_trim(raw)
-        tok = F.when(~is_missing_token(t), t)
+        raw, t, tok = F.col(c), F.col(f"__t{i}"), F.col(f"__k{i}")
         aggs += [
             F.count_if(raw != t).alias(f"tr{i}"),
             F.count_if(is_missing_token(t)).alias(f"mt{i}"),
@@ -101,12 +110,11 @@ def vote_table(df: DataFrame) -> DataFrame:
     text_cols = [f.name for f in renamed.schema.fields if family_of(f.dataType) == "text"]
     structs = []
     for i, c in enumerate(text_cols):
-        t = edge_trim(F.col(c))
-        tok = F.when(~is_missing_token(t), t)
+        tok = F.col(f"__k{i}")
         structs.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"),
                                 F.count(tok).alias("non_null"), F.count(guarded_double(tok)).alias("numeric_ok"),
                                 F.count(parse_datetime(tok)).alias("datetime_ok")))
-    v = renamed.agg(F.array(*structs).alias("v")).select(F.inline("v"))
+    v = _tokenized(renamed, text_cols).agg(F.array(*structs).alias("v")).select(F.inline("v"))
     num = (F.col("numeric_ok") >= F.col("non_null") * 0.8) & (F.col("numeric_ok") > 0)
     dt = ~num & (F.col("datetime_ok") >= F.col("non_null") * 0.8) & (F.col("datetime_ok") > 0)
     return v.select("name", F.col("non_null").cast("bigint").alias("non_null"),
@@ -119,7 +127,7 @@ def fit_safe_clean(df: DataFrame) -> SafeCleanSpec:
     """One aggregate over the renamed table decides everything."""
     renamed, mapping = rename_columns(df)
     text_cols = [f.name for f in renamed.schema.fields if family_of(f.dataType) == "text"]
-    row = renamed.agg(*_vote_aggs(renamed, text_cols)).first()
+    row = _tokenized(renamed, text_cols).agg(*_vote_aggs(text_cols)).first()
     n = int(row["__n"])
     spec = SafeCleanSpec(mapping=mapping, text_cols=text_cols, rows_before=n,
                          trimmed_cols=[c for i, c in enumerate(text_cols) if row[f"tr{i}"] > 0],
@@ -139,12 +147,14 @@ def apply_safe_clean(df: DataFrame, spec: SafeCleanSpec, dedup: bool = True) ->
     """Rename → trim → tokens → coerce (one projection) → dedup."""
     renamed = df.toDF(*[new for _, new in spec.mapping])
     kinds = dict(spec.coerced)
+    text = [f.name for f in renamed.schema.fields if f.name in spec.text_cols]
+    idx = {c: i for i, c in enumerate(text)}
+    staged = _tokenized(renamed, text)
     cols = []
     for f in renamed.schema.fields:
         c = F.col(f.name)
-        if f.name in spec.text_cols:
-            t = edge_trim(c)
-            tok = F.when(~is_missing_token(t), t)
+        if f.name in idx:
+            tok = F.col(f"__k{idx[f.name]}")
             kind = kinds.get(f.name)
             if kind == "numeric:bigint":
                 c = F.trim(tok).try_cast("bigint")
@@ -155,7 +165,7 @@ def apply_safe_clean(df: DataFrame, spec: SafeCleanSpec, dedup: bool = True) ->
             else:
                 c = tok
         cols.append(c.alias(f.name))
-    out = renamed.select(*cols)
+    out = staged.select(*cols)
     return out.dropDuplicates() if dedup else out
 
 
