@@ -162,16 +162,24 @@ def recommended_clean(df: DataFrame, prof: Profile | None = None, method: str =
     return step4, log.unionByName(tail), RecommendedSpec(med, modes, clips, frequent)
 
 
-def clean(df: DataFrame, recommended: bool = False, persist: bool = True,
+def clean(df: DataFrame, recommended: bool = False, materialize: str = "persist",
           output_path: str | None = None, fmt: str = "parquet"):
     """Safe cleaning, optional recommended cleaning on a profile of the
     cleaned table, re-profile, optional write. Returns (cleaned, log,
-    profile_after, mapping)."""
+    profile_after, mapping).
+
+    The deduplicated table feeds several passes; ``materialize`` keeps it
+    between them: "persist" (cache, recomputed from lineage if an executor is
+    lost), "checkpoint" (written to the shared ``spark.checkpoint.dir``,
+    cutting lineage), or "none"."""
+    from ..session import cut_lineage
     from ..sources.files import write_table
     res: CleanResult = safe_clean(df)
     cleaned, log = res.df, res.log
-    if persist:
+    if materialize == "persist":
         cleaned = cleaned.persist()
+    elif materialize == "checkpoint":
+        cleaned = cut_lineage(cleaned)
     if recommended:
         cleaned, rlog, _ = recommended_clean(cleaned)
         k = log.count()

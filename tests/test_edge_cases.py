@@ -75,3 +75,15 @@ def test_histogram_single_value(spark):
     df = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     h = {r["bin"]: r["n"] for r in X.histogram(df, "x").collect()}
     assert h[0] == 2 and sum(h.values()) == 2 and len(h) == 30
+
+
+def test_clean_pipeline_with_checkpoint(spark):
+    from tablecare.operators.recommend import clean
+    rows = [(" a ", "1"), ("a", "1"), ("b", "NULL")] + [("c", str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "`Group Name` string, Amount string")
+    cleaned, log, after, mapping = clean(df, recommended=True, materialize="checkpoint")
+    assert mapping == {"Group Name": "group_name", "Amount": "amount"}
+    assert after.n_rows == cleaned.count() == 202
+    actions = [r["action"] for r in log.orderBy("step").collect()]
+    assert actions[0] == "normalize_column_names" and actions[-1] == "recommended_cleaning_complete"
+    assert "median_imputation" in actions and cleaned.where("amount IS NULL").count() == 0
