@@ -269,3 +269,12 @@ def q_recommended_log(spark, sf):
     df = dirty_events(spark, sf)
     return recommended_clean(df, profile(df, "dirty_events"))[1]
 
+
+
+# ---- R6 ----------------------------------------------------------------------------------
+
+@query("clean_pipeline", "R6 (C9 → profile → R5 → re-profile)", _recommended_sql())
+def q_clean_pipeline(spark, sf):
+    from ..operators.recommend import clean
+    cleaned, _log, _after, _mapping = clean(dirty_events(spark, sf), recommended=True)
+    return cleaned

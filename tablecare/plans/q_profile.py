@@ -262,3 +262,43 @@ def q_load_summary(spark, sf):
     from ..sources.files import load_summary
     s = load_summary(load_table(spark, sf, "lineitem"))
     return s.select("n_rows", "n_cols", F.array_join("columns", ",").alias("columns"))
+
+
+# ---- P14 assembled (with P5, P6, P8, P9) -------------------------------------------------
+
+def _top_string(top):
+    return "|".join(f"{v}:{n}" for v, n in top) if top is not None else None
+
+
+@query("profile_full", "P1-P14 assembled (P5, P6, P8, P9 included)", with_dirty(f"""
+WITH p AS ({profile_columns_sql('dirty_events')}),
+o AS (SELECT name, outlier_pct FROM ({_outlier_sql('dirty_events', ['event_id', 'user_id', 'value'])})),
+t AS (SELECT name, string_agg(value || ':' || n, '|' ORDER BY rank) AS top_values
+      FROM ({_top_values_sql('dirty_events', ['event_type'])}) GROUP BY name)
+SELECT p.*, o.outlier_pct, t.top_values FROM p LEFT JOIN o USING (name) LEFT JOIN t USING (name)"""))
+def q_profile_full(spark, sf):
+    p = profile(dirty_events(spark, sf), "dirty_events")
+    rows = [(p.table_name, c["pos"], c["name"], c["dtype"], c["column_type"], c["missing_count"], c["missing_pct"],
+             c["unique_count"], c["is_constant"], c["min"], c["max"], c["mean"], c["std"], c["high_cardinality"],
+             c["outlier_pct"], _top_string(c["top_values"])) for c in p.columns]
+    return spark.createDataFrame(rows, "table_name string, pos int, name string, dtype string, column_type string, "
+                                       "missing_count bigint, missing_pct double, unique_count bigint, "
+                                       "is_constant boolean, min double, max double, mean double, std double, "
+                                       "high_cardinality boolean, outlier_pct double, top_values string")
+
+
+# ---- I2 (JSON sink + source round trip) ---------------------------------------------------
+
+@query("json_roundtrip", "I2, I6", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate, o_orderpriority FROM orders""")
+def q_json_roundtrip(spark, sf):
+    """Write orders as JSON lines into the shared checkpoint folder and read
+    them back with the JSON source (schema inferred, text flattened)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import read_json
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tablecare-io/{uuid.uuid4().hex}"
+    load_table(spark, sf, "orders").write.json(path)
+    return read_json(spark, path, lines=True)
