@@ -133,9 +133,11 @@ def group_rare(df: DataFrame, share: float = RARE_SHARE) -> tuple[DataFrame, dic
 def recommended_clean(df: DataFrame, prof: Profile | None = None, method: str = "exact"
                       ) -> tuple[DataFrame, DataFrame, RecommendedSpec]:
     """R1 → R2 → R3 → R4 with a log. ``prof`` must describe ``df``
-    itself (profiled when omitted), which avoids stale-name skips."""
+    itself (profiled when omitted, which avoids stale-name skips); only its
+    column types and missing counts are used, so the light (one-pass)
+    profile suffices."""
     spark = df.sparkSession
-    prof = prof or profile(df, quantile_method=method)
+    prof = prof or profile(df, light=True)
     step1, med = median_impute(df, prof, method)
     step2, modes = mode_impute(step1, prof)
     step3, clips = winsorize(step2, method=method)

@@ -191,7 +191,7 @@ _EV = ["event_id", "ts", "user_id", "event_type", "value"]
     "(SELECT quantile_cont(value, 0.5) FROM dirty_events)) AS value FROM dirty_events"))
 def q_median(spark, sf):
     df = dirty_events(spark, sf)
-    return median_impute(df, profile(df, "dirty_events"))[0]
+    return median_impute(df, profile(df, "dirty_events", light=True))[0]
 
 
 _MODE_SQL = ("(SELECT event_type FROM dirty_events WHERE event_type IS NOT NULL GROUP BY event_type "
@@ -202,7 +202,7 @@ _MODE_SQL = ("(SELECT event_type FROM dirty_events WHERE event_type IS NOT NULL
     f"SELECT event_id, ts, user_id, coalesce(event_type, {_MODE_SQL}) AS event_type, value FROM dirty_events"))
 def q_mode(spark, sf):
     df = dirty_events(spark, sf)
-    return mode_impute(df, profile(df, "dirty_events"))[0]
+    return mode_impute(df, profile(df, "dirty_events", light=True))[0]
 
 
 def _winsor_sql(src, cols, numeric):
@@ -261,13 +261,13 @@ def _recommended_sql():
 @query("recommended_clean", "R1-R5", _recommended_sql())
 def q_recommended(spark, sf):
     df = dirty_events(spark, sf)
-    return recommended_clean(df, profile(df, "dirty_events"))[0]
+    return recommended_clean(df, profile(df, "dirty_events", light=True))[0]
 
 
 @query("recommended_log", "R5 log", None)
 def q_recommended_log(spark, sf):
     df = dirty_events(spark, sf)
-    return recommended_clean(df, profile(df, "dirty_events"))[1]
+    return recommended_clean(df, profile(df, "dirty_events", light=True))[1]
 
 
 

@@ -15,11 +15,13 @@ CATALOG = ["customer", "part", "orders", "lineitem"]
 
 
 def catalog_profile(spark, sf):
+    """Long profile of several tables. It has one row per column and is read
+    several times by the candidate queries, so it is cached once."""
     out = None
     for t in CATALOG:
         p = profile_columns_df(load_table(spark, sf, t), t, with_rows=True)
         out = p if out is None else out.unionByName(p)
-    return out
+    return out.persist()
 
 
 _CAT_SQL = "(" + " UNION ALL ".join(
