@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,19 +88,21 @@ def _tokenized(df: DataFrame, text_cols: list[str]) -> DataFrame:
                                  for i in range(len(text_cols))])
 
 
-def _vote_aggs(text_cols: list[str]) -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(text_cols):
-        raw, t, tok = F.col(c), F.col(f"__t{i}"), F.col(f"__k{i}")
-        aggs += [
-            F.count_if(raw != t).alias(f"tr{i}"),
-            F.count_if(is_missing_token(t)).alias(f"mt{i}"),
-            F.count(tok).alias(f"nn{i}"),
-            F.count(guarded_double(tok)).alias(f"nu{i}"),
-            F.count_if(tok.rlike(INTEGER_GUARD)).alias(f"in{i}"),
-            F.count(parse_datetime(tok)).alias(f"dt{i}"),
-        ]
-    return aggs
+def _vote_long(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """Vote counts per text column in the long layout, one row per column
+    position ``k``: n, trimmed (raw ≠ trimmed), tokens (missing tokens),
+    non_null, numeric_ok, integer_ok, datetime_ok. One ``groupBy(k)`` —
+    constant code size for any number of columns."""
+    staged = _tokenized(df, text_cols)
+    long = staged.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k"), F.col(c).alias("raw"), F.col(f"__t{i}").alias("t"),
+                 F.col(f"__k{i}").alias("tok")) for i, c in enumerate(text_cols)])))
+    tok = F.col("tok")
+    return long.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw") != F.col("t")).alias("trimmed"),
+        F.count_if(is_missing_token(F.col("t"))).alias("tokens"), F.count(tok).alias("non_null"),
+        F.count(guarded_double(tok)).alias("numeric_ok"), F.count_if(tok.rlike(INTEGER_GUARD)).alias("integer_ok"),
+        F.count(parse_datetime(tok)).alias("datetime_ok"))
 
 
 def vote_table(df: DataFrame) -> DataFrame:
@@ -108,35 +110,35 @@ def vote_table(df: DataFrame) -> DataFrame:
     (name, non_null, numeric_ok, datetime_ok, to_numeric, to_datetime)."""
     renamed, _ = rename_columns(df)
     text_cols = [f.name for f in renamed.schema.fields if family_of(f.dataType) == "text"]
-    structs = []
-    for i, c in enumerate(text_cols):
-        tok = F.col(f"__k{i}")
-        structs.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"),
-                                F.count(tok).alias("non_null"), F.count(guarded_double(tok)).alias("numeric_ok"),
-                                F.count(parse_datetime(tok)).alias("datetime_ok")))
-    v = _tokenized(renamed, text_cols).agg(F.array(*structs).alias("v")).select(F.inline("v"))
+    names = F.array(*[F.lit(c) for c in text_cols])
+    v = _vote_long(renamed, text_cols)
     num = (F.col("numeric_ok") >= F.col("non_null") * 0.8) & (F.col("numeric_ok") > 0)
     dt = ~num & (F.col("datetime_ok") >= F.col("non_null") * 0.8) & (F.col("datetime_ok") > 0)
-    return v.select("name", F.col("non_null").cast("bigint").alias("non_null"),
+    return v.select(F.element_at(names, F.col("k") + 1).alias("name"),
+                    F.col("non_null").cast("bigint").alias("non_null"),
                     F.col("numeric_ok").cast("bigint").alias("numeric_ok"),
                     F.col("datetime_ok").cast("bigint").alias("datetime_ok"),
                     num.alias("to_numeric"), dt.alias("to_datetime"))
 
 
 def fit_safe_clean(df: DataFrame) -> SafeCleanSpec:
-    """One aggregate over the renamed table decides everything."""
+    """One aggregate over the renamed table decides everything (one row per
+    text column comes back)."""
     renamed, mapping = rename_columns(df)
     text_cols = [f.name for f in renamed.schema.fields if family_of(f.dataType) == "text"]
-    row = _tokenized(renamed, text_cols).agg(*_vote_aggs(text_cols)).first()
-    n = int(row["__n"])
+    got = {r["k"]: r for r in _vote_long(renamed, text_cols).collect()} if text_cols else {}
+    n = int(got[0]["n"]) if got else int(renamed.count())
     spec = SafeCleanSpec(mapping=mapping, text_cols=text_cols, rows_before=n,
-                         trimmed_cols=[c for i, c in enumerate(text_cols) if row[f"tr{i}"] > 0],
-                         new_nulls=sum(int(row[f"mt{i}"]) for i in range(len(text_cols))))
+                         trimmed_cols=[c for i, c in enumerate(text_cols) if i in got and got[i]["trimmed"] > 0],
+                         new_nulls=sum(int(r["tokens"]) for r in got.values()))
     for i, c in enumerate(text_cols):
-        nn, nu, dt = int(row[f"nn{i}"]), int(row[f"nu{i}"]), int(row[f"dt{i}"])
+        if i not in got:
+            continue
+        r = got[i]
+        nn, nu, dt = int(r["non_null"]), int(r["numeric_ok"]), int(r["datetime_ok"])
         if nu >= nn * 0.8 and nu > 0:
             # pandas keeps int64 only when every value is an integer and nothing is missing
-            as_int = int(row[f"in{i}"]) == nn == n
+            as_int = int(r["integer_ok"]) == nn == n
             spec.coerced.append((c, "numeric:bigint" if as_int else "numeric"))
         elif dt >= nn * 0.8 and dt > 0:
             spec.coerced.append((c, "datetime"))
