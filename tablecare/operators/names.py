@@ -84,32 +84,42 @@ def containment_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _prefix_tokens(side: DataFrame, id_col: str, tok_col: str, freq: DataFrame, threshold: float) -> DataFrame:
-    """(id, token) for tokens inside the id's prefix: tokens sorted by global
-    frequency (rarest first), prefix length |A| − ceil(t·|A|) + 1."""
+    """(id, size, token) for tokens inside the id's prefix: tokens sorted by
+    global frequency (rarest first), prefix length |A| − ceil(t·|A|) + 1."""
     ex = side.select(id_col, F.explode(tok_col).alias("tok"))
     ranked = ex.join(freq, "tok")   # freq: one row per distinct token
     grouped = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
     size = F.size("toks")
     plen = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1
-    return grouped.select(id_col, F.explode(F.slice("toks", 1, F.greatest(plen, F.lit(1)).cast("int")))
-                          .alias("t")).select(id_col, F.col("t.tok").alias("tok"))
+    return grouped.select(id_col, size.alias("size"),
+                          F.explode(F.slice("toks", 1, F.greatest(plen, F.lit(1)).cast("int"))).alias("t")
+                          ).select(id_col, "size", F.col("t.tok").alias("tok"))
 
 
-def _similarity_join(r: DataFrame, k: DataFrame, threshold: float) -> DataFrame:
-    """Candidate (requested, matched) pairs that may satisfy
-    |A∩B| > threshold·max(|A|,|B|); ``r``/``k`` carry token arrays ``rt``/``kt``."""
+def _similarity_join(r: DataFrame, k: DataFrame, threshold: float, size_ratio: float) -> DataFrame:
+    """Candidate (requested, matched) pairs that may reach the threshold.
+
+    Exact filters, all necessary conditions of the similarity: the pair shares
+    a token inside both prefixes (prefix filter), and the partner's set size
+    lies strictly within (|A|·ratio, |A|/ratio) (length filter). The allowed
+    partner sizes are part of the join key, so a common token's group is
+    split by size and pairs that cannot qualify are never emitted."""
     toks = (r.select(F.explode("rt").alias("tok")).unionAll(k.select(F.explode("kt").alias("tok")))
             .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
     rp = _prefix_tokens(r, "requested", "rt", toks, threshold)
     kp = _prefix_tokens(k, "matched", "kt", toks, threshold)
-    return rp.join(kp, "tok").select("requested", "matched").distinct()
+    lo = F.floor(F.col("size") * F.lit(size_ratio)) + 1
+    hi = F.ceil(F.col("size") / F.lit(size_ratio)) - 1
+    rp = rp.select("requested", "tok", F.explode(F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int")))
+                   .alias("size"))
+    return rp.join(kp, ["tok", "size"]).select("requested", "matched").distinct()
 
 
 def word_overlap_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
     """Step 8: best word-overlap score > .5 (exactly verified)."""
     r = req.select("requested", words(F.col("requested")).alias("rt"))
     k = known.select(F.col("name").alias("matched"), "kord", words(F.col("name")).alias("kt"))
-    pairs = _similarity_join(r, k, 0.5)
+    pairs = _similarity_join(r, k, 0.5, 0.5)
     v = (pairs.join(r, "requested").join(k, "matched")
          .select("requested", "matched", "kord",
                  (F.size(F.array_intersect("rt", "kt")) / F.greatest(F.size("rt"), F.size("kt"))).alias("s"))
@@ -128,7 +138,7 @@ def char_jaccard_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
          .select("requested", _chars(F.col("rk")).alias("rt")))
     k = (known.select(F.col("name").alias("matched"), "kord", alnum_key(F.col("name")).alias("kk"))
          .where(F.length("kk") > 5).select("matched", "kord", _chars(F.col("kk")).alias("kt")))
-    pairs = _similarity_join(r, k, 0.7)
+    pairs = _similarity_join(r, k, 0.7, 0.7)
     inter = F.size(F.array_intersect("rt", "kt"))
     union = F.size(F.array_union("rt", "kt"))
     v = (pairs.join(r, "requested").join(k, "matched")
@@ -143,10 +153,12 @@ def reconcile_names(requested: DataFrame, known: DataFrame, mapping: DataFrame |
 
     ``known`` holds the known names (``known_order`` gives their order, else
     the name itself); ``mapping`` optionally holds (original, cleaned, pos)."""
-    req = requested.select(F.col(requested_col).alias("requested")).where(F.col("requested").isNotNull()).distinct()
+    # both distinct name sets feed every candidate branch: computed once, kept cached
+    req = (requested.select(F.col(requested_col).alias("requested")).where(F.col("requested").isNotNull())
+           .distinct().persist())
     kn = known.select(F.col(known_col).alias("name"),
                       (F.col(known_order) if known_order else F.col(known_col)).alias("kord")
-                      ).where(F.col("name").isNotNull())
+                      ).where(F.col("name").isNotNull()).persist()
     kord_type = kn.schema["kord"].dataType.simpleString()
     parts = [
         _equi(req, F.col("requested"), kn, F.col("name"), 2),
