@@ -152,7 +152,8 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     names = _feature_names(pre, num, cat)
     if task == "classification":
         w = class_weights(tr.withColumn("__y", F.col("__y")), "__y")
-        trw = tr.join(F.broadcast(w.select(F.col("label").alias("__y"), "weight")), "__y")
+        # one row per class: left to the planner (AQE broadcasts it when it is small)
+        trw = tr.join(w.select(F.col("label").alias("__y"), "weight"), "__y")
         sum_w = trw.agg(F.sum("weight")).first()[0]
         est = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
                                  regParam=1.0 / sum_w, elasticNetParam=0.0, standardization=False,
