@@ -26,11 +26,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if family_of(f.dataType) == "numeric"]
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row of ``a`` (broadcast of one row)."""
-    return a.withColumn("__j", F.lit(1)).join(F.broadcast(b.withColumn("__j", F.lit(1))), "__j").drop("__j")
-
-
 # ---- V1 ---------------------------------------------------------------------------------
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -57,17 +52,22 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """V2: equal-width histogram over [min, max], last bin closed, empty bins
-    included. One job: the min/max row is broadcast to the binning stage."""
+    included. min/max come from one small aggregate and enter the binning
+    pass as literals; empty bins come from a ``range`` of bin numbers joined
+    on the bin key."""
+    spark = df.sparkSession
     v = df.select(as_double(F.col(column)).alias("v")).where(F.col("v").isNotNull())
-    mm = v.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    binned = _one_row_join(v, mm).select(equal_width_bin(F.col("v"), F.col("mn"), F.col("mx"), bins).alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    w = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
-    frame = mm.where(F.col("mn").isNotNull()).select(
-        "mn", "mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    mm = v.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).first()
+    if mm["mn"] is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
+    mn, mx = float(mm["mn"]), float(mm["mx"])
+    counts = (v.select(equal_width_bin(F.col("v"), F.lit(mn), F.lit(mx), bins).alias("bin"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+    w = (F.lit(mx) - F.lit(mn)) / F.lit(float(bins))
+    frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (frame.join(counts, "bin", "left")
-            .select(F.col("bin").cast("int"), rnd(F.col("mn") + F.col("bin") * w).alias("lo"),
-                    rnd(F.col("mn") + (F.col("bin") + 1) * w).alias("hi"),
+            .select("bin", rnd(F.lit(mn) + F.col("bin") * w).alias("lo"),
+                    rnd(F.lit(mn) + (F.col("bin") + 1) * w).alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 

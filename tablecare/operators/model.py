@@ -58,14 +58,15 @@ def standardize(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """M6: balanced weights n/(k·n_c) when the largest class is more than
-    twice the smallest, else 1. One row per class (bounded by the classes)."""
+    twice the smallest, else 1. One row per class; the four totals come from
+    one small aggregate and enter as literals."""
     counts = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
     tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"),
-                     F.max("n_c").alias("mx"), F.min("n_c").alias("mn"))
-    j = counts.withColumn("__j", F.lit(1)).join(F.broadcast(tot.withColumn("__j", F.lit(1))), "__j")
-    w = F.when(F.col("mx") / F.col("mn") > 2, F.col("n") / (F.col("k") * F.col("n_c"))).otherwise(F.lit(1.0))
-    return j.select(F.col("label").cast("string").alias("label"), F.col("n_c").cast("bigint"),
-                    w.alias("weight"))
+                     F.max("n_c").alias("mx"), F.min("n_c").alias("mn")).first()
+    n, k, mx, mn = (tot["n"] or 0), tot["k"], (tot["mx"] or 0), (tot["mn"] or 1)
+    w = (F.lit(float(n)) / (F.lit(float(k)) * F.col("n_c"))) if mx / mn > 2 else F.lit(1.0)
+    return counts.select(F.col("label").cast("string").alias("label"), F.col("n_c").cast("bigint"),
+                         w.alias("weight"))
 
 
 @dataclass
@@ -209,19 +210,21 @@ REPORT_SCHEMA = T.StructType([
 
 
 def model_report(res: ModelResult) -> DataFrame:
-    """One row per run joined with its metrics (lazy)."""
+    """One row per run with its metrics (the metrics are one-row
+    aggregates; their values are collected and the row is built from them)."""
     from .metrics import accuracy, macro_f1, regression_metrics
     spark = res.predictions.sparkSession
-    base = spark.createDataFrame([(res.run_id, res.target, res.task_type,
-                                   "LogisticRegression" if res.task_type == "classification" else "Ridge",
-                                   res.train_rows, res.test_rows, res.n_features)], REPORT_SCHEMA)
-    p = res.predictions.withColumn("run_id", F.lit(res.run_id))
     if res.task_type == "classification":
-        m = accuracy(p, run_col="run_id").join(macro_f1(p, run_col="run_id"), "run_id")
-        m = m.select("run_id", "accuracy", "macro_f1", F.lit(None).cast("double").alias("rmse"),
-                     F.lit(None).cast("double").alias("mae"), F.lit(None).cast("double").alias("r2"))
+        acc = accuracy(res.predictions).first()[0]
+        f1 = macro_f1(res.predictions).first()[0]
+        rmse = mae = r2 = None
     else:
-        m = regression_metrics(p, run_col="run_id").select(
-            "run_id", F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("macro_f1"),
-            "rmse", "mae", "r2")
-    return base.join(m, "run_id")
+        m = regression_metrics(res.predictions).first()
+        acc = f1 = None
+        rmse, mae, r2 = m["rmse"], m["mae"], m["r2"]
+    row = (res.run_id, res.target, res.task_type,
+           "LogisticRegression" if res.task_type == "classification" else "Ridge",
+           res.train_rows, res.test_rows, res.n_features, acc, f1, rmse, mae, r2)
+    schema = T.StructType(REPORT_SCHEMA.fields + [T.StructField(c, T.DoubleType()) for c in
+                                                  ("accuracy", "macro_f1", "rmse", "mae", "r2")])
+    return spark.createDataFrame([row], schema)

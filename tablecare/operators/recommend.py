@@ -193,31 +193,34 @@ def clean(df: DataFrame, recommended: bool = False, materialize: str = "persist"
 
 
 def overview_row(df: DataFrame, side: str) -> DataFrame:
+    """One row: rows, columns, missing cells, duplicate rows. The two
+    one-row aggregates are stacked and folded by a global aggregate (no
+    join)."""
     fields = df.schema.fields
     miss = None
     for f in fields:
         e = missing_expr(f.name, f.dataType)
         miss = e if miss is None else miss + e
-    base = df.agg(F.count(F.lit(1)).alias("rows"), (miss if miss is not None else F.lit(0)).alias("missing_total"))
-    dup = duplicate_rows(df)
-    return (base.withColumn("_j", F.lit(1)).join(dup.withColumn("_j", F.lit(1)), "_j")
-            .select(F.lit(side).alias("side"), F.col("rows").cast("bigint").alias("rows"),
-                    F.lit(len(fields)).cast("int").alias("columns"),
-                    F.col("missing_total").cast("bigint").alias("missing_total"),
-                    F.col("duplicates").cast("bigint").alias("duplicates")))
+    base = df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                  (miss if miss is not None else F.lit(0)).cast("bigint").alias("missing_total"),
+                  F.lit(None).cast("bigint").alias("duplicates"))
+    dup = duplicate_rows(df).select(F.lit(None).cast("bigint").alias("rows"),
+                                    F.lit(None).cast("bigint").alias("missing_total"), "duplicates")
+    return base.unionByName(dup).agg(
+        F.lit(side).alias("side"), F.max("rows").alias("rows"), F.lit(len(fields)).cast("int").alias("columns"),
+        F.max("missing_total").alias("missing_total"), F.max("duplicates").alias("duplicates"))
 
 
 def quality_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Q1: rows/columns/missing/duplicates before and after, plus the change
-    (before − after) as a third row."""
+    (before − after) as a third row, folded from the two rows by an
+    aggregate (no join)."""
     b = overview_row(before, "before")
     a = overview_row(after, "after")
-    bb = b.withColumn("_j", F.lit(1)).alias("b")
-    aa = a.withColumn("_j", F.lit(1)).alias("a")
-    change = bb.join(aa, "_j").select(
-        F.lit("change").alias("side"),
-        (F.col("b.rows") - F.col("a.rows")).alias("rows"),
-        (F.col("b.columns") - F.col("a.columns")).cast("int").alias("columns"),
-        (F.col("b.missing_total") - F.col("a.missing_total")).alias("missing_total"),
-        (F.col("b.duplicates") - F.col("a.duplicates")).alias("duplicates"))
-    return b.unionByName(a).unionByName(change)
+    both = b.unionByName(a).persist()   # two rows, read twice below
+    sign = F.when(F.col("side") == "before", F.lit(1)).otherwise(F.lit(-1))
+    change = both.agg(F.lit("change").alias("side"), F.sum(sign * F.col("rows")).alias("rows"),
+                      F.sum(sign * F.col("columns")).cast("int").alias("columns"),
+                      F.sum(sign * F.col("missing_total")).alias("missing_total"),
+                      F.sum(sign * F.col("duplicates")).alias("duplicates"))
+    return both.unionByName(change)
