@@ -106,3 +106,17 @@ def rank_coefficients(coefs: DataFrame, top_n: int = 20) -> DataFrame:
         .otherwise(F.first("coefficient")).alias("coefficient"))
     w = Window.partitionBy("run_id").orderBy(F.abs("coefficient").desc(), F.col("feature"))
     return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+
+
+def analysis_facts(table: DataFrame, cleaning_log: DataFrame, report: DataFrame, results: int) -> DataFrame:
+    """One facts row — row/column counts, number of cleaning actions and
+    results, the small-sample flag (< 100 rows), the model's task type and
+    metrics, and accuracy "out of ten". The counts are small aggregates whose
+    values enter as literals."""
+    n_rows = table.count()
+    n_actions = cleaning_log.count()
+    return report.select(
+        F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(len(table.columns)).alias("n_cols"),
+        F.lit(n_actions).cast("bigint").alias("cleaning_actions"), F.lit(results).alias("results"),
+        F.lit(n_rows < 100).alias("small_sample"), "task_type", "accuracy", "macro_f1",
+        F.floor(F.col("accuracy") * 10).cast("int").alias("accuracy_out_of_ten"))

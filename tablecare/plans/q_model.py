@@ -191,13 +191,5 @@ def q_report(spark, sf):
 def q_facts(spark, sf):
     from ..operators.clean import safe_clean
     orders = load_table(spark, sf, "orders")
-    res = _classifier(spark, sf)
-    cleaned = safe_clean(orders)
-    n_actions = cleaned.log.count()
-    report = ML.model_report(res)
-    n_rows = orders.count()
-    return report.select(
-        F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(len(orders.columns)).alias("n_cols"),
-        F.lit(n_actions).cast("bigint").alias("cleaning_actions"), F.lit(PACK_SIZE).alias("results"),
-        F.lit(n_rows < 100).alias("small_sample"), "task_type", "accuracy", "macro_f1",
-        F.floor(F.col("accuracy") * 10).cast("int").alias("accuracy_out_of_ten"))
+    report = ML.model_report(_classifier(spark, sf))
+    return M.analysis_facts(orders, safe_clean(orders).log, report, PACK_SIZE)
