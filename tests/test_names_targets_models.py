@@ -130,3 +130,26 @@ def test_train_classifier_end_to_end(spark):
     assert rep["model_type"] == "LogisticRegression" and rep["n_features_encoded"] == 4
     assert M.key_drivers(res.importance).count() <= 5
     assert res.predictions.where(F.col("predicted").isNull()).count() == 0
+
+
+def test_reconcile_random_names_match_bruteforce(spark):
+    import random
+    rng = random.Random(7)
+    syll = ["ab", "cd", "ord", "tot", "al", "x", "key", "ship", "date", "mode"]
+
+    def name():
+        parts = [rng.choice(syll) for _ in range(rng.randint(1, 4))]
+        sep = rng.choice(["_", " ", "-", ""])
+        s = sep.join(parts)
+        return s.upper() if rng.random() < 0.2 else (s.title() if rng.random() < 0.2 else s)
+    known = sorted({name().lower().replace(" ", "_").replace("-", "_") for _ in range(40)})
+    req = sorted({name() for _ in range(150)})
+    got = {r["requested"]: (r["matched"], r["tier"]) for r in reconcile_names(
+        spark.createDataFrame([(x,) for x in req], "requested string"),
+        spark.createDataFrame([(x,) for x in known], "name string")).collect()}
+    tiers = set()
+    for r in req:
+        want = _py_cascade(r, known)
+        tiers.add(want[1])
+        assert got[r] == want, r
+    assert len(tiers) >= 5
