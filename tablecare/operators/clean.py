@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import family_of
+from .profile import drop_duplicate_rows
 from ..functions.text import (edge_trim, guarded_double, is_missing_token, parse_datetime,
                               snake_case_name)
 
@@ -168,7 +169,7 @@ def apply_safe_clean(df: DataFrame, spec: SafeCleanSpec, dedup: bool = True) ->
                 c = tok
         cols.append(c.alias(f.name))
     out = staged.select(*cols)
-    return out.dropDuplicates() if dedup else out
+    return drop_duplicate_rows(out) if dedup else out
 
 
 def safe_clean_log(spark: SparkSession, spec: SafeCleanSpec, cleaned: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_clean_pipeline_with_checkpoint(spark):
     actions = [r["action"] for r in log.orderBy("step").collect()]
     assert actions[0] == "normalize_column_names" and actions[-1] == "recommended_cleaning_complete"
     assert "median_imputation" in actions and cleaned.where("amount IS NULL").count() == 0
+
+
+def test_hash_first_dedup_is_exact_under_collisions(spark):
+    from tablecare.operators.profile import drop_duplicate_rows, duplicate_rows
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), ("b", "c")], "x string, y string")
+    h = {r[0] for r in df.select(F.xxhash64("x", "y")).collect()}
+    assert len(h) == 2                      # the two NULL layouts collide
+    assert duplicate_rows(df).first()[0] == 1
+    assert sorted((tuple(r) for r in drop_duplicate_rows(df).collect()), key=str) == \
+        sorted([(None, "a"), ("a", None), ("b", "c")], key=str)
