@@ -148,7 +148,11 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     assembled = pre.transform(prepared)
     tr = assembled.where(~F.col("is_test")).persist()
     te = assembled.where(F.col("is_test"))
-    train_rows, test_rows = tr.count(), te.count()
+    # split sizes and (for ridge) the label's population std over the training rows: one aggregate
+    sizes = assembled.agg(F.count_if(~F.col("is_test")).alias("tr"), F.count_if(F.col("is_test")).alias("te"),
+                          (F.stddev_pop(F.when(~F.col("is_test"), F.col(label_col))) if task != "classification"
+                           else F.lit(None).cast("double")).alias("ystd")).first()
+    train_rows, test_rows = int(sizes["tr"]), int(sizes["te"])
 
     names = _feature_names(pre, num, cat)
     if task == "classification":
@@ -168,7 +172,7 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
                                           F.element_at(lab_arr, F.col("prediction").cast("int") + 1)
                                           .alias("predicted"))
     else:
-        ystd = tr.agg(F.stddev_pop(label_col)).first()[0] or 1.0
+        ystd = sizes["ystd"] or 1.0
         est = LinearRegression(featuresCol="features", labelCol=label_col, solver="normal",
                                regParam=ystd / train_rows, elasticNetParam=0.0, standardization=False)
         model = est.fit(tr)
