@@ -36,8 +36,7 @@ def main(names=None, sf="/root/testdata/sf0.01"):
     print("|---|---|---|---|---|---|---|---|---|")
     for name in names or sorted(QUERIES):
         df = QUERIES[name](spark, sf)
-        plan = df._jdf.queryExecution().executedPlan().toString() if False else \
-            df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         s = summarise(plan)
         print(f"| `{name}` | {s['shuffles']} | {s['broadcasts']} | {s['scans']} | {s['max_cols_read']} | "
               f"{s['wgl'] > 0} | {s['python']} | {s['smj']} | {s['nlj']} |")
