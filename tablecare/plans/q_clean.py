@@ -264,7 +264,37 @@ def q_recommended(spark, sf):
     return recommended_clean(df, profile(df, "dirty_events", light=True))[0]
 
 
-@query("recommended_log", "R5 log", None)
+def _recommended_log_sql():
+    s1 = (f"SELECT event_id, ts, user_id, coalesce(event_type, {_MODE_SQL}) AS event_type, "
+          "coalesce(CAST(value AS DOUBLE), (SELECT quantile_cont(value, 0.5) FROM dirty_events)) AS value "
+          "FROM dirty_events")
+    num = ["event_id", "user_id", "value"]
+    clipped = " + ".join(
+        f"(SELECT (count_if({c} < quantile_cont_lo OR {c} > quantile_cont_hi) > 0)::INT FROM s1, "
+        f"(SELECT quantile_cont({c}, 0.01) AS quantile_cont_lo, quantile_cont({c}, 0.99) AS quantile_cont_hi FROM s1))"
+        for c in num)
+    return with_dirty(f"""WITH s1 AS ({s1}),
+k AS (SELECT ({clipped}) AS clipped,
+  (SELECT count(*) FROM (SELECT event_type FROM s1 WHERE event_type IS NOT NULL GROUP BY 1
+     HAVING count(*) / (SELECT count(event_type) FROM s1) < 0.01)) > 0 AS has_rare,
+  (SELECT count_if(value IS NULL) FROM dirty_events) > 0 AS med,
+  (SELECT count_if(event_type IS NULL) FROM dirty_events) > 0 AS mode,
+  (SELECT count(*) FROM s1) AS n),
+acts AS (
+  SELECT 1 AS ord, 'median_imputation' AS action, 'Imputed 1 numeric columns with median: value' AS details,
+         CAST(1 AS BIGINT) AS n, med AS keep FROM k
+  UNION ALL SELECT 2, 'mode_imputation', 'Imputed 1 categorical columns with mode: event_type', 1, mode FROM k
+  UNION ALL SELECT 3, 'winsorize_outliers', 'Winsorized outliers in ' || clipped || ' columns (1st-99th percentile)',
+         clipped, clipped > 0 FROM k
+  UNION ALL SELECT 4, 'group_rare_categories', 'Grouped rare categories (<1%) to ''Other'' in 1 columns', 1,
+         has_rare FROM k
+  UNION ALL SELECT 5, 'recommended_cleaning_complete', 'Recommended cleaning finished. Final rows: ' || n, n, true
+         FROM k)
+SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS step, action, details, CAST(n AS BIGINT) AS n
+FROM acts WHERE keep""")
+
+
+@query("recommended_log", "R5 log", _recommended_log_sql())
 def q_recommended_log(spark, sf):
     df = dirty_events(spark, sf)
     return recommended_clean(df, profile(df, "dirty_events", light=True))[1]
