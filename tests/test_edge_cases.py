@@ -97,3 +97,19 @@ def test_hash_first_dedup_is_exact_under_collisions(spark):
     assert duplicate_rows(df).first()[0] == 1
     assert sorted((tuple(r) for r in drop_duplicate_rows(df).collect()), key=str) == \
         sorted([(None, "a"), ("a", None), ("b", "c")], key=str)
+
+
+def test_profile_approximate_mode_is_close(spark):
+    from tests.conftest import SF_SMALL
+    from tablecare.sources.tables import load_table
+    li = load_table(spark, SF_SMALL, "lineitem")
+    exact = {c["name"]: c for c in profile(li, "l").columns}
+    approx = {c["name"]: c for c in profile(li, "l", distinct="approx", quantile_method="approx").columns}
+    for name, c in exact.items():
+        a = approx[name]
+        assert a["missing_count"] == c["missing_count"] and a["mean"] == c["mean"]
+        assert abs(a["unique_count"] - c["unique_count"]) <= max(2, 0.1 * c["unique_count"])
+        if c["column_type"] == "categorical":
+            assert a["top_values"] == c["top_values"]
+        if c["column_type"] == "numeric":
+            assert abs(a["outlier_pct"] - c["outlier_pct"]) <= 1.0
