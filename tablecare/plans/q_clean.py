@@ -112,7 +112,8 @@ def q_vote(spark, sf):
 
 @query("dedup_rows", "C7", with_dirty("SELECT DISTINCT * FROM dirty_orders"))
 def q_dedup(spark, sf):
-    return dirty_orders(spark, sf).dropDuplicates()
+    from ..operators.profile import drop_duplicate_rows
+    return drop_duplicate_rows(dirty_orders(spark, sf))
 
 
 def _clean_orders_sql():
