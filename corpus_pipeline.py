@@ -7,8 +7,9 @@ columns of ``documents``."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablecare.llm import jaccard, mixing, packing, quality
+from tablecare.llm import jaccard, mixing, packing, pii, quality
 from tablecare.llm.common import read_table, ship, written
 from tablecare.llm.queries import tokenizer_path
 
@@ -25,6 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data replaced by its kind in brackets."""
+    ship(spark)
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as their source's share of the mix takes them."""
     ship(spark)
@@ -37,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates),
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("personal data", personal_data),
           ("mixing", mixed), ("packing", packed)]
 
 #: Cutoffs, links, sampling and packing cannot be said in SQL; the tests hold each stage against brute force.
