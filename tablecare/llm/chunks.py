@@ -73,7 +73,7 @@ def chunk_table(docs: DataFrame, least: int, mask_bits: int, most: int, text: st
     def make():
         def f(batch):
             sizes, ends_of, digests = [], [], []
-            for part in texts(batch, text):
+            for part in texts(batch, "_text"):
                 for x in part:
                     data = x.encode("utf-8", "surrogatepass")
                     ends = boundaries(np.frombuffer(data, np.uint8), least, mask_bits, most)
@@ -139,8 +139,8 @@ def without_repeats(docs: DataFrame, min_words: int = 20, text: str = "text", ke
 
     Rows are known by their place in the input, so ``docs`` must be read from files."""
     found = repeated_passages(docs, min_words, text=text, key=key, **chunking).where("removable")
-    cuts = found.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(cuts, F.col("_rid") == F.col("row_id"), "left")
+    cuts = found.groupBy(F.col("row_id").alias("_cut_row")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(cuts, F.col("_rid") == F.col("_cut_row"), "left")
     data = F.encode(F.col(text), "UTF-8")
     state = F.aggregate("_cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")), lambda s, c: F.struct(
         (c["start"] + c["length"]).alias("at"),

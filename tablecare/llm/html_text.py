@@ -64,6 +64,9 @@ NEGATED = frozenset("with has no without".split())
 PLACES = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "p", "pre": "p", "blockquote": "p", "li": "list", "dt": "list", "dd": "list",
           "td": "cell", "th": "cell", "figcaption": "caption", "caption": "caption"}
 
+#: Boilerplate inside the article is left out of the text, so it costs only a little to pass over.
+SKIP, SKIP_WEIGHT = "<boilerplate>", -4.0
+
 #: Labelled by hand; the article stands between the two marks.
 LABELLED = [
     """<html><head><title>t</title></head><body><div id="header"><a href="/">Home</a> <a href="/b">News</a> <a href="/c">About us</a></div>
@@ -125,10 +128,10 @@ def tokens(page: str) -> list[tuple[str, int, str | None]]:
         name, close, attrs = (m[3], m[2], m[4]) if m[3] else (m[6], m[5], m[7])
         if not name:
             if m[1]:
-                out.append(("<" + m[1].lower(), 0, " "))
+                out.append(("", 0, " "))
             continue
         name = name.lower()
-        block = name in BLOCK
+        block, before = name in BLOCK, boiler
         if block:
             link = False
         if name == "a":
@@ -156,7 +159,11 @@ def tokens(page: str) -> list[tuple[str, int, str | None]]:
             mark = "!" if bad else ""
             if block:
                 place = PLACES.get(name, "box")
-        out.append((("</" if close else "<") + name + mark, 0, None if block else ""))
+        if boiler and not (mark and boiler == 1) or (close and before):
+            kind = ""  # inside boilerplate, which counts once, by its start
+        else:
+            kind = SKIP if mark else ("</" if close else "<") + name
+        out.append((kind, 0, None if block else ""))
     run(page[pos:])
     return out
 
@@ -174,10 +181,9 @@ def fit_weights(labelled: list[tuple[list, int, int]]) -> dict[str, float]:
         if kind.startswith("w:"):
             weights[kind] = max(-1.0, min(1.0, odds))
         else:
-            hard = kind.lstrip("</").rstrip("!") in BOX or kind.endswith("!")
+            hard = kind.lstrip("</") in BOX
             weights[kind] = -0.05 + (2.0 if hard else 0.1) * max(-4.0, min(0.0, odds))
-    weights["w:boiler"] = min(weights.get("w:boiler", -1.0), -0.25)
-    return weights
+    return weights | {"w:boiler": 0.0, SKIP: SKIP_WEIGHT}
 
 
 def labelled_by_hand() -> list[tuple[list, int, int]]:
