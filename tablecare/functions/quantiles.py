@@ -9,9 +9,15 @@ quantile is resolved by *histogram refinement*:
   ``ceil(h)`` with ``h = q·(n-1)`` (numpy "linear", DuckDB ``quantile_cont``);
 * each round joins the long ``(k, v)`` table with a tiny, explicitly bounded
   table of value brackets (one per unresolved target), counts rows per
-  (bracket, bucket) — equal-width buckets, or the value itself once the
-  bracket holds at most ``exact_rows`` rows — and a window over the ≤
-  ``buckets`` rows of one bracket finds the bucket holding each target rank;
+  (bracket, bucket), and a window over the buckets of one bracket finds the
+  one holding each target rank;
+* buckets are monotone in the value whatever its scale: the first round cuts
+  every octave of ``|v|`` into 64 (zero and the infinities apart), so no
+  difference of two far values is ever taken; later rounds cut a bracket,
+  which by then spans about 1 % of its value, into 65,536 equal parts. The 52
+  mantissa bits are used up after three of them, so four passes resolve any
+  data; a bracket of at most 65,536 rows is counted by the value itself,
+  which ends it at once;
 * only that one bucket per target comes back to the driver; a bucket whose
   min equals its max resolves the target, otherwise it becomes the next,
   narrower bracket.
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .numeric import as_double
 
 _BRACKET_SCHEMA = T.StructType([
@@ -37,7 +44,7 @@ _BRACKET_SCHEMA = T.StructType([
     T.StructField("k", T.IntegerType(), False),
     T.StructField("lo", T.DoubleType(), False),
     T.StructField("hi", T.DoubleType(), False),
-    T.StructField("exact", T.BooleanType(), False),
+    T.StructField("kind", T.StringType(), False),
 ])
 _TARGET_SCHEMA = T.StructType([
     T.StructField("b", T.IntegerType(), False),
@@ -46,6 +53,16 @@ _TARGET_SCHEMA = T.StructType([
 ])
 
 
+BUCKETS = 65_536
+
+
+def _octave_bucket(v):
+    """Signed 1/64-octave of ``v``: grows with it over the whole double range."""
+    part = F.floor(F.log2(F.abs(v)) * 64.0).cast("double") + 80_000.0
+    part = F.when(F.abs(v) == float("inf"), F.lit(200_000.0)).otherwise(part)
+    return F.when(v == 0.0, F.lit(0.0)).otherwise(F.signum(v) * part)
+
+
 @dataclass
 class _Target:
     k: int
@@ -69,8 +86,7 @@ def column_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, flo
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
                     stats: dict[str, tuple[int, float | None, float | None]] | None = None,
-                    buckets: int = 4096, exact_rows: int = 50_000,
-                    max_rounds: int = 64) -> dict[str, list[float | None]]:
+                    ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles ``probs`` for each numeric column.
 
     Returns ``{column: [value per prob]}``; ``None`` for columns without
@@ -109,36 +125,33 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
             F.struct(F.lit(k).cast("int").alias("k"), as_double(F.col(c)).alias("v"))
             for k, c in enumerate(columns)]))).where(F.col("v").isNotNull())
 
-    for _ in range(max_rounds):
-        open_t = [t for t in targets if t.value is None]
-        if not open_t:
-            break
+    first = True
+    while open_t := [t for t in targets if t.value is None]:
         # distinct brackets; bounded by the number of targets (columns × probs × 2)
-        bracket_ids: dict[tuple, int] = {}
+        brackets_of: dict[tuple, int] = {}
         for t in open_t:
-            key = (t.k, t.lo, t.hi, t.offset)
-            bracket_ids.setdefault(key, len(bracket_ids))
-        br_rows = []
-        for (k, lo, hi, off), b in bracket_ids.items():
-            cnt = next(t.count for t in open_t if (t.k, t.lo, t.hi, t.offset) == (k, lo, hi, off))
-            br_rows.append((b, k, lo, hi, cnt <= exact_rows))
-        tg_rows = [(bracket_ids[(t.k, t.lo, t.hi, t.offset)], i, t.rank - t.offset)
-                   for i, t in enumerate(open_t)]
+            brackets_of.setdefault((t.k, t.lo, t.hi, t.offset, t.count), len(brackets_of))
+        br_rows = [(b, k, lo, hi, "value" if cnt <= BUCKETS else "octave" if first else "linear")
+                   for (k, lo, hi, _off, cnt), b in brackets_of.items()]
+        tg_rows = [(brackets_of[(t.k, t.lo, t.hi, t.offset, t.count)], i, t.rank - t.offset) for i, t in enumerate(open_t)]
         brackets = spark.createDataFrame(br_rows, _BRACKET_SCHEMA)
         tgts = spark.createDataFrame(tg_rows, _TARGET_SCHEMA)
 
         # parquet-level pre-filter: a row matters only if some column falls in a bracket
         pre = None
-        for (k, lo, hi, _), _b in bracket_ids.items():
-            cond = F.col(columns[k]).between(lo, hi)
-            pre = cond if pre is None else (pre | cond)
-        src = to_long(df.where(pre))
+        if not first:
+            for k, lo, hi, _, _ in brackets_of:
+                cond = F.col(columns[k]).between(lo, hi)
+                pre = cond if pre is None else (pre | cond)
+        src = to_long(df if pre is None else df.where(pre))
 
-        j = src.join(F.broadcast(brackets),
+        j = src.join(F.broadcast(brackets),   # bounded by columns × probabilities
                      (src.k == brackets.k) & src.v.between(brackets.lo, brackets.hi))
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-        bucket = F.when(F.col("exact"), F.col("v")).otherwise(
-            F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("double"))
+        v = F.col("v")
+        share = (v - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324))
+        linear = F.least(F.floor(share * float(BUCKETS)), F.lit(BUCKETS - 1)).cast("double")
+        bucket = (F.when(F.col("kind") == "value", v).when(F.col("kind") == "octave", _octave_bucket(v))
+                  .otherwise(linear))
         hist = (j.groupBy("b", bucket.alias("key"))
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax")))
         w = Window.partitionBy("b").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,8 +166,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
             else:
                 t.offset += int(row["before"])
                 t.lo, t.hi, t.count = float(row["vmin"]), float(row["vmax"]), int(row["cnt"])
-    else:
-        raise RuntimeError("exact_quantiles did not converge")
+        first = False
 
     out: dict[str, list[float | None]] = {}
     for k, c in enumerate(columns):
@@ -166,11 +178,43 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
                 continue
             r0, r1, frac = r
             a, b = needs[(k, r0)].value, needs[(k, r1)].value
-            vals.append(a if frac == 0 else a + (b - a) * frac)
+            vals.append(a if frac == 0 or a == b else a + (b - a) * frac)
         out[c] = vals
     return out
 
 
+def grouped_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(grp, n, median) of the non-null values of every non-null group, exact.
+
+    The same refinement with the brackets of all groups as a table: groups are
+    unbounded, so nothing of them reaches the driver but the number still
+    open. The window holds the buckets of one group's bracket."""
+    src = df.select(F.col(group).cast("string").alias("grp"), as_double(F.col(value)).alias("v")).dropna()
+    size = src.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("side"), F.floor((F.col("n") - 1 + i) / 2).cast("long").alias("t")) for i in (0, 1)])
+    state = cut_lineage(size.select("grp", "n", F.inline(ranks), "lo", "hi", F.col("n").alias("cnt"),
+                                    F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found")))
+    first = True
+    while state.where(F.col("found").isNull()).limit(1).count():
+        todo = state.where(F.col("found").isNull())
+        inside = src.join(todo.select("grp", "side", "t", "lo", "hi", "cnt"), "grp").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        v = F.col("v")
+        linear = F.least(F.floor((v - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324)) * float(BUCKETS)),
+                         F.lit(BUCKETS - 1)).cast("double")
+        key = F.when(F.col("cnt") <= BUCKETS, v).otherwise(_octave_bucket(v) if first else linear)
+        hist = (inside.groupBy("grp", "side", "t", key.alias("key"))
+                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        w = Window.partitionBy("grp", "side").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        hit = hist.where((F.col("t") >= F.col("before")) & (F.col("t") < F.col("before") + F.col("c")))
+        new = hit.select("grp", "side", (F.col("t") - F.col("before")).alias("t"), "lo", "hi", F.col("c").alias("cnt"),
+                         F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found"))
+        done = state.where(F.col("found").isNotNull())
+        state = cut_lineage(done.unionByName(new.join(todo.select("grp", "side", "n"), ["grp", "side"]).select(*done.columns)))
+        first = False
+    return state.groupBy("grp").agg(F.first("n").alias("n"), (F.min("found") + (F.max("found") - F.min("found")) * 0.5).alias("median"))
+
+
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """One-pass ``percentile_approx`` (returns actual data values; opt-in)."""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import family_of
 from .profile import drop_duplicate_rows
-from ..functions.text import (edge_trim, guarded_double, is_missing_token, parse_datetime,
+from ..functions.text import (edge_trim, first_free, guarded_double, is_missing_token, parse_datetime, snake_case,
                               snake_case_name)
 
 LOG_SCHEMA = T.StructType([
@@ -27,22 +27,35 @@ LOG_SCHEMA = T.StructType([
     T.StructField("details", T.StringType()),
     T.StructField("n", T.LongType()),
 ])
-INTEGER_GUARD = r"^\s*[+-]?[0-9]{1,18}\s*$"
+INTEGER_GUARD = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def rename_map(names: list[str]) -> list[tuple[str, str]]:
-    """(original, snake_case) per column; repeats get ``_1``, ``_2`` …"""
-    out: list[tuple[str, str]] = []
-    taken: list[str] = []
-    for col in names:
-        new = snake_case_name(col)
-        base, counter = new, 1
-        while new in taken:
-            new = f"{base}_{counter}"
-            counter += 1
-        taken.append(new)
-        out.append((col, new))
-    return out
+    """(original, snake_case) per column; a repeat gets the first of
+    ``_1``, ``_2`` … that no earlier column has."""
+    taken: set[str] = set()
+    return [(name, first_free(snake_case_name(name), taken, 1)) for name in names]
+
+
+def rename_map_df(names: DataFrame, table_col: str = "table_key", pos_col: str = "pos",
+                  name_col: str = "original") -> DataFrame:
+    """C2 over a long table of (table, position, name): the same rule for
+    every table at once. One group holds one table's column list; its names
+    are folded in column order, so a generated name is never given twice."""
+    item = F.struct(F.col(pos_col).cast("int").alias("pos"), F.col(name_col).alias("original"),
+                    snake_case(F.col(name_col)).alias("base"))
+    listed = names.groupBy(table_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def free(taken, base):
+        tries = F.transform(F.sequence(F.lit(0), F.size(taken)),
+                            lambda i: F.when(i == 0, base).otherwise(F.concat_ws("_", base, i.cast("string"))))
+        return F.element_at(F.filter(tries, lambda n: ~F.array_contains(taken, n)), 1)
+
+    cleaned = F.aggregate("items", F.array().cast("array<string>"),
+                          lambda taken, x: F.concat(taken, F.array(free(taken, x["base"]))))
+    pairs = F.arrays_zip(F.col("items").alias("item"), cleaned.alias("cleaned"))
+    return listed.select(table_col, F.explode(pairs).alias("p")).select(
+        table_col, F.col("p.item.pos").alias("pos"), F.col("p.item.original").alias(name_col), F.col("p.cleaned").alias("cleaned"))
 
 
 def rename_columns(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -102,7 +115,7 @@ def _vote_long(df: DataFrame, text_cols: list[str]) -> DataFrame:
     return long.groupBy("k").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw") != F.col("t")).alias("trimmed"),
         F.count_if(is_missing_token(F.col("t"))).alias("tokens"), F.count(tok).alias("non_null"),
-        F.count(guarded_double(tok)).alias("numeric_ok"), F.count_if(tok.rlike(INTEGER_GUARD)).alias("integer_ok"),
+        F.count(guarded_double(tok)).alias("numeric_ok"), F.count(F.when(tok.rlike(INTEGER_GUARD), F.trim(tok).try_cast("bigint"))).alias("integer_ok"),
         F.count(parse_datetime(tok)).alias("datetime_ok"))
 
 

@@ -8,19 +8,15 @@ handful of numbers per column).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (as_double, equal_width_bin, family_of, is_floating, rnd, safe_corr,
                                  skewness_unbiased)
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import grouped_median, quantiles
 from ..functions.text import (OUTCOME_KEYWORDS, QUALITY_KEYWORDS, TEMPORAL_KEYWORDS, contains_any,
                               parse_datetime)
 
-CHART_TYPES = ["missing_values_bar", "numeric_distribution", "categorical_frequency", "correlation_heatmap",
-               "scatter", "boxplot_outliers", "time_trend", "grouped_bar"]
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns a numeric-only selection would keep (booleans excluded)."""
     return [f.name for f in df.schema.fields if family_of(f.dataType) == "numeric"]
@@ -92,36 +88,86 @@ def category_frequency(df: DataFrame, column: str, top_n: int = 10) -> DataFrame
 
 # ---- V4 / V5 ----------------------------------------------------------------------------
 
-def _gram_partials(k: int, shift: list[float]):
-    """Per-partition pairwise-complete sums for k columns (numpy BLAS).
+_PAIR = ("n", "mx", "my", "sxx", "syy", "sxy", "lox", "hix", "loy", "hiy")
+
+
+def _pair_moments(x):
+    """Pairwise-complete moments of the columns of one block of rows.
 
-    With x' = x − shift and masks m (value present): N = MᵀM,
-    SX[i,j] = Σ m_j·x'_i, SXX[i,j] = Σ m_j·x'_i², SXY = X'ᵀX' (NULL → 0).
-    One output batch of k(k+1)/2 rows (i ≤ j, both orientations of the
-    one-sided sums) per partition, whatever its row count."""
+    Returns k x k arrays: n rows with both present, the mean of i and of j
+    over them, centred sums of squares and products, and the extremes."""
     import numpy as np
-    import pandas as pd
 
-    sh = np.asarray(shift, dtype=float)
+    k = x.shape[1]
+    m = ~np.isnan(x)
+    out = {c: np.zeros((k, k)) for c in _PAIR}
+    full = m.all(axis=0)
+    if full.any() and len(x):   # columns without a gap: one centring serves all their pairs
+        at = np.flatnonzero(full)
+        v = x[:, at]
+        mean = v.mean(axis=0)
+        d = v - mean
+        s = d.T @ d
+        ij = np.ix_(at, at)
+        ones = np.ones(len(at))
+        sq = np.diag(s)
+        for name, a in (("n", np.full(s.shape, float(len(x)))), ("mx", np.outer(mean, ones)), ("my", np.outer(ones, mean)),
+                        ("sxx", np.outer(sq, ones)), ("syy", np.outer(ones, sq)), ("sxy", s),
+                        ("lox", np.outer(v.min(axis=0), ones)), ("hix", np.outer(v.max(axis=0), ones)),
+                        ("loy", np.outer(ones, v.min(axis=0))), ("hiy", np.outer(ones, v.max(axis=0)))):
+            out[name][ij] = a
+    for j in np.flatnonzero(~full):   # j has gaps: centre every column on the rows it shares with j
+        both = m[:, [j]] & m
+        n = both.sum(axis=0).astype(float)
+        some = n > 0
+        xi, yj = np.where(both, x, 0.0), np.where(both, x[:, [j]], 0.0)
+        mx, my = xi.sum(axis=0) / np.maximum(n, 1), yj.sum(axis=0) / np.maximum(n, 1)
+        dx, dy = np.where(both, x - mx, 0.0), np.where(both, x[:, [j]] - my, 0.0)
+        part = {"n": n, "mx": mx, "my": my, "sxx": (dx * dx).sum(axis=0), "syy": (dy * dy).sum(axis=0), "sxy": (dx * dy).sum(axis=0),
+                "lox": np.where(both, x, np.inf).min(axis=0, initial=np.inf), "hix": np.where(both, x, -np.inf).max(axis=0, initial=-np.inf),
+                "loy": np.where(both, x[:, [j]], np.inf).min(axis=0, initial=np.inf),
+                "hiy": np.where(both, x[:, [j]], -np.inf).max(axis=0, initial=-np.inf)}
+        flip = {"mx": "my", "my": "mx", "sxx": "syy", "syy": "sxx", "lox": "loy", "loy": "lox", "hix": "hiy", "hiy": "hix"}
+        for name, a in part.items():
+            a = np.where(some, a, 0.0)
+            out[name][:, j] = a
+            out[flip.get(name, name)][j, :] = a
+    return out
+
+
+def _merge_moments(a, b):
+    """Moments of two blocks of rows together (parallel formula)."""
+    import numpy as np
+
+    n = a["n"] + b["n"]
+    w = a["n"] * b["n"] / np.maximum(n, 1)
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    share = b["n"] / np.maximum(n, 1)
+    has_a, has_b = a["n"] > 0, b["n"] > 0
+
+    def pick(f, c):
+        return np.where(has_a & has_b, f(a[c], b[c]), np.where(has_a, a[c], b[c]))
+    return {"n": n, "mx": pick(lambda p, q: p + (q - p) * share, "mx"), "my": pick(lambda p, q: p + (q - p) * share, "my"),
+            "sxx": a["sxx"] + b["sxx"] + w * dx * dx, "syy": a["syy"] + b["syy"] + w * dy * dy,
+            "sxy": a["sxy"] + b["sxy"] + w * dx * dy, "lox": pick(np.minimum, "lox"), "hix": pick(np.maximum, "hix"),
+            "loy": pick(np.minimum, "loy"), "hiy": pick(np.maximum, "hiy")}
+
+
+def _partition_moments(k: int):
+    """One row per pair i <= j and partition."""
+    import numpy as np
+    import pandas as pd
 
     def fn(batches):
-        n = np.zeros((k, k))
-        sx = np.zeros((k, k))
-        sxx = np.zeros((k, k))
-        sxy = np.zeros((k, k))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float, na_value=np.nan)
-            m = ~np.isnan(x)
-            x0 = np.where(m, x - sh, 0.0)
-            mf = m.astype(float)
-            n += mf.T @ mf
-            sx += x0.T @ mf
-            sxx += (x0 * x0).T @ mf
-            sxy += x0.T @ x0
-        ii, jj = np.triu_indices(k)
-        yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "n": n[ii, jj],
-                            "sx_a": sx[ii, jj], "sx_b": sx[jj, ii], "sxx_a": sxx[ii, jj], "sxx_b": sxx[jj, ii],
-                            "sxy": sxy[ii, jj]})
+        total = None
+        with np.errstate(invalid="ignore", over="ignore"):
+            for pdf in batches:
+                if len(pdf):
+                    part = _pair_moments(pdf.to_numpy(dtype=float, na_value=np.nan))
+                    total = part if total is None else _merge_moments(total, part)
+        if total is not None:
+            ii, jj = np.triu_indices(k)
+            yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), **{c: total[c][ii, jj] for c in _PAIR}})
     return fn
 
 
@@ -129,32 +175,33 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     """V4: long (x, y, r) over all numeric pairs, pairwise-complete; r NULL
     for constant input; diagonal 1.0 (NULL for a constant column).
 
-    Two passes: (1) per-column midrange (a shift that keeps sums of squares
-    well conditioned and makes a constant column exactly zero); (2) one
-    ``mapInPandas`` pass computing the pairwise-complete Gram matrices of
-    each partition with numpy, whose k(k+1)/2 partial rows are summed by
-    ``groupBy(i, j)`` (partial aggregation: that many rows per task reach
-    the shuffle, independent of the row count). r follows from the sums;
-    both orientations are emitted."""
+    One pass: every partition centres each pair on the rows where both are
+    present and merges its blocks by the parallel formula; the k(k+1)/2 rows
+    per partition are merged by the same formula in two sums per pair (the
+    overall mean first, as a window over the pair's partials). Sums of far
+    apart magnitudes never cancel, whatever stands in rows where only one of
+    the two is present. A pair is constant if an extreme pair of it is equal."""
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "x string, y string, r double")
-    k = len(cols)
     vals = df.select(*[as_double(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    mm = vals.agg(*[F.min(f"c{i}").alias(f"lo{i}") for i in range(k)],
-                  *[F.max(f"c{i}").alias(f"hi{i}") for i in range(k)]).first()
-    shift = [((mm[f"lo{i}"] + mm[f"hi{i}"]) / 2.0) if mm[f"lo{i}"] is not None else 0.0 for i in range(k)]
-    sums = ("n", "sx_a", "sx_b", "sxx_a", "sxx_b", "sxy")
-    parts = vals.mapInPandas(_gram_partials(k, shift), "i int, j int, " + ", ".join(f"{c} double" for c in sums))
-    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
-    n = F.col("n")
-    mx, my = F.col("sx_a") / n, F.col("sx_b") / n
-    vx = F.col("sxx_a") / n - mx * mx
-    vy = F.col("sxx_b") / n - my * my
-    cov = F.col("sxy") / n - mx * my
-    r = F.when(F.col("i") == F.col("j"), F.when((n > 0) & (vx > 0), F.lit(1.0))) \
-        .otherwise(F.when((n > 0) & (vx > 0) & (vy > 0), rnd(cov / F.sqrt(vx * vy))))
+    parts = vals.mapInPandas(_partition_moments(len(cols)), "i int, j int, " + ", ".join(f"{c} double" for c in _PAIR))
+    pair = Window.partitionBy("i", "j")   # one row per partition of the input
+    parts = parts.where("n > 0").withColumns({
+        "gx": F.sum(F.col("n") * F.col("mx")).over(pair) / F.sum("n").over(pair),
+        "gy": F.sum(F.col("n") * F.col("my")).over(pair) / F.sum("n").over(pair)})
+    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
+    g = parts.groupBy("i", "j").agg(
+        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
+        (F.min("lox") < F.max("hix")).alias("vx"), (F.min("loy") < F.max("hiy")).alias("vy"))
+    r = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy"))
+    r = F.when(F.col("vx") & F.col("vy") & (F.col("sxx") > 0) & (F.col("syy") > 0) & ~F.isnan(r),
+               rnd(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("vx"), F.lit(1.0))).otherwise(r)
+    every = spark.range(len(cols)).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(len(cols) - 1))).alias("j"))
+    g = every.join(g, ["i", "j"], "left")   # pairs without a common row: r NULL
     names = F.array(*[F.lit(c) for c in cols])
     res = g.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
                    r.alias("r"))
@@ -246,7 +293,6 @@ GROUPED_AGGS = {
     "count": lambda v: F.count(v).cast("double"),
     "min": lambda v: F.min(v),
     "max": lambda v: F.max(v),
-    "median": lambda v: F.median(v),
     "std": lambda v: F.stddev_samp(v),
     "nunique": lambda v: F.count_distinct(v).cast("double"),
 }
@@ -255,10 +301,14 @@ GROUPED_AGGS = {
 def grouped_agg(df: DataFrame, group_col: str, value_col: str, agg: str = "mean", top: int = 10) -> DataFrame:
     """V8: aggregate of ``value_col`` per non-null group, top ``top`` by value
     (ties → group ascending). Partial aggregation before the shuffle keeps
-    hot groups cheap."""
-    if agg not in GROUPED_AGGS:
-        raise ValueError(f"aggregation must be one of {sorted(GROUPED_AGGS)}")
+    hot groups cheap; the median is resolved by bucket counts per group."""
+    if agg != "median" and agg not in GROUPED_AGGS:
+        raise ValueError(f"aggregation must be one of {sorted([*GROUPED_AGGS, 'median'])}")
     v = as_double(F.col(value_col))
+    if agg == "median":
+        every = df.where(F.col(group_col).isNotNull()).select(F.col(group_col).cast("string").alias("grp")).distinct()
+        g = every.join(grouped_median(df, group_col, value_col), "grp", "left").select("grp", rnd(F.col("median")).alias("value"))
+        return g.orderBy(F.col("value").desc_nulls_last(), F.col("grp").asc()).limit(top)
     g = (df.where(F.col(group_col).isNotNull())
          .groupBy(F.col(group_col).cast("string").alias("grp"))
          .agg(rnd(GROUPED_AGGS[agg](v)).alias("value")))
@@ -268,10 +318,11 @@ def grouped_agg(df: DataFrame, group_col: str, value_col: str, agg: str = "mean"
 # ---- V10 --------------------------------------------------------------------------------
 
 def unordered_signature(cols: list[Column], extra: list[Column] | None = None) -> Column:
-    """Order-insensitive key: sorted distinct values of ``cols`` joined by '_',
-    prefixed by ``extra`` parts (e.g. a type and an aggregation)."""
-    key = F.array_join(F.array_sort(F.array_distinct(F.array(*[c.cast("string") for c in cols]))), "_")
-    return F.concat_ws("|", *(extra or []), key)
+    """Order-insensitive key: the sorted distinct values of ``cols`` as an array
+    (NULL is a member like any other), with ``extra`` parts beside it. No
+    values are joined into one string, so no separator can be mistaken."""
+    members = F.array_sort(F.array_distinct(F.array(*[c.cast("string") for c in cols])))
+    return F.struct(*[e.alias(f"e{i}") for i, e in enumerate(extra or [])], members.alias("members"))
 
 
 def unordered_dedup(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
@@ -304,34 +355,45 @@ def correlation_labels(corr: DataFrame, r_col: str = "r") -> DataFrame:
         "direction": F.when(F.col(r_col).isNull(), None).when(F.col(r_col) > 0, "positive").otherwise("negative")})
 
 
-def relevance(chart_type: Column, is_outcome: Column, is_temporal: Column, is_quality: Column) -> Column:
+# Relevance of a result type and its reason, by the intent flag
+# that matters for it: type → (flag, (level, reason) if set, (level, reason) if not).
+RELEVANCE: dict[str, tuple[str | None, tuple[str, str] | None, tuple[str, str]]] = {
+    "missing_values_bar": ("is_quality", ("High", "Data quality is central to your analysis goal"),
+                           ("Low", "Data quality overview, not directly addressing the main question")),
+    "numeric_distribution": (None, None, ("Medium", "Provides context on data distribution and outliers")),
+    "categorical_frequency": (None, None, ("Medium", "Shows category distribution in the data")),
+    "correlation_heatmap": ("is_outcome", ("High", "Shows relationships between features relevant to outcomes"),
+                            ("Medium", "Useful for understanding feature relationships")),
+    "scatter": ("is_outcome", ("High", "Visualizes potential relationships between key variables"),
+                ("Medium", "Exploratory view of variable relationships")),
+    "boxplot_outliers": (None, None, ("Medium", "Provides context on data distribution and outliers")),
+    "time_trend": ("is_temporal", ("High", "Directly addresses temporal analysis goal"),
+                   ("Low", "Temporal view, may not directly address the question")),
+    "grouped_bar": ("is_outcome", ("High", "Compares metrics across categories relevant to outcomes"),
+                    ("Medium", "Shows categorical comparisons")),
+}
+OTHER_RELEVANCE = ("Medium", "Exploratory visualization")
+
+
+def relevance(chart_type: Column, flags: dict[str, Column]) -> Column:
     """(relevance, reason) for a result type given intent flags."""
-    def pair(level: str, reason: str) -> Column:
-        return F.struct(F.lit(level).alias("relevance"), F.lit(reason).alias("reason"))
-    t = chart_type
-    return (F.when((t == "missing_values_bar") & is_quality, pair("High", "Data quality is central to your analysis goal"))
-            .when(t == "missing_values_bar", pair("Low", "Data quality overview, not directly addressing the main question"))
-            .when((t == "correlation_heatmap") & is_outcome, pair("High", "Shows relationships between features relevant to outcomes"))
-            .when(t == "correlation_heatmap", pair("Medium", "Useful for understanding feature relationships"))
-            .when((t == "scatter") & is_outcome, pair("High", "Visualizes potential relationships between key variables"))
-            .when(t == "scatter", pair("Medium", "Exploratory view of variable relationships"))
-            .when((t == "grouped_bar") & is_outcome, pair("High", "Compares metrics across categories relevant to outcomes"))
-            .when(t == "grouped_bar", pair("Medium", "Shows categorical comparisons"))
-            .when((t == "time_trend") & is_temporal, pair("High", "Directly addresses temporal analysis goal"))
-            .when(t == "time_trend", pair("Low", "Temporal view, may not directly address the question"))
-            .when(t.isin("numeric_distribution", "boxplot_outliers"), pair("Medium", "Provides context on data distribution and outliers"))
-            .when(t == "categorical_frequency", pair("Medium", "Shows category distribution in the data"))
-            .otherwise(pair("Medium", "Exploratory visualization")))
+    def pair(p: tuple[str, str]) -> Column:
+        return F.struct(F.lit(p[0]).alias("relevance"), F.lit(p[1]).alias("reason"))
+    out = pair(OTHER_RELEVANCE)
+    for kind, (flag, if_set, if_not) in RELEVANCE.items():
+        mine = pair(if_not) if flag is None else F.when(flags[flag], pair(if_set)).otherwise(pair(if_not))
+        out = F.when(chart_type == kind, mine).otherwise(out)
+    return out
 
 
 def result_relevance(df: DataFrame, text_col: str, key_cols: list[str],
                      chart_types: list[str] | None = None) -> DataFrame:
     """V13 over a table of texts: every text × every result type (an
     ``explode`` of a literal array — a projection, not a join)."""
-    types = chart_types or CHART_TYPES
+    types = chart_types or list(RELEVANCE)
     f = intent_flags(df.select(*key_cols, text_col), text_col)
     x = f.select(*key_cols, "is_outcome", "is_temporal", "is_quality",
                  F.explode(F.array(*[F.lit(t) for t in types])).alias("chart_type"))
-    rel = relevance(F.col("chart_type"), F.col("is_outcome"), F.col("is_temporal"), F.col("is_quality"))
+    rel = relevance(F.col("chart_type"), {f: F.col(f) for f in ("is_outcome", "is_temporal", "is_quality")})
     return x.select(*key_cols, "chart_type", rel.getField("relevance").alias("relevance"),
                     rel.getField("reason").alias("reason"))

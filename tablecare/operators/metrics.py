@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..functions.text import LEAKAGE_FEATURE_TERMS_EXPLAIN, LEAKAGE_FEATURE_TERMS_SUMMARY, contains_any
 
 
 def _keys(df: DataFrame, run_col: str | None) -> list[str]:
@@ -81,7 +82,6 @@ def leakage_suspects(importance: DataFrame, target_col: Column | None = None,
                      terms: list[str] | None = None, top_n: int = 10) -> DataFrame:
     """Features among the top ``top_n`` whose lower-cased name contains
     an outcome term (or the target's own name when given)."""
-    from ..functions.text import LEAKAGE_FEATURE_TERMS_EXPLAIN, contains_any
     t = terms if terms is not None else LEAKAGE_FEATURE_TERMS_EXPLAIN
     low = F.lower(F.col("feature"))
     cond = contains_any(low, t)
@@ -90,33 +90,66 @@ def leakage_suspects(importance: DataFrame, target_col: Column | None = None,
     return importance.where((F.col("rank") <= top_n) & cond)
 
 
+def leakage_summary(importance: DataFrame, target_col: Column) -> DataFrame:
+    """M16 as the written summary has it: its own term list, the top five."""
+    return leakage_suspects(importance, target_col, LEAKAGE_FEATURE_TERMS_SUMMARY, 5)
+
+
+def _sign(c: Column) -> Column:
+    return F.when(c > 0, "positive").otherwise("negative")
+
+
 def key_drivers(importance: DataFrame, top_n: int = 5) -> DataFrame:
-    """Top features with effect sign and magnitude."""
+    """Top features with effect sign and magnitude. A classifier's ranking
+    coefficient is a mean absolute value, so its ``effect`` is always positive;
+    ``signed_effect`` has the direction where there is one (two classes, or a
+    regression), else NULL."""
+    signed = F.when(F.col("signed_coefficient").isNotNull(), _sign(F.col("signed_coefficient")))
     return importance.where(F.col("rank") <= top_n).select(
-        *[c for c in importance.columns if c in ("run_id",)], "feature", "rank",
-        F.when(F.col("coefficient") > 0, "positive").otherwise("negative").alias("effect"),
-        F.abs("coefficient").alias("magnitude"))
+        *[c for c in importance.columns if c in ("run_id",)], "feature", "rank", _sign(F.col("coefficient")).alias("effect"),
+        signed.alias("signed_effect"), F.abs("coefficient").alias("magnitude"))
 
 
 def rank_coefficients(coefs: DataFrame, top_n: int = 20) -> DataFrame:
-    """M15 on a long (run_id, feature, class_index, coefficient) table:
-    classifiers → mean |coef| over classes; top ``top_n`` by |value| per run."""
-    agg = coefs.groupBy("run_id", "feature").agg(
-        F.when(F.count(F.lit(1)) > 1, F.avg(F.abs("coefficient")))
-        .otherwise(F.first("coefficient")).alias("coefficient"))
+    """M15 on a long (run_id, feature, class_index, coefficient) table of many
+    runs: a classifier's features (``class_index`` given) rank by mean
+    |coefficient| over classes, a regression's (NULL) by the coefficient itself;
+    the top ``top_n`` by |value| per run, ties by name."""
+    g = coefs.groupBy("run_id", "feature").agg(
+        F.count("class_index").alias("k"), F.avg(F.abs("coefficient")).alias("mean"), F.first("coefficient").alias("one"))
+    g = g.select("run_id", "feature", F.when(F.col("k") > 0, F.col("mean")).otherwise(F.col("one")).alias("coefficient"),
+                 F.when(F.col("k") <= 1, F.col("one")).alias("signed_coefficient"))
     w = Window.partitionBy("run_id").orderBy(F.abs("coefficient").desc(), F.col("feature"))
-    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-
-
-def analysis_facts(table: DataFrame, cleaning_log: DataFrame, report: DataFrame, results: int) -> DataFrame:
-    """One facts row — row/column counts, number of cleaning actions and
-    results, the small-sample flag (< 100 rows), the model's task type and
-    metrics, and accuracy "out of ten". The counts are small aggregates whose
-    values enter as literals."""
-    n_rows = table.count()
-    n_actions = cleaning_log.count()
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+
+
+def report_rows(predictions: DataFrame) -> DataFrame:
+    """M19 for many runs in one job: (run_id, task_type, actual, predicted) →
+    (run_id, task_type, test_rows, accuracy, macro_f1, rmse, mae, r2)."""
+    cls = predictions.where("task_type = 'classification'")
+    reg = predictions.where("task_type = 'regression'")
+    size = predictions.groupBy("run_id", "task_type").agg(F.count(F.lit(1)).cast("bigint").alias("test_rows"))
+    out = size
+    for part in (accuracy(cls, run_col="run_id"), macro_f1(cls, run_col="run_id"), regression_metrics(reg, run_col="run_id")):
+        out = out.join(part, "run_id", "left")
+    return out
+
+
+def analysis_facts(profile_rows: DataFrame, cleaning_log: DataFrame, report: DataFrame, results: int) -> DataFrame:
+    """One facts row per model run — row and column counts, numeric and
+    categorical column counts, number of cleaning actions and results, the
+    small-sample flag (< 100 rows), the run's task type and metrics, accuracy
+    "out of ten" and R² as a percentage. ``profile_rows`` has one row per
+    column (n_rows, column_type); its counts, and the log's, are one-row
+    aggregates whose values enter as literals."""
+    p = profile_rows.agg(F.max("n_rows").alias("n"), F.count(F.lit(1)).alias("c"),
+                         F.count_if(F.col("column_type") == "numeric").alias("num"),
+                         F.count_if(F.col("column_type") == "categorical").alias("cat")).first()
+    n_rows = int(p["n"] or 0)
     return report.select(
-        F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(len(table.columns)).alias("n_cols"),
-        F.lit(n_actions).cast("bigint").alias("cleaning_actions"), F.lit(results).alias("results"),
-        F.lit(n_rows < 100).alias("small_sample"), "task_type", "accuracy", "macro_f1",
-        F.floor(F.col("accuracy") * 10).cast("int").alias("accuracy_out_of_ten"))
+        "run_id", F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(int(p["c"])).alias("n_cols"),
+        F.lit(int(p["num"])).alias("numeric_columns"), F.lit(int(p["cat"])).alias("categorical_columns"),
+        F.lit(cleaning_log.count()).cast("bigint").alias("cleaning_actions"), F.lit(results).alias("results"),
+        F.lit(n_rows < 100).alias("small_sample"), "task_type", "accuracy", "macro_f1", "rmse", "r2",
+        F.floor(F.col("accuracy") * 10).cast("int").alias("accuracy_out_of_ten"),
+        F.floor(F.col("r2") * 100).cast("int").alias("r2_percent"))

@@ -2,9 +2,9 @@
 
 Preprocessing is plain Column arithmetic fitted on the training rows:
 median imputation + population standardisation for numerics, most-frequent
-imputation + one-hot (``StringIndexer(alphabetAsc, keep)`` →
-``OneHotEncoder(dropLast=True)``: unseen categories map to all zeros) for
-categoricals. Regularisation is set so Spark's optimum equals an L2
+imputation + one-hot for categoricals. Category and class indexes are tables
+joined to the rows (a text column may have as many categories as rows), and
+unseen categories map to all zeros. Regularisation is set so Spark's optimum equals an L2
 logistic regression with C = 1 and a ridge with α = 1:
 
 * logistic: ``regParam = 1 / Σw`` (Σw = rows, or the sum of class weights);
@@ -19,14 +19,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import as_double, family_of, hash_bucket
+from ..functions.numeric import as_double, family_of, hash_bucket, is_floating
 from ..functions.quantiles import quantiles
+from ..session import cut_lineage
 from .profile import Profile
 
 MIN_ROWS = 10
@@ -76,11 +77,10 @@ class ModelResult:
     target: str
     model: object
     predictions: DataFrame          # (actual, predicted, is_test rows only)
-    importance: DataFrame           # (run_id, feature, coefficient, rank)
+    importance: DataFrame           # (run_id, feature, coefficient, signed_coefficient, rank)
     train_rows: int
     test_rows: int
     n_features: int
-    feature_names: list[str]
 
 
 def resolve_task_type(df: DataFrame, target: str, requested: str | None = None) -> tuple[str, int, int]:
@@ -99,12 +99,48 @@ def resolve_task_type(df: DataFrame, target: str, requested: str | None = None)
     return (requested if requested in ("classification", "regression") else "classification"), u, n
 
 
+def category_index(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, value, idx): the distinct training values of every column in order,
+    as a table. It is joined, never gathered on the driver."""
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value"))
+                                           for i, c in enumerate(columns)]))).where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("c").orderBy("value")
+    return long.withColumn("idx", (F.row_number().over(w) - 1).cast("double"))
+
+
+def encode(df: DataFrame, index: DataFrame, columns: list[str], sizes: dict[int, int]) -> DataFrame:
+    """Adds ``__idx_<column>``: the value's index; a value unseen in training
+    gets the number of categories, which the encoder turns into all zeros."""
+    for i, c in enumerate(columns):
+        mine = index.where(F.col("c") == i).select(F.col("value").alias("__v"), F.col("idx").alias(f"__idx_{c}"))
+        df = (df.join(mine, F.col(c).cast("string") == F.col("__v"), "left").drop("__v")
+              .withColumn(f"__idx_{c}", F.coalesce(f"__idx_{c}", F.lit(float(sizes.get(i, 0))))))
+    return df
+
+
+def one_hot(columns: list[str]) -> OneHotEncoder:
+    """``keep`` with ``dropLast``: unseen values are all zeros, every known one keeps its place."""
+    return OneHotEncoder(inputCols=[f"__idx_{c}" for c in columns], outputCols=[f"__oh_{c}" for c in columns],
+                         dropLast=True, handleInvalid="keep")
+
+
+def index_sizes(index: DataFrame) -> dict[int, int]:
+    """Number of categories per column (one number per column)."""
+    return {r["c"]: int(r["n"]) for r in index.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str], *,
                    test_size: float = 0.2, seed: int = 42, task_type: str | None = None,
                    run_id: str = "run", max_iter: int = 1000) -> ModelResult:
-    """M1-M9 + M15: fit a baseline on the train split, score the test split."""
+    """M1-M9 + M15: fit a baseline on the train split, score the test split.
+
+    Rows without a target (NULL or NaN) are left out; numeric features without
+    any training value, and categorical ones likewise, are dropped."""
     spark: SparkSession = df.sparkSession
-    data = df.where(F.col(target).isNotNull())
+    has_target = F.col(target).isNotNull()
+    if is_floating(df.schema[target].dataType):
+        has_target = has_target & ~F.isnan(target)
+    data = df.where(has_target)
     num = [c for c in prof.numeric_cols if c != target and c in df.columns]
     cat = [c for c in prof.categorical_cols if c != target and c in df.columns]
     if not num and not cat:
@@ -113,75 +149,100 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     if n < MIN_ROWS:
         raise ValueError(f"Insufficient data after dropping missing targets ({n} rows)")
 
-    split = hash_split(data, key_cols, test_size, seed).persist()
+    split = hash_split(data, key_cols, test_size, seed)
     train = split.where(~F.col("is_test"))
     # numeric: median (train) → standardise (train, after imputation)
     med = quantiles(train, num, [0.5]) if num else {}
+    num = [c for c in num if med[c][0] is not None]
     imputed = split.select(*[F.coalesce(as_double(F.col(c)), F.lit(med[c][0])).alias(c) if c in num
                              else F.col(c) for c in split.columns])
-    imputed = standardize(imputed, num, fit_on=imputed.where(~F.col("is_test")))
-    # categorical: mode (train) → one-hot via indexer/encoder fitted on train
+    imputed = standardize(imputed, num, fit_on=imputed.where(~F.col("is_test"))) if num else imputed
+    # categorical: mode (train) → one-hot through a joined index table
     from .recommend import column_modes
     modes = column_modes(train.select(*[F.col(c).cast("string").alias(c) for c in cat]), cat) if cat else {}
-    prepared = imputed.select(*[F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c))).alias(c) if c in cat
+    cat = [c for c in cat if c in modes]
+    if not num and not cat:
+        raise ValueError("No feature column has a training value")
+    prepared = imputed.select(*[F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c) if c in cat
                                 else F.col(c) for c in imputed.columns])
-    stages = []
+    index, sizes = None, {}
     if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=[f"__idx_{c}" for c in cat],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-        # the indexer's extra "unseen" index is the last category, which dropLast removes:
-        # unseen values encode as all zeros, every known category keeps its column
-        stages.append(OneHotEncoder(inputCols=[f"__idx_{c}" for c in cat], outputCols=[f"__oh_{c}" for c in cat],
-                                    dropLast=True))
-    stages.append(VectorAssembler(inputCols=num + [f"__oh_{c}" for c in cat], outputCol="features"))
-    label_col = "__label"
-    labels: list[str] = []
+        index = cut_lineage(category_index(prepared.where(~F.col("is_test")), cat))
+        sizes = index_sizes(index)
+        prepared = encode(prepared, index, cat, sizes)
+    classes = None
     if task == "classification":
-        # classes seen in training, sorted; unseen test labels index to NULL (never used to predict)
+        # classes seen in training, in order; a test label unseen there has no index and is never predicted
         prepared = prepared.withColumn("__y", F.col(target).cast("string"))
-        labels = sorted(r[0] for r in prepared.where(~F.col("is_test")).select("__y").distinct().collect())
-        lab_lit = F.array(*[F.lit(x) for x in labels])
-        prepared = prepared.withColumn(label_col, (F.array_position(lab_lit, F.col("__y")) - 1).cast("double"))
+        classes = cut_lineage(category_index(prepared.where(~F.col("is_test")), ["__y"]).select("value", "idx"))
+        prepared = prepared.join(classes.select(F.col("value").alias("__y"), F.col("idx").alias("__label")), "__y", "left")
+        n_classes = classes.count()
     else:
-        prepared = prepared.withColumn(label_col, as_double(F.col(target)))
+        prepared = prepared.withColumn("__label", as_double(F.col(target)))
+    stages = ([one_hot(cat)] if cat else []) + [
+        VectorAssembler(inputCols=num + [f"__oh_{c}" for c in cat], outputCol="features")]
     pre = Pipeline(stages=stages).fit(prepared.where(~F.col("is_test")))
     assembled = pre.transform(prepared)
-    tr = assembled.where(~F.col("is_test")).persist()
+    tr = assembled.where(~F.col("is_test")).select("features", "__label", *(["__y"] if classes is not None else [])).persist()
     te = assembled.where(F.col("is_test"))
-    # split sizes and (for ridge) the label's population std over the training rows: one aggregate
-    sizes = assembled.agg(F.count_if(~F.col("is_test")).alias("tr"), F.count_if(F.col("is_test")).alias("te"),
-                          (F.stddev_pop(F.when(~F.col("is_test"), F.col(label_col))) if task != "classification"
-                           else F.lit(None).cast("double")).alias("ystd")).first()
-    train_rows, test_rows = int(sizes["tr"]), int(sizes["te"])
+    try:
+        if classes is not None:
+            w = class_weights(tr, "__y")
+            # one row per class: left to the planner (AQE broadcasts it when it is small)
+            trw = tr.join(w.select(F.col("label").alias("__y"), "weight"), "__y")
+            got = trw.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
+            train_rows = int(got["n"])
+            est = LogisticRegression(featuresCol="features", labelCol="__label", weightCol="weight",
+                                     regParam=1.0 / got["w"], elasticNetParam=0.0, standardization=False,
+                                     maxIter=max_iter, tol=1e-9,
+                                     family="multinomial" if n_classes > 2 else "binomial")
+            model = est.fit(trw)
+            mat = model.coefficientMatrix.toArray()
+            coefs = [float(abs(mat[:, j]).mean()) for j in range(mat.shape[1])]
+            signed = [float(v) for v in mat[0]] if mat.shape[0] == 1 else [None] * len(coefs)
+            of = classes.select(F.col("idx").alias("prediction"), F.col("value").alias("predicted"))
+            pred = model.transform(te).select(F.col("__y").alias("actual"), "prediction").join(of, "prediction", "left").select(
+                "actual", "predicted")
+        else:
+            got = tr.agg(F.stddev_pop("__label").alias("s"), F.count(F.lit(1)).alias("n")).first()
+            train_rows = int(got["n"])
+            est = LinearRegression(featuresCol="features", labelCol="__label", solver="normal",
+                                   regParam=(got["s"] or 1.0) / train_rows, elasticNetParam=0.0, standardization=False)
+            model = est.fit(tr)
+            coefs = [float(v) for v in model.coefficients.toArray()]
+            signed = coefs
+            pred = model.transform(te).select(F.col("__label").alias("actual"), F.col("prediction").alias("predicted"))
+    finally:
+        tr.unpersist()
+    test_rows = te.count()
+    imp = _importance(spark, run_id, coefs, signed, num, cat, index, sizes)
+    return ModelResult(run_id, task, target, model, pred, imp, train_rows, test_rows, len(coefs))
 
-    names = _feature_names(pre, num, cat)
-    if task == "classification":
-        w = class_weights(tr.withColumn("__y", F.col("__y")), "__y")
-        # one row per class: left to the planner (AQE broadcasts it when it is small)
-        trw = tr.join(w.select(F.col("label").alias("__y"), "weight"), "__y")
-        sum_w = trw.agg(F.sum("weight")).first()[0]
-        est = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
-                                 regParam=1.0 / sum_w, elasticNetParam=0.0, standardization=False,
-                                 maxIter=max_iter, tol=1e-9,
-                                 family="multinomial" if len(labels) > 2 else "binomial")
-        model = est.fit(trw)
-        mat = model.coefficientMatrix.toArray()
-        coef_rows = [(names[j], float(abs(mat[:, j]).mean())) for j in range(len(names))]
-        lab_arr = F.array(*[F.lit(x) for x in labels])
-        pred = model.transform(te).select(F.col("__y").alias("actual"),
-                                          F.element_at(lab_arr, F.col("prediction").cast("int") + 1)
-                                          .alias("predicted"))
-    else:
-        ystd = sizes["ystd"] or 1.0
-        est = LinearRegression(featuresCol="features", labelCol=label_col, solver="normal",
-                               regParam=ystd / train_rows, elasticNetParam=0.0, standardization=False)
-        model = est.fit(tr)
-        coef_rows = [(names[j], float(v)) for j, v in enumerate(model.coefficients.toArray())]
-        pred = model.transform(te).select(F.col(label_col).alias("actual"), F.col("prediction").alias("predicted"))
-    coef_rows.sort(key=lambda r: (-abs(r[1]), r[0]))
-    imp = spark.createDataFrame([(run_id, f, c, i + 1) for i, (f, c) in enumerate(coef_rows[:20])],
-                                "run_id string, feature string, coefficient double, rank int")
-    return ModelResult(run_id, task, target, model, pred, imp, train_rows, test_rows, len(names), names)
+
+def _importance(spark, run_id, coefs, signed, num, cat, index, sizes, top: int = 20) -> DataFrame:
+    """The ``top`` features by |coefficient|. Only their names are looked up in the index table."""
+    at = []   # first place of every categorical column's block
+    offset = len(num)
+    for i in range(len(cat)):
+        at.append(offset)
+        offset += sizes[i]
+    # all places within the smallest of the top values, so that ties go by name
+    order = sorted(range(len(coefs)), key=lambda j: -abs(coefs[j]))
+    least = abs(coefs[order[min(top, len(order)) - 1]])
+    named: dict[int, str] = {}
+    wanted = []
+    for j in (j for j in order if abs(coefs[j]) >= least):
+        if j < len(num):
+            named[j] = f"num__{num[j]}"
+        else:
+            i = max(k for k, first in enumerate(at) if first <= j)
+            wanted.append((j, i, float(j - at[i])))
+    if wanted:
+        rows = spark.createDataFrame(wanted, "j int, c int, idx double").join(index, ["c", "idx"]).select("j", "c", "value").collect()
+        named |= {r["j"]: f"cat__{cat[r['c']]}_{r['value']}" for r in rows}
+    best = sorted(named, key=lambda j: (-abs(coefs[j]), named[j]))[:top]
+    return spark.createDataFrame([(run_id, named[j], coefs[j], signed[j], k + 1) for k, j in enumerate(best)],
+                                 "run_id string, feature string, coefficient double, signed_coefficient double, rank int")
 
 
 def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> tuple[list[float], float]:
@@ -196,15 +257,6 @@ def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0
     return [float(x) for x in m.coefficients.toArray()], float(m.intercept)
 
 
-def _feature_names(pre, num: list[str], cat: list[str]) -> list[str]:
-    names = [f"num__{c}" for c in num]
-    if cat:
-        idx = pre.stages[0]
-        for c, labels in zip(cat, idx.labelsArray):
-            names += [f"cat__{c}_{v}" for v in labels]
-    return names
-
-
 REPORT_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("target", T.StringType()),
     T.StructField("task_type", T.StringType()), T.StructField("model_type", T.StringType()),

@@ -19,21 +19,32 @@ step  rule                                                          plan
 10    fallback: snake_case if a mapping is given, else unchanged    projection
 ====  ============================================================  =====================
 
+Every step gives at most one row per requested name, and the cascade passes
+on only the names still unresolved, so the fuzzy steps see what the exact ones
+left. Before a step joins, the known side is reduced to the earliest name per
+key (per text form, word set or letter set), with a partial aggregate, so a
+key that many known names share is one row.
+
 Steps 7-9 are non-equi in nature. Containment is made an exact equi-join by
 exploding every substring of one side whose length occurs on the other side.
-Steps 8 and 9 are set-similarity joins with *prefix filtering* (tokens ordered
-rarest-first globally; a qualifying pair must share a token inside both
-prefixes), followed by exact verification — no cross join, no capped
-candidate list. The winner per requested name is a ``min_by`` aggregate,
-which combines partially before the shuffle.
+Steps 8 and 9 compare *distinct* word sets and letter sets by prefix filtering
+(tokens ordered rarest-first globally; a pair that passes must share a token
+among the ``|A| - least overlap + 1`` rarest of both, the least overlap
+following from both sizes, which are part of the join key); letter sets are
+36-bit masks verified by ``bit_count``. No cross join, no capped candidate
+list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, edge_trim, snake_case, words
+from ..session import cut_lineage
 
 TIER_NAMES = {1: "mapping_exact", 2: "exact", 3: "snake_case", 4: "case_insensitive", 5: "mapping_case_insensitive",
               6: "alphanumeric", 7: "containment", 8: "word_overlap", 9: "char_jaccard", 10: "fallback"}
@@ -43,15 +54,23 @@ def _ci_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), " ", "_"), "-", "_")
 
 
-def _cand(df: DataFrame, tier: int, score: Column | float = 1.0) -> DataFrame:
-    s = score if isinstance(score, Column) else F.lit(float(score))
-    return df.select("requested", "matched", F.lit(tier).alias("tier"), s.cast("double").alias("score"), "kord")
+def _earliest(known: DataFrame, key: Column) -> DataFrame:
+    """(key, matched, kord): the earliest known name of every key."""
+    return (known.select(key.alias("__k"), "name", "kord").groupBy("__k")
+            .agg(F.min_by("name", "kord").alias("matched"), F.min("kord").alias("kord")))
+
+
+def _resolved(df: DataFrame, tier: int) -> DataFrame:
+    """Candidates (requested, matched, score, kord) to one row per requested name: the highest score, then the earliest."""
+    best = F.min_by(F.struct("matched", "score", "kord"), F.struct((-F.col("score")).alias("s"), "kord")).alias("b")
+    return df.groupBy("requested").agg(best).select(
+        "requested", F.col("b.matched").alias("matched"), F.lit(tier).alias("tier"),
+        F.col("b.score").cast("double").alias("score"), F.col("b.kord").alias("kord"))
 
 
 def _equi(req: DataFrame, rkey: Column, known: DataFrame, kkey: Column, tier: int) -> DataFrame:
-    r = req.select("requested", rkey.alias("__k"))
-    k = known.select(F.col("name").alias("matched"), "kord", kkey.alias("__k"))
-    return _cand(r.join(k, "__k"), tier)
+    hits = req.select("requested", rkey.alias("__k")).join(_earliest(known, kkey), "__k")
+    return _resolved(hits.withColumn("score", F.lit(1.0)), tier)
 
 
 def _substrings(key: Column, lengths: list[int]) -> Column:
@@ -63,87 +82,93 @@ def _substrings(key: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(per_len))
 
 
+def _lengths(keys: DataFrame) -> list[int]:
+    """Distinct key lengths (at most the longest name's length)."""
+    return sorted(r[0] for r in keys.select(F.length("__k")).distinct().collect())
+
+
 def containment_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
-    """Step 7: exact pairs where one alphanumeric form contains the other."""
+    """Step 7: the earliest known name whose alphanumeric form contains, or is
+    contained in, the requested one's (both longer than 3)."""
     r = req.select("requested", alnum_key(F.col("requested")).alias("rk")).where(F.length("rk") > 3)
-    k = known.select(F.col("name").alias("matched"), "kord", alnum_key(F.col("name")).alias("kk")) \
-        .where(F.length("kk") > 3)
-    k_lens = sorted(x[0] for x in k.select(F.length("kk")).distinct().collect())
-    r_lens = sorted(x[0] for x in r.select(F.length("rk")).distinct().collect())
-    parts = []
-    if k_lens:   # known ⊂ requested
-        rs = r.select("requested", F.explode(_substrings(F.col("rk"), k_lens)).alias("kk"))
-        parts.append(rs.join(k, "kk").select("requested", "matched", "kord"))
-    if r_lens:   # requested ⊂ known
-        ks = k.select("matched", "kord", F.explode(_substrings(F.col("kk"), r_lens)).alias("rk"))
-        parts.append(r.join(ks, "rk").select("requested", "matched", "kord"))
-    if not parts:
-        return None
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _cand(out.dropDuplicates(["requested", "matched"]), 7)
-
-
-def _prefix_tokens(side: DataFrame, id_col: str, tok_col: str, freq: DataFrame, threshold: float) -> DataFrame:
-    """(id, size, token) for tokens inside the id's prefix: tokens sorted by
-    global frequency (rarest first), prefix length |A| − ceil(t·|A|) + 1."""
-    ex = side.select(id_col, F.explode(tok_col).alias("tok"))
-    ranked = ex.join(freq, "tok")   # freq: one row per distinct token
-    grouped = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-    size = F.size("toks")
-    plen = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1
-    return grouped.select(id_col, size.alias("size"),
-                          F.explode(F.slice("toks", 1, F.greatest(plen, F.lit(1)).cast("int"))).alias("t")
-                          ).select(id_col, "size", F.col("t.tok").alias("tok"))
-
-
-def _similarity_join(r: DataFrame, k: DataFrame, threshold: float, size_ratio: float) -> DataFrame:
-    """Candidate (requested, matched) pairs that may reach the threshold.
-
-    Exact filters, all necessary conditions of the similarity: the pair shares
-    a token inside both prefixes (prefix filter), and the partner's set size
-    lies strictly within (|A|·ratio, |A|/ratio) (length filter). The allowed
-    partner sizes are part of the join key, so a common token's group is
-    split by size and pairs that cannot qualify are never emitted."""
-    toks = (r.select(F.explode("rt").alias("tok")).unionAll(k.select(F.explode("kt").alias("tok")))
-            .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
-    rp = _prefix_tokens(r, "requested", "rt", toks, threshold)
-    kp = _prefix_tokens(k, "matched", "kt", toks, threshold)
-    lo = F.floor(F.col("size") * F.lit(size_ratio)) + 1
-    hi = F.ceil(F.col("size") / F.lit(size_ratio)) - 1
-    rp = rp.select("requested", "tok", F.explode(F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int")))
-                   .alias("size"))
-    return rp.join(kp, ["tok", "size"]).select("requested", "matched").distinct()
+    k = _earliest(known, alnum_key(F.col("name"))).where(F.length("__k") > 3)
+    forms = r.select(F.col("rk").alias("__k")).distinct()
+    k_lens, r_lens = _lengths(k), _lengths(forms)
+    inner = forms.select(F.col("__k").alias("rk"), F.explode(_substrings(F.col("__k"), k_lens)).alias("__k")) if k_lens \
+        else forms.select(F.col("__k").alias("rk"), "__k").limit(0)
+    held = inner.join(k, "__k").select("rk", "matched", "kord")                       # known within requested
+    outer = k.select("matched", "kord", F.explode(_substrings(F.col("__k"), r_lens)).alias("rk")) if r_lens \
+        else k.select("matched", "kord", F.col("__k").alias("rk")).limit(0)
+    outer = outer.groupBy("rk").agg(F.min_by("matched", "kord").alias("matched"), F.min("kord").alias("kord"))
+    within = forms.select(F.col("__k").alias("rk")).join(outer, "rk").select("rk", "matched", "kord")   # requested within known
+    best = held.unionByName(within).groupBy("rk").agg(F.min_by("matched", "kord").alias("matched"), F.min("kord").alias("kord"))
+    return _resolved(r.join(best, "rk").select("requested", "matched", "kord", F.lit(1.0).alias("score")), 7)
+
+
+def _set_pairs(r: DataFrame, k: DataFrame, least: Callable[[Column, Column], Column], ratio: float) -> DataFrame:
+    """(rid, kid) of sets that may pass: they share a token among the rarest
+    ``size - least(size, partner's size) + 1`` of both, and their sizes lie
+    within ``ratio`` of each other. ``r``: (rid, toks), ``k``: (kid, toks),
+    both distinct."""
+    df = (r.select(F.explode("toks").alias("tok")).unionAll(k.select(F.explode("toks").alias("tok")))
+          .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+
+    def prefixes(side: DataFrame, id_col: str, mine: str, other: str) -> DataFrame:
+        ranked = side.select(id_col, F.explode("toks").alias("tok")).join(df, "tok")
+        g = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+        g = g.withColumn(mine, F.size("t"))
+        lo = F.ceil(F.col(mine) * ratio - F.lit(1e-9)).cast("int")
+        hi = F.floor(F.col(mine) / ratio + F.lit(1e-9)).cast("int")
+        g = g.withColumn(other, F.explode(F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1)))))
+        n = F.col(mine) - least(F.col(mine), F.col(other)) + 1
+        return g.where(n > 0).select(id_col, mine, other, F.explode(F.slice("t", 1, n.cast("int"))).alias("x")).select(
+            id_col, mine, other, F.col("x.tok").alias("tok"))
+    rp, kp = prefixes(r, "rid", "rs", "ks"), prefixes(k, "kid", "ks", "rs")
+    return rp.join(kp, ["tok", "rs", "ks"]).select("rid", "kid").distinct()
 
 
 def word_overlap_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
     """Step 8: best word-overlap score > .5 (exactly verified)."""
-    r = req.select("requested", words(F.col("requested")).alias("rt"))
-    k = known.select(F.col("name").alias("matched"), "kord", words(F.col("name")).alias("kt"))
-    pairs = _similarity_join(r, k, 0.5, 0.5)
-    v = (pairs.join(r, "requested").join(k, "matched")
-         .select("requested", "matched", "kord",
-                 (F.size(F.array_intersect("rt", "kt")) / F.greatest(F.size("rt"), F.size("kt"))).alias("s"))
-         .where(F.col("s") > 0.5))
-    return _cand(v, 8, F.col("s"))
+    r = req.select("requested", F.array_sort(words(F.col("requested"))).alias("rid"))
+    k = _earliest(known, F.array_sort(words(F.col("name")))).withColumnRenamed("__k", "kid")
+    least = lambda a, b: F.floor(F.greatest(a, b) * F.lit(0.5)) + 1  # noqa: E731  overlap > half of the larger
+    pairs = _set_pairs(r.select("rid", F.col("rid").alias("toks")).distinct(), k.select("kid", F.col("kid").alias("toks")), least, 0.5)
+    score = F.size(F.array_intersect("rid", "kid")) / F.greatest(F.size("rid"), F.size("kid"))
+    hits = pairs.withColumn("score", score).where(F.col("score") > 0.5).join(k, "kid")
+    return _resolved(r.join(hits, "rid").select("requested", "matched", "score", "kord"), 8)
 
 
-def _chars(key: Column) -> Column:
+_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letters(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(key, ""), lambda x: x != ""))
 
 
+def _mask(letters: Column) -> Column:
+    """A bit per letter or digit that occurs."""
+    return F.aggregate(letters, F.lit(0).cast("long"),
+                       lambda acc, x: acc + F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(36)]),
+                                                         F.instr(F.lit(_SYMBOLS), x)))
+
+
+def _letter_sets(df: DataFrame, name: str, id_col: str) -> DataFrame:
+    key = alnum_key(F.col(name))
+    return df.where(F.length(key) > 5).withColumn("toks", _letters(key)).withColumn(id_col, _mask(F.col("toks")))
+
+
 def char_jaccard_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
     """Step 9: best character-set Jaccard > .7 over alphanumeric forms longer
-    than five characters (exactly verified)."""
-    r = (req.select("requested", alnum_key(F.col("requested")).alias("rk")).where(F.length("rk") > 5)
-         .select("requested", _chars(F.col("rk")).alias("rt")))
-    k = (known.select(F.col("name").alias("matched"), "kord", alnum_key(F.col("name")).alias("kk"))
-         .where(F.length("kk") > 5).select("matched", "kord", _chars(F.col("kk")).alias("kt")))
-    pairs = _similarity_join(r, k, 0.7, 0.7)
-    inter = F.size(F.array_intersect("rt", "kt"))
-    union = F.size(F.array_union("rt", "kt"))
-    v = (pairs.join(r, "requested").join(k, "matched")
-         .select("requested", "matched", "kord", (inter / union).alias("s")).where(F.col("s") > 0.7))
-    return _cand(v, 9, F.col("s"))
+    than five characters (exactly verified on the masks)."""
+    r = _letter_sets(req, "requested", "rid")
+    kn = _letter_sets(known, "name", "kid")
+    k = _earliest(kn, F.col("kid")).withColumnRenamed("__k", "kid")
+    least = lambda a, b: F.floor((a + b) * F.lit(0.7 / 1.7)) + 1  # noqa: E731  overlap > .7 of the union
+    pairs = _set_pairs(r.select("rid", F.array_sort("toks").alias("toks")).distinct(),
+                       kn.select("kid", F.array_sort("toks").alias("toks")).distinct(), least, 0.7)
+    score = F.bit_count(F.expr("rid & kid")) / F.bit_count(F.expr("rid | kid"))
+    hits = pairs.withColumn("score", score).where(F.col("score") > 0.7).join(k, "kid")
+    return _resolved(r.select("requested", "rid").join(hits, "rid").select("requested", "matched", "score", "kord"), 9)
 
 
 def reconcile_names(requested: DataFrame, known: DataFrame, mapping: DataFrame | None = None,
@@ -152,45 +177,35 @@ def reconcile_names(requested: DataFrame, known: DataFrame, mapping: DataFrame |
     """Resolve each distinct requested name → (requested, matched, tier, score).
 
     ``known`` holds the known names (``known_order`` gives their order, else
-    the name itself); ``mapping`` optionally holds (original, cleaned, pos)."""
-    # both distinct name sets feed every candidate branch: computed once, kept cached
-    req = (requested.select(F.col(requested_col).alias("requested")).where(F.col("requested").isNotNull())
-           .distinct().persist())
+    the name itself); ``mapping`` optionally holds (original, cleaned, pos).
+    The unresolved names are checkpointed after the exact steps and after
+    containment, so no step recomputes the ones before it."""
+    req = (requested.select(F.col(requested_col).alias("requested")).where(F.col("requested").isNotNull()).distinct())
     kn = known.select(F.col(known_col).alias("name"),
                       (F.col(known_order) if known_order else F.col(known_col)).alias("kord")
-                      ).where(F.col("name").isNotNull()).persist()
+                      ).where(F.col("name").isNotNull())
+    req, kn = cut_lineage(req), cut_lineage(kn)
     kord_type = kn.schema["kord"].dataType.simpleString()
-    parts = [
+    exact = [
         _equi(req, F.col("requested"), kn, F.col("name"), 2),
         _equi(req, snake_case(F.col("requested")), kn, F.col("name"), 3),
         _equi(req, _ci_key(F.col("requested")), kn, F.lower(F.col("name")), 4),
         _equi(req, alnum_key(F.col("requested")), kn, alnum_key(F.col("name")), 6),
-        word_overlap_candidates(req, kn),
-        char_jaccard_candidates(req, kn),
     ]
-    cont = containment_candidates(req, kn)
-    if cont is not None:
-        parts.append(cont)
     if mapping is not None:
-        m = mapping.select(F.col("original"), F.col("cleaned"), F.col("pos").cast(kord_type).alias("kord"))
-        mk = m.select(F.col("original").alias("name"), "kord", F.col("cleaned").alias("__to"))
-        t1 = req.join(mk, req.requested == mk.name).select("requested", F.col("__to").alias("matched"), "kord")
-        parts.append(_cand(t1, 1))
-        low = F.lower(edge_trim(F.col("requested")))
-        r5 = req.select("requested", low.alias("__k"))
-        for src in ("original", "cleaned"):
-            mm = m.select(F.lower(edge_trim(F.col(src))).alias("__k"), F.col("cleaned").alias("matched"), "kord")
-            parts.append(_cand(r5.join(mm, "__k"), 5))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    best = (cands.groupBy("requested")
-            .agg(F.min_by(F.struct("matched", "tier", "score"),
-                          F.struct("tier", (-F.col("score")).alias("ns"), "kord")).alias("b")))
+        m = mapping.select("original", "cleaned", F.col("pos").cast(kord_type).alias("kord"))
+        to = m.select(F.col("cleaned").alias("name"), "kord", "original", "cleaned")
+        low = lambda c: F.lower(edge_trim(F.col(c)))
+        exact.append(_equi(req, F.col("requested"), to, F.col("original"), 1))
+        either = to.select("name", "kord", F.explode(F.array(low("original"), low("cleaned"))).alias("form"))
+        exact.append(_equi(req, low("requested"), either, F.col("form"), 5))
+    found = cut_lineage(reduce(DataFrame.unionByName, exact).groupBy("requested")
+                        .agg(F.min_by(F.struct("matched", "tier", "score"), "tier").alias("b")).select("requested", "b.*"))
+    for step in (containment_candidates, word_overlap_candidates, char_jaccard_candidates):
+        left = req.join(found.select("requested"), "requested", "left_anti")
+        found = cut_lineage(found.unionByName(step(left, kn).select("requested", "matched", "tier", "score")))
     fallback = snake_case(F.col("requested")) if mapping is not None else F.col("requested")
-    out = (req.join(best, "requested", "left")
-           .select("requested",
-                   F.coalesce(F.col("b.matched"), fallback).alias("matched"),
-                   F.coalesce(F.col("b.tier"), F.lit(10)).cast("int").alias("tier"),
-                   F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score")))
-    return out
+    return (req.join(found, "requested", "left")
+            .select("requested", F.coalesce("matched", fallback).alias("matched"),
+                    F.coalesce("tier", F.lit(10)).cast("int").alias("tier"),
+                    F.coalesce("score", F.lit(0.0)).alias("score")))

@@ -50,19 +50,13 @@ def frequent_values(df: DataFrame, columns: list[str], share: float = RARE_SHARE
     most 1/share of them) and whether any rarer value exists."""
     if not columns:
         return {}
-    freq = frequency_table(df, columns)
-    tot = (freq.groupBy("k", "name")
-           .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")))
-    marked = (freq.join(F.broadcast(tot), ["k", "name"])   # one row per column: bounded
-              .where(F.col("n") / F.col("total") >= F.lit(share)))
-    keep = (marked.groupBy("k", "name").agg(F.collect_list("value").alias("keep"),
-                                            F.first("distinct").alias("distinct")))
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    total = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(row[f"n{i}"]))]), F.col("name"))
+    often = F.when(F.col("n") >= F.lit(share) * total, F.col("value"))   # at most 1/share values of a column
+    got = (frequency_table(df, columns).groupBy("name")
+           .agg(F.collect_list(often).alias("keep"), F.count(F.lit(1)).alias("distinct")).collect())
     out = {c: ([], False) for c in columns}
-    got = {r["name"]: r for r in keep.collect()}
-    for r in tot.select("name", "distinct").collect():
-        kept = list(got[r["name"]]["keep"]) if r["name"] in got else []
-        out[r["name"]] = (sorted(kept), int(r["distinct"]) > len(kept))
-    return out
+    return out | {r["name"]: (sorted(r["keep"]), int(r["distinct"]) > len(r["keep"])) for r in got}
 
 
 @dataclass
@@ -164,16 +158,16 @@ def recommended_clean(df: DataFrame, prof: Profile | None = None, method: str =
     return step4, log.unionByName(tail), RecommendedSpec(med, modes, clips, frequent)
 
 
-def clean(df: DataFrame, recommended: bool = False, materialize: str = "persist",
+def clean(df: DataFrame, recommended: bool = False, materialize: str = "checkpoint",
           output_path: str | None = None, fmt: str = "parquet"):
     """Safe cleaning, optional recommended cleaning on a profile of the
     cleaned table, re-profile, optional write. Returns (cleaned, log,
     profile_after, mapping).
 
     The deduplicated table feeds several passes; ``materialize`` keeps it
-    between them: "persist" (cache, recomputed from lineage if an executor is
-    lost), "checkpoint" (written to the shared ``spark.checkpoint.dir``,
-    cutting lineage), or "none"."""
+    between them: "checkpoint" (written to the shared ``spark.checkpoint.dir``,
+    cutting lineage), "persist" (cached; the caller releases the returned
+    table), or "none"."""
     from ..session import cut_lineage
     from ..sources.files import write_table
     res: CleanResult = safe_clean(df)
@@ -213,14 +207,10 @@ def overview_row(df: DataFrame, side: str) -> DataFrame:
 
 def quality_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Q1: rows/columns/missing/duplicates before and after, plus the change
-    (before − after) as a third row, folded from the two rows by an
-    aggregate (no join)."""
+    (before − after) as a third row, from the two rows."""
     b = overview_row(before, "before")
     a = overview_row(after, "after")
-    both = b.unionByName(a).persist()   # two rows, read twice below
-    sign = F.when(F.col("side") == "before", F.lit(1)).otherwise(F.lit(-1))
-    change = both.agg(F.lit("change").alias("side"), F.sum(sign * F.col("rows")).alias("rows"),
-                      F.sum(sign * F.col("columns")).cast("int").alias("columns"),
-                      F.sum(sign * F.col("missing_total")).alias("missing_total"),
-                      F.sum(sign * F.col("duplicates")).alias("duplicates"))
-    return both.unionByName(change)
+    rows = {r["side"]: r for r in b.unionByName(a).collect()}   # two rows
+    names = ("rows", "columns", "missing_total", "duplicates")
+    change = ("change", *(rows["before"][c] - rows["after"][c] for c in names))
+    return before.sparkSession.createDataFrame([tuple(rows["before"]), tuple(rows["after"]), change], b.schema)

@@ -1,10 +1,14 @@
 """V9: default exploration pack — a plan of result specs derived from the
-profile, and a runner that turns each spec into a lazy DataFrame over one
-shared (optionally persisted) input."""
+profile, and a runner that turns each spec into a lazy DataFrame over the
+same input."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import explore as X
@@ -19,52 +23,71 @@ PLAN_SCHEMA = T.StructType([
 ])
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A result that is planned when its columns exist: parameter → (column
+    class, place), with a slice for a list. ``instead_of`` names a type that
+    takes precedence."""
+    kind: str
+    columns: dict[str, tuple[str, int | slice]] = field(default_factory=dict)
+    least: dict[str, int] = field(default_factory=dict)
+    fixed: dict = field(default_factory=dict)
+    instead_of: str | None = None
+
+    def spec(self, have: dict[str, list[str]], planned: list[dict]) -> dict | None:
+        need = {c: 1 for c, _ in self.columns.values()} | self.least
+        if any(len(have[c]) < n for c, n in need.items()) or any(p["type"] == self.instead_of for p in planned):
+            return None
+        return {"type": self.kind, **{k: have[c][at] for k, (c, at) in self.columns.items()}, **self.fixed}
+
+
+RULES = [
+    Rule("missing_values_bar"),
+    Rule("numeric_distribution", {"column": ("numeric", 0)}),
+    Rule("categorical_frequency", {"column": ("categorical", 0)}, fixed={"top_n": 10}),
+    Rule("correlation_heatmap", least={"numeric": 2}),
+    Rule("scatter", {"x_column": ("numeric", 0), "y_column": ("numeric", 1)}, least={"numeric": 2}),
+    Rule("boxplot_outliers", {"columns": ("numeric", slice(6))}),
+    Rule("time_trend", {"date_column": ("datetime", 0), "value_column": ("numeric", 0)}),
+    Rule("grouped_bar", {"group_column": ("categorical", 0), "value_column": ("numeric", 0)}, fixed={"aggregation": "mean"},
+         instead_of="time_trend"),
+]
+#: Rules that fill the pack up, one result per further column of their class.
+PADDING = [Rule("numeric_distribution", {"column": ("numeric", 0)}),
+           Rule("categorical_frequency", {"column": ("categorical", 0)}, fixed={"top_n": 10})]
+
+
 def default_plan(p: Profile) -> list[dict]:
-    """Missing bar; first numeric distribution; first categorical
-    frequency; correlation + scatter with ≥ 2 numerics; box of the first six
-    numerics; time trend (datetime + numeric) else grouped mean. Padding to
-    seven uses, in order, the next numeric columns, the next categorical
-    columns, then further missing bars (fixed order, unlike the reference's
-    length-dependent index)."""
-    num, cat, dt = p.numeric_cols, p.categorical_cols, p.datetime_cols
-    plan: list[dict] = [{"type": "missing_values_bar"}]
-    if num:
-        plan.append({"type": "numeric_distribution", "column": num[0]})
-    if cat:
-        plan.append({"type": "categorical_frequency", "column": cat[0], "top_n": 10})
-    if len(num) >= 2:
-        plan.append({"type": "correlation_heatmap"})
-        plan.append({"type": "scatter", "x_column": num[0], "y_column": num[1]})
-    if num:
-        plan.append({"type": "boxplot_outliers", "columns": num[:6]})
-    if dt and num:
-        plan.append({"type": "time_trend", "date_column": dt[0], "value_column": num[0]})
-    elif cat and num:
-        plan.append({"type": "grouped_bar", "group_column": cat[0], "value_column": num[0], "aggregation": "mean"})
-    pads = ([{"type": "numeric_distribution", "column": c} for c in num[1:]]
-            + [{"type": "categorical_frequency", "column": c, "top_n": 10} for c in cat[1:]])
-    while len(plan) < PACK_SIZE:
-        plan.append(pads.pop(0) if pads else {"type": "missing_values_bar"})
+    """Results planned from the column classes by RULES, then, up to the
+    pack's size, PADDING over the columns not shown yet, then missing bars."""
+    have = {"numeric": p.numeric_cols, "categorical": p.categorical_cols, "datetime": p.datetime_cols}
+    plan: list[dict] = []
+    for rule in RULES:
+        spec = rule.spec(have, plan)
+        if spec:
+            plan.append(spec)
+    for rule in PADDING:
+        (kind, _), = rule.columns.values()
+        plan += [rule.spec({**have, kind: [c]}, plan) for c in have[kind][1:]]
+    plan += [{"type": "missing_values_bar"}] * PACK_SIZE
     return plan[:PACK_SIZE]
 
 
+def spec_key(spec: dict) -> tuple:
+    """What makes two specs the same: type, the set of columns, aggregation."""
+    single = [v for k, v in spec.items() if k.endswith("column")]
+    return spec["type"], frozenset(single + list(spec.get("columns", []))), spec.get("aggregation", "")
+
+
 def signature(spec: dict) -> str:
-    """V10 signature of a spec: type | sorted distinct columns | aggregation."""
-    cols = [spec[k] for k in ("column", "x_column", "y_column", "date_column", "value_column", "group_column")
-            if spec.get(k)]
-    cols += list(spec.get("columns", []))
-    return f"{spec['type']}|{'_'.join(sorted(set(cols)))}|{spec.get('aggregation', '')}"
+    """The key as text, for display: type | sorted columns | aggregation."""
+    kind, cols, agg = spec_key(spec)
+    return f"{kind}|{'_'.join(sorted(cols))}|{agg}"
 
 
 def dedup_specs(specs: list[dict]) -> list[dict]:
-    """Drop specs whose signature was already seen (first wins)."""
-    seen, out = set(), []
-    for s in specs:
-        sig = signature(s)
-        if sig not in seen:
-            seen.add(sig)
-            out.append(s)
-    return out
+    """Drop specs whose key was already seen (first wins)."""
+    return list({spec_key(s): s for s in reversed(specs)}.values())[::-1]
 
 
 def plan_df(spark: SparkSession, plan: list[dict]) -> DataFrame:
@@ -96,8 +119,36 @@ def run_spec(df: DataFrame, spec: dict) -> DataFrame:
     raise ValueError(f"unknown result type {t}")
 
 
-def run_pack(df: DataFrame, p: Profile, persist: bool = True) -> dict[int, DataFrame]:
-    """Plan → {index: lazy DataFrame}; the input is persisted once so the
-    seven results share one scan."""
-    src = df.persist() if persist else df
-    return {i: run_spec(src, s) for i, s in enumerate(dedup_specs(default_plan(p)))}
+def run_pack(df: DataFrame, p: Profile) -> dict[int, DataFrame]:
+    """Plan → {index: lazy DataFrame} over the same input."""
+    return {i: run_spec(df, s) for i, s in enumerate(dedup_specs(default_plan(p)))}
+
+
+def _items(kind: str, r: DataFrame) -> DataFrame:
+    """A result as (item, value) rows."""
+    def rows(*pairs):
+        return r.select(F.inline(F.array(*[F.struct(i.alias("item"), v.cast("double").alias("value")) for i, v in pairs])))
+    if kind == "missing_values_bar":
+        return rows((F.col("name"), F.col("missing")))
+    if kind == "numeric_distribution":
+        return rows((F.col("bin").cast("string"), F.col("n")))
+    if kind == "categorical_frequency":
+        return rows((F.col("value"), F.col("n")))
+    if kind == "correlation_heatmap":
+        return rows((F.concat_ws(" ~ ", "x", "y"), F.col("r")))
+    if kind == "scatter":
+        return rows(*[(F.lit(c), F.col(c)) for c in ("correlation", "n_points")])
+    if kind == "boxplot_outliers":
+        return rows(*[(F.concat_ws(".", F.col("name"), F.lit(c)), F.col(c))
+                      for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")])
+    if kind == "time_trend":
+        return rows((F.date_format("bucket", "yyyy-MM-dd"), F.col("mean")))
+    return rows((F.col("grp"), F.col("value")))
+
+
+def pack_results(df: DataFrame, p: Profile) -> DataFrame:
+    """V9 as one run: (chart_index, chart_type, item, value) of every planned result."""
+    specs = dedup_specs(default_plan(p))
+    parts = [_items(s["type"], r).select(F.lit(i).alias("chart_index"), F.lit(s["type"]).alias("chart_type"), "item", "value")
+             for (i, r), s in zip(run_pack(df, p).items(), specs, strict=True)]
+    return reduce(DataFrame.unionByName, parts)

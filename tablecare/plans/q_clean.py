@@ -3,11 +3,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snake_case
-from ..operators.clean import null_missing_tokens, safe_clean, trim_text, vote_table
+from ..operators.clean import null_missing_tokens, rename_map_df, safe_clean, trim_text, vote_table
 from ..operators.profile import profile
 from ..operators.recommend import group_rare, median_impute, mode_impute, quality_diff, recommended_clean, winsorize
 from ..sources.tables import dirty_events, dirty_orders, load_table
@@ -39,33 +38,38 @@ def q_snake(spark, sf):
 
 # ---- C2 / Q2 -----------------------------------------------------------------------------
 
-def rename_map_df(names, table_col="table_key", pos_col="pos", name_col="original"):
-    """C2 at scale over a long name table: snake_case, repeats within a table
-    suffixed ``_1``, ``_2`` … in column order (window per table holds one row
-    per column of that table)."""
-    base = names.withColumn("__base", snake_case(F.col(name_col)))
-    w = Window.partitionBy(table_col, "__base").orderBy(pos_col)
-    rn = F.row_number().over(w) - 1
-    return base.select(table_col, F.col(pos_col).cast("int").alias("pos"), name_col,
-                       F.when(rn == 0, F.col("__base")).otherwise(F.concat_ws("_", "__base", rn.cast("string")))
-                       .alias("cleaned"))
-
-
-_RENAME_SQL = f"""SELECT p_partkey AS table_key, pos, original,
-  CASE WHEN rn = 0 THEN base ELSE base || '_' || rn END AS cleaned
-FROM (SELECT p_partkey, pos, original, base,
-        row_number() OVER (PARTITION BY p_partkey, base ORDER BY pos) - 1 AS rn
-      FROM (SELECT *, {snake_sql('original')} AS base FROM ({_VARIANTS_SQL})))"""
+# Columns whose generated name meets another column's own name.
+_COLLIDING = [*NAME_VARIANTS, "replace(p_name, ' ', '_')", "concat(replace(p_name, ' ', '_'), '_1')", "concat(p_name, ' 1')"]
+_COLLIDING_SQL = ("SELECT p_partkey AS table_key, CAST(pos - 1 AS INTEGER) AS pos, original FROM (SELECT p_partkey, "
+                  f"unnest(generate_series(1, {len(_COLLIDING)})) AS pos, unnest([" + ", ".join(_COLLIDING)
+                  + "]) AS original FROM part)")
+_RENAME_SQL = f"""SELECT n.table_key, n.pos, n.original, f.taken[n.pos + 1] AS cleaned
+FROM ({_COLLIDING_SQL}) n JOIN (
+  WITH RECURSIVE names AS (SELECT table_key, pos, {snake_sql('original')} AS base FROM ({_COLLIDING_SQL})),
+  fold(table_key, pos, taken) AS (
+    SELECT table_key, pos, [base] FROM names WHERE pos = 0
+    UNION ALL
+    SELECT f.table_key, n.pos, list_append(f.taken, list_filter(
+        list_transform(range(0, len(f.taken) + 1), lambda i: CASE WHEN i = 0 THEN n.base ELSE n.base || '_' || i END),
+        lambda x: NOT list_contains(f.taken, x))[1])
+    FROM fold f JOIN names n ON n.table_key = f.table_key AND n.pos = f.pos + 1)
+  SELECT table_key, taken FROM fold WHERE pos = {len(_COLLIDING) - 1}) f USING (table_key)"""
+
+
+def _name_lists(spark, sf):
+    part = load_table(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("table_key"),
+                       F.posexplode(F.array(*[F.expr(v) for v in _COLLIDING])).alias("pos", "original"))
 
 
 @query("rename_map", "C2", _RENAME_SQL)
 def q_rename_map(spark, sf):
-    return rename_map_df(_variants(spark, sf).withColumnRenamed("p_partkey", "table_key"))
+    return rename_map_df(_name_lists(spark, sf))
 
 
 @query("renamed_columns", "Q2", f"SELECT table_key, original, cleaned FROM ({_RENAME_SQL}) WHERE original <> cleaned")
 def q_renamed(spark, sf):
-    m = rename_map_df(_variants(spark, sf).withColumnRenamed("p_partkey", "table_key"))
+    m = rename_map_df(_name_lists(spark, sf))
     return m.where(F.col("original") != F.col("cleaned")).select("table_key", "original", "cleaned")
 
 
@@ -154,7 +158,10 @@ acts AS (
 SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS step, action, details, n FROM acts WHERE keep""")
 
 
-@query("cleaning_log", "C8", _log_sql())
+LOG_SQL = _log_sql()
+
+
+@query("cleaning_log", "C8", LOG_SQL)
 def q_log(spark, sf):
     return safe_clean(dirty_orders(spark, sf)).log
 
@@ -304,8 +311,30 @@ def q_recommended_log(spark, sf):
 
 # ---- R6 ----------------------------------------------------------------------------------
 
-@query("clean_pipeline", "R6 (C9 → profile → R5 → re-profile)", _recommended_sql())
+def _pipeline_sql():
+    cols = ["o_orderkey", "o_custkey"] + _DO_TEXT
+    text = ["order_priority", "order_status"]
+
+    def mode(c):
+        return f"(SELECT {c} FROM c0 WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} ASC LIMIT 1)"
+    s1 = ("SELECT o_orderkey, o_custkey, " + ", ".join(f"coalesce({c}, {mode(c)}) AS {c}" for c in text)
+          + ", order_date, coalesce(total_cents, (SELECT quantile_cont(total_cents, 0.5) FROM c0)) AS total_cents FROM c0")
+    s2 = _winsor_sql("s1", cols, ["o_orderkey", "o_custkey", "total_cents"])
+    cte, sel = _rare_sql("s2", cols, text)
+    return with_dirty(f"WITH c0 AS ({_clean_orders_sql()}), s1 AS ({s1}), s2 AS ({s2}), {cte} {sel}")
+
+
+@query("clean_pipeline", "R6 (C9 → profile → R5 → re-profile, written)", _pipeline_sql())
 def q_clean_pipeline(spark, sf):
+    """Padded tokens, unparsable numbers and repeated rows through the whole
+    pipeline; the rows are those of the written table."""
+    import uuid
+
     from ..operators.recommend import clean
-    cleaned, _log, _after, _mapping = clean(dirty_events(spark, sf), recommended=True)
-    return cleaned
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablecare-io/{uuid.uuid4().hex}"
+    _, _, after, _ = clean(dirty_orders(spark, sf), recommended=True, output_path=path)
+    out = spark.read.parquet(path)
+    if after.n_rows != out.count() or after.duplicates_count:
+        raise AssertionError("the profile after cleaning does not describe the written table")
+    return out

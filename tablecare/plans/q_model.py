@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_bucket_sql, rnd, rnd_sql
+from ..functions.text import LEAKAGE_FEATURE_TERMS_EXPLAIN, LEAKAGE_FEATURE_TERMS_SUMMARY
 from ..operators import metrics as M
 from ..operators import model as ML
 from ..operators.profile import profile
-from ..sources.tables import load_table
+from ..sources.tables import dirty_orders, load_table
 from .pack import PACK_SIZE
+from .q_clean import LOG_SQL
 from .registry import query
+from .sqlgen import q as _q
+from .sqlgen import with_dirty
 
 # Rule-based predictions, identical text in both engines.
 ORDER_RULE = ("CASE WHEN o_totalprice > 200000 THEN 'O' WHEN o_orderdate < TIMESTAMP '1997-01-01 00:00:00' "
@@ -64,15 +71,15 @@ def q_weights(spark, sf):
 @query("one_hot", "M4, M5", f"""SELECT o_orderkey, 'cat__o_orderpriority_' || o_orderpriority AS feature, 1.0 AS value
 FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE NOT ({hash_bucket_sql('o_orderkey')} < 2000))""")
 def q_onehot(spark, sf):
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml import Pipeline
     o = ML.hash_split(load_table(spark, sf, "orders"), ["o_orderkey"])
-    idx = StringIndexer(inputCol="o_orderpriority", outputCol="i", stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(o.where(~F.col("is_test")))
-    enc = OneHotEncoder(inputCol="i", outputCol="v", dropLast=True).fit(idx.transform(o))
-    names = F.array(*[F.lit(f"cat__o_orderpriority_{x}") for x in idx.labels])
-    v = enc.transform(idx.transform(o)).select("o_orderkey", F.posexplode(vector_to_array("v")).alias("j", "value"))
-    return v.where(F.col("value") != 0).select("o_orderkey", F.element_at(names, F.col("j") + 1).alias("feature"),
-                                               "value")
+    col = ["o_orderpriority"]
+    index = ML.category_index(o.where(~F.col("is_test")), col)
+    coded = ML.encode(o, index, col, ML.index_sizes(index))
+    enc = Pipeline(stages=[ML.one_hot(col)]).fit(coded.where(~F.col("is_test"))).transform(coded)
+    v = enc.select("o_orderkey", F.posexplode(vector_to_array("__oh_o_orderpriority")).alias("j", "value")).where(F.col("value") != 0)
+    names = index.select(F.col("idx").cast("int").alias("j"), F.concat(F.lit("cat__o_orderpriority_"), "value").alias("feature"))
+    return v.join(names, "j").select("o_orderkey", "feature", "value")
 
 
 @query("ridge_one_feature", "M8", f"""SELECT {rnd_sql('sxy / (sxx + 1.0)')} AS coefficient,
@@ -143,7 +150,7 @@ def _classifier(spark, sf):
     cust = load_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     df = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal")
-    prof = profile(df, "orders_customer")
+    prof = profile(df, "orders_customer", light=True)
     prof.columns = [c for c in prof.columns if c["name"] != "o_orderkey"]
     return ML.train_baseline(df, "o_orderstatus", prof, ["o_orderkey"], run_id="orders_status")
 
@@ -151,7 +158,7 @@ def _classifier(spark, sf):
 def _regressor(spark, sf):
     li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
                                                   "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    prof = profile(li, "lineitem")
+    prof = profile(li, "lineitem", light=True)
     prof.columns = [c for c in prof.columns if c["name"] not in ("l_orderkey", "l_linenumber")]
     return ML.train_baseline(li, "l_extendedprice", prof, ["l_orderkey", "l_linenumber"], run_id="line_price")
 
@@ -166,30 +173,100 @@ def q_train_reg(spark, sf):
     return _regressor(spark, sf).predictions
 
 
-@query("coef_ranking", "M15, D24")
+# Coefficient tables of many runs, derived from the whole part table: a run per brand, classes for brands of odd length.
+_COEFS = f"""SELECT p_brand AS run_id, concat('cat__', p_type, CASE p_size % 8 WHEN 0 THEN '_score' WHEN 1 THEN '_Label' WHEN 2 THEN '_win' ELSE '' END)
+  AS feature, CASE WHEN length(p_type) % 2 = 0 THEN NULL ELSE CAST(p_partkey % 3 AS INT) END AS class_index,
+ {rnd_sql('avg(p_retailprice * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END))')} AS coefficient FROM {{part}} GROUP BY 1, 2, 3"""
+_RANK_SQL = f"""SELECT run_id, feature, coefficient, signed_coefficient, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY abs(coefficient) DESC, feature) AS rank FROM (
+    SELECT run_id, feature, CASE WHEN count(class_index) > 0 THEN avg(abs(coefficient)) ELSE max(coefficient) END AS coefficient,
+      CASE WHEN count(class_index) <= 1 THEN max(coefficient) END AS signed_coefficient FROM ({_COEFS.format(part='part')}) GROUP BY 1, 2)) WHERE rank <= 20"""
+
+
+def _ranking(spark, sf):
+    return M.rank_coefficients(spark.sql(_COEFS, part=load_table(spark, sf, "part")))
+
+
+@query("coef_ranking", "M15, D24", f"SELECT run_id, feature, {rnd_sql('coefficient')} AS coefficient, "
+       f"{rnd_sql('signed_coefficient')} AS signed_coefficient, rank FROM ({_RANK_SQL})")
 def q_coef(spark, sf):
-    return _classifier(spark, sf).importance
+    return _ranking(spark, sf).withColumns({c: rnd(F.col(c)) for c in ("coefficient", "signed_coefficient")})
 
 
-@query("leakage_features", "M16, D27")
+def _leak_sql(terms, top):
+    low = "lower(feature)"
+    cond = " OR ".join(f"contains({low}, {_q(t)})" for t in terms)
+    return f"SELECT run_id, feature, rank FROM ({_RANK_SQL}) WHERE rank <= {top} AND ({cond} OR contains({low}, lower('Price')))"
+
+
+@query("leakage_features", "M16, D27 (both term lists)",
+       f"SELECT 'explain' AS variant, * FROM ({_leak_sql(LEAKAGE_FEATURE_TERMS_EXPLAIN, 10)}) "
+       f"UNION ALL SELECT 'summary', * FROM ({_leak_sql(LEAKAGE_FEATURE_TERMS_SUMMARY, 5)})")
 def q_leakage(spark, sf):
-    res = _regressor(spark, sf)
-    return M.leakage_suspects(res.importance, F.lit(res.target), top_n=10)
+    r, target = _ranking(spark, sf), F.lit("Price")
+    parts = (("explain", M.leakage_suspects(r, target, top_n=10)), ("summary", M.leakage_summary(r, target)))
+    return reduce(DataFrame.unionByName, [d.select(F.lit(v).alias("variant"), "run_id", "feature", "rank") for v, d in parts])
 
 
-@query("key_drivers", "M18")
+@query("key_drivers", "M18", f"""SELECT run_id, feature, rank, CASE WHEN coefficient > 0 THEN 'positive' ELSE 'negative' END AS effect,
+  CASE WHEN signed_coefficient > 0 THEN 'positive' WHEN signed_coefficient IS NOT NULL THEN 'negative' END AS signed_effect,
+  {rnd_sql('abs(coefficient)')} AS magnitude FROM ({_RANK_SQL}) WHERE rank <= 5""")
 def q_drivers(spark, sf):
-    return M.key_drivers(_regressor(spark, sf).importance)
+    return M.key_drivers(_ranking(spark, sf)).withColumn("magnitude", rnd(F.col("magnitude")))
+
+
+# Predictions of many runs: a run per order priority (rule-based classes) and per line number (rule-based prices).
+_RUNS = (f"SELECT o_orderpriority AS run_id, 'classification' AS task_type, o_orderstatus AS actual, {ORDER_RULE} AS predicted FROM {{orders}} "
+         f"UNION ALL SELECT concat('line ', CAST(l_linenumber AS VARCHAR(9))), 'regression', CAST(l_extendedprice AS VARCHAR(40)), "
+         f"CAST({LINE_RULE} AS VARCHAR(40)) FROM {{lineitem}}")
 
 
-@query("model_report", "M19")
+def _report_sql():
+    runs = _RUNS.format(orders="orders", lineitem="lineitem")
+    a, p = "CAST(actual AS DOUBLE)", "CAST(predicted AS DOUBLE)"
+    return f"""WITH runs AS ({runs}),
+cls AS (SELECT * FROM runs WHERE task_type = 'classification'),
+cm AS (SELECT run_id, actual, predicted, count(*) AS n FROM cls GROUP BY 1, 2, 3),
+labels AS (SELECT run_id, actual AS label FROM cm UNION SELECT run_id, predicted FROM cm),
+per AS (SELECT l.run_id, l.label,
+  coalesce((SELECT sum(n) FROM cm WHERE run_id = l.run_id AND actual = l.label AND predicted = l.label), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cm WHERE run_id = l.run_id AND predicted = l.label AND actual <> l.label), 0) AS fp,
+  coalesce((SELECT sum(n) FROM cm WHERE run_id = l.run_id AND actual = l.label AND predicted <> l.label), 0) AS fn FROM labels l),
+f1 AS (SELECT run_id, {rnd_sql('avg(coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0))')} AS macro_f1 FROM per GROUP BY 1),
+acc AS (SELECT run_id, {rnd_sql('avg(CAST(actual = predicted AS DOUBLE))')} AS accuracy FROM cls GROUP BY 1),
+reg AS (SELECT run_id, {rnd_sql(f'sqrt(avg(({a} - {p}) * ({a} - {p})))')} AS rmse, {rnd_sql(f'avg(abs({a} - {p}))')} AS mae,
+  {rnd_sql(f'1 - sum(({a} - {p}) * ({a} - {p})) / NULLIF(var_pop({a}) * count(*), 0)')} AS r2 FROM runs WHERE task_type = 'regression' GROUP BY 1)
+SELECT run_id, task_type, CAST(count(*) AS BIGINT) AS test_rows, any_value(accuracy) AS accuracy, any_value(macro_f1) AS macro_f1,
+  any_value(rmse) AS rmse, any_value(mae) AS mae, any_value(r2) AS r2
+FROM runs LEFT JOIN acc USING (run_id) LEFT JOIN f1 USING (run_id) LEFT JOIN reg USING (run_id) GROUP BY 1, 2"""
+
+
+def _report(spark, sf):
+    return M.report_rows(spark.sql(_RUNS, orders=load_table(spark, sf, "orders"), lineitem=load_table(spark, sf, "lineitem")))
+
+
+@query("model_report", "M19 (many runs)", _report_sql())
 def q_report(spark, sf):
+    return _report(spark, sf)
+
+
+@query("model_fit_report", "M1-M9, M19 (a fitted classifier)")
+def q_fit_report(spark, sf):
     return ML.model_report(_classifier(spark, sf))
 
 
-@query("analysis_facts", "M20")
+@query("fitted_importance", "M15, M18 (a fitted regression)")
+def q_fit_importance(spark, sf):
+    return _regressor(spark, sf).importance
+
+
+@query("analysis_facts", "M20", with_dirty(f"""SELECT run_id, (SELECT CAST(count(*) AS BIGINT) FROM dirty_orders) AS n_rows, 6 AS n_cols, 2 AS numeric_columns,
+  4 AS categorical_columns, CAST((SELECT count(*) FROM ({LOG_SQL})) AS BIGINT) AS cleaning_actions, {PACK_SIZE} AS results,
+  (SELECT count(*) FROM dirty_orders) < 100 AS small_sample, task_type, accuracy, macro_f1, rmse, r2,
+  CAST(floor(accuracy * 10) AS INTEGER) AS accuracy_out_of_ten, CAST(floor(r2 * 100) AS INTEGER) AS r2_percent FROM ({_report_sql()})"""))
 def q_facts(spark, sf):
     from ..operators.clean import safe_clean
-    orders = load_table(spark, sf, "orders")
-    report = ML.model_report(_classifier(spark, sf))
-    return M.analysis_facts(orders, safe_clean(orders).log, report, PACK_SIZE)
+    from ..operators.profile import profile_columns_df
+    dirty = dirty_orders(spark, sf)
+    prof = profile_columns_df(dirty, "dirty_orders", with_rows=True)
+    return M.analysis_facts(prof, safe_clean(dirty).log, _report(spark, sf), PACK_SIZE)

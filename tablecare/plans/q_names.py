@@ -78,7 +78,8 @@ _T5 = (f"SELECT r.requested, m.cleaned AS matched, 1.0 AS score, m.original AS k
 
 
 def _pairs_sql(tier):
-    return f"SELECT DISTINCT requested, matched, CAST(score AS DOUBLE) AS score FROM ({_TIERS[tier]})"
+    return f"""SELECT requested, matched, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY requested ORDER BY score DESC, kord) AS rn FROM ({_TIERS[tier]})) WHERE rn = 1"""
 
 
 def _pairs(spark, sf, tier):
@@ -98,7 +99,7 @@ def _pairs(spark, sf, tier):
         c = N.word_overlap_candidates(r, k)
     else:
         c = N.char_jaccard_candidates(r, k)
-    return c.select("requested", "matched", "score").distinct()
+    return c.select("requested", "matched", "score")
 
 
 @query("name_exact", "N1", _pairs_sql(2))

@@ -242,6 +242,36 @@ def q_csv_roundtrip(spark, sf):
     return read_csv(spark, path)
 
 
+_CSV_LINES = '''SELECT CASE o_orderkey % 6
+ WHEN 0 THEN concat(CAST(o_orderkey AS STRING), ',', o_orderstatus, ',', CAST(o_custkey AS STRING), ',')
+ WHEN 1 THEN concat(CAST(o_orderkey AS STRING), ',', o_orderstatus, ',', CAST(o_custkey AS STRING), ',,extra')
+ WHEN 2 THEN concat(CAST(o_orderkey AS STRING), ',', o_orderstatus)
+ WHEN 3 THEN concat(CAST(o_orderkey AS STRING), ',"', o_orderstatus, ', two', chr(10), 'lines ""x""",', CAST(o_custkey AS STRING))
+ WHEN 4 THEN concat(CAST(o_orderkey AS STRING), ',"', o_orderpriority, '",', CAST(o_custkey AS STRING), ',"quoted, extra"')
+ ELSE concat(CAST(o_orderkey AS STRING), ',', o_orderstatus, ',', CAST(o_custkey AS STRING)) END AS value FROM {orders}'''
+
+
+@query("csv_dirty", "I1, I3, I5, I6, D23 (over-long, short, quoted and repaired rows)", """SELECT CAST(o_orderkey AS VARCHAR) AS key,
+  CASE WHEN o_orderkey % 6 = 3 THEN o_orderstatus || ', two lines "x"' ELSE o_orderstatus END AS key_2,
+  CASE WHEN o_orderkey % 6 = 2 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS unnamed_3 FROM orders WHERE o_orderkey % 6 IN (2, 3, 5)""")
+def q_csv_dirty(spark, sf):
+    """Write every order as a CSV record, a third of them with too many
+    fields, under a header with a repeated and a blank name; read them back."""
+    import uuid
+
+    import pandas as pd
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import read_csv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablecare-io/{uuid.uuid4().hex}"
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": ["key,key,"]})
+        yield from batches
+    spark.sql(_CSV_LINES, orders=load_table(spark, sf, "orders")).mapInPandas(with_header, "value string").write.text(path)
+    return read_csv(spark, path)
+
+
 # ---- I7 / I8 -----------------------------------------------------------------------------
 
 @query("preview", "I7", """SELECT coalesce(CAST(o_orderkey AS VARCHAR), '') AS o_orderkey,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.numeric import rnd_sql
-from ..functions.text import DATETIME_FORMATS, EDGE_SPACE, MISSING_TOKENS, NUMERIC_GUARD
+from ..functions.text import DATETIME_FORMATS, EDGE_SPACE, EMPTY_NAME, MISSING_TOKENS, NUMERIC_GUARD, SNAKE_STEPS
 from ..sources.tables import DIRTY_EVENTS_SQL, DIRTY_ORDERS_SQL, duck_sql
 from .schemas import TABLE_SCHEMAS, type_family
 
@@ -77,12 +77,9 @@ def profile_columns_sql(table: str, src: str | None = None) -> str:
 
 
 def snake_sql(c: str) -> str:
-    s = f"regexp_replace({c}, '[^\\w\\s]', '_', 'g')"
-    s = f"regexp_replace({s}, '\\s+', '_', 'g')"
-    s = f"regexp_replace({s}, '([a-z])([A-Z])', '\\1_\\2', 'g')"
-    s = f"regexp_replace({s}, '_+', '_', 'g')"
-    s = f"lower(regexp_replace({s}, '^_+|_+$', '', 'g'))"
-    return f"(CASE WHEN {s} = '' THEN 'unnamed' ELSE {s} END)"
+    for pattern, put in SNAKE_STEPS:
+        c = f"regexp_replace({c}, {q(pattern)}, {q(put)}, 'g')"
+    return f"coalesce(NULLIF(lower({c}), ''), {q(EMPTY_NAME)})"
 
 
 # Name variants of part.p_name shared by both engines (plain SQL functions that

@@ -9,34 +9,22 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import family_of
-from ..functions.text import flatten_newlines
+from ..functions.text import first_free, flatten_newlines
 
-EXTRA_FIELD = "_extra"
+CORRUPT = "_malformed"
 
 
 def repair_header(names: list[str]) -> list[str]:
-    """Blank names → ``unnamed_<k>`` (1-based), repeats → ``name_2``,
-    ``name_3`` …; re-checked so a generated name never collides with a
-    later original one."""
-    out: list[str] = []
-    seen: dict[str, int] = {}
+    """Blank names → ``unnamed_<k>`` (1-based); a repeat gets the first of
+    ``_2``, ``_3`` … that no earlier column has."""
+    stripped = [str(n or "").strip() for n in names]
     taken: set[str] = set()
-    for idx, col in enumerate(names):
-        base = str(col if col is not None else "").strip() or f"unnamed_{idx + 1}"
-        count = seen.get(base, 0)
-        seen[base] = count + 1
-        name = base if count == 0 else f"{base}_{count + 1}"
-        while name in taken:
-            count += 1
-            name = f"{base}_{count + 1}"
-        taken.add(name)
-        out.append(name)
-    return out
+    return [first_free(n or f"unnamed_{k}", taken, 2) for k, n in enumerate(stripped, 1)]
 
 
 def _header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
@@ -46,33 +34,66 @@ def _header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
     return next(csv.reader(io.StringIO(first[0]), delimiter=sep))
 
 
-def read_csv(spark: SparkSession, path: str, *, sep: str = ",", flatten: bool = True,
-             repair: bool = True) -> DataFrame:
+def _field_count(record: Column, sep: str) -> Column:
+    """Fields of a raw CSV record: separators outside quotes, plus one."""
+    bare = F.regexp_replace(record, '"([^"]|"")*"', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep) + 1
+
+
+def _raw_csv(spark: SparkSession, path: str, names: int, sep: str, multiline: bool) -> DataFrame:
+    """Fields as ``_c0`` …; ``CORRUPT`` holds the raw record wherever the number of fields is not ``names``."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(names)]
+                          + [T.StructField(CORRUPT, T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("quote", '"')
+            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False).option("sep", sep).option("enforceSchema", True).csv(path))
+    # Spark refuses a query of the malformed column alone, so every query asks for the first field as well
+    return raw.where(F.coalesce(F.length("_c0"), F.lit(0)) >= 0)
+
+
+def read_csv(spark: SparkSession, path: str, *, sep: str = ",", flatten: bool = True, repair: bool = True,
+             multiline: bool = True, reject_empty: bool = True) -> DataFrame:
     """CSV with header and quoted multi-line fields.
 
-    Rows with too many fields are dropped, rows with too few are NULL-padded:
-    the schema carries one spare trailing string column; a row that fills it
-    had too many fields. All columns are read as strings; typing is the job
-    of the cleaning vote (C5/C6)."""
+    Rows with too many fields are dropped whatever the extra fields hold
+    (``csv_dropped_rows`` counts them), rows with too few are NULL-padded. All
+    columns are read as strings; typing is the job of the cleaning vote
+    (C5/C6). A table without rows is rejected unless ``reject_empty`` is off.
+
+    A quoted line break makes a file unsplittable, one task per file; pass
+    ``multiline=False`` for large files known to have none, which are then
+    split."""
     header = _header_names(spark, path, sep)
     names = repair_header(header) if repair else header
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(EXTRA_FIELD, T.StringType())])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").option("sep", sep).option("enforceSchema", True)
-           .csv(path))
-    df = raw.where(F.col(EXTRA_FIELD).isNull()).drop(EXTRA_FIELD).toDF(*names)
-    return flatten_text(df) if flatten else df
+    raw = _raw_csv(spark, path, len(names), sep, multiline)
+    fits = F.col(CORRUPT).isNull() | (_field_count(F.col(CORRUPT), sep) <= len(names))
+    df = raw.where(fits).drop(CORRUPT).toDF(*names)
+    df = flatten_text(df) if flatten else df
+    return non_empty(df, path) if reject_empty else df
 
 
-def read_json(spark: SparkSession, path: str, *, lines: bool = False, flatten: bool = True) -> DataFrame:
+def csv_dropped_rows(spark: SparkSession, path: str, *, sep: str = ",", multiline: bool = True) -> int:
+    """Number of rows ``read_csv`` drops for having too many fields."""
+    n = len(_header_names(spark, path, sep))
+    raw = _raw_csv(spark, path, n, sep, multiline)
+    return raw.where(F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT), sep) > n)).count()
+
+
+def read_json(spark: SparkSession, path: str, *, lines: bool = False, flatten: bool = True, mode: str = "FAILFAST",
+              reject_empty: bool = True) -> DataFrame:
     """Array-of-records JSON document (``lines=True`` for JSON lines, the
-    splittable layout to use for large inputs)."""
-    df = spark.read.option("multiLine", not lines).json(path)
-    if "_corrupt_record" in df.columns:
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return flatten_text(df) if flatten else df
+    splittable layout to use for large inputs). A malformed record raises;
+    ``mode="DROPMALFORMED"`` drops such records instead."""
+    df = spark.read.option("multiLine", not lines).option("mode", mode).json(path)
+    df = flatten_text(df) if flatten else df
+    return non_empty(df, path) if reject_empty else df
+
+
+def non_empty(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it has no rows or no columns."""
+    if not df.columns or df.isEmpty():
+        raise ValueError(f"{what} has no rows")
+    return df
 
 
 def flatten_text(df: DataFrame) -> DataFrame:
@@ -106,6 +127,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     else:
         w.format(fmt).save(path)
 
-
-def is_empty_table(df: DataFrame) -> bool:
-    return df.isEmpty()

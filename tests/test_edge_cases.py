@@ -71,6 +71,38 @@ def test_correlation_constant_column_is_null(spark):
     assert X.missing_summary(df).first()["cols_with_missing"] == 0
 
 
+def test_correlation_pairs_with_gaps(spark):
+    """Rows where only x is present must not touch the pair; x constant where y is present gives NULL."""
+    rows = [(1e8 + i, float(i), 0.1) for i in range(10)] + [(0.0, None, 7.0), (4e12, None, -3.0)]
+    df = spark.createDataFrame(rows, "x double, y double, k double").repartition(3)
+    m = {(r["x"], r["y"]): r["r"] for r in X.correlation_matrix(df).collect()}
+    assert m[("x", "y")] == m[("y", "x")] == 1.0 and m[("k", "y")] is None and m[("k", "k")] == 1.0
+    far = spark.createDataFrame([(1.0, None), (None, 2.0)], "a double, b double")
+    m = {(r["x"], r["y"]): r["r"] for r in X.correlation_matrix(far).collect()}
+    assert m == {("a", "a"): None, ("a", "b"): None, ("b", "a"): None, ("b", "b"): None}
+
+
+def test_unordered_dedup_keeps_different_members(spark):
+    df = spark.createDataFrame([(1, "a_b", "c"), (2, "a", "b_c"), (3, "a", None), (4, "a", "a"), (5, "c", "a_b"), (6, None, "a")],
+                               "id int, p string, q string")
+    assert sorted(r["id"] for r in X.unordered_dedup(df, ["p", "q"], ["id"]).collect()) == [1, 2, 3, 4]
+
+
+def test_dedup_with_maps(spark):
+    from tablecare.operators.profile import drop_duplicate_rows, duplicate_rows
+    df = spark.sql("SELECT 1 AS a, map('k', 1) AS m UNION ALL SELECT 1, map('k', 1) UNION ALL SELECT 1, map('k', 2)")
+    assert drop_duplicate_rows(df).count() == 2 and duplicate_rows(df).first()[0] == 1
+
+
+def test_long_integers_stay_integers(spark):
+    from tablecare.operators.clean import safe_clean
+    ids = ["1234567890123456781", "1234567890123456782", "1234567890123456783"]
+    out = safe_clean(spark.createDataFrame([(i,) for i in ids], "id string")).df
+    assert sorted(r["id"] for r in out.collect()) == [int(i) for i in ids]
+    big = safe_clean(spark.createDataFrame([("12345678901234567890",), ("5",)], "id string")).df
+    assert dict(big.dtypes)["id"] == "double"
+
+
 def test_histogram_single_value(spark):
     df = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     h = {r["bin"]: r["n"] for r in X.histogram(df, "x").collect()}
@@ -89,7 +121,7 @@ def test_clean_pipeline_with_checkpoint(spark):
     assert "median_imputation" in actions and cleaned.where("amount IS NULL").count() == 0
 
 
-def test_hash_first_dedup_is_exact_under_collisions(spark):
+def test_dedup_tells_null_layouts_apart(spark):
     from tablecare.operators.profile import drop_duplicate_rows, duplicate_rows
     df = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), ("b", "c")], "x string, y string")
     h = {r[0] for r in df.select(F.xxhash64("x", "y")).collect()}

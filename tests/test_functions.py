@@ -64,7 +64,7 @@ def test_exact_quantiles_match_numpy(spark, seed):
     hot = [3.0] * (n // 3) + [rnd_.expovariate(0.01) for _ in range(n - n // 3)]
     df = spark.createDataFrame([(x, y) for x, y in zip(a, hot)], "a double, b double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, ["a", "b"], probs, buckets=16, exact_rows=40)
+    got = exact_quantiles(df, ["a", "b"], probs)
     for col, vals in (("a", a), ("b", hot)):
         clean = [v for v in vals if v is not None]
         for p, g in zip(probs, got[col]):
@@ -83,3 +83,23 @@ def test_quantiles_all_null_and_constant(spark):
 
 def test_repair_header():
     assert repair_header(["a", "a", "", " b ", "a_2"]) == ["a", "a_2", "unnamed_3", "b", "a_2_2"]
+
+
+def test_quantiles_on_infinite_and_wide_columns(spark):
+    """More rows than are counted by value; infinities, both ends of the double range, many decades."""
+    import numpy as np
+    n = 70_000
+    df = spark.range(n).selectExpr(
+        "CASE WHEN id = 7 THEN double('Infinity') WHEN id = 8 THEN double('-Infinity') ELSE id * 0.5 END AS a",
+        "CASE WHEN id = 1 THEN 1.7e308 WHEN id = 2 THEN -1.7e308 ELSE (id % 1000) - 500.0 END AS b",
+        "pow(double(2), double(id % 1801 - 900)) * (1 + id) * (CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END) AS c",
+        "CASE WHEN id % 2 = 0 THEN 0.0D ELSE 5e-324D * (id % 5) END AS d")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], probs)
+    vals = df.toPandas()
+    for col in "abcd":
+        v = np.sort(vals[col].to_numpy())
+        for p, g in zip(probs, got[col]):
+            h = p * (n - 1)
+            lo, hi = v[int(np.floor(h))], v[int(np.ceil(h))]
+            assert g == (lo if lo == hi or h == int(h) else lo + (hi - lo) * (h - int(h))), (col, p)
