@@ -10,16 +10,18 @@ How the work is spread: two sets of similarity ``t`` share one of the ``n - ceil
 smallest hashes of either (the prefix), so an R-tree is built for every prefix hash that classes
 of different components share, and no similar pair is missed. Only connections are wanted, so:
 
-1. classes that share one of their four smallest hashes are paired with the smallest class of
-   that hash, the pairs are verified, and components are formed: large groups of near copies
+1. every class is paired with the best bounded of a few classes of like size that share one of its
+   four smallest hashes; the pairs are verified and components are formed: large groups of near copies
    merge here without listing their pairs;
-2. the prefix hashes are shuffled with the components; hashes whose classes all lie in one
-   component fall away; the R-tree join of each of the rest emits, per class and other
-   component, the candidates with the highest bounds, they are verified, and components are
+2. the prefix hashes are shuffled, and hashes whose classes all lie in one component fall away;
+   a hash shared by a handful of classes gives its pairs (a tree of one leaf), which are made
+   distinct and bounded by their points; for every other an R-tree join emits, per pair of
+   components, the candidates with the highest bounds. The candidates are verified and components
    merged. Rounds go on with a larger number of candidates as long as one had been held back.
 
 A hash shared by more than ``shard`` classes is dealt into blocks, and every pair of blocks is a
-task of its own.
+task of its own. Sets are verified on 32 bits of every hash, which can only count too much; pairs
+that pass by three shingles or less are verified again on all 64 bits.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own
 component; a text of fewer words than a shingle is one shingle; repeated rows and equal texts
@@ -32,60 +34,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, complete_groups, texts, written
 from .graph import components
 
-GROUPS = 128
+GROUPS, COARSE = 512, 64
 #: Points under an R-tree leaf, and nodes under an inner node.
 LEAF, FAN = 32, 16
+#: Pairs compared at once.
+PAIRS = 1 << 15
+#: Candidate pairs of a shard kept before the best are taken.
+HELD = 1 << 17
+#: A hash shared by at most this many classes gives all its pairs.
+FEW = 8
 #: Prefix hashes used to merge near copies before the join.
 FIRST = 4
+#: Hubs that a class is compared with there.
+HUBS = 3
 #: Candidates per class and other component, round by round; the last has no limit.
 ROUNDS = (4, 64, None)
-#: Largest number of words whose hash a worker keeps.
-VOCABULARY = 300_000
 #: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
 MARK_BITS = 1 << 22
 
 
+_RANDOM = np.random.default_rng(4099).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_RANDOM = _RANDOM[_LOWER]  # A-Z hash as a-z
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    """Sorted distinct 64-bit hashes of texts' word shingles, over many texts at once.
+
+    A word's hash is a polynomial of its bytes, taken as a difference of running sums."""
 
     def __init__(self, width: int):
-        self.width, self.kept = width, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, the six white spaces
-        n, kept = len(words), self.kept
-        if not n:
-            return np.empty(0, np.uint64)
-        if len(kept) > VOCABULARY:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(kept.__getitem__, words), np.uint64, n)
-        k = min(self.width, n)
-        s = np.full(n - k + 1, np.uint64(k))
+        self.width = width
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = 1 << n.bit_length()
+            for name, base in (("powers", _BASE), ("inverses", _INVERSE)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+
+    def __call__(self, batch: list[str]) -> list[np.ndarray]:
+        parts = [x.encode("utf-8", "surrogatepass") for x in batch]
+        data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        self._grow(len(data) + 1)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * self.powers[:len(data)])))
+        words = _mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
+        texts_end = np.cumsum([len(p) + 1 for p in parts])
+        at = np.concatenate(([0], np.searchsorted(start, texts_end)))
+        k = self.width
+        full = self._shingles(words, k) if len(words) >= k else words[:0]
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            s = full[a:b - k + 1] if b - a >= k else self._shingles(words[a:b], b - a) if b > a else words[:0]
+            s = np.sort(s)
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
+        return out
+
+    @staticmethod
+    def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+        n = len(words) - k + 1
+        s = np.full(n, k, np.uint64)
         for i in range(k):
-            s ^= s >> np.uint64(32)
-            s *= np.uint64(0xD6E8FEB86659FD93)
-            s += h[i:n - k + 1 + i]
-        s ^= s >> np.uint64(29)
-        s *= np.uint64(0x9E3779B97F4A7C15)
-        s ^= s >> np.uint64(32)
-        s.sort()
-        return s[np.concatenate(([True], s[1:] != s[:-1]))]
+            s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + words[i:n + i]
+        return _mix(s)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1 if n else 0
 
 
+def point_of(s: np.ndarray) -> bytes:
+    """Count of shingles per group, up to 255."""
+    return np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray, full: int = 255) -> np.ndarray:
+    """Largest possible overlap of points, row by row; unbounded where both counts are cut off at ``full``."""
+    m = np.minimum(p, q)
+    out = m.sum(1, dtype=np.int64)
+    out[m.max(1, initial=0) == full] = 1 << 60
+    return out
+
+
 def features(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
     """Per row: ``row_id``, key, n, class digest (c1, c2), counts per group and prefix hashes.
 
@@ -100,15 +154,13 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str) ->
         def f(batch):
             cols = [[], [], [], [], []]
             for part in texts(batch, text):
-                for x in part:
-                    s = shingle(x)
+                for s in shingle(part):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     c, first = (int(d[0]), int(d[1])), False
                     if len(s) and c not in seen:
                         first = True
                         seen.add(c)
-                    point = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) if first else None
-                    row = (len(s), *c, point.astype("<u4").tobytes() if first else None,
+                    row = (len(s), *c, point_of(s) if first else None,
                            s[:prefix_length(len(s), percent)].view(np.int64) if first else None)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
@@ -130,11 +182,25 @@ def marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             .where(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1")).drop("_bit", "_word", "_bits"))
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str,
+           name: str) -> DataFrame:
     """The (a, b) pairs of class nodes that are similar, on their whole shingle sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(classes.select("node", "c1", "c2", "doc"), "node"), "jaccard-wanted")
-    fields = [T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("shingles", T.BinaryType())]
+    near = written(_compare(pairs, classes, docs, width, percent, text, key, np.uint32), f"{name}-32")
+    close = near.where("spare <= 2").select("a", "b")
+    if not close.limit(1).count():
+        return near.select("a", "b")
+    sure = _compare(close, classes, docs, width, percent, text, key, np.uint64)
+    return written(near.where("spare > 2").select("a", "b").union(sure.select("a", "b")), name)
+
+
+def _compare(pairs, classes, docs, width, percent, text, key, kind) -> DataFrame:
+    """Similar pairs with ``spare``, the shingles their overlap has beyond the least; hashes cut to ``kind``."""
+    digest = F.struct("c1", "c2")
+    one = classes.select(F.col("node").alias("a"), digest.alias("ca"), F.col("doc").alias("da"))
+    two = classes.select(F.col("node").alias("b"), digest.alias("cb"), F.col("doc").alias("db"))
+    pairs = pairs.select("a", "b").join(one, "a").join(two, "b")
+    wanted = pairs.select(F.col("da").alias(key)).union(pairs.select("db"))
+    shift = np.uint64(64 - 8 * np.dtype(kind).itemsize)
 
     def make():
         shingle, seen = Shingler(width), set()
@@ -142,123 +208,229 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
         def f(batch):
             cols = [[], [], []]
             for part in texts(batch, text):
-                for x in part:
-                    data = shingle(x).tobytes()
-                    d = np.frombuffer(xxhash.xxh3_128_digest(data), np.int64)
+                for s in shingle(part):
+                    d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     c = (int(d[0]), int(d[1]))
-                    for col, v in zip(cols, (*c, None if c in seen else data), strict=True):
+                    for col, v in zip(cols, (*c, None if c in seen else (s >> shift).astype(kind).tobytes()), strict=True):
                         col.append(v)
                     seen.add(c)
             return cols
         return f
 
-    source = marked(docs.select(key, text), wanted.select(F.col("doc").alias(key)), key)
-    sets = arrow_map(source, fields, make, []).where("shingles is not null")
-    sets = written(wanted.join(sets, ["c1", "c2"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+    fields = [T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("shingles", T.BinaryType())]
+    source = marked(docs.select(key, text), wanted, key)
+    sets = written(arrow_map(source, fields, make, []).where("shingles is not null"), "jaccard-sets")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            spare = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                s, t = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 if len(s) > len(t):
                     s, t = t, s
                 at = np.searchsorted(t, s)
                 both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                spare.append(both - -(-percent * (len(s) + len(t)) // (100 + percent)))
+            spare = pa.array(spare, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spare], names=["a", "b", "spare"]).filter(
+                pc.greater_equal(spare, 0))
+
+    one = sets.select(digest.alias("ca"), F.col("shingles").alias("sa"))
+    two = sets.select(digest.alias("cb"), F.col("shingles").alias("sb"))
+    both = pairs.select("a", "b", "ca", "cb").join(two, "cb").select("a", "b", "ca", "sb").join(one, "ca").select("a", "b", "sa", "sb")
+    return both.mapInArrow(similar, "a long, b long, spare long")
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+
+def coarse(points: np.ndarray) -> np.ndarray:
+    """Points over a few groups, each the sum of several; the largest value where a count is cut off."""
+    parts = points.reshape(len(points), COARSE, -1)
+    out = parts.sum(2, dtype=np.uint16)
+    out[(parts == 255).any(2)] = 65535
+    return out
 
 
 class RTree:
-    """Points (counts per group) packed by size and then by their strongest group, under boxes."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points.argmax(1), sizes))
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        self.levels = []  # from the leaves up: lower sizes, upper sizes, upper corners
-        low, high, corner, step = self.sizes, self.sizes, self.points, LEAF
-        while len(low) > 1:
+    """Classes packed by size and then by their strongest group into leaves, under boxes.
+
+    A box has the least and greatest size below it, the upper corner of the coarse points, and
+    the component if all below it share one (else -1)."""
+
+    def __init__(self, nodes, comps, sizes, rest, points):
+        rough = coarse(points)
+        o = np.lexsort((rough.argmax(1), sizes))
+        self.nodes, self.comps, self.sizes, self.rest, self.points, self.rough = (
+            x[o] for x in (nodes, comps, sizes, rest, points, rough))
+        self.levels = []  # (number below, boxes), from the leaves up to one root
+        low, high, corner, first, last, step = self.sizes, self.sizes, self.rough, self.comps, self.comps, LEAF
+        while True:
             at = np.arange(0, len(low), step)
+            below = len(low)
             low, high, corner = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(corner, at, axis=0)
-            self.levels.append((low, high, corner))
+            first, last = np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)
+            self.levels.append((step, below, low, high, corner, np.where(first == last, first, -1)))
+            if len(low) == 1:
+                break
             step = FAN
 
-    def candidates(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Positions of points that may be similar to the given one."""
-        at = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            low, high, corner = (x[at] for x in self.levels[level])
-            ok = self._may(point, size, np.maximum(low, 1), high, corner, percent)
-            width, n = (LEAF, len(self.sizes)) if not level else (FAN, len(self.levels[level - 1][0]))
-            at = (at[ok][:, None] * width + np.arange(width)).ravel()
-            at = at[at < n]
-        ok = self._may(point, size, self.sizes[at], self.sizes[at], self.points[at], percent)
-        return at[ok]
+    def join(self, other: "RTree", percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in self, in other) of pairs of different components that may be similar, by going
+        down both trees together; each pair once if ``other`` is the tree itself."""
+        same = other is self
+        height = max(len(self.levels), len(other.levels))
+        mine, yours = (t.levels + [(1, 1, *t.levels[-1][2:])] * (height - len(t.levels)) for t in (self, other))
+        todo = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]  # boxes whose contents are still to compare
+        while todo:
+            level, a, b = todo.pop()
+            if level < height:  # to what is below, one part at a time
+                (wa, na, *_), (wb, nb, *_) = mine[level], yours[level]
+                x = np.repeat((a[:, None] * wa + np.arange(wa)), wb, axis=1).ravel()
+                y = np.tile(b[:, None] * wb + np.arange(wb), (1, wa)).ravel()
+                ok = (x < na) & (y < nb)
+                if same:
+                    ok &= (x < y) if level == 0 else (x <= y)
+                a, b = x[ok], y[ok]
+            level -= 1
+            if level >= 0:
+                (wa, _, la, ha, ca, oa), (wb, _, lb, hb, cb, ob) = mine[level], yours[level]
+                ok = (100 * ha[a] >= percent * lb[b]) & (100 * hb[b] >= percent * la[a]) & ~((oa[a] >= 0) & (oa[a] == ob[b]))
+                a, b = a[ok], b[ok]
+                ok = _reaches(ca[a], cb[b], la[a] + lb[b], 65535, percent)
+                a, b = a[ok], b[ok]
+                part = max(1, PAIRS // (wa * wb))
+                todo += [(level, a[k:k + part], b[k:k + part]) for k in range(0, len(a), part)]
+            else:
+                ok = (self.comps[a] != other.comps[b])
+                a, b = a[ok], b[ok]
+                na, nb = self.sizes[a], other.sizes[b]
+                ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                ok &= (100 + percent) * np.minimum(self.rest[a], other.rest[b]) >= percent * (na + nb)  # see _few_pairs
+                for mine_, yours_, full in ((self.rough, other.rough, 65535), (self.points, other.points, 255)):
+                    a, b = a[ok], b[ok]
+                    ok = _reaches(mine_[a], yours_[b], self.sizes[a] + other.sizes[b], full, percent)
+                if ok.any():
+                    yield a[ok], b[ok]
+
+
+def _reaches(p: np.ndarray, q: np.ndarray, sizes: np.ndarray, full: int, percent: int) -> np.ndarray:
+    return (100 + percent) * np.minimum(overlap_bound(p, q, full), 1 << 40) >= percent * sizes
+
+
+def _rank(order_by: tuple, *group: np.ndarray) -> np.ndarray:
+    """Place of every element within its group, by ``order_by`` (last key first, as in lexsort)."""
+    o = np.lexsort((*order_by, *group))
+    new = np.zeros(len(o), bool)
+    new[:1] = True
+    for g in group:
+        new[1:] |= g[o][1:] != g[o][:-1]
+    at = np.flatnonzero(new)
+    rank = np.empty(len(o), np.int64)
+    rank[o] = np.arange(len(o)) - np.repeat(at, np.diff(np.append(at, len(o))))
+    return rank
+
+
+def _best(found: list[tuple], limit: int) -> tuple[tuple, bool]:
+    """The pairs with the highest bounds: ``limit`` per pair of components, of these 2 x ``limit`` per
+    class; whether others were held back."""
+    a, b, ca, cb, ratio = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = _rank((b, a, -ratio), cb, ca) < limit
+    rest = tuple(x[keep] for x in (a, b, ca, cb, ratio))
+    a, b, _, _, ratio = rest
+    near = (_rank((b, -ratio), a) < 2 * limit) | (_rank((a, -ratio), b) < 2 * limit)
+    return tuple(x[near] for x in rest), not (keep.all() and near.all())
+
+
+def tree_pairs(left: RTree, right: RTree, percent: int, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Candidate pairs (a < b) of nodes, all or the best by ``limit``; with the pairs, whether any was held back."""
+    found, size, held = [], 0, False
+    for x, y in left.join(right, percent):
+        a, b, ca, cb = left.nodes[x], right.nodes[y], left.comps[x], right.comps[y]
+        a, b, ca, cb = np.minimum(a, b), np.maximum(a, b), np.minimum(ca, cb), np.maximum(ca, cb)
+        if limit is None:
+            yield a, b, False
+            continue
+        found.append((a, b, ca, cb, overlap_bound(left.points[x], right.points[y]) / (left.sizes[x] + right.sizes[y])))
+        size += len(a)
+        if size > HELD:
+            best, more = _best(found, limit)
+            found, size, held = [best], len(best[0]) // 2, held or more
+    if found:
+        (a, b, *_), more = _best(found, limit)
+        yield a, b, held or more
+
 
-    @staticmethod
-    def _may(point, size, low, high, corner, percent) -> np.ndarray:
-        near = (100 * high >= percent * size) & (100 * size >= percent * low)
-        out = np.zeros(len(low), bool)
-        at = np.flatnonzero(near)
-        bound = np.minimum(corner[at], point).sum(1, dtype=np.int64)
-        out[at] = (100 + percent) * bound >= percent * (size + low[at])
-        return out
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return start, np.append(start[1:], len(key))
 
 
-def tree_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int,
-               limit: int | None, left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[list, bool]:
-    """Candidate pairs (a < b) of different components, by an R-tree over the ``right`` points
-    queried with the ``left`` ones; whether any was held back by ``limit``."""
-    left = np.arange(len(nodes)) if left is None else left
-    right = np.arange(len(nodes)) if right is None else right
-    tree = RTree(points[right], sizes[right])
-    place = right[tree.order]
-    out, held = [], False
-    for i in left:
-        c = place[tree.candidates(points[i], int(sizes[i]), percent)]
-        c = c[comps[c] != comps[i]]
-        if len(c) == 0:
-            continue
-        if limit is not None and len(c) > limit:
-            bound = np.minimum(points[c], points[i]).sum(1)
-            c = c[np.lexsort((nodes[c], -bound / (sizes[c] + sizes[i] - bound), comps[c]))]
-            _, first, count = np.unique(comps[c], return_index=True, return_counts=True)
-            rank = np.arange(len(c)) - np.repeat(first, count)
-            held |= bool((rank >= limit).any())
-            c = c[rank < limit]
-        a = nodes[i]
-        out += [(int(min(a, b)), int(max(a, b))) for b in nodes[c]]
-    return out, held
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """(key, node, comp) rows whose key is shared by different components."""
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "comp")
+def _several(rows: DataFrame, columns: str, differ: str) -> DataFrame:
+    """Rows whose key is shared by rows with different values of ``differ``; one shuffle, one sort."""
+    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", differ)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in complete_groups(batches, ["key"]):
-            k, c = t.column("key").to_numpy(), t.column("comp").to_numpy()
-            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            end = np.append(start[1:], len(k))
+            start, end = _groups(t.column("key").to_numpy())
+            c = t.column(differ).to_numpy()
             keep = np.repeat(c[start] != c[end - 1], end - start)
             if keep.any():
-                yield from t.select(["key", "node"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                yield from t.filter(pa.array(keep)).select(names).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, columns)
+
+
+def _few_pairs(shards: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of classes of different components that share a hash with at most FEW classes
+    and may be similar by their sizes and places in the prefix."""
+    dealt = shards.repartition(F.col("key")).sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in complete_groups(batches, ["key"]):
+            key, node, comp, n, place = (t.column(c).to_numpy() for c in ("key", "node", "comp", "n", "place"))
+            start, end = _groups(key)
+            left = np.repeat(end, end - start) - np.arange(len(key)) - 1  # rows of the key behind each
+            fits = np.repeat(end - start <= FEW, end - start)
+            for d in range(1, FEW):
+                a = np.flatnonzero(fits & (left >= d))
+                b = a + d
+                rest = np.minimum(n[a] - place[a], n[b] - place[b])
+                ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                ok &= (100 + percent) * rest >= percent * (n[a] + n[b])  # unless a smaller hash is shared too, which has its own rows
+                if ok.any():
+                    pair = np.unique(np.stack((node[a[ok]], node[b[ok]])), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ratio) of the pairs whose points allow the similarity."""
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "pa", "pb", (F.col("na") + F.col("nb")).alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (2, 3))
+            size, bound = b.column(4).to_numpy(), np.minimum(overlap_bound(p, q), 1 << 40)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bound / size)], names=["a", "b", "ratio"])
+            yield out.filter(pa.array((100 + percent) * bound >= percent * size))
+
+    return rows.mapInArrow(run, "a long, b long, ratio double")
 
-    return dealt.mapInArrow(run, "key long, node long")
 
+def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def _joined_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, limit: int | None,
-                  shard: int) -> DataFrame:
+
+def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, limit: int | None, shard: int) -> DataFrame:
     """Candidate pairs of one round, distinct; a row with null nodes tells that some were held back."""
     comp = F.coalesce("label", "node").alias("comp")
     members = shards.join(classes.join(labels, "node", "left").select("node", comp, "n", "point"), "node")
-    counts = shards.groupBy("key").agg(F.count(F.lit(1)).alias("c")).withColumn("blocks", F.ceil(F.col("c") / shard).cast("int"))
-    big = counts.where("blocks > 1").select("key", "blocks")
-    members = members.join(big, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("rest", F.col("n") - F.col("place")).withColumn("blocks", F.ceil(F.col("c") / shard).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) as i, greatest(own, o) as j))")
     members = members.withColumn("own", own).withColumn("cell", F.explode(cells))
@@ -266,23 +438,27 @@ def _joined_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, perc
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         any_held = False
         for t in complete_groups(batches, ["key", "i", "j"]):
-            nodes, comps, sizes, own, key, i, j = (t.column(c).to_numpy() for c in ("node", "comp", "n", "own", "key", "i", "j"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(len(nodes), -1)
+            nodes, comps, sizes, rest, own, key, i, j = (t.column(c).to_numpy() for c in ("node", "comp", "n", "rest", "own", "key", "i", "j"))
+            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            pairs: set[tuple[int, int]] = set()
+            pairs: list[np.ndarray] = []
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(nodes)], strict=True):
-                left, right = np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])
-                if len(left) and len(right):
-                    got, held = tree_pairs(nodes[s:e], comps[s:e], sizes[s:e], points[s:e], percent, limit, left, right)
-                    pairs.update(got)
-                    any_held |= held
+                if (comps[s:e] != comps[s]).any():
+                    sides = [np.flatnonzero(own[s:e] == x) + s for x in ((i[s],) if i[s] == j[s] else (i[s], j[s]))]
+                    if all(len(x) for x in sides):
+                        trees = [RTree(nodes[x], comps[x], sizes[x], rest[x], points[x]) for x in sides]
+                        for x, y, held in tree_pairs(trees[0], trees[-1], percent, limit):
+                            pairs.append(np.stack((x, y)))
+                            any_held |= held
+                if sum(x.shape[1] for x in pairs) > HELD:
+                    yield _pair_batch(pairs)
+                    pairs = []
             if pairs:
-                a, b = zip(*sorted(pairs), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield _pair_batch(pairs)
         if any_held:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
 
-    cell = members.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "node", "comp", "n", "point")
+    cell = members.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "node", "comp", "n", "rest", "point")
     dealt = cell.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
@@ -308,44 +484,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
                .agg(F.min("row_id").alias("node"), F.min(key).alias("doc"), F.first("point", ignorenulls=True).alias("point")))
     classes = written(classes, "jaccard-classes")
     heads = feats.where("hashes is not null")  # at most one row of a class from each task
-    node = classes.select("c1", "c2", "node")
-
-    few = heads.select("c1", "c2", "row_id", "n", F.slice("hashes", 1, FIRST).alias("hashes"))
-    first = few.join(node, ["c1", "c2"]).where("row_id = node").select("node", "n", F.explode("hashes").alias("key"))
-    hubs = first.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = (first.join(hubs.select("key", F.col("hub.n").alias("hn"), F.col("hub.node").alias("hub")), "key")
-             .where(f"node <> hub and 100 * hn >= {percent} * n").select("node", "hub").distinct())
-    point = classes.select(F.col("node").alias("hub"), F.col("point").alias("hp"), F.col("n").alias("hn"))
-    stars = stars.join(classes.select("node", "n", "point"), "node").join(point, "hub")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (2, 3))
-            size = b.column(4).to_numpy()
-            ok = (100 + percent) * np.minimum(p, q).sum(1, dtype=np.int64) >= percent * size
-            yield b.select([0, 1]).filter(pa.array(ok))
-
-    stars = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"), "point", "hp", (F.col("n") + F.col("hn")).alias("size"))
-    stars = written(stars.mapInArrow(bounded, "a long, b long"), "jaccard-stars")
-    links = written(verify(stars, classes, docs, width, percent, text, key), "jaccard-links-0")
+    node = written(heads.select("row_id", "c1", "c2", "n").join(classes.select("c1", "c2", "node"), ["c1", "c2"])
+                   .select("row_id", "node", "n"), "jaccard-heads")
+
+    first = (heads.select("row_id", F.explode(F.slice("hashes", 1, FIRST)).alias("key")).join(node, "row_id")
+             .where("row_id = node").select("node", "n", "key"))
+    # two rulers of size bands, so that sizes within 7 % of each other share a band of one of them
+    band = F.log(F.col("n")) / float(np.log(1.15))
+    rulers = F.array(*[F.struct(F.lit(k).alias("ruler"), F.floor(band + k / 2).alias("band")) for k in (0, 1)])
+    first = first.select("node", "n", "key", F.inline(rulers))
+    pick = F.min_by(F.struct("n", "node"), F.xxhash64("node", "key")).alias("hub")  # each hash its own hub, any of its classes
+    hubs = first.groupBy("key", "ruler", "band").agg(pick, F.count(F.lit(1)).alias("c")).where("c > 1")
+    stars = (first.join(hubs.select("key", "ruler", "band", F.col("hub.n").alias("hn"), F.col("hub.node").alias("hub")), ["key", "ruler", "band"])
+             .where(f"node <> hub and 100 * least(hn, n) >= {percent} * greatest(hn, n)")
+             .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    best = Window.partitionBy("b").orderBy(F.desc("ratio"), "a")  # at most 2 x FIRST hubs of one class
+    stars = _bounded(stars, classes, percent).withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS)
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verify(written(stars, "jaccard-stars"), classes, docs, width, percent, text, key, "jaccard-links-0")
     labels = components(links)
 
+    rows = heads.select("row_id", F.posexplode("hashes").alias("place", "key")).select("key", "row_id", "place")
+    shared = written(_several(rows, "key long, row_id long, place int", "row_id"), "jaccard-shared")
     comp = F.coalesce("label", "node").alias("comp")
-    whose = node.join(labels, "node", "left").select("c1", "c2", "node", comp)
-    rows = heads.join(whose, ["c1", "c2"]).where("row_id = node").select(F.explode("hashes").alias("key"), "node", "comp")
-    shards = written(_shared(rows), "jaccard-shards")
-    done = None
+    whose = node.where("row_id = node").join(labels, "node", "left").select("row_id", "node", "n", comp)
+    shards = written(_several(shared.join(whose, "row_id").select("key", "node", "comp", "n", "place"),
+                              "key long, node long, comp long, n long, place int", "comp"), "jaccard-shards")
+    small = written(_bounded(_few_pairs(shards, percent), classes, percent).select("a", "b"), "jaccard-few")
+    if small.limit(1).count():
+        links = links.union(verify(small, classes, docs, width, percent, text, key, "jaccard-links-few"))
+        labels = components(links, "components-few")
+
+    large = shards.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW)
+    large = written(shards.select("key", "node", "place").join(large, "key"), "jaccard-large")
+    done = small
     for k, limit in enumerate(ROUNDS):
-        found = written(_joined_round(shards, classes, labels, percent, limit, shard), f"jaccard-pairs-{k}")
+        found = written(_tree_round(large, classes, labels, percent, limit, shard), f"jaccard-pairs-{k}")
         held = found.where("a is null").limit(1).count() > 0
-        new = found.where("a is not null")
-        if done is not None:
-            new = new.join(done, ["a", "b"], "left_anti")
-        links = links.union(written(verify(new, classes, docs, width, percent, text, key), f"jaccard-links-{k + 1}"))
-        labels = components(links, f"components-{k + 1}")
+        new = written(found.where("a is not null").join(done, ["a", "b"], "left_anti"), f"jaccard-new-{k}")
+        if new.limit(1).count():
+            links = links.union(verify(new, classes, docs, width, percent, text, key, f"jaccard-links-{k + 1}"))
+            labels = components(links, f"components-{k + 1}")
         if not held:
             break
-        done = found if done is None else done.union(found)
+        done = done.union(found.where("a is not null"))
 
     named = classes.join(labels, "node", "left").select("c1", "c2", "doc", F.coalesce("label", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
