@@ -17,7 +17,7 @@ of different components share, and no similar pair is missed. Only connections a
    a hash shared by a handful of classes gives its pairs (a tree of one leaf), which are made
    distinct and bounded by their points; for every other an R-tree join emits, per pair of
    components, the candidates with the highest bounds. The candidates are verified and components
-   merged. Rounds go on with a larger number of candidates as long as one had been held back.
+   merged. Hashes that held a candidate back go another round with a larger number of them.
 
 A hash shared by more than ``shard`` classes is dealt into blocks, and every pair of blocks is a
 task of its own. Sets are verified on 32 bits of every hash, which can only count too much; pairs
@@ -423,11 +423,11 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
 
 def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, limit: int | None, shard: int) -> DataFrame:
-    """Candidate pairs of one round, distinct; a row with null nodes tells that some were held back."""
+    """Candidate pairs of one round, distinct; a row with null nodes names a hash that held some back."""
     comp = F.coalesce("label", "node").alias("comp")
     members = shards.join(classes.join(labels, "node", "left").select("node", comp, "n", "point"), "node")
     members = members.withColumn("rest", F.col("n") - F.col("place")).withColumn("blocks", F.ceil(F.col("c") / shard).cast("int"))
@@ -436,12 +436,12 @@ def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percen
     members = members.withColumn("own", own).withColumn("cell", F.explode(cells))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        any_held = False
         for t in complete_groups(batches, ["key", "i", "j"]):
             nodes, comps, sizes, rest, own, key, i, j = (t.column(c).to_numpy() for c in ("node", "comp", "n", "rest", "own", "key", "i", "j"))
             points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             pairs: list[np.ndarray] = []
+            held_keys = []
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(nodes)], strict=True):
                 if (comps[s:e] != comps[s]).any():
                     sides = [np.flatnonzero(own[s:e] == x) + s for x in ((i[s],) if i[s] == j[s] else (i[s], j[s]))]
@@ -449,18 +449,20 @@ def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percen
                         trees = [RTree(nodes[x], comps[x], sizes[x], rest[x], points[x]) for x in sides]
                         for x, y, held in tree_pairs(trees[0], trees[-1], percent, limit):
                             pairs.append(np.stack((x, y)))
-                            any_held |= held
+                            if held:
+                                held_keys.append(key[s])
                 if sum(x.shape[1] for x in pairs) > HELD:
                     yield _pair_batch(pairs)
                     pairs = []
             if pairs:
                 yield _pair_batch(pairs)
-        if any_held:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+            if held_keys:
+                none = pa.nulls(len(held_keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(held_keys, pa.int64()), none, none], names=["key", "a", "b"])
 
     cell = members.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "node", "comp", "n", "rest", "point")
     dealt = cell.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(join, "a long, b long").distinct()
+    return dealt.mapInArrow(join, "key long, a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -520,14 +522,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     done = small
     for k, limit in enumerate(ROUNDS):
         found = written(_tree_round(large, classes, labels, percent, limit, shard), f"jaccard-pairs-{k}")
-        held = found.where("a is null").limit(1).count() > 0
+        held = found.where("a is null").select("key")
         new = written(found.where("a is not null").join(done, ["a", "b"], "left_anti"), f"jaccard-new-{k}")
         if new.limit(1).count():
             links = links.union(verify(new, classes, docs, width, percent, text, key, f"jaccard-links-{k + 1}"))
             labels = components(links, f"components-{k + 1}")
-        if not held:
+        if not held.limit(1).count():
             break
-        done = done.union(found.where("a is not null"))
+        large = large.join(held.distinct(), "key", "left_semi")
+        done = done.union(found.where("a is not null").select("a", "b"))
 
     named = classes.join(labels, "node", "left").select("c1", "c2", "doc", F.coalesce("label", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
