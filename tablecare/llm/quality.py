@@ -137,16 +137,16 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 def choose(good: np.ndarray, bad: np.ndarray, grid: list[float], alpha: float, delta: float,
            good_cost: float) -> float | None:
-    """The cutoff of one rule in one stratum; ``good[i]`` texts exceed exactly ``i`` cutoffs of the grid."""
+    """The cutoff of one rule in one stratum; ``good[i]`` texts exceed exactly ``i`` cutoffs of the grid,
+    which are its ``i`` strictest."""
     n = int(good.sum())
-    over_good = good[::-1].cumsum()[::-1]  # i: texts over cutoff i - 1
-    over_bad = bad[::-1].cumsum()[::-1]
+    over_good, over_bad = good[::-1].cumsum(), bad[::-1].cumsum()  # place i: texts over the grid's i-th cutoff
     best, gain = None, 0.0
     for i, cut in enumerate(grid):
-        k = int(over_good[i + 1])
+        k = int(over_good[i])
         if k > alpha * n or upper_bound(k, n, delta) > alpha:
             break
-        g = float(over_bad[i + 1]) - good_cost * k
+        g = float(over_bad[i]) - good_cost * k
         if g > gain:
             best, gain = cut, g
     return best

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from tablecare.llm import quality
@@ -35,6 +36,15 @@ def test_bound_is_exact(k, n, delta):
     assert quality.upper_bound(n, n, delta) == 1.0 and quality.upper_bound(0, 0, delta) == 1.0
 
 
+def test_choice_takes_the_best_admissible_cutoff():
+    grid = [0.9, 0.5, 0.1]
+    good, bad = np.array([9000, 4, 0, 0]), np.array([100, 50, 30, 20])  # 4 good and 50 bad over 0.1 alone, 20 bad over all three
+    assert quality.choose(good, bad, grid, 0.01, 0.01, 5.0) == 0.1
+    assert quality.choose(good, bad, grid, 0.01, 0.01, 20.0) == 0.5
+    assert quality.choose(good // 100, bad, grid, 0.01, 0.01, 5.0) is None
+    assert quality.choose(np.array([9000, 0, 0, 200]), bad, grid, 0.01, 0.01, 0.0) is None
+
+
 def test_cutoffs_limit_false_rejections(spark):
     rows = [(i, "en" if i % 2 else "de", 100, 600, 300 if i % 10 == 0 else (i % 7), 0, 0, 5, 3) for i in range(20_000)]
     counts = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
@@ -55,5 +65,5 @@ def test_without_labels_only_the_base_rule_holds(spark, tmp_path):
     assert (got["kept"] == ~got["base_failed"]).all() and len(got) == len(EDGES)
     kept = quality.keep_good(docs, none)
     assert kept.columns == docs.columns
-    assert [r["doc_id"] for r in kept.collect()] == [7]
+    assert [r["doc_id"] for r in kept.collect()] == [7, 9]
     assert quality.judge(docs.limit(0), none).count() == 0
