@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import complete_groups, ship, written
+from .common import complete_groups, hashed_sample, ship, written
 
 #: Rows of the sample that axes, rotation and radius are learnt from.
 SAMPLE = 8192
@@ -126,7 +126,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
         return spark.createDataFrame([], schema)
     dim, total = dims["d"], dims["n"]
     good = good.where(F.size("v") == dim)
-    rows = good.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()
+    rows = hashed_sample(good.select("id", "v"), SAMPLE, "id", "v")
     x = np.array([r["v"] for r in rows])
     x /= np.sqrt((x * x).sum(1))[:, None]
     mean, projection = learn_rotation(x)

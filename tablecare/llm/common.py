@@ -112,6 +112,18 @@ def texts(batch: pa.RecordBatch, name: str, size: int = 256) -> Iterator[list[st
         yield [x or "" for x in col.slice(i, size).to_pylist()]
 
 
+def hashed_sample(df: DataFrame, n: int, *identity: Column | str) -> list:
+    """At most ``n`` rows in order of a hash of ``identity``, the same ones on every run.
+
+    The rows are counted first and thinned by the hash to about twice ``n``, so that the tasks
+    together send that many, however many tasks there are."""
+    h = F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in identity], F.lit(104_729))
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2.0 * n / total))
+    return df.withColumn("_h", h).orderBy("_h").limit(n).collect()
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RX)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, texts
+from .common import arrow_map, hashed_sample, texts
 
 #: Pages of the table used for fitting, at most.
 SAMPLE = 500
@@ -238,7 +238,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most ``sample`` pages that mark their article, in order of a hash of their key."""
     marked = pages.where(F.lower(html).contains("</article") | F.lower(html).contains("</main"))
-    rows = marked.select(F.xxhash64(F.col(key), F.col(html)).alias("_h"), html).orderBy("_h").limit(sample).collect()
+    rows = hashed_sample(marked.select(key, html), sample, key, html)
     found = [labelled_by_markup(r[html]) for r in rows]
     return fit_weights([x for x in found if x] + labelled_by_hand())
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, texts
+from .common import arrow_map, hashed_sample, texts
 from .tagger import Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
@@ -287,8 +287,8 @@ def find_all(batch: list[str], tagger: Tagger) -> tuple[list[list[Span]], list[l
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Tagger:
     """Trained on at most ``sample`` rows with a digit or ``@``, in order of a hash of key and text."""
-    rows = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= 50_000)).select(F.xxhash64(key, text).alias("_h"), text)
-    return train([r[text] for r in rows.orderBy("_h").limit(sample).collect()])
+    rows = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= 50_000)).select(key, text)
+    return train([r[text] for r in hashed_sample(rows, sample, key, text)])
 
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
