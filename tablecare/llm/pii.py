@@ -164,9 +164,9 @@ def labelled_windows(sample: list[str], n: int, seed: int = 5) -> list[tuple[np.
     return out
 
 
-def train(sample: list[str], windows: int = 2000, epochs: int = 4) -> Tagger:
+def train(sample: list[str], windows: int = 3000, epochs: int = 6) -> Tagger:
     tagger = Tagger(9, _FORBIDDEN)
-    tagger.train(labelled_windows(sample, windows), epochs)
+    tagger.train(labelled_windows(sample, windows), epochs, batch=32)
     return tagger
 
 
