@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,26 @@ CHUNKS = 400_000
 TEXTS = 128
 
 
+# Fixed value: the pattern by which byte-level pre-tokenization splits text.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def rank_encoder(parts: dict):
+    """A quicker encoder with the same ids for a byte-level BPE whose merges are numbered in order;
+    None for any other. Merging the pair of least rank is then merging by the list's order."""
+    model = parts["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in parts.get("added_tokens") or []}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if model.get("type") != "BPE" or any(vocab.get(t) != 256 + i for i, t in enumerate(merged)) or len(vocab) != 256 + len(merged):
+        return None
+    import tiktoken
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class ChunkTokenizer:
     """Token ids (little-endian unsigned 32-bit) of whole texts, by a tokenizers file."""
 
@@ -55,6 +76,7 @@ class ChunkTokenizer:
             or bool(pre.get("add_prefix_space"))
         self.special = [t["content"] for t in parts.get("added_tokens") or []]
         self.tokenizer = Tokenizer.from_str(spec)
+        self.quick = None if self.whole_only else rank_encoder(parts)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
@@ -68,6 +90,13 @@ class ChunkTokenizer:
     def _encode(self, batch: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
 
+    def _chunks(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, which hold no special token's string."""
+        if self.quick is None or any(x in w for x in self.special for w in words):
+            return self._encode(words)
+        encode = self.quick.encode_ordinary
+        return [array("I", encode(w)).tobytes() for w in words]
+
     def __call__(self, batch: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > CHUNKS:
             self.first.clear()
@@ -92,7 +121,7 @@ class ChunkTokenizer:
         for table, new, lead in ((self.first, new_first, ""), (self.rest, new_rest, " ")):
             if new:
                 words = list(new)
-                table.update(zip(words, self._encode([lead + x for x in words]), strict=True))
+                table.update(zip(words, self._chunks([lead + x for x in words]), strict=True))
         for i, parts in split:
             out[i] = self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
         if whole:
