@@ -7,8 +7,9 @@ sign, card numbers and addresses split by other signs. Its labelled spans are th
 bounded sample of the table and generated forms set between words of that sample.
 
 A span the tagger may add has a digit, an ``@`` or a bracketed ``at`` outside every rule's match, so
-only the surroundings of such places are decoded: windows of ``WINDOW`` characters that overlap by
-half. The windows' spans are reconciled per text: a span cut by a window's edge gives way to the
+only the surroundings of such places are decoded: an ``at`` with all of the local part and host parts
+that stand at it, and ``MARGIN`` characters on both sides. Surroundings are cut into windows that
+overlap by half and are at least twice as wide as the longest of these forms. The windows' spans are reconciled per text: a span cut by a window's edge gives way to the
 neighbouring window, and of spans that still overlap the set with the largest total margin is taken.
 Added spans must hold what their kind needs (digits, parts up to 255, Luhn, a host) and never
 overlap a rule's match.
@@ -35,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Rows of the table with digits or ``@`` that labelled spans are drawn from, at most.
 SAMPLE = 1500
 WINDOW, MARGIN, BATCH = 96, 28, 512
+#: Widest window. A form of up to half of it is whole in some window; an address has at most 254 characters.
+WIDEST = 1024
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +46,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"\d|@|[\[({<]\s?(?:at|AT|At)\s?[\])}>]")
+_HOST_PARTS = re.compile(r"\s?[\w.-]+(?:\s?(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>])\s?[\w-]+)*", re.I)
+_LOCAL_SIGN = re.compile(r"[\w.%+-]")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -112,7 +117,9 @@ def generated(r: np.random.Generator, words: list[str]) -> tuple[str, int | None
     if kind == 0:
         at = pick("@", " @ ", " (at) ", " [at] ", "(at)", "[at]", " (AT) ", " {at} ")
         dot = pick(".", " . ", " (dot) ", " [dot] ", "(dot)", "[dot]", " (DOT) ", " {dot} ") if at != "@" else pick(".", " . ", "[.]", "(dot)")
-        return word() + pick("", "." + word(), num(2)) + at + word() + pick("", num(1)) + dot + pick("com", "org", "net", "example" + dot + "com"), 0
+        local = word() + pick("", "." + word(), num(2), "".join(pick(".", "_", "-", "+") + pick(word(), word(), num(2)) for _ in range(int(r.integers(2, 6)))))
+        host = [word() + pick("", num(1)), *[word() for _ in range(pick(0, 0, 1, 2))], *pick(["com"], ["org"], ["net"], ["edu"], ["example", "com"])]
+        return local + at + dot.join(host), 0
     if kind == 1:
         dot = pick(".", "[.]", " . ", "(.)", "[dot]", " [.] ")
         return dot.join(str(int(x)) for x in r.integers(0, 256, 4)), 1
@@ -159,12 +166,12 @@ def labelled_windows(sample: list[str], n: int, seed: int = 5) -> list[tuple[np.
         after = " ".join(words[int(r.integers(len(words)))] for _ in range(int(r.integers(0, 3))))
         form, kind = generated(r, words)
         lead = before[-16:] + (" " if before else "")
-        text = lead + form + (" " if after else "") + after[:16]
+        text = lead + form + ("", "", "", ".", ",", "!", ":", ";")[int(r.integers(8))] + (" " if after else "") + after[:16]
         add(text, [] if kind is None else [(len(lead), kind, len(lead) + len(form))])
     return out
 
 
-def train(sample: list[str], windows: int = 3000, epochs: int = 6) -> Tagger:
+def train(sample: list[str], windows: int = 6000, epochs: int = 6) -> Tagger:
     tagger = Tagger(9, _FORBIDDEN)
     tagger.train(labelled_windows(sample, windows), epochs, batch=32)
     return tagger
@@ -192,6 +199,16 @@ def valid(kind: int, form: str) -> bool:
         kind == 3 and 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", form)))
 
 
+def address_at(text: str, start: int, end: int) -> tuple[int, int]:
+    """Start and end of the local part and the host parts around a sign for ``at``."""
+    m = _HOST_PARTS.match(text, end)
+    if start and text[start - 1].isspace():
+        start -= 1
+    while start and _LOCAL_SIGN.match(text[start - 1]):
+        start -= 1
+    return start, m.end() if m else end
+
+
 def windows_of(text: str, base: list[Span]) -> list[tuple[int, int, bool, bool]]:
     """(start, end, cut at start, cut at end) of the windows to decode."""
     merged: list[list[int]] = []  # union of the rules' matches
@@ -201,25 +218,26 @@ def windows_of(text: str, base: list[Span]) -> list[tuple[int, int, bool, bool]]
         else:
             merged.append([s, e])
     starts = [m[0] for m in merged]
-    areas: list[list[int]] = []
+    areas: list[tuple[int, int, int]] = []  # start, end, length of the longest form around an ``at``
     for m in _ANCHOR.finditer(text):
         k = bisect.bisect_right(starts, m.start()) - 1
         if k >= 0 and m.start() < merged[k][1]:
             continue
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if areas and s <= areas[-1][1]:
-            areas[-1][1] = e
-        else:
-            areas.append([s, e])
+        s, e = m.span() if m[0].isdecimal() else address_at(text, *m.span())
+        form, s, e = e - s, max(0, s - MARGIN), min(len(text), e + MARGIN)
+        while areas and s <= areas[-1][1]:
+            before = areas.pop()
+            s, e, form = min(s, before[0]), max(e, before[1]), max(form, before[2])
+        areas.append((s, e, form))
     out = []
-    for s, e in areas:
-        at = s
+    for s, e, form in areas:
+        at, width = s, min(WIDEST, max(WINDOW, 2 * form + 2))
         while True:
-            end = min(e, at + WINDOW)
-            out.append((at, end, at > s, end < e))
+            end = min(e, at + width)
+            out.append((at, end, at > 0, end < len(text)))
             if end == e:
                 break
-            at += WINDOW // 2
+            at += width // 2
     return out
 
 
@@ -248,8 +266,13 @@ def added_spans(batch: list[str], bases: list[list[Span]], tagger: Tagger) -> li
     todo = [(i, *w) for i, t in enumerate(batch) for w in windows_of(t, bases[i])]
     todo.sort(key=lambda x: x[2] - x[1])  # alike lengths together, so little is padded
     found: dict[int, list] = {}
-    for at in range(0, len(todo), BATCH):
-        part = todo[at:at + BATCH]
+    at = 0
+    while at < len(todo):
+        n = BATCH
+        while n > 1 and (w := todo[min(at + n, len(todo)) - 1])[2] - w[1] > BATCH * WINDOW // n:
+            n //= 2  # wider windows, fewer of them at a time
+        part = todo[at:at + n]
+        at += n
         ids = np.zeros((len(part), max(w[2] - w[1] for w in part)), np.int64)
         for r, (i, s, e, _, _) in enumerate(part):
             ids[r, :e - s] = char_ids(batch[i][s:e])

@@ -83,3 +83,24 @@ def test_rows_and_masks(spark, model, tmp_path):
     out = {r["doc_id"]: r["text"] for r in pii.masked(docs, model).collect()}
     assert out[21] == "[CARD]" and out[20].startswith("mail [EMAIL], ") and out[20].endswith("[PHONE] at [IP]") and out[1] is None
     assert pii.masked(docs, model).columns == docs.columns and pii.personal_data(docs.limit(0), model).count() == 0
+
+
+def test_long_addresses_are_found_whole(model):
+    forms = ["anna (at) host (dot) example (dot) com", "anna (at) physik (dot) example (dot) org", "anna.maria [at] mail [dot] physik [dot] example [dot] org",
+             "wolfgang.amadeus.theophilus.mozart (at) host (dot) example (dot) com", "averyveryverylonglocalpartwithoutdots (at) example (dot) org"]
+    for form in forms:
+        for text in (form, form + " for more", "Write to " + form + " for more of the same", "words go on for quite a while until " + form + ". And then on and on they go"):
+            base, (more,) = pii.find_all([text], model)
+            assert base == [[]] and [(k, text[s:e]) for s, k, e in more] == [(0, form)], text
+
+
+def test_windows_hold_long_forms_whole():
+    for n in (1, 40, 400):
+        form = "a" * n + " (at) host" + " (dot) example" * (n // 14) + " (dot) com"
+        text = "word " * 50 + form + " word" * 50 + " (at) x (dot) org"
+        s, e = text.index(form), text.index(form) + len(form)
+        windows = pii.windows_of(text, [])
+        assert len(form) > pii.WIDEST // 2 or any(a < s and e < b for a, b, _, _ in windows)
+        assert all(c == (a > 0) and d == (b < len(text)) and b - a <= pii.WIDEST for a, b, c, d in windows)
+    for long in ("(at) " * 20_000, "a" * 100_000 + "(at)" + "a." * 50_000, "(at) a (dot) " * 10_000, "1" * 100_000):
+        assert sum(b - a for a, b, _, _ in pii.windows_of(long, [])) <= 3 * len(long) + pii.WIDEST
