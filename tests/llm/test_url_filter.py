@@ -54,3 +54,29 @@ def test_segmentation():
     words = url_filter.Words(counts)
     assert words.split("thegreenhousenews") == ["the", "green", "house", "news"] and words.split("casinowin") == ["casino", "win"]
     assert words.split("") == [] and "".join(words.split("qzxv" * 30)) == "qzxv" * 30
+
+
+def test_joined_names_do_not_vouch_for_themselves(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    n = pages.count()
+    for copies in (1, n // 2):
+        joined = ["http://www.freecasino.net/en/{}", "http://cheappills.example.net/en/{}", "https://m.onlinecasinowin.org/{}"]
+        more = [(10**6 + 3 * i + k, u.format(i)) for k, u in enumerate(joined) for i in range(copies if k == 0 else 1)]
+        got = url_filter.judge_urls(pages.union(spark.createDataFrame(more, "page_id long, url string")), []).toPandas()
+        new = got["page_id"] >= 10**6
+        assert (got["verdict"][new] == "block").all() and new.sum() == len(more)
+        wanted = ~got["host"].str.contains("spam|pills|casino|bets|ads-|track")
+        assert (got["verdict"][wanted] == "block").mean() <= 0.05
+
+
+def test_what_counts_as_a_word(spark):
+    assert url_filter.vouched("www.freecasino.co.uk:80", "/news/1") == ("freecasino.co.uk", {"www", "co", "uk", "news"})
+    assert url_filter.vouched("free-casino.net", "") == ("free-casino.net", {"free", "casino", "net"})
+    assert url_filter.vouched("", "") == ("", set()) and url_filter.vouched("localhost", "/a")[1] == {"localhost", "a"}
+    urls = [(f"h{'abc'[i % 3]}.site{'xyz'[i % 3]}.net", "/green/freecasino") for i in range(90)] + [("freecasino.org", "/house")] * 50
+    counts = url_filter._unigrams(spark.createDataFrame(urls, "host string, path string"))
+    n = {w: min(int(counts[s]) for s in url_filter._slots(w)) for w in ("green", "house", "freecasino", "net", "org")}
+    assert n == {"green": 2, "house": 0, "freecasino": 2, "net": 2, "org": 0}
+    words = url_filter.Words(counts)
+    assert words.split("freecasino") == ["free", "casino"] and words.split("greencasino") == ["green", "casino"]
+    assert [words.split(w) for w in ("winter", "window", "freedom", "example")] == [["winter"], ["window"], ["freedom"], ["example"]]
