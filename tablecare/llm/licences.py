@@ -1,10 +1,10 @@
 """Licence scan by canonical digests.
 
 A text, and each of its lines, is brought to a canonical form: A-Z lower-cased, punctuation
-taken as spaces, equivalent spellings replaced, runs of spaces joined, copyright lines left out
-of the whole text. The digest of the form is joined with the digests of known licence texts and
+taken as spaces, equivalent spellings replaced, runs of spaces joined, copyright lines and the
+licence's title left out of the whole text. The digest of the form is joined with the digests of known licence texts and
 notices, brought to the same form. All of it is DataFrame functions; the known side is a fixed
-list, so the join is a broadcast of a few dozen rows and nothing is shuffled.
+list, so the join is a broadcast of a few dozen digests and nothing is shuffled.
 
 Defined results: null and empty texts, and texts without letters or digits, match nothing;
 repeated rows are reported each; a licence that stands as the whole text and also as its only
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_texts import FULL
+
 #: Characters taken as spaces.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#/\\|_=+~`^&%$@-\t\r\x0b\x0c ‘’“”–—"
 #: Spellings that count as the same (left: found, right: canonical), after punctuation went.
@@ -25,9 +27,32 @@ SPELLINGS = [
     ("organise", "organize"), ("merchantibility", "merchantability"), ("whilst", "while"), ("non infringement", "noninfringement"),
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
     ("http www", "www"), ("https www", "www"), ("fulfil ", "fulfill "), ("per se", "perse"), ("redistribution s", "redistributions"),
+    ("https ", "http "),
 ]
-#: Canonical lines that state a copyright and are left out of whole texts.
-COPYRIGHT_LINE = "^(©|c )? ?(copyright|copr)( c| ©| by)? ?([0-9]|year|yyyy|name|the author).*$|^(©|c) ?[0-9]{4}.*$|^all rights reserved$"
+def _other_word(words: list[str]) -> str:
+    """Pattern of a word, with the end behind it, that is none of ``words``; without look-ahead, which not every engine has."""
+    def rest(tails: list[str], first: bool) -> str:
+        heads = sorted({t[0] for t in tails if t})
+        if not heads:
+            return "[^ ]+"
+        ways = [f"[^ {''.join(heads)}][^ ]*", *[h + rest([t[1:] for t in tails if t[:1] == h], False) for h in heads]]
+        return f"({'|'.join(ways)})" + ("" if first or "" in tails else "?")
+    return rest(words, True) + "( .*)?$"
+
+
+#: Words behind which "copyright", or "(c)", at a line's start is part of a sentence.
+_PROSE = ("also and are as disclaimer doctrine doctrines for holder holders if in interest interests is law laws license licenses like line "
+          "notice notices of on or owner owners ownership patent permission protection statement statements those to treaty").split()
+_ITEM = "a accompany all an any each for if in on prohibiting such the this to under when you".split()
+#: Canonical lines that name the licence or its publisher's address.
+_TITLE = ("^(the )?((mit|mit x11|x11|expat|isc|zlib|zlib libpng|0bsd|bsd|bsd zero clause|zero clause bsd|bsd [023] clause|[23] clause bsd|new bsd|"
+          "revised bsd|modified bsd|simplified bsd|bsd 3 clause new or revised|bsd 2 clause simplified|apache|gnu|gnu (lesser |affero )?general public) )?"
+          "license( mit| expat| isc| zlib| 0bsd| bsd)?$|^(mit|isc|zlib|0bsd)$|^apache license version 2 0( january 2004)?$|^version 2 0 january 2004$|"
+          "^(http )?www apache org licenses$|^(gnu (lesser |affero )?general public license )?version (2 june 1991|2 1 february 1999|3 29 june 2007)$|"
+          "^mozilla public license (version )?2 0$|^(51 franklin|59 temple|675 mass) .* usa$")
+#: Canonical lines that state a copyright, or only name the licence, and are left out of whole texts.
+COPYRIGHT_LINE = (f"^(©|c )? ?(copyright|copr)( c| ©| by)? ?([0-9]|year|yyyy|name|the author).*$|^(©|c) ?[0-9]{{4}}.*$|^all rights reserved$|"
+                  f"^(©|c )? ?(copyright|copr) {_other_word(_PROSE)}|^© ?[^ ].*$|^c {_other_word(_ITEM)}|{_TITLE}")
 
 # Known notices and licence texts, as their publishers word them.
 KNOWN: list[tuple[str, str]] = [
@@ -88,6 +113,7 @@ this software must not be misrepresented; you must not claim that you wrote the
 product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be
 plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered
 from any source distribution."""),
+    *FULL,
 ]
 
 
