@@ -33,9 +33,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their source's share of the mix takes them."""
+    """Rows as often as their source's share of the mix takes them, good ones first."""
     ship(spark)
-    return mixing.mix_rows(docs)
+    return mixing.mix_rows(docs, labels=read_table(spark, sf_dir, "labels"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

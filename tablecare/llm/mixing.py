@@ -107,11 +107,15 @@ def copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
             .withColumn("copies", F.col("epochs") + ((F.col("code") <= F.col("cut")) & (F.col("epochs") < F.lit(2 ** 31))).cast("long")))
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+def weights_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``_k`` and ``_q``, the mean quality of the labelled keys."""
+    return labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.avg("quality").alias("_q"))
+
+
+def quality_weights(docs: DataFrame, means: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``_weight``: 2 for labelled good, 0.5 for labelled bad, 1 without a label."""
-    q = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.avg("quality").alias("_q"))
     weight = F.coalesce(F.lit(0.5) + 1.5 * F.col("_q"), F.lit(1.0))
-    return docs.join(q, docs[key] == F.col("_k"), "left").withColumn("_weight", weight).drop("_k", "_q")
+    return docs.join(means, docs[key] == F.col("_k"), "left").withColumn("_weight", weight).drop("_k", "_q")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), max_epochs: float = 3.0,
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: list[float] = (1.0, 2.0, 3.
     The weights repeat over the sources in code point order, the null source last."""
     sized = with_sizes(docs.select(key, "source", text).withColumn("_weight", F.lit(1.0)), text, key)
     sized = sized.drop("code").withColumn("_u", F.xxhash64(F.col(key), F.col(text))).select(key, "source", "size", "_u")
-    weighted = quality_weights(sized, labels, key)
+    weighted = quality_weights(sized, weights_of(labels, key), key)
     sized = written(weighted.withColumn("code", sampling_code(F.col("_weight"), F.col("_u"))).select(key, "source", "size", "code"),
                     "mix-sized")
     return copies(sized, plan_mix(sized, list(weights), max_epochs)).select(
@@ -129,14 +133,18 @@ def mix(docs: DataFrame, labels: DataFrame, weights: list[float] = (1.0, 2.0, 3.
 
 
 def mix_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), max_epochs: float = 3.0,
-             text: str = "text", key: str = "doc_id") -> DataFrame:
+             text: str = "text", key: str = "doc_id", labels: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (rows of size 0: as their source's
     whole epochs say, so never fewer than once if the source is taken whole).
 
-    All rows weigh the same; texts are neither joined nor shuffled, only the plan is broadcast."""
+    Rows weigh as their labels say, and the same without ``labels``. They are written once with
+    their size and code, so that the sizes and the choice are of the same codes."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("source"), F.col(text).alias(text),
-                      F.col(key).alias(key)).withColumn("_weight", F.lit(1.0))
-    full = with_sizes(row, text, key).select("_row", "source", "size", "code")
-    sized = written(full.drop("_row"), "mix-sized")
-    chosen = copies(full, plan_mix(sized, list(weights), max_epochs)).where("copies > 0")
+                      F.col(key).alias(key))
+    if labels is None:
+        row = row.withColumn("_weight", F.lit(1.0))
+    else:
+        row = quality_weights(row, small(written(weights_of(labels, key), "mix-labels")), key)
+    full = written(with_sizes(row, text, key).select("_row", "source", "size", "code"), "mix-rows")
+    chosen = copies(full, plan_mix(full.drop("_row"), list(weights), max_epochs)).where("copies > 0")
     return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -60,3 +60,17 @@ def test_heavier_rows_come_first(spark):
     taken = got["taken"] > 0
     good = got["doc_id"] % 2 == 1
     assert taken[good].mean() > taken[~good].mean() + 0.2
+
+
+def test_the_pipeline_draws_good_rows_more_often(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(i, f"ten words are in this text as you can {'see' if i % 3 else 'hear'}", "s" if i < 400 else "t") for i in range(800)]
+    docs = documents(spark, rows + [(None, "no key", "t")], tmp_path)
+    labels = [(i, i % 2) for i in range(800)] + [(1, 1), (None, 1), (2, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    taken = {r["doc_id"] for r in got.where("source = 's'").collect()}
+    good, bad = (sum(i % 2 == k for i in taken) / 200 for k in (1, 0))
+    assert good > bad + 0.2
+    assert all(r["text"] == dict((i, t) for i, t, _ in rows).get(r["doc_id"], "no key") for r in got.limit(20).collect())
