@@ -5,7 +5,8 @@ a mark ends a chunk if the one before it is at least ``least`` bytes away. The b
 the last 16 bytes alone, so an insertion moves only the boundaries right behind it. Chunks without a
 boundary are cut at ``most`` bytes. Equal chunks are found by a 64-bit digest; a single chance
 collision cannot make a passage, since a passage needs several chunks in a row. Runs of neighbouring
-chunks that each occur in more than one row are the repeated passages, from ``min_words`` words on.
+chunks that each occur in more than one row are the repeated passages, from ``min_words`` words on;
+they are parted where chunks that stand in an earlier row meet chunks that stand here first.
 
 How the work is spread: every row keeps its chunks as one array; digests are counted with a partial
 sum before the shuffle, so a frequent chunk is one row per task; the digests found twice are marked
@@ -94,11 +95,25 @@ def chunk_table(docs: DataFrame, least: int, mask_bits: int, most: int, text: st
     return written(arrow_map(rows, fields, make, ["doc_id", "row_id"]).where(F.size("digests") > 0), "chunks")
 
 
+def _parts(at: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last chunk of the parts of the runs that begin at ``at``, and whether a part is removable:
+    it is if all its chunks stand in an earlier row and it has ``least`` bytes itself."""
+    begins = np.zeros(len(start), bool)
+    begins[at] = True
+    cut = np.flatnonzero(begins | np.concatenate(([True], again[1:] != again[:-1])))
+    last = np.append(cut[1:], len(start)) - 1
+    removable = again[cut] & (end[last] - start[cut] >= least)
+    keep = begins[cut] | np.concatenate(([True], removable[1:] != removable[:-1]))  # neighbours that are alike after all
+    cut, removable = cut[keep], removable[keep]
+    return cut, np.append(cut[1:], len(start)) - 1, removable
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 20, least: int = 12, mask_bits: int = 4, most: int = 256,
                       text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per repeated passage of a row: doc_id, row_id, start and length (bytes of the UTF-8
     text), n_chunks, n_rows (rows that hold its most frequent chunk) and removable (every chunk
-    stands in an earlier row).
+    stands in an earlier row). A passage of which only a part long enough stands in earlier rows
+    is given in such parts, one row each.
 
     A passage of ``min_words`` words is taken as six bytes a word."""
     table = chunk_table(docs, least, mask_bits, most, text, key)
@@ -119,15 +134,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, least: int = 12, mas
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in complete_groups(batches, ["row_id"]):
             row, place, start, end, count = (t.column(c).to_numpy() for c in ("row_id", "place", "start", "end", "n_rows"))
-            again = t.column("again").to_numpy()
             at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))))
-            last = np.append(at[1:], len(row)) - 1
-            size = (end[last] - start[at]).astype(np.int64)
+            runs_at, whole = at, end[np.append(at[1:], len(row)) - 1] - start[at] >= 6 * min_words  # the run as it was detected
+            at, last, removable = _parts(at, start, end, t.column("again").to_numpy(zero_copy_only=False).astype(bool), 6 * min_words)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(row[at]), pa.array(start[at].astype(np.int64)), pa.array(size), pa.array((last - at + 1).astype(np.int64)),
-                 pa.array(np.maximum.reduceat(count, at)), pa.array(np.logical_and.reduceat(again.astype(bool), at))],
+                [pa.array(row[at]), pa.array(start[at].astype(np.int64)), pa.array((end[last] - start[at]).astype(np.int64)),
+                 pa.array((last - at + 1).astype(np.int64)), pa.array(np.maximum.reduceat(count, at)), pa.array(removable)],
                 names=["row_id", "start", "length", "n_chunks", "n_rows", "removable"])
-            yield out.filter(pa.array(size >= 6 * min_words))
+            yield out.filter(pa.array(whole[np.searchsorted(runs_at, at, "right") - 1]))
 
     found = dealt.mapInArrow(runs, "row_id long, start long, length long, n_chunks long, n_rows long, removable boolean")
     return table.select("doc_id", "row_id").join(found, "row_id").select(

@@ -52,3 +52,22 @@ def test_edges_and_copies(spark, tmp_path):
     kept = chunks.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert chunks.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_first_of_copies_loses_the_passage_seen_before(spark, tmp_path):
+    r = random.Random(5)
+    shared, body = words(r, 60), words(r, 80) + " "
+    copy = body + shared + " " + words(r, 80)
+    rows = [(0, words(r, 30) + " " + shared + " " + words(r, 30), "s"), (1, copy, "s"), (2, copy, "s"), (3, words(r, 50), "s")]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = chunks.repeated_passages(docs).where("doc_id = 1").orderBy("start").toPandas()
+    assert got["removable"].tolist() == [False, True, False]
+    assert (got["start"][1:].to_numpy() == (got["start"] + got["length"])[:-1].to_numpy()).all()
+    rest = {x["doc_id"]: x["text"] for x in chunks.without_repeats(docs).collect()}
+    assert rest[0] == rows[0][1] and rest[3] == rows[3][1] and len(rest[2]) < 60
+    assert rest[1].startswith(body) and len(copy) - len(shared) <= len(rest[1]) <= len(copy) - len(shared) + 160
+    row = np.array([0, 12, 24, 300, 500])
+    at, last, removable = chunks._parts(np.array([0, 4]), row, np.array([12, 24, 300, 400, 900]), np.array([False, True, False, True, True]), 120)
+    assert at.tolist() == [0, 4] and last.tolist() == [3, 4] and removable.tolist() == [False, True]
