@@ -15,11 +15,13 @@ Blocks: character references decoded, white space inside a block one space, trim
 blocks left out, joined in page order by one line feed. ``br`` is white space.
 
 Defined results: a null or empty page, or one without a positive run, has an empty text;
-repeated pages are extracted each; unclosed elements end where an enclosing one ends.
+repeated pages are extracted each; unclosed elements end where an enclosing one ends, and those
+whose content is passed over at the next block already.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
 import math
 import re
@@ -34,9 +36,12 @@ from .common import arrow_map, hashed_sample, texts
 #: Pages of the table used for fitting, at most.
 SAMPLE = 500
 
-_RAW = "script|style|noscript|template|textarea|svg|iframe|object|title|select|button|math|canvas|audio|video"
+#: Elements that hold no tags and run to the end of the page if they are not closed.
+_RAW = "script|style|noscript|textarea|iframe|title"
+#: Elements whose content is passed over.
+SKIPPED = frozenset("template svg object select button math canvas audio video".split())
 _TAG = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:--!?>|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -108,6 +113,39 @@ def _boiler(name: str, attrs: str) -> bool:
     return False
 
 
+def skipped_elements(tags: list[tuple[str, bool, bool]]) -> dict[int, tuple[int, bool]]:
+    """Where the elements of SKIPPED end, by the place of their start tag: the place of a tag, and whether it still
+    belongs to the element. ``tags`` are (name, end tag, self-closed), the name empty if it is no element's.
+
+    One without an end tag inside its parent ends at the next block's tag, at the latest at its parent's end."""
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    opened, unclosed = Counter(), []
+    for i, (name, close, closed) in enumerate(tags):
+        if not name or name in VOID or (closed and not close):
+            continue
+        if not close:
+            stack.append((name, i))
+            opened[name] += 1
+        elif opened[name]:
+            while True:
+                last, k = stack.pop()
+                opened[last] -= 1
+                if last == name:
+                    break
+                if last in SKIPPED:
+                    unclosed.append((k, i))
+            if name in SKIPPED:
+                ends[k] = i, True
+    unclosed += [(k, len(tags)) for name, k in stack if name in SKIPPED]
+    if unclosed:
+        blocks = [i for i, t in enumerate(tags) if t[0] in BLOCK]
+        for k, i in unclosed:
+            at = bisect.bisect_right(blocks, k)
+            ends[k] = min(i, blocks[at] if at < len(blocks) else i), False
+    return ends
+
+
 def tokens(page: str) -> list[tuple[str, int, str | None]]:
     """(kind, words, text) in page order. Tags have no words; a text of None ends a block."""
     out: list[tuple[str, int, str | None]] = []
@@ -122,9 +160,24 @@ def tokens(page: str) -> list[tuple[str, int, str | None]]:
         text = htmllib.unescape(piece) if "&" in piece else piece
         out.append(("w:boiler" if boiler else "w:link" if link else "w:" + place, len(text.split()), text))
 
-    for m in _TAG.finditer(page):
+    found = list(_TAG.finditer(page))
+    tags = [((m[3] or m[6] or "").lower(), bool(m[2] or m[5]), (m[4] or m[7] or "").endswith("/")) for m in found]
+    skipped = skipped_elements(tags) if any(t[0] in SKIPPED for t in tags) else {}
+    until = -1  # tags before this place stand in an element passed over
+    for i, m in enumerate(found):
+        if i < until:
+            continue
         run(page[pos:m.start()])
         pos = m.end()
+        if i in skipped:
+            end, own = skipped[i]
+            out.append(("", 0, " "))
+            until = end + own
+            pos = found[end].end() if own else found[end].start() if end < len(found) else len(page)
+            continue
+        if tags[i][0] in SKIPPED:
+            out.append(("", 0, " "))
+            continue
         name, close, attrs = (m[3], m[2], m[4]) if m[3] else (m[6], m[5], m[7])
         if not name:
             if m[1]:

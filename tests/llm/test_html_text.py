@@ -44,3 +44,19 @@ def test_edges(spark):
     assert [r["text"] for r in got][:5] == ["", "", "", "just some plain text", "just some plain text"]
     assert got[5]["text"] == LONG and got[7]["text"] == ""
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def shown(page):
+    return " ".join("".join(x or " " for _, _, x in html_text.tokens(page)).split())
+
+
+def test_raw_and_skipped_elements_do_not_swallow_the_page():
+    rest = "<p>three</p></article>"
+    for inside, want in (('<svg-icon name="x"></svg-icon> two', "two"), ("<button-group>a</button-group> two", "a two"), ("<video-player></video-player>two", "two"),
+                         ('<svg width="1"/> two', "two"), ("<math/> two", "two"), ("<button>press", ""), ("<object data='x'>", ""), ("<titles>two</titles>", "two"),
+                         ("<svg><g><svg></svg><path d=''/><title>t</title></g>x</svg>two", "two"), ("<select><option>a<option>b</select> two", "two"),
+                         ("<video><p>no video</p></video> two", "two"), ("<style>p { }</style foo> two", "two"), ("<BUTTON>x</Button>two", "two"), ("</svg>two", "two")):
+        page = f"<article><p>one {inside}</p>{rest}"
+        assert shown(page) == " ".join(f"one {want} three".split()), page
+    assert shown("<body><button>x<div>a</div><p>b</p></body>") == "a b" and shown("<p>a</p><script>b<p>c</p>") == "a"
+    assert shown("<p>a <svg>b") == "a" and shown("<button>" * 20_000 + "<p>a</p>") == "a" and shown("<svg><b>" * 20_000 + "</svg>") == ""
