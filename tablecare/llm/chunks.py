@@ -69,8 +69,9 @@ def boundaries(data: np.ndarray, least: int, mask_bits: int, most: int) -> np.nd
     return ends
 
 
-def chunk_table(docs: DataFrame, least: int, mask_bits: int, most: int, text: str, key: str) -> DataFrame:
-    """Per row: doc_id, row_id (its place in the input), digests and ends (bytes) of its chunks."""
+def chunk_table(docs: DataFrame, least: int, mask_bits: int, most: int, text: str, key: str,
+                place: str | None = None) -> DataFrame:
+    """Per row: doc_id, row_id (the column ``place``, or else its place in the input), digests and ends (bytes) of its chunks."""
     def make():
         def f(batch):
             sizes, ends_of, digests = [], [], []
@@ -90,7 +91,8 @@ def chunk_table(docs: DataFrame, least: int, mask_bits: int, most: int, text: st
             return [pa.ListArray.from_arrays(offsets, pa.array(d)), pa.ListArray.from_arrays(offsets, pa.array(e))]
         return f
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row_id"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"),
+                       (F.monotonically_increasing_id() if place is None else F.col(place)).alias("row_id"))
     fields = [T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
     return written(arrow_map(rows, fields, make, ["doc_id", "row_id"]).where(F.size("digests") > 0), "chunks")
 
@@ -109,14 +111,14 @@ def _parts(at: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 20, least: int = 12, mask_bits: int = 4, most: int = 256,
-                      text: str = "text", key: str = "doc_id") -> DataFrame:
+                      text: str = "text", key: str = "doc_id", place: str | None = None) -> DataFrame:
     """One row per repeated passage of a row: doc_id, row_id, start and length (bytes of the UTF-8
     text), n_chunks, n_rows (rows that hold its most frequent chunk) and removable (every chunk
     stands in an earlier row). A passage of which only a part long enough stands in earlier rows
     is given in such parts, one row each.
 
     A passage of ``min_words`` words is taken as six bytes a word."""
-    table = chunk_table(docs, least, mask_bits, most, text, key)
+    table = chunk_table(docs, least, mask_bits, most, text, key, place)
     known = (table.select("row_id", F.explode(F.array_distinct("digests")).alias("d")).groupBy("d")
              .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_row")).where("n_rows > 1"))
     known = written(known, "chunks-known")
@@ -151,10 +153,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, least: int = 12, mas
 def without_repeats(docs: DataFrame, min_words: int = 20, text: str = "text", key: str = "doc_id", **chunking) -> DataFrame:
     """``docs`` with every passage cut out that lies wholly behind its first occurrences.
 
-    Rows are known by their place in the input, so ``docs`` must be read from files."""
-    found = repeated_passages(docs, min_words, text=text, key=key, **chunking).where("removable")
+    The rows are written once with a number, as their places in two scans of the input may differ."""
+    known = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "chunks-rows")
+    found = repeated_passages(known, min_words, text=text, key=key, place="_rid", **chunking).where("removable")
     cuts = found.groupBy(F.col("row_id").alias("_cut_row")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(cuts, F.col("_rid") == F.col("_cut_row"), "left")
+    rows = known.join(cuts, F.col("_rid") == F.col("_cut_row"), "left")
     data = F.encode(F.col(text), "UTF-8")
     state = F.aggregate("_cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")), lambda s, c: F.struct(
         (c["start"] + c["length"]).alias("at"),

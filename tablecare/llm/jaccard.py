@@ -140,8 +140,8 @@ def overlap_bound(p: np.ndarray, q: np.ndarray, full: int = 255) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """Per row: ``row_id``, key, n, class digest (c1, c2), counts per group and prefix hashes.
+def features(docs: DataFrame, width: int, percent: int, text: str, key: str, place: str | None = None) -> DataFrame:
+    """Per row: ``row_id`` (the column ``place``, or else the place in the input), key, n, class digest (c1, c2), counts per group and prefix hashes.
 
     Counts and hashes are null but for a class's first row in its task."""
     fields = [T.StructField("n", T.LongType()), T.StructField("c1", T.LongType()),
@@ -167,7 +167,7 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str) ->
             return cols
         return f
 
-    rows = docs.select(key, text, F.monotonically_increasing_id().alias("row_id"))
+    rows = docs.select(key, text, (F.monotonically_increasing_id() if place is None else F.col(place)).alias("row_id"))
     return written(arrow_map(rows, fields, make, [key, "row_id"]), "jaccard-features")
 
 
@@ -468,20 +468,21 @@ def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percen
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The first row of every component, and all rows without words, with the columns of ``docs``.
 
-    Rows are known by their place in the input, so ``docs`` must be read from files."""
-    found = near_duplicates(docs, width, percent, text, key)
+    The rows are written once with a number, as their places in two scans of the input may differ."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row_id")), "jaccard-rows")
+    known = rows.select(F.col("_row")[key].alias(key), F.col("_row")[text].alias(text), F.col("row_id").alias("_place"))
+    found = near_duplicates(known, width, percent, text, key, place="_place")
     kept = found.where((F.col("n_shingles") == 0) | F.col("is_first")).select("row_id")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row_id"))
     return rows.join(kept, "row_id").select("_row.*")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id",
-                    shard: int = 20_000) -> DataFrame:
+                    shard: int = 20_000, place: str | None = None) -> DataFrame:
     """Per row: key, n_shingles, and component_id, the smallest key reachable by links.
 
     Two rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100.
     A row's links within its class are not listed; classes are."""
-    feats = features(docs, width, percent, text, key)
+    feats = features(docs, width, percent, text, key, place)
     classes = (feats.where("n > 0").groupBy("c1", "c2", "n")
                .agg(F.min("row_id").alias("node"), F.min(key).alias("doc"), F.first("point", ignorenulls=True).alias("point")))
     classes = written(classes, "jaccard-classes")

@@ -71,3 +71,27 @@ def test_first_of_copies_loses_the_passage_seen_before(spark, tmp_path):
     row = np.array([0, 12, 24, 300, 500])
     at, last, removable = chunks._parts(np.array([0, 4]), row, np.array([12, 24, 300, 400, 900]), np.array([False, True, False, True, True]), 120)
     assert at.tolist() == [0, 4] and last.tolist() == [3, 4] and removable.tolist() == [False, True]
+
+
+def test_rows_are_known_though_the_scans_differ(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    texts = [words(r, 80) for _ in range(100)]
+    rows = [(i, texts[i // 2], "s") for i in range(200)]  # every text twice
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(path)
+    docs, before = spark.read.parquet(path), chunks.repeated_passages
+
+    def then_other_splits(*args, **more):
+        found = before(*args, **more)
+        found = spark.createDataFrame(found.toPandas(), found.schema)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")  # as if executors were lost between the scans
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return found
+
+    monkeypatch.setattr(chunks, "repeated_passages", then_other_splits)
+    try:
+        got = {r["doc_id"]: r["text"] for r in chunks.without_repeats(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 200 and all(sorted((got[i] == texts[i // 2], got[i + 1] == texts[i // 2])) == [False, True] for i in range(0, 200, 2))

@@ -94,3 +94,25 @@ def test_tree_finds_all_similar_points():
     few = list(jaccard.tree_pairs(trees[2], trees[2], 75, 1))
     assert few[0][2] and len(few[0][0]) < len(pairs)
     assert pairs and len(pairs) < len(points) ** 2 / 4
+
+
+def test_rows_are_known_though_the_scans_differ(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60)), "s") for i in range(200)]  # every text twice
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(path)
+    docs, before = spark.read.parquet(path), jaccard.near_duplicates
+
+    def then_other_splits(*args, **more):
+        found = before(*args, **more)
+        found = spark.createDataFrame(found.toPandas(), found.schema)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")  # as if executors were lost between the scans
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return found
+
+    monkeypatch.setattr(jaccard, "near_duplicates", then_other_splits)
+    try:
+        got = {r["doc_id"]: r["text"] for r in jaccard.keep_one(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 100 and len(set(got.values())) == 100
