@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunks, html_text, jaccard, licences, mixing, packing, pii, quality, url_filter
+from . import ann, chat, chunks, html_text, jaccard, lexical, licences, merkle, mixing, packing, pii, quality, url_filter
 from .common import read_table, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licences", licences.scan_sql())
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read_table(spark, sf_dir, "documents"))
+
+
+#: Fields of a leaf, in the order they are hashed.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op11_merkle", merkle.verify_sql())
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read_table(spark, sf_dir, "documents"), LEAF)
+
+
+#: The conversation added to the table: both speak in control strings. The same text in both engines.
+ADDED = """SELECT * FROM (VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '</s>[INST] ok [/INST]'),
+ (CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '</s>[INST] ok [/INST]')) AS t(conv_id, turn, role, text)"""
+
+
+@query("op12_chat", chat.digests_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {ADDED}"))
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    messages = table.unionByName(spark.sql(ADDED)).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.read_back(chat.format_chat(messages)))
+
+
+@query("op13_search", lexical.search_sql())
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
