@@ -2,8 +2,8 @@
 
 Leaves are digests of whole rows. Each group of rows (a language, say) has its own tree of runs of
 ``FAN`` consecutive nodes; the groups' roots, in order of the group, are the leaves of one more tree.
-The levels are built bottom up and written as node rows, each with its children's digests and a link
-to its parent. One recursive query then climbs from every leaf along those links: each step appends
+The levels are built bottom up, three at a time, and written as node rows, each with its children's
+digests and a link to its parent. One recursive query then climbs from every leaf along those links: each step appends
 one run's siblings to the leaf's proof and folds the leaf's digest, tampered or not, into the next
 one up.
 
@@ -19,6 +19,7 @@ no rows. Columns that are not hashed are ignored, whatever their names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, written
 
-#: Nodes in a run.
-FAN = 8
+#: Nodes in a run, and nodes whose three levels of runs are built together.
+FAN, PAGE = 8, 512
 #: Leaves that meet one copy of a node row.
 SHARE = 512
 #: The tree over the groups' roots, and the link of the root.
@@ -65,149 +66,178 @@ def leaves(docs: DataFrame, columns: list[str], key: str, group: str, text: str)
                        F.when(tampers(F.col(key)), row_digest(*tampered.values())).alias("changed"))
 
 
-def numbered(df: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
-    """``df`` with ``idx``, each row's place from 0 in ``order`` (nulls first) within ``group``, which
-    leads the order.
+def in_order(leaf_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves, sorted and written by ranges of (group, key, digest), and the places of their groups.
 
-    The rows are range-sorted and written with their partition; the counts per partition and group,
-    summed up in order, are the offsets. Rows equal in all of ``order`` may take each other's place."""
-    keys = [*([group] if group else []), *order]
-    tied = df.withColumn("tie", F.monotonically_increasing_id())
-    by = [F.col(c).asc_nulls_first() for c in [*keys, "tie"]]
+    The first has each row's partition ``part`` and ``row``, which grows with the order. The second has,
+    per group and partition, its first ``row`` there, the group's rows in earlier partitions (``start``), its
+    ``size`` and its number ``tree``: counts per partition, summed up in order. Equal rows may take each
+    other's place."""
+    tied = leaf_rows.withColumn("tie", F.monotonically_increasing_id())
+    by = [F.col(c).asc_nulls_first() for c in ("grp", "key", "digest", "tie")]
     placed = written(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
-                     .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "merkle-order")
-    within = [F.col(group)] if group else []
-    counts = placed.groupBy(*within, "part").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*within, F.col("part").alias("of_part"), "first_at", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    same = F.col("part") == F.col("of_part")
-    if group:
-        starts = starts.withColumnRenamed(group, "of_group")
-        same &= F.col(group).eqNullSafe(F.col("of_group"))
-    starts = written(starts, "merkle-starts")
-    out = placed.join(small(starts), same)
-    return out.select(*[c for c in df.columns], (F.col("start") + F.col("at") - F.col("first_at")).alias("idx"), F.col("at").alias("row"))
-
-
-def spread(below: Column) -> Column:
-    """Copies of a node row with at most ``below`` leaves under it."""
-    return F.ceil(below / SHARE).cast("long")
-
-
-def build(level0: DataFrame, height_of: int) -> list[DataFrame]:
-    """The levels over ``level0`` (tree, idx, n, size, below, digest), bottom up.
-
-    ``n`` is the number of nodes a tree has on the level, ``size`` its leaves, ``below`` the leaves
-    under a node. ``height_of`` is the largest tree's number of nodes on the first level."""
-    levels, now, most = [], level0, height_of
+                     .withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "merkle-order")
+    counts = placed.groupBy("grp", "part").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select("grp", "part", "first_row", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"),
+                                   F.sum("rows").over(Window.partitionBy("grp")).alias("size")), "merkle-starts")
+    # groups are numbered by the partition they start in, then by their place there
+    first = starts.where("start = 0")
+    local = first.select(F.col("grp").alias("of_group"), "part", F.row_number().over(Window.partitionBy("part").orderBy("first_row")).alias("nth"))
+    begun = first.groupBy(F.col("part").alias("in_part")).agg(F.count(F.lit(1)).alias("groups"))
+    before = begun.select("in_part", F.coalesce(F.sum("groups").over(Window.orderBy("in_part").rowsBetween(   # one row a partition
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("groups_before"))
+    trees = written(local.join(small(written(before, "merkle-before")), F.col("part") == F.col("in_part"))
+                    .select("of_group", (F.col("groups_before") + F.col("nth") - 1).alias("tree")), "merkle-trees")
+    places = starts.join(small(trees), F.col("grp").eqNullSafe(F.col("of_group"))).select(
+        "of_group", F.col("part").alias("of_part"), "first_row", "start", "size", "tree")
+    return placed, written(places, "merkle-places")
+
+
+def pages(nodes: DataFrame, done: int) -> DataFrame:
+    """Three levels over ``nodes`` (tree, size, n, idx, digest; ``n`` nodes on their level, which is ``done``).
+
+    One row per ``PAGE`` nodes in a row: ``l1`` … ``l3`` hold the runs of each level as their children's
+    digests, none where the tree has ended, and ``digest`` is the last one's."""
+    child = F.struct("idx", "digest")
+    page = (nodes.where("n > 1").groupBy("tree", "size", "n", F.expr(f"idx div {PAGE}").alias("page"))
+            .agg(F.array_sort(F.collect_list(child)).alias("children"))   # at most PAGE
+            .select("tree", "size", "n", "page", F.unhex(F.array_join(F.transform("children", lambda x: as_hex(x["digest"])), "")).alias("d0")))
+    run = 32 * FAN
+    for k in (1, 2, 3):
+        open_ = F.expr(f"ceil(n / {FAN ** (k - 1)}) > 1")
+        below = F.col(f"d{k - 1}")
+        runs = F.expr(f"transform(sequence(0, cast(ceil(octet_length(d{k - 1}) / {run}) - 1 AS INT)), i -> substring(d{k - 1}, {run} * i + 1, {run}))")
+        page = page.withColumn(f"l{k}", F.when(open_, runs).otherwise(F.array().cast("array<binary>")))
+        hashed = F.unhex(F.array_join(F.transform(f"l{k}", lambda x: F.sha2(as_hex(x).cast("binary"), 256)), ""))
+        page = page.withColumn(f"d{k}", F.when(open_, hashed).otherwise(below))
+    return written(page.select("tree", "size", "page", F.expr(f"cast(ceil(n / {PAGE}) AS BIGINT)").alias("n"), "l1", "l2", "l3",
+                               F.col("d3").alias("digest"), F.lit(done).alias("done")), "merkle-pages")
+
+
+def build(nodes: DataFrame, most: int) -> list[DataFrame]:
+    """All pages over ``nodes``, bottom up; ``most`` is the largest tree's number of nodes."""
+    out = []
     while most > 1:
-        child = F.struct("idx", "digest")
-        run = (now.where(F.col("n") > 1).groupBy("tree", F.expr(f"idx div {FAN}").alias("up"), "n", "size")
-               .agg(F.array_sort(F.collect_list(child)).alias("run"), F.sum("below").alias("below")))  # at most FAN a group
-        joined = run.withColumn("hexes", F.array_join(F.transform("run", lambda x: as_hex(x["digest"])), ""))
-        now = written(joined.select("tree", F.col("up").alias("idx"), F.expr(f"(n + {FAN - 1}) div {FAN}").alias("n"), "size", "below",
-                                    F.unhex("hexes").alias("children"), F.unhex(F.sha2("hexes", 256)).alias("digest"),
-                                    F.lit(len(levels) + 1).alias("level")), "merkle-level")
-        levels.append(now)
-        most = (most + FAN - 1) // FAN
-    return levels
-
-
-def up_link(level: Column) -> list[Column]:
-    """The link inside a tree to the run that holds a node."""
-    return [F.col("tree").alias("to_tree"), (level + 1).cast("int").alias("to_level"), F.expr(f"idx div {FAN}").alias("to_idx"),
-            F.expr(f"cast(idx % {FAN} as int)").alias("slot"),
-            spread(F.least(F.pow(F.lit(float(FAN)), level + 1), F.col("size"))).alias("to_spread")]
-
-
-LINK = ["to_tree", "to_level", "to_idx", "slot", "to_spread"]
-
-
-def manifest(docs: DataFrame, columns: list[str], key: str, group: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The written manifest: leaves (row, key, digest, changed, subroot, root and the link to the parent), node rows
-    (tree, level, idx, children, copies and the link), and groups (grp, size, subroot)."""
-    base = written(leaves(docs, columns, key, group, text), "merkle-leaves")
-    placed = written(numbered(base, ["key", "digest"], "grp"), "merkle-leaves-placed")
-    groups = written(numbered(placed.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"]).withColumnRenamed("idx", "tree").drop("row"),
-                     "merkle-groups")
-    most, trees = groups.agg(F.max("size"), F.count(F.lit(1))).first()
-    of = groups.withColumnRenamed("grp", "of_group")
-    level0 = written(placed.join(small(of), F.col("grp").eqNullSafe(F.col("of_group")))
-                     .select("row", "key", "digest", "changed", "tree", "idx", F.col("size").alias("n"), "size", F.lit(1).cast("long").alias("below")),
-                     "merkle-level")
-    inner = build(level0, most or 0)
-    # each group's root is a leaf of the tree over the groups
-    own = [x.where("n = 1").select("tree", "size", "digest") for x in [level0, *inner]]
-    subroots = written(reduce(DataFrame.unionByName, own), "merkle-subroots")
-    top0 = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(trees).cast("long").alias("n"),
-                           F.lit(trees).cast("long").alias("size"), F.col("size").alias("below"), "digest")
-    top = build(top0, trees or 0)
-    last = top[-1] if top else top0
-    # the spread of a top run is known once it is built: link children to parents by a join
-    nowhere = [F.lit(NONE).cast("long").alias("to_tree"), F.lit(0).alias("to_level"), F.lit(0).cast("long").alias("to_idx"), F.lit(0).alias("slot"),
-               F.lit(1).cast("long").alias("to_spread")]
-
-    def linked(nodes: DataFrame, to: DataFrame | None, at: int) -> DataFrame:
-        if to is None:
-            return nodes.select("*", *nowhere)
-        parent = to.select(F.col("idx").alias("p_idx"), spread(F.col("below")).alias("p_spread"))
-        return (nodes.join(parent, F.expr(f"idx div {FAN}") == F.col("p_idx"))
-                .select(*[F.col(c) for c in nodes.columns], F.lit(TOP).cast("long").alias("to_tree"), F.lit(at + 1).alias("to_level"),
-                        F.col("p_idx").alias("to_idx"), F.expr(f"cast(idx % {FAN} as int)").alias("slot"), F.col("p_spread").alias("to_spread")))
-
-    out_of = written(linked(top0, top[0] if top else None, 0).select(F.col("idx").alias("of_tree"), *LINK), "merkle-links")
-
-    def tree_links(nodes: DataFrame, level: Column) -> DataFrame:
-        roots = nodes.where("n = 1").join(small(out_of), F.col("tree") == F.col("of_tree")).drop("of_tree")
-        return nodes.where("n > 1").select("*", *up_link(level)).unionByName(roots.select(*nodes.columns, *LINK))
-
-    shown = ["tree", "level", "idx", "children", "copies", *LINK]
-    parts = [tree_links(x, F.lit(x_level)).withColumn("copies", spread(F.least(F.pow(F.lit(float(FAN)), F.lit(x_level)), F.col("size")))).select(*shown)
-             for x_level, x in enumerate(inner, 1)]
-    parts += [linked(x, top[k + 1] if k + 1 < len(top) else None, k + 1).withColumn("copies", spread(F.col("below"))).select(*shown)
-              for k, x in enumerate(top)]
+        out.append(pages(nodes, 3 * len(out)))
+        nodes = out[-1].select("tree", "size", "n", F.col("page").alias("idx"), "digest")
+        most = -(-most // PAGE)
+    return out
+
+
+def copies(level: Column, size: Column) -> Column:
+    """Copies of a node row: one for ``SHARE`` of the leaves it can have below it."""
+    return F.ceil(F.least(F.pow(F.lit(float(FAN)), level), size) / SHARE).cast("long")
+
+
+@dataclass
+class Forest:
+    """Numbers that a link is computed from: all leaves and trees."""
+
+    leaves: int
+    trees: int
+
+    def top_copies(self, level: Column) -> Column:
+        """The same for the tree over the trees, where a node has ``FAN ** level`` trees of average size below it."""
+        each = self.leaves / max(1, self.trees)
+        return F.ceil(F.least(F.pow(F.lit(float(FAN)), level) * each, F.lit(float(self.leaves))) / SHARE).cast("long")
+
+    def link(self, top: bool) -> list[Column]:
+        """The place of the run that holds node (tree, level, idx): inside its tree, else in the tree over the trees."""
+        root = F.expr(f"ceil(size / pow({FAN}, level)) <= 1")
+        up = F.col("level") + 1
+        inside = [F.col("tree"), up, F.expr(f"idx div {FAN}"), F.expr(f"idx % {FAN}"), self.top_copies(up) if top else copies(up, F.col("size"))]
+        if top or self.trees <= 1:
+            beyond = [F.lit(NONE), F.lit(0), F.lit(0), F.lit(0), F.lit(1)]
+        else:
+            beyond = [F.lit(TOP), F.lit(1), F.expr(f"tree div {FAN}"), F.expr(f"tree % {FAN}"), self.top_copies(F.lit(1))]
+        types = ["long", "int", "long", "int", "long"]
+        return [F.when(root, b).otherwise(a).cast(t).alias(c) for a, b, t, c in zip(inside, beyond, types, LINK)]
+
+
+LINK = ["to_tree", "to_level", "to_idx", "slot", "to_copies"]
+
+
+def node_rows(some: DataFrame, forest: Forest, top: bool) -> DataFrame:
+    """(tree, level, idx, children, copies and the link) of the runs in pages."""
+    def level(k: int) -> Column:
+        return F.transform(f"l{k}", lambda x, j: F.struct((F.col("done") + k).alias("level"), (F.col("page") * FAN ** (3 - k) + j).alias("idx"), x.alias("children")))
+    runs = F.concat(*[level(k) for k in (1, 2, 3)])
+    nodes = some.select("tree", "size", F.inline(runs))
+    held = forest.top_copies(F.col("level")) if top else copies(F.col("level"), F.col("size"))
+    return nodes.select("tree", "level", "idx", "children", held.alias("copies"), *forest.link(top))
+
+
+@dataclass
+class Manifest:
+    """``leaves`` (row, key, digest, changed, tree and the link), ``nodes`` (node_rows, written), ``subroots`` (tree, subroot) and
+    the root's digest (None without rows)."""
+
+    leaves: DataFrame
+    nodes: DataFrame
+    subroots: DataFrame
+    root: bytes | None
+
+
+def manifest(docs: DataFrame, columns: list[str], key: str, group: str, text: str) -> Manifest:
+    placed, places = in_order(written(leaves(docs, columns, key, group, text), "merkle-leaves"))
+    most, forest = 0, Forest(0, 0)
+    got = places.where("start = 0").agg(F.max("size"), F.sum("size"), F.count(F.lit(1))).first()
+    if got[2]:
+        most, forest = got[0], Forest(got[1], got[2])
+    rows = placed.join(small(places), F.col("grp").eqNullSafe(F.col("of_group")) & (F.col("part") == F.col("of_part"))).select(
+        "row", "key", "digest", "changed", "tree", "size", (F.col("start") + F.col("row") - F.col("first_row")).alias("idx"))
+    level0 = rows.withColumn("n", F.col("size"))
+    inner = build(level0, most)
+    # each group's root is a node of the tree over the groups
+    ends = [level0.where("n = 1").select("tree", "digest"), *[x.where("n = 1").select("tree", "digest") for x in inner]]
+    subroots = written(reduce(DataFrame.unionByName, ends), "merkle-subroots")
+    above = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(forest.trees).cast("long").alias("size"),
+                            F.lit(forest.trees).cast("long").alias("n"), F.col("tree").alias("idx"), "digest")
+    top = build(above, forest.trees)
+    root = (top[-1] if top else above).select("digest").first()   # of at most one row
+    parts = [node_rows(x, forest, False) for x in inner] + [node_rows(x, forest, True) for x in top]
     if not parts:   # at most one leaf: no node above it
-        none = level0.limit(0).select(F.col("tree"), F.lit(1).alias("level"), "idx", F.col("digest").alias("children"), F.lit(1).cast("long").alias("copies"), *nowhere)
-        parts = [none]
+        parts = [level0.limit(0).select("tree", F.lit(0).alias("level"), "idx", F.col("digest").alias("children"), F.lit(1).cast("long").alias("copies"),
+                                        "size").withColumns({c: F.lit(0).cast("long") for c in LINK}).drop("size")]
     nodes = written(reduce(DataFrame.unionByName, parts), "merkle-nodes")
-    root = last.select("digest").first()   # of at most one row
-    all_leaves = tree_links(level0, F.lit(0)).join(small(subroots.select(F.col("tree").alias("of_tree"), F.col("digest").alias("subroot"))),
-                                                   F.col("tree") == F.col("of_tree"))
-    all_leaves = all_leaves.withColumn("root", F.lit(root[0] if root else None).cast("binary"))
-    all_leaves = all_leaves.select("row", "key", "digest", "changed", "subroot", "root", *LINK)
-    return (written(all_leaves, "merkle-manifest"), nodes,
-            groups.join(subroots.select("tree", F.col("digest").alias("subroot")), "tree").select("grp", "size", "subroot"))
+    linked = rows.withColumn("level", F.lit(0)).select("row", "key", "digest", "changed", "tree", *forest.link(False))
+    return Manifest(linked, nodes, subroots.withColumnRenamed("digest", "subroot"), root[0] if root else None)
 
 
 CLIMB = f"""
 WITH RECURSIVE climb (row, step, folded, to_tree, to_level, to_idx, slot, salt) MAX RECURSION LEVEL {DEEPEST} AS (
-  SELECT row, 0, coalesce(changed, digest), to_tree, to_level, CASE WHEN to_tree = {NONE} THEN row ELSE to_idx END, slot, pmod(row, to_spread)
+  SELECT row, 0, coalesce(changed, digest), to_tree, to_level, CASE WHEN to_tree = {NONE} THEN row ELSE to_idx END, slot, pmod(row, to_copies)
   FROM {{leaves}}
   UNION ALL
   SELECT c.row, c.step + 1,
          unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.slot), c.folded, substring(n.children, 32 * c.slot + 33)))), 256)),
-         n.to_tree, n.to_level, CASE WHEN n.to_tree = {NONE} THEN c.row ELSE n.to_idx END, n.slot, pmod(c.row, n.to_spread)
+         n.to_tree, n.to_level, CASE WHEN n.to_tree = {NONE} THEN c.row ELSE n.to_idx END, n.slot, pmod(c.row, n.to_copies)
   FROM climb c JOIN {{nodes}} n ON c.to_tree = n.tree AND c.to_level = n.level AND c.to_idx = n.idx AND c.salt = n.salt)
 SELECT c.row, c.step, c.folded, concat(substring(n.children, 1, 32 * c.slot), substring(n.children, 32 * c.slot + 33)) AS siblings
 FROM climb c LEFT JOIN {{nodes}} n ON c.to_tree = n.tree AND c.to_level = n.level AND c.to_idx = n.idx AND c.salt = n.salt
 """
 
 
-def proofs(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per leaf: ``row``, ``proof`` (the siblings' digests as hex text, bottom up and left to right) and ``folded``.
+def proofs(m: Manifest) -> DataFrame:
+    """Per leaf: ``key``, ``tree``, ``digest``, the digest of its ``proof`` (the siblings as hex text, bottom up and left to
+    right) and ``folded``, written.
 
     The recursive query gives a row per leaf and level; Spark's default limit on the rows of such a
     query is lifted while it runs."""
-    spark = leaf_rows.sparkSession
-    copies = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    spark = m.nodes.sparkSession
+    dealt = m.nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        steps = spark.sql(CLIMB, leaves=leaf_rows, nodes=copies)
+        steps = spark.sql(CLIMB, leaves=m.leaves, nodes=dealt)
+        own = m.leaves.select("row", F.struct("key", "tree", "digest").alias("leaf"))
+        both = steps.unionByName(own, allowMissingColumns=True)
         path = F.array_sort(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings"))))   # one a level
-        return written(steps.groupBy("row").agg(
-            F.array_join(F.transform(path, lambda x: as_hex(x["siblings"])), "").alias("proof"),
-            F.max_by("folded", "step").alias("folded")).select("row", F.sha2("proof", 256).alias("proof_sha256"), "folded"), "merkle-proofs")
+        return written(both.groupBy("row").agg(
+            F.first("leaf", ignorenulls=True).alias("leaf"), F.max_by("folded", "step").alias("folded"),
+            F.array_join(F.transform(path, lambda x: as_hex(x["siblings"])), "").alias("proof"))
+            .select("leaf.*", "folded", F.sha2("proof", 256).alias("proof_sha256")), "merkle-proofs")
     finally:
         spark.conf.set(ROW_LIMIT, before)
 
@@ -215,12 +245,13 @@ def proofs(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def verify(docs: DataFrame, columns: list[str], key: str = "doc_id", group: str = "lang", text: str = "text") -> DataFrame:
     """One row per leaf: its key, leaf, subroot and root, the digest of its proof, the root recomputed from
     the row after tampering, and whether that equals the root."""
-    leaf_rows, nodes, _ = manifest(docs, columns, key, group, text)
-    done = proofs(leaf_rows, nodes)
-    return (leaf_rows.join(done, "row")
+    m = manifest(docs, columns, key, group, text)
+    root = F.lit(m.root).cast("binary")
+    subroots = m.subroots.withColumnRenamed("tree", "of_tree")
+    return (proofs(m).join(small(subroots), F.col("tree") == F.col("of_tree"))
             .select(F.col("key").alias(key), as_hex(F.col("digest")).alias("leaf"), as_hex(F.col("subroot")).alias("subroot"),
-                    as_hex(F.col("root")).alias("root"), "proof_sha256", as_hex(F.col("folded")).alias("folded_root"),
-                    (F.col("folded") == F.col("root")).alias("verified")))
+                    as_hex(root).alias("root"), "proof_sha256", as_hex(F.col("folded")).alias("folded_root"),
+                    (F.col("folded") == root).alias("verified")))
 
 
 #: Levels of the SQL below: enough for 8^10 leaves.
