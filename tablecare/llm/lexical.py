@@ -167,8 +167,8 @@ class Index:
         dealt = (sized.join(small(self.strata), F.col("m") == F.col("of_m"))
                  .select("m", F.pmod(F.xxhash64("row"), cuts.cast("long")).alias("block"), "row", "id", "terms", "tfs"))
         self.blocks = written(dealt.repartition("m", "block").sortWithinPartitions("m", "block").mapInArrow(_build, BLOCK), "lexical-index")
-        each = self.blocks.select("m", F.inline(F.arrays_zip("terms", "top_tfs", F.expr(
-            "transform(sequence(1, size(terms)), i -> starts[i] - starts[i - 1])").alias("dfs")))) if self.count else None
+        held = F.expr("transform(terms, (t, i) -> starts[i + 1] - starts[i])").alias("dfs")
+        each = self.blocks.select("m", F.inline(F.arrays_zip("terms", "top_tfs", held))) if self.count else None
         spark = docs.sparkSession
         self.terms = written(each.groupBy("m", F.col("terms").alias("term")).agg(F.sum("dfs").alias("df"), F.max("top_tfs").alias("top")), "lexical-terms") \
             if each is not None else spark.createDataFrame([], "m long, term string, df long, top int")

@@ -151,11 +151,11 @@ class Forest:
             beyond = [F.lit(NONE), F.lit(0), F.lit(0), F.lit(0), F.lit(1)]
         else:
             beyond = [F.lit(TOP), F.lit(1), F.expr(f"tree div {FAN}"), F.expr(f"tree % {FAN}"), self.top_copies(F.lit(1))]
-        types = ["long", "int", "long", "int", "long"]
-        return [F.when(root, b).otherwise(a).cast(t).alias(c) for a, b, t, c in zip(inside, beyond, types, LINK)]
+        return [F.when(root, b).otherwise(a).cast(t).alias(c) for a, b, (c, t) in zip(inside, beyond, LINK.items())]
 
 
-LINK = ["to_tree", "to_level", "to_idx", "slot", "to_copies"]
+#: The columns of a link, with their types.
+LINK = {"to_tree": "long", "to_level": "int", "to_idx": "long", "slot": "int", "to_copies": "long"}
 
 
 def node_rows(some: DataFrame, forest: Forest, top: bool) -> DataFrame:
@@ -199,7 +199,7 @@ def manifest(docs: DataFrame, columns: list[str], key: str, group: str, text: st
     parts = [node_rows(x, forest, False) for x in inner] + [node_rows(x, forest, True) for x in top]
     if not parts:   # at most one leaf: no node above it
         parts = [level0.limit(0).select("tree", F.lit(0).alias("level"), "idx", F.col("digest").alias("children"), F.lit(1).cast("long").alias("copies"),
-                                        "size").withColumns({c: F.lit(0).cast("long") for c in LINK}).drop("size")]
+                                        *[F.lit(0).cast(t).alias(c) for c, t in LINK.items()])]
     nodes = written(reduce(DataFrame.unionByName, parts), "merkle-nodes")
     linked = rows.withColumn("level", F.lit(0)).select("row", "key", "digest", "changed", "tree", *forest.link(False))
     return Manifest(linked, nodes, subroots.withColumnRenamed("digest", "subroot"), root[0] if root else None)
