@@ -1,42 +1,45 @@
 """Exact quantiles of many columns at once, fully distributed.
 
 Spark's ``percentile`` merges a value→count map for the whole column into one
-task, which does not survive a high-cardinality column at scale. Here each
-quantile is resolved by *histogram refinement*:
+task, which does not survive a high-cardinality column at scale. Here a
+quantile takes two passes over the table and a look at a few values:
 
 * a target is an order statistic (0-based rank ``r`` among the non-null
   values of a column); linear interpolation needs ranks ``floor(h)`` and
   ``ceil(h)`` with ``h = q·(n-1)`` (numpy "linear", DuckDB ``quantile_cont``);
-* each round joins the long ``(k, v)`` table with a tiny, explicitly bounded
-  table of value brackets (one per unresolved target), counts rows per
-  (bracket, bucket), and a window over the buckets of one bracket finds the
-  one holding each target rank;
-* buckets are monotone in the value whatever its scale: the first round cuts
-  every octave of ``|v|`` into 64 (zero and the infinities apart), so no
-  difference of two far values is ever taken; later rounds cut a bracket,
-  which by then spans about 1 % of its value, into 65,536 equal parts. The 52
-  mantissa bits are used up after three of them, so four passes resolve any
-  data; a bracket of at most 65,536 rows is counted by the value itself,
-  which ends it at once;
-* only that one bucket per target comes back to the driver; a bucket whose
-  min equals its max resolves the target, otherwise it becomes the next,
-  narrower bracket.
+* the first pass builds a mergeable quantile sketch of every column
+  (``percentile_approx``, whose size does not depend on the rows) and asks it
+  for values a little below and above each target: a bracket;
+* the second pass counts, per bracket, the values below it and inside it. The
+  counts are exact, so they prove whether the bracket holds its ranks;
+* the third reads only rows with a value inside some bracket and counts them
+  value by value; a running count finds the ranks.
+
+A bracket that does not hold its ranks, or holds more than 65,536 values, is
+resolved by *histogram refinement*, which needs no sketch: each round counts
+rows per (bracket, bucket) and keeps the bucket that holds the rank. Buckets
+are monotone in the value whatever its scale: a bracket wider than 2 % of its
+value is cut into 64 parts of every octave of ``|v|`` (zero and the infinities
+apart), so no difference of two far values is ever taken; a narrower one into
+65,536 equal parts. The 52 mantissa bits are used up after three of those.
 
 Hot values (one value holding a third of the rows) resolve at once because
-their bucket has min == max. The driver never holds more than one row per
-target per round.
+their bracket has min == max. The driver never holds more than one row per
+target per pass.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .columns import by_position
 from .numeric import as_double
 
 _BRACKET_SCHEMA = T.StructType([
@@ -54,6 +57,10 @@ _TARGET_SCHEMA = T.StructType([
 
 
 BUCKETS = 65_536
+#: Accuracy of the sketch: ranks are off by at most one in so many values.
+SKETCH = 10_000
+#: Columns in one wide aggregate, which bounds its generated code.
+COLUMNS_AT_ONCE = 40
 
 
 def _octave_bucket(v):
@@ -74,39 +81,74 @@ class _Target:
     value: float | None = None
 
 
+def _chunks(items: list, size: int = COLUMNS_AT_ONCE) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
 def column_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float | None, float | None]]:
     """(non-null count, min, max) per column in one fused aggregate."""
+    p, col = by_position(df)
     aggs = []
     for i, c in enumerate(columns):
-        v = as_double(F.col(c))
+        v = as_double(col(c))
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
+    row = p.agg(*aggs).first()
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
 
 
+def _sketched(values: DataFrame, columns: int, probs: list[float]) -> dict[int, tuple]:
+    """Pass 1: per column position (count, min, max, the sketch's value around every probability: low, high, …)."""
+    edges = [min(1.0, max(0.0, p + d / SKETCH)) for p in probs for d in (-2.0, 2.0)]
+    out = {}
+    for ks in _chunks(list(range(columns))):
+        row = values.agg(*[a for k in ks for a in (
+            F.count(f"v{k}").alias(f"n{k}"), F.min(f"v{k}").alias(f"lo{k}"), F.max(f"v{k}").alias(f"hi{k}"),
+            F.percentile_approx(f"v{k}", edges, SKETCH).alias(f"s{k}"))]).first()
+        for k in ks:
+            out[k] = (row[f"n{k}"], row[f"lo{k}"], row[f"hi{k}"], row[f"s{k}"])
+    return out
+
+
+def _counted(values: DataFrame, brackets: dict[int, list[tuple[float, float]]]) -> dict[tuple, tuple[int, int]]:
+    """Pass 2: how many values of its column lie below each bracket, and inside it."""
+    out = {}
+    for ks in _chunks(sorted(brackets)):
+        asked = [(k, lo, hi) for k in ks for lo, hi in brackets[k]]
+        row = values.agg(*[a for i, (k, lo, hi) in enumerate(asked) for a in (
+            F.count_if(F.col(f"v{k}") < lo).alias(f"b{i}"), F.count_if(F.col(f"v{k}").between(lo, hi)).alias(f"i{i}"))]).first()
+        out |= {b: (row[f"b{i}"], row[f"i{i}"]) for i, b in enumerate(asked)}
+    return out
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
                     stats: dict[str, tuple[int, float | None, float | None]] | None = None,
                     ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles ``probs`` for each numeric column.
 
     Returns ``{column: [value per prob]}``; ``None`` for columns without
-    non-null values. ``stats`` may pass precomputed (count, min, max)."""
+    non-null values. ``stats`` may pass precomputed (count, min, max); columns
+    known to have few values then need no sketch."""
     if not columns:
         return {}
     spark = df.sparkSession
-    stats = stats or column_counts(df, columns)
+    p, col = by_position(df)
+    values = p.select(*[as_double(col(c)).alias(f"v{k}") for k, c in enumerate(columns)])
+    few = stats is not None and max((stats[c][0] or 0) for c in columns) <= BUCKETS
+    sketch = {} if few else _sketched(values, len(columns), probs)
+    sizes = {k: stats[c] if few else sketch[k][:3] for k, c in enumerate(columns)}
 
     targets: list[_Target] = []
     needs: dict[tuple[int, int], _Target] = {}
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
+    around: dict[tuple[int, int], tuple[float, float]] = {}      # the sketch's bracket of a target
     for k, c in enumerate(columns):
-        n, lo, hi = stats[c]
+        n, lo, hi = sizes[k]
         if not n:
             plan[c] = [None] * len(probs)
             continue
         rows = []
-        for p in probs:
-            h = p * (n - 1)
+        for i, q in enumerate(probs):
+            h = q * (n - 1)
             r0 = int(math.floor(h))
             r1 = min(r0 + 1, n - 1)
             rows.append((r0, r1, h - r0))
@@ -115,38 +157,50 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
                     t = _Target(k, r, float(lo), float(hi), 0, int(n))
                     if lo == hi:
                         t.value = float(lo)
+                    elif n > BUCKETS:
+                        # the sketch's ends are values of the column; the outermost ranks reach to its extremes
+                        at = sketch[k][3][2 * i:2 * i + 2]
+                        around[(k, r)] = (float(lo) if q * SKETCH <= 2 else at[0], float(hi) if (1 - q) * SKETCH <= 2 else at[1])
                     needs[(k, r)] = t
                     targets.append(t)
         plan[c] = rows
+    if around:
+        brackets: dict[int, list] = {}
+        for (k, _), b in around.items():
+            if b not in brackets.setdefault(k, []):
+                brackets[k].append(b)
+        counts = _counted(values, brackets)
+        for (k, r), (lo, hi) in around.items():
+            below, inside = counts[(k, lo, hi)]
+            if below <= r < below + inside:      # proven; otherwise the whole column stays the bracket
+                t = needs[(k, r)]
+                t.lo, t.hi, t.offset, t.count = lo, hi, below, inside
+                if lo == hi:
+                    t.value = lo
 
-    def to_long(frame: DataFrame) -> DataFrame:
-        """long (k, v) table of the numeric columns, NaN/NULL dropped"""
-        return frame.select(F.inline(F.array(*[
-            F.struct(F.lit(k).cast("int").alias("k"), as_double(F.col(c)).alias("v"))
-            for k, c in enumerate(columns)]))).where(F.col("v").isNotNull())
-
-    first = True
     while open_t := [t for t in targets if t.value is None]:
         # distinct brackets; bounded by the number of targets (columns × probs × 2)
         brackets_of: dict[tuple, int] = {}
         for t in open_t:
             brackets_of.setdefault((t.k, t.lo, t.hi, t.offset, t.count), len(brackets_of))
-        br_rows = [(b, k, lo, hi, "value" if cnt <= BUCKETS else "octave" if first else "linear")
+        br_rows = [(b, k, lo, hi, "value" if cnt <= BUCKETS else "linear" if _narrow(lo, hi) else "octave")
                    for (k, lo, hi, _off, cnt), b in brackets_of.items()]
         tg_rows = [(brackets_of[(t.k, t.lo, t.hi, t.offset, t.count)], i, t.rank - t.offset) for i, t in enumerate(open_t)]
-        brackets = spark.createDataFrame(br_rows, _BRACKET_SCHEMA)
+        table = spark.createDataFrame(br_rows, _BRACKET_SCHEMA)
         tgts = spark.createDataFrame(tg_rows, _TARGET_SCHEMA)
 
-        # parquet-level pre-filter: a row matters only if some column falls in a bracket
-        pre = None
-        if not first:
-            for k, lo, hi, _, _ in brackets_of:
-                cond = F.col(columns[k]).between(lo, hi)
-                pre = cond if pre is None else (pre | cond)
-        src = to_long(df if pre is None else df.where(pre))
-
-        j = src.join(F.broadcast(brackets),   # bounded by columns × probabilities
-                     (src.k == brackets.k) & src.v.between(brackets.lo, brackets.hi))
+        # a row matters only if some column falls in a bracket, and then only those columns
+        inside_of: dict[int, object] = {}
+        for k, lo, hi, _, _ in brackets_of:
+            cond = F.col(f"v{k}").between(lo, hi)
+            inside_of[k] = inside_of[k] | cond if k in inside_of else cond
+        pre = reduce(lambda a, b: a | b, inside_of.values())
+        long = values.where(pre).select(F.inline(F.array(*[
+            F.struct(F.lit(k).cast("int").alias("k"), F.when(cond, F.col(f"v{k}")).alias("v")) for k, cond in inside_of.items()])))
+        src = long.where(F.col("v").isNotNull())
+
+        j = src.join(F.broadcast(table),   # bounded by columns × probabilities
+                     (src.k == table.k) & src.v.between(table.lo, table.hi))
         v = F.col("v")
         share = (v - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324))
         linear = F.least(F.floor(share * float(BUCKETS)), F.lit(BUCKETS - 1)).cast("double")
@@ -166,13 +220,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
             else:
                 t.offset += int(row["before"])
                 t.lo, t.hi, t.count = float(row["vmin"]), float(row["vmax"]), int(row["cnt"])
-        first = False
 
     out: dict[str, list[float | None]] = {}
     for k, c in enumerate(columns):
-        rows = plan[c]
         vals = []
-        for r in rows:
+        for r in plan[c]:
             if r is None:
                 vals.append(None)
                 continue
@@ -183,13 +235,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *,
     return out
 
 
+def _narrow(lo: float, hi: float) -> bool:
+    """A bracket that spans at most 2 % of its value."""
+    return math.isfinite(lo) and math.isfinite(hi) and lo * hi > 0 and min(abs(lo), abs(hi)) > 0.98 * max(abs(lo), abs(hi))
+
+
 def grouped_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """(grp, n, median) of the non-null values of every non-null group, exact.
 
     The same refinement with the brackets of all groups as a table: groups are
     unbounded, so nothing of them reaches the driver but the number still
     open. The window holds the buckets of one group's bracket."""
-    src = df.select(F.col(group).cast("string").alias("grp"), as_double(F.col(value)).alias("v")).dropna()
+    p, col = by_position(df)
+    src = p.select(col(group).cast("string").alias("grp"), as_double(col(value)).alias("v")).dropna()
     size = src.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     ranks = F.array(*[F.struct(F.lit(i).alias("side"), F.floor((F.col("n") - 1 + i) / 2).cast("long").alias("t")) for i in (0, 1)])
     state = cut_lineage(size.select("grp", "n", F.inline(ranks), "lo", "hi", F.col("n").alias("cnt"),
@@ -220,8 +278,9 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """One-pass ``percentile_approx`` (returns actual data values; opt-in)."""
     if not columns:
         return {}
-    row = df.agg(*[F.percentile_approx(as_double(F.col(c)), probs, accuracy).alias(f"q{i}")
-                   for i, c in enumerate(columns)]).first()
+    p, col = by_position(df)
+    row = p.agg(*[F.percentile_approx(as_double(col(c)), probs, accuracy).alias(f"q{i}")
+                  for i, c in enumerate(columns)]).first()
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
             for i, c in enumerate(columns)}
 

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import with_values
 from ..functions.numeric import family_of
+from ..functions.sentences import DETAILS, as_column, entry
 from .profile import drop_duplicate_rows
 from ..functions.text import (edge_trim, first_free, guarded_double, is_missing_token, parse_datetime, snake_case,
                               snake_case_name)
@@ -27,6 +29,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("details", T.StringType()),
     T.StructField("n", T.LongType()),
 ])
+#: Type of a column of integers some of which a bigint cannot hold.
+LONG_INTEGER = "decimal(38,0)"
 INTEGER_GUARD = r"^\s*[+-]?[0-9]+\s*$"
 
 
@@ -71,14 +75,16 @@ def renamed_columns_df(spark: SparkSession, mapping: list[tuple[str, str]]) -> D
 
 def trim_text(df: DataFrame) -> DataFrame:
     """Strip leading/trailing Unicode whitespace in all text columns."""
-    return df.select(*[edge_trim(F.col(f.name)).alias(f.name) if family_of(f.dataType) == "text"
-                       else F.col(f.name) for f in df.schema.fields])
+    return with_values(df, {n: edge_trim for n in text_columns(df)})
 
 
 def null_missing_tokens(df: DataFrame) -> DataFrame:
     """C4: exact, case-sensitive missing tokens → NULL in text columns."""
-    return df.select(*[F.when(~is_missing_token(F.col(f.name)), F.col(f.name)).alias(f.name)
-                       if family_of(f.dataType) == "text" else F.col(f.name) for f in df.schema.fields])
+    return with_values(df, {n: lambda x: F.when(~is_missing_token(x), x) for n in text_columns(df)})
+
+
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if family_of(f.dataType) == "text"]
 
 
 @dataclass
@@ -87,7 +93,7 @@ class SafeCleanSpec:
     text_cols: list[str]
     trimmed_cols: list[str]
     new_nulls: int
-    coerced: list[tuple[str, str]] = field(default_factory=list)   # (column, "numeric[:bigint]"/"datetime")
+    coerced: list[tuple[str, str]] = field(default_factory=list)   # (column, "numeric[:type]"/"datetime")
     rows_before: int = 0
 
 
@@ -116,6 +122,8 @@ def _vote_long(df: DataFrame, text_cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw") != F.col("t")).alias("trimmed"),
         F.count_if(is_missing_token(F.col("t"))).alias("tokens"), F.count(tok).alias("non_null"),
         F.count(guarded_double(tok)).alias("numeric_ok"), F.count(F.when(tok.rlike(INTEGER_GUARD), F.trim(tok).try_cast("bigint"))).alias("integer_ok"),
+        F.count_if(tok.rlike(INTEGER_GUARD)).alias("integers"),
+        F.count(F.when(tok.rlike(INTEGER_GUARD), F.trim(tok).try_cast(LONG_INTEGER))).alias("long_ok"),
         F.count(parse_datetime(tok)).alias("datetime_ok"))
 
 
@@ -150,7 +158,11 @@ def fit_safe_clean(df: DataFrame) -> SafeCleanSpec:
             continue
         r = got[i]
         nn, nu, dt = int(r["non_null"]), int(r["numeric_ok"]), int(r["datetime_ok"])
-        if nu >= nn * 0.8 and nu > 0:
+        if nu >= nn * 0.8 and nu > 0 and int(r["integers"]) > int(r["integer_ok"]):
+            # integers beyond 64 bits: as doubles, different ones would become equal
+            if int(r["long_ok"]) == nn:
+                spec.coerced.append((c, f"numeric:{LONG_INTEGER}"))
+        elif nu >= nn * 0.8 and nu > 0:
             # pandas keeps int64 only when every value is an integer and nothing is missing
             as_int = int(r["integer_ok"]) == nn == n
             spec.coerced.append((c, "numeric:bigint" if as_int else "numeric"))
@@ -172,8 +184,8 @@ def apply_safe_clean(df: DataFrame, spec: SafeCleanSpec, dedup: bool = True) ->
         if f.name in idx:
             tok = F.col(f"__k{idx[f.name]}")
             kind = kinds.get(f.name)
-            if kind == "numeric:bigint":
-                c = F.trim(tok).try_cast("bigint")
+            if kind and kind.startswith("numeric:"):
+                c = F.trim(tok).try_cast(kind.split(":")[1])
             elif kind == "numeric":
                 c = guarded_double(tok)
             elif kind == "datetime":
@@ -191,28 +203,25 @@ def safe_clean_log(spark: SparkSession, spec: SafeCleanSpec, cleaned: DataFrame)
     rows = []
     renamed = [(o, n) for o, n in spec.mapping if o != n]
     if renamed:
-        rows.append(("normalize_column_names", f"Renamed {len(renamed)} columns to snake_case", len(renamed)))
+        rows.append(entry("normalize_column_names", len(renamed)))
     if spec.trimmed_cols:
-        rows.append(("trim_whitespace", f"Trimmed whitespace in {len(spec.trimmed_cols)} string columns",
-                     len(spec.trimmed_cols)))
+        rows.append(entry("trim_whitespace", len(spec.trimmed_cols)))
     if spec.new_nulls > 0:
-        rows.append(("normalize_missing_tokens", f"Converted {spec.new_nulls} missing value tokens to NaN",
-                     spec.new_nulls))
+        rows.append(entry("normalize_missing_tokens", spec.new_nulls))
     if spec.coerced:
         items = [f"{c} -> {k.split(':')[0]}" for c, k in spec.coerced]
-        rows.append(("type_coercion", f"Coerced {len(items)} columns: {', '.join(items[:5])}"
-                     f"{'...' if len(items) > 5 else ''}", len(items)))
-    fixed = spark.createDataFrame([(i + 1, a, d, n) for i, (a, d, n) in enumerate(rows)], LOG_SCHEMA)
+        rows.append(entry("type_coercion", len(items), items=", ".join(items[:5]) + ("..." if len(items) > 5 else "")))
+    fixed = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], LOG_SCHEMA)
     before = spec.rows_before
     k = len(rows)
     after = cleaned.agg(F.count(F.lit(1)).alias("after"))
+    gone, left = F.lit(before) - F.col("after"), F.col("after")
     tail = after.select(F.explode(F.array(
         F.struct(F.lit(k + 1).alias("step"), F.lit("remove_duplicates").alias("action"),
-                 F.format_string("Removed %d duplicate rows", F.lit(before) - F.col("after")).alias("details"),
-                 (F.lit(before) - F.col("after")).cast("bigint").alias("n")),
+                 as_column(DETAILS["remove_duplicates"], n=gone).alias("details"), gone.cast("bigint").alias("n")),
         F.struct(F.lit(k + 2).alias("step"), F.lit("safe_cleaning_complete").alias("action"),
-                 F.format_string("Safe cleaning finished. Rows: %d -> %d", F.lit(before), F.col("after"))
-                 .alias("details"), F.col("after").cast("bigint").alias("n")))).alias("r")).select("r.*")
+                 as_column(DETAILS["safe_cleaning_complete"], before=F.lit(before), n=left).alias("details"),
+                 left.cast("bigint").alias("n")))).alias("r")).select("r.*")
     tail = tail.where((F.col("action") != "remove_duplicates") | (F.col("n") > 0))
     # the complete-row keeps its step number even when no duplicate row was logged
     tail = tail.withColumn("step", F.when((F.col("action") == "safe_cleaning_complete")

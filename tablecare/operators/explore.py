@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import by_position, field_type
 from ..functions.numeric import (as_double, equal_width_bin, family_of, is_floating, rnd, safe_corr,
                                  skewness_unbiased)
 from ..functions.quantiles import grouped_median, quantiles
 from ..functions.text import (OUTCOME_KEYWORDS, QUALITY_KEYWORDS, TEMPORAL_KEYWORDS, contains_any,
                               parse_datetime)
+from ..session import ship
+from .heavy import frequent
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns a numeric-only selection would keep (booleans excluded)."""
@@ -52,7 +56,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     pass as literals; empty bins come from a ``range`` of bin numbers joined
     on the bin key."""
     spark = df.sparkSession
-    v = df.select(as_double(F.col(column)).alias("v")).where(F.col("v").isNotNull())
+    p, col = by_position(df)
+    v = p.select(as_double(col(column)).alias("v")).where(F.col("v").isNotNull())
     mm = v.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).first()
     if mm["mn"] is None:
         return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
@@ -70,8 +75,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def distribution_stats(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     """V2 stats: mean, median, sample std, bias-corrected skewness (4 dp)."""
     med = quantiles(df, [column], [0.5], method=method)[column][0]
-    v = as_double(F.col(column))
-    return df.agg(rnd(F.avg(v)).alias("mean"), rnd(F.stddev_samp(v)).alias("std"),
+    p, col = by_position(df)
+    v = as_double(col(column))
+    return p.agg(rnd(F.avg(v)).alias("mean"), rnd(F.stddev_samp(v)).alias("std"),
                   rnd(skewness_unbiased(v)).alias("skewness"), F.count(v).cast("bigint").alias("n")
                   ).select("mean", (rnd(F.lit(med)) if med is not None else F.lit(None).cast("double"))
                            .alias("median"), "std", "skewness", "n")
@@ -81,9 +87,9 @@ def distribution_stats(df: DataFrame, column: str, method: str = "exact") -> Dat
 
 def category_frequency(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """V3: top-N categories by count (ties → value ascending)."""
-    return (df.where(F.col(column).isNotNull())
-            .groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col("n").desc(), F.col("value").asc()).limit(top_n))
+    p, col = by_position(df)
+    top = frequent(p.select(col(column).cast("string").alias("value")), ["value"]).top(top_n)
+    return top.select("value", "n").orderBy(F.col("n").desc(), F.col("value").asc())
 
 
 # ---- V4 / V5 ----------------------------------------------------------------------------
@@ -185,7 +191,9 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "x string, y string, r double")
-    vals = df.select(*[as_double(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    ship(spark)
+    p, col = by_position(df, "p")
+    vals = p.select(*[as_double(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     parts = vals.mapInPandas(_partition_moments(len(cols)), "i int, j int, " + ", ".join(f"{c} double" for c in _PAIR))
     pair = Window.partitionBy("i", "j")   # one row per partition of the input
     parts = parts.where("n > 0").withColumns({
@@ -220,7 +228,29 @@ def correlation_summary(corr: DataFrame) -> DataFrame:
 
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
     """V5 points: rows where both are present (every row, no cap)."""
-    return df.select(as_double(F.col(x)).alias("x"), as_double(F.col(y)).alias("y")).dropna()
+    p, col = by_position(df)
+    return p.select(as_double(col(x)).alias("x"), as_double(col(y)).alias("y")).dropna()
+
+
+def scatter_sample(df: DataFrame, x: str, y: str, keys: list[str], cells: int = 32, per_cell: int = 4) -> DataFrame:
+    """V5 for display: (x, y, cell_x, cell_y, n), at most ``per_cell`` points of every cell of a ``cells`` × ``cells``
+    grid over the points' extent, with the number ``n`` of points in the cell.
+
+    Every occupied cell keeps a point, so outliers show, and ``n`` keeps the density. A cell keeps the points
+    whose keys have the smallest hashes, the same ones whatever the partitions, and each task keeps that many
+    per cell before the shuffle."""
+    p, col = by_position(df)
+    key = F.concat_ws("|", *[col(k).cast("string") for k in keys])
+    points = p.select(as_double(col(x)).alias("x"), as_double(col(y)).alias("y"), key.alias("key")).where("x IS NOT NULL AND y IS NOT NULL")
+    e = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if e[0] is None:
+        return df.sparkSession.createDataFrame([], "x double, y double, cell_x int, cell_y int, n bigint")
+    cell = {"cell_x": equal_width_bin(F.col("x"), F.lit(e[0]), F.lit(e[1]), cells), "cell_y": equal_width_bin(F.col("y"), F.lit(e[2]), F.lit(e[3]), cells)}
+    placed = points.withColumns(cell)
+    first = Window.partitionBy("cell_x", "cell_y").orderBy(F.md5("key"), "x", "y")
+    kept = placed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_cell).drop("r", "key")
+    size = placed.groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
+    return kept.join(F.broadcast(size), ["cell_x", "cell_y"]).select("x", "y", "cell_x", "cell_y", "n")   # at most cells² rows
 
 
 def scatter_stats(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -236,17 +266,15 @@ def scatter_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 def box_stats(df: DataFrame, columns: list[str] | None = None, method: str = "exact") -> DataFrame:
     """V6: q1, median, q3, whiskers at the furthest point within 1.5·IQR and
     the count of points beyond, per column (default: first six numerics)."""
+    from .profile import tukey_fences
     cols = columns or numeric_columns(df)[:6]
     qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
     structs = []
+    p, col = by_position(df)
     for c in cols:
         q1, med, q3 = qs[c]
-        v = as_double(F.col(c))
-        if q1 is None:
-            lo_b = hi_b = None
-        else:
-            iqr = q3 - q1
-            lo_b, hi_b = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+        v = as_double(col(c))
+        lo_b, hi_b = (None, None) if q1 is None else tukey_fences(q1, q3)
         def lit(x):
             return F.lit(x).cast("double")
         structs.append(F.struct(
@@ -255,21 +283,22 @@ def box_stats(df: DataFrame, columns: list[str] | None = None, method: str = "ex
             rnd(F.min(F.when(v >= lit(lo_b), v))).alias("whisker_lo"),
             rnd(F.max(F.when(v <= lit(hi_b), v))).alias("whisker_hi"),
             F.count_if((v < lit(lo_b)) | (v > lit(hi_b))).cast("bigint").alias("n_outliers")))
-    return df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
+    return p.agg(F.array(*structs).alias("a")).select(F.inline("a"))
 
 
 # ---- V7 ---------------------------------------------------------------------------------
 
-def _as_ts(df: DataFrame, column: str) -> Column:
-    fam = family_of(df.schema[column].dataType)
-    c = F.col(column)
-    return parse_datetime(c) if fam == "text" else c.cast("timestamp_ntz")
+def _points(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
+    """(ts, value) where both are present."""
+    p, col = by_position(df)
+    c = col(date_col)
+    ts = parse_datetime(c) if family_of(field_type(df, date_col)) == "text" else c.cast("timestamp_ntz")
+    return p.select(ts.alias("ts"), as_double(col(value_col)).alias("value")).dropna()
 
 
 def time_trend(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """V7: (ts, value) for rows where both are present, ordered by time."""
-    return (df.select(_as_ts(df, date_col).alias("ts"), as_double(F.col(value_col)).alias("value"))
-            .dropna().orderBy("ts", "value"))
+    return _points(df, date_col, value_col).orderBy("ts", "value")
 
 
 def time_trend_summary(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
@@ -280,11 +309,28 @@ def time_trend_summary(df: DataFrame, date_col: str, value_col: str) -> DataFram
 
 def time_trend_buckets(df: DataFrame, date_col: str, value_col: str, unit: str = "day") -> DataFrame:
     """V7 at scale: one point per ``date_trunc(unit)`` bucket (n, mean)."""
-    t = df.select(_as_ts(df, date_col).alias("ts"), as_double(F.col(value_col)).alias("value")).dropna()
+    t = _points(df, date_col, value_col)
     return (t.groupBy(F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz").alias("bucket"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"), rnd(F.avg("value")).alias("mean")))
 
 
+def time_line(df: DataFrame, date_col: str, value_col: str, pixels: int = 800) -> DataFrame:
+    """V7 for display: (pixel, ts, value), in order of time, of the points that a line of ``pixels`` columns needs.
+
+    The pixels of a line depend, per column, on its first, last, lowest and highest point alone: the first and last
+    join it to its neighbours, the others span it. One aggregate keeps those four."""
+    points = _points(df, date_col, value_col).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    a, b = points.agg(F.min("us"), F.max("us")).first()
+    if a is None:
+        return df.sparkSession.createDataFrame([], "pixel int, ts timestamp_ntz, value double")
+    pixel = F.expr(f"cast(((us - {a}) * {pixels}) div {b - a + 1} AS INT)")
+    by_time, by_value = F.struct("ts", "value"), F.struct("value", "ts")
+    kept = points.groupBy(pixel.alias("pixel")).agg(
+        F.min(by_time).alias("a"), F.max(by_time).alias("b"), F.min(by_value).alias("c"), F.max(by_value).alias("d"))
+    four = F.array_distinct(F.array(*[F.struct(F.col(f"{x}.ts").alias("ts"), F.col(f"{x}.value").alias("value")) for x in "abcd"]))
+    return kept.select("pixel", F.inline(four)).orderBy("ts", "value")
+
+
 # ---- V8 ---------------------------------------------------------------------------------
 
 GROUPED_AGGS = {
@@ -304,14 +350,13 @@ def grouped_agg(df: DataFrame, group_col: str, value_col: str, agg: str = "mean"
     hot groups cheap; the median is resolved by bucket counts per group."""
     if agg != "median" and agg not in GROUPED_AGGS:
         raise ValueError(f"aggregation must be one of {sorted([*GROUPED_AGGS, 'median'])}")
-    v = as_double(F.col(value_col))
+    p, col = by_position(df)
+    rows = p.select(col(group_col).cast("string").alias("grp"), col(value_col).alias("value")).where(F.col("grp").isNotNull())
     if agg == "median":
-        every = df.where(F.col(group_col).isNotNull()).select(F.col(group_col).cast("string").alias("grp")).distinct()
-        g = every.join(grouped_median(df, group_col, value_col), "grp", "left").select("grp", rnd(F.col("median")).alias("value"))
-        return g.orderBy(F.col("value").desc_nulls_last(), F.col("grp").asc()).limit(top)
-    g = (df.where(F.col(group_col).isNotNull())
-         .groupBy(F.col(group_col).cast("string").alias("grp"))
-         .agg(rnd(GROUPED_AGGS[agg](v)).alias("value")))
+        every = rows.select("grp").distinct()
+        g = every.join(grouped_median(rows, "grp", "value"), "grp", "left").select("grp", rnd(F.col("median")).alias("value"))
+    else:
+        g = rows.groupBy("grp").agg(rnd(GROUPED_AGGS[agg](as_double(F.col("value")))).alias("value"))
     return g.orderBy(F.col("value").desc_nulls_last(), F.col("grp").asc()).limit(top)
 
 
@@ -329,11 +374,10 @@ def unordered_dedup(df: DataFrame, cols: list[str], order_by: list[str]) -> Data
     """Keep the first row (by ``order_by``) of every unordered set of
     ``cols``. ``min_by`` aggregates partially before the shuffle, so a hot
     signature never lands whole in one task."""
-    sig = unordered_signature([F.col(c) for c in cols])
-    row = F.struct(*[F.col(c) for c in df.columns])
-    order = F.struct(*[F.col(c) for c in order_by])
-    return (df.withColumn("__sig", sig).groupBy("__sig")
-            .agg(F.min_by(row, order).alias("r")).select("r.*"))
+    p, col = by_position(df)
+    row, order = F.struct(*p.columns), F.struct(*[col(c) for c in order_by])
+    return (p.groupBy(unordered_signature([col(c) for c in cols]).alias("sig"))
+            .agg(F.min_by(row, order).alias("r")).select("r.*").toDF(*df.columns))
 
 
 # ---- X1 / X2 / V13 ----------------------------------------------------------------------

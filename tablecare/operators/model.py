@@ -21,47 +21,47 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import by_position, field_type, with_values
 from ..functions.numeric import as_double, family_of, hash_bucket, is_floating
 from ..functions.quantiles import quantiles
+from ..functions.ranks import dense_ranks
 from ..session import cut_lineage
 from .profile import Profile
 
 MIN_ROWS = 10
+#: An index of at most so many categories goes to every task.
+BROADCAST_ROWS = 100_000
 
 
 def hash_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """M2: deterministic split; adds ``is_test`` from md5(seed-key)."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
-    return df.withColumn("is_test", hash_bucket(key, seed) < int(round(10000 * test_size)))
+    p, col = by_position(df)
+    key = F.concat_ws("|", *[col(c).cast("string") for c in key_cols])
+    return p.withColumn("is_test", hash_bucket(key, seed) < int(round(10000 * test_size))).toDF(*df.columns, "is_test")
 
 
 def standardize(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """M3 scaler: (x − mean) / population std of the fitting rows; a zero std
     scales by 1."""
-    src = fit_on if fit_on is not None else df
-    row = src.agg(*[F.avg(as_double(F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
-                  *[F.stddev_pop(as_double(F.col(c))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    out = []
-    for c in df.columns:
-        if c in columns:
-            i = columns.index(c)
-            m, s = row[f"m{i}"], row[f"s{i}"]
-            s = s if s else 1.0
-            out.append(((as_double(F.col(c)) - F.lit(m)) / F.lit(s)).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    p, col = by_position(df if fit_on is None else fit_on)
+    row = p.agg(*[F.avg(as_double(col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
+                *[F.stddev_pop(as_double(col(c))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+
+    def scaled(m: float | None, s: float | None):
+        return lambda x: (as_double(x) - F.lit(m)) / F.lit(s or 1.0)
+    return with_values(df, {c: scaled(row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)})
 
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """M6: balanced weights n/(k·n_c) when the largest class is more than
     twice the smallest, else 1. One row per class; the four totals come from
     one small aggregate and enter as literals."""
-    counts = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
+    p, col = by_position(train)
+    counts = p.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
     tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"),
                      F.max("n_c").alias("mx"), F.min("n_c").alias("mn")).first()
     n, k, mx, mn = (tot["n"] or 0), tot["k"], (tot["mx"] or 0), (tot["mn"] or 1)
@@ -85,9 +85,9 @@ class ModelResult:
 
 def resolve_task_type(df: DataFrame, target: str, requested: str | None = None) -> tuple[str, int, int]:
     """T7 for one target column (one aggregate)."""
-    fam = family_of(df.schema[target].dataType)
-    row = df.where(F.col(target).isNotNull()).agg(F.count(F.lit(1)).alias("n"),
-                                                   F.count_distinct(F.col(target)).alias("u")).first()
+    fam = family_of(field_type(df, target))
+    p, col = by_position(df)
+    row = p.agg(F.count(col(target)).alias("n"), F.count_distinct(col(target)).alias("u")).first()
     n, u = int(row["n"]), int(row["u"])
     if fam not in ("numeric", "boolean"):
         return "classification", u, n
@@ -101,18 +101,22 @@ def resolve_task_type(df: DataFrame, target: str, requested: str | None = None)
 
 def category_index(train: DataFrame, columns: list[str]) -> DataFrame:
     """(c, value, idx): the distinct training values of every column in order,
-    as a table. It is joined, never gathered on the driver."""
-    long = train.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value"))
-                                           for i, c in enumerate(columns)]))).where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("c").orderBy("value")
-    return long.withColumn("idx", (F.row_number().over(w) - 1).cast("double"))
+    as a table. It is joined, never gathered on the driver, and no task sorts
+    the values of a whole column."""
+    p, col = by_position(train)
+    long = p.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("string").alias("value"))
+                                       for i, c in enumerate(columns)]))).where(F.col("value").isNotNull()).distinct()
+    return dense_ranks(long, "c", "value").withColumn("idx", F.col("idx").cast("double"))
 
 
 def encode(df: DataFrame, index: DataFrame, columns: list[str], sizes: dict[int, int]) -> DataFrame:
     """Adds ``__idx_<column>``: the value's index; a value unseen in training
-    gets the number of categories, which the encoder turns into all zeros."""
+    gets the number of categories, which the encoder turns into all zeros.
+    ``columns`` are names that need no quotes; an index of few values goes to
+    every task."""
     for i, c in enumerate(columns):
         mine = index.where(F.col("c") == i).select(F.col("value").alias("__v"), F.col("idx").alias(f"__idx_{c}"))
+        mine = F.broadcast(mine) if sizes.get(i, 0) <= BROADCAST_ROWS else mine
         df = (df.join(mine, F.col(c).cast("string") == F.col("__v"), "left").drop("__v")
               .withColumn(f"__idx_{c}", F.coalesce(f"__idx_{c}", F.lit(float(sizes.get(i, 0))))))
     return df
@@ -137,12 +141,17 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     Rows without a target (NULL or NaN) are left out; numeric features without
     any training value, and categorical ones likewise, are dropped."""
     spark: SparkSession = df.sparkSession
+    # columns are named by position from here on; only names in the result are the caller's
+    names = {f"f{i}": n for i, n in reversed(list(enumerate(df.columns)))}
+    at = {n: c for c, n in names.items()}
+    own_target, target, df = target, at[target], by_position(df, "f")[0]
+    key_cols = [at[c] for c in key_cols]
     has_target = F.col(target).isNotNull()
     if is_floating(df.schema[target].dataType):
         has_target = has_target & ~F.isnan(target)
     data = df.where(has_target)
-    num = [c for c in prof.numeric_cols if c != target and c in df.columns]
-    cat = [c for c in prof.categorical_cols if c != target and c in df.columns]
+    num = [at[c] for c in prof.numeric_cols if c in at and at[c] != target]
+    cat = [at[c] for c in prof.categorical_cols if c in at and at[c] != target]
     if not num and not cat:
         raise ValueError("No valid feature columns found for modeling")
     task, _, n = resolve_task_type(data, target, task_type)
@@ -214,9 +223,10 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
             pred = model.transform(te).select(F.col("__label").alias("actual"), F.col("prediction").alias("predicted"))
     finally:
         tr.unpersist()
-    test_rows = te.count()
-    imp = _importance(spark, run_id, coefs, signed, num, cat, index, sizes)
-    return ModelResult(run_id, task, target, model, pred, imp, train_rows, test_rows, len(coefs))
+    pred = cut_lineage(pred)      # scored once, however many metrics read it
+    test_rows = pred.count()
+    imp = _importance(spark, run_id, coefs, signed, [names[c] for c in num], [names[c] for c in cat], index, sizes)
+    return ModelResult(run_id, task, own_target, model, pred, imp, train_rows, test_rows, len(coefs))
 
 
 def _importance(spark, run_id, coefs, signed, num, cat, index, sizes, top: int = 20) -> DataFrame:
@@ -248,8 +258,9 @@ def _importance(spark, run_id, coefs, signed, num, cat, index, sizes, top: int =
 def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> tuple[list[float], float]:
     """Ridge (unpenalised intercept) on raw numeric features; returns
     (coefficients, intercept)."""
-    data = df.select(*[as_double(F.col(c)).alias(c) for c in features], as_double(F.col(label)).alias("__y")).dropna()
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(data)
+    p, col = by_position(df)
+    data = p.select(*[as_double(col(c)).alias(f"x{i}") for i, c in enumerate(features)], as_double(col(label)).alias("__y")).dropna()
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="features").transform(data)
     row = data.agg(F.stddev_pop("__y").alias("s"), F.count(F.lit(1)).alias("n")).first()
     est = LinearRegression(featuresCol="features", labelCol="__y", solver="normal", elasticNetParam=0.0,
                            regParam=alpha * (row["s"] or 1.0) / row["n"], standardization=False)

@@ -13,7 +13,7 @@ step  rule                                                          plan
 4     lower, ' '/'-' → '_' equals lower(known)                      equi-join
 5     lower/strip equals a mapping key or value → mapped value      equi-join (×2)
 6     alphanumeric-only forms equal                                 equi-join
-7     one alphanumeric form contains the other (both > 3 chars)     substring-explosion join
+7     one alphanumeric form contains the other (both > 3 chars)     rarest-gram join
 8     shared words / larger word count > .5 (best)                  prefix-filtered join
 9     character-set Jaccard > .7, both > 5 chars (best)             prefix-filtered join
 10    fallback: snake_case if a mapping is given, else unchanged    projection
@@ -25,8 +25,9 @@ left. Before a step joins, the known side is reduced to the earliest name per
 key (per text form, word set or letter set), with a partial aggregate, so a
 key that many known names share is one row.
 
-Steps 7-9 are non-equi in nature. Containment is made an exact equi-join by
-exploding every substring of one side whose length occurs on the other side.
+Steps 7-9 are non-equi in nature. For containment the shorter form meets the
+longer ones at its rarest run of four characters, and pairs that meet are
+checked.
 Steps 8 and 9 compare *distinct* word sets and letter sets by prefix filtering
 (tokens ordered rarest-first globally; a pair that passes must share a token
 among the ``|A| - least overlap + 1`` rarest of both, the least overlap
@@ -73,35 +74,36 @@ def _equi(req: DataFrame, rkey: Column, known: DataFrame, kkey: Column, tier: in
     return _resolved(hits.withColumn("score", F.lit(1.0)), tier)
 
 
-def _substrings(key: Column, lengths: list[int]) -> Column:
-    """All substrings of ``key`` whose length is in ``lengths``."""
-    ls = F.array(*[F.lit(int(x)) for x in lengths])
-    per_len = F.transform(
-        F.filter(ls, lambda n: n <= F.length(key)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)))
-    return F.array_distinct(F.flatten(per_len))
+#: Characters of a gram: the shortest form that containment looks at.
+GRAM = 4
 
 
-def _lengths(keys: DataFrame) -> list[int]:
-    """Distinct key lengths (at most the longest name's length)."""
-    return sorted(r[0] for r in keys.select(F.length("__k")).distinct().collect())
+def _grams(form: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a form that has at least one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - (GRAM - 1)), lambda i: F.substring(form, i, GRAM)))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(ik, ok): every form ``ik`` of ``inner`` with the forms ``ok`` of ``outer`` that hold it (or are it).
+
+    All grams of ``ik`` stand in such an ``ok``, so it is enough to meet at the one that the fewest forms of
+    ``outer`` hold: ``inner`` gives one row a form, ``outer`` one row a gram, and a pair that meets is checked."""
+    held = outer.select("ok", F.explode(_grams(F.col("ok"))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("forms"))
+    asked = inner.select("ik", F.explode(_grams(F.col("ik"))).alias("gram")).join(often, "gram", "left").withColumn("forms", F.coalesce("forms", F.lit(0)))
+    rarest = asked.groupBy("ik").agg(F.min(F.struct("forms", "gram")).alias("r")).where(F.col("r.forms") > 0)
+    return rarest.select("ik", F.col("r.gram").alias("gram")).join(held, "gram").where(F.contains("ok", "ik")).select("ik", "ok")
 
 
 def containment_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
     """Step 7: the earliest known name whose alphanumeric form contains, or is
     contained in, the requested one's (both longer than 3)."""
-    r = req.select("requested", alnum_key(F.col("requested")).alias("rk")).where(F.length("rk") > 3)
-    k = _earliest(known, alnum_key(F.col("name"))).where(F.length("__k") > 3)
-    forms = r.select(F.col("rk").alias("__k")).distinct()
-    k_lens, r_lens = _lengths(k), _lengths(forms)
-    inner = forms.select(F.col("__k").alias("rk"), F.explode(_substrings(F.col("__k"), k_lens)).alias("__k")) if k_lens \
-        else forms.select(F.col("__k").alias("rk"), "__k").limit(0)
-    held = inner.join(k, "__k").select("rk", "matched", "kord")                       # known within requested
-    outer = k.select("matched", "kord", F.explode(_substrings(F.col("__k"), r_lens)).alias("rk")) if r_lens \
-        else k.select("matched", "kord", F.col("__k").alias("rk")).limit(0)
-    outer = outer.groupBy("rk").agg(F.min_by("matched", "kord").alias("matched"), F.min("kord").alias("kord"))
-    within = forms.select(F.col("__k").alias("rk")).join(outer, "rk").select("rk", "matched", "kord")   # requested within known
-    best = held.unionByName(within).groupBy("rk").agg(F.min_by("matched", "kord").alias("matched"), F.min("kord").alias("kord"))
+    r = req.select("requested", alnum_key(F.col("requested")).alias("rk")).where(F.length("rk") >= GRAM)
+    k = _earliest(known, alnum_key(F.col("name"))).where(F.length("__k") >= GRAM)
+    asked, names = r.select("rk").distinct(), k.select("__k")
+    held = _contained(names.withColumnRenamed("__k", "ik"), asked.withColumnRenamed("rk", "ok")).select(F.col("ok").alias("rk"), F.col("ik").alias("__k"))
+    within = _contained(asked.withColumnRenamed("rk", "ik"), names.withColumnRenamed("__k", "ok")).select(F.col("ik").alias("rk"), F.col("ok").alias("__k"))
+    best = held.unionByName(within).join(k, "__k").groupBy("rk").agg(F.min_by("matched", "kord").alias("matched"), F.min("kord").alias("kord"))
     return _resolved(r.join(best, "rk").select("requested", "matched", "kord", F.lit(1.0).alias("score")), 7)
 
 

@@ -3,8 +3,8 @@
 Every statistic is a distributed aggregate whose result is bounded by the
 number of columns, then applied as literals in one projection:
 
-* R1 medians: exact distributed quantiles (histogram refinement);
-* R2 modes: top-1 of the value-frequency table, ties → smallest value;
+* R1 medians: exact distributed quantiles (sketch, then proof by counting);
+* R2 modes: top-1 of the Misra-Gries candidates, ties → smallest value;
 * R3 1st/99th percentiles on the imputed table, then ``greatest/least``;
 * R4 rare grouping: instead of the (unbounded) set of rare values we collect
   the *frequent* values — a value with share ≥ 1 % — of which there are at
@@ -15,14 +15,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import as_double, family_of
+from ..functions.columns import by_position, field_type, is_missing, with_values
+from ..functions.numeric import family_of
 from ..functions.quantiles import quantiles
+from ..functions.sentences import DETAILS, as_column, entry
 from .clean import LOG_SCHEMA, CleanResult, safe_clean
-from .profile import Profile, duplicate_rows, frequency_table, missing_expr, profile
+from .heavy import frequent
+from .profile import Profile, duplicate_rows, outlier_counts, profile
 
 RARE_SHARE = 0.01
 
@@ -32,17 +35,10 @@ def _is_plain_numeric(dt: T.DataType) -> bool:
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent non-null value per column; ties → smallest value.
-
-    Top-1 per column over the frequency table: Spark plans ``row_number() =
-    1`` as a partial WindowGroupLimit, so each map task ships one row per
-    column."""
+    """Most frequent non-null value per column; ties → smallest value."""
     if not columns:
         return {}
-    freq = frequency_table(df, columns)
-    w = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("value").asc())
-    top = freq.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
-    return {r["name"]: r["value"] for r in top.select("name", "value").collect()}
+    return {columns[r["k"]]: r["value"] for r in frequent(df, columns).top(1).select("k", "value").collect()}
 
 
 def frequent_values(df: DataFrame, columns: list[str], share: float = RARE_SHARE) -> dict[str, tuple[list[str], bool]]:
@@ -50,13 +46,14 @@ def frequent_values(df: DataFrame, columns: list[str], share: float = RARE_SHARE
     most 1/share of them) and whether any rarer value exists."""
     if not columns:
         return {}
-    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    total = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(row[f"n{i}"]))]), F.col("name"))
-    often = F.when(F.col("n") >= F.lit(share) * total, F.col("value"))   # at most 1/share values of a column
-    got = (frequency_table(df, columns).groupBy("name")
-           .agg(F.collect_list(often).alias("keep"), F.count(F.lit(1)).alias("distinct")).collect())
-    out = {c: ([], False) for c in columns}
-    return out | {r["name"]: (sorted(r["keep"]), int(r["distinct"]) > len(r["keep"])) for r in got}
+    p, col = by_position(df)
+    row = p.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    got = frequent(df, columns).at_least({i: share * row[f"n{i}"] for i in range(len(columns))}).collect()
+    keep: dict[str, list[str]] = {c: [] for c in columns}
+    for r in got:
+        keep[columns[r["k"]]].append(r["value"])
+    kept = [sum(r["n"] for r in got if r["k"] == i) for i in range(len(columns))]
+    return {c: (sorted(keep[c]), kept[i] < row[f"n{i}"]) for i, c in enumerate(columns)}
 
 
 @dataclass
@@ -73,19 +70,15 @@ def median_impute(df: DataFrame, prof: Profile, method: str = "exact") -> tuple[
             and c["name"] in df.columns]
     qs = quantiles(df, cols, [0.5], method=method) if cols else {}
     med = {c: v[0] for c, v in qs.items() if v[0] is not None}
-    out = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c)
-                      if c in med else F.col(c) for c in df.columns]) if med else df
-    return out, med
+    return with_values(df, {c: lambda x, m=m: F.coalesce(x.cast("double"), F.lit(m)) for c, m in med.items()}) if med else df, med
 
 
 def mode_impute(df: DataFrame, prof: Profile) -> tuple[DataFrame, dict[str, str]]:
     """R2: categorical columns with missing values → fill with the mode."""
     cols = [c["name"] for c in prof.columns if c["column_type"] == "categorical" and c["missing_count"] > 0
-            and c["name"] in df.columns and family_of(df.schema[c["name"]].dataType) == "text"]
+            and c["name"] in df.columns and family_of(field_type(df, c["name"])) == "text"]
     modes = column_modes(df, cols)
-    out = df.select(*[F.coalesce(F.col(c), F.lit(modes[c])).alias(c) if c in modes else F.col(c)
-                      for c in df.columns]) if modes else df
-    return out, modes
+    return with_values(df, {c: lambda x, m=m: F.coalesce(x, F.lit(m)) for c, m in modes.items()}) if modes else df, modes
 
 
 def winsorize(df: DataFrame, lower: float = 0.01, upper: float = 0.99,
@@ -99,12 +92,9 @@ def winsorize(df: DataFrame, lower: float = 0.01, upper: float = 0.99,
     bounds = {c: (v[0], v[1]) for c, v in qs.items() if v[0] is not None}
     if not bounds:
         return df, {}
-    row = df.agg(*[F.count_if((as_double(F.col(c)) < lo) | (as_double(F.col(c)) > hi)).alias(f"o{i}")
-                   for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
-    clips = {c: b for i, (c, b) in enumerate(bounds.items()) if row[f"o{i}"] > 0}
-    out = df.select(*[clip_column(F.col(c), *clips[c]).alias(c)
-                      if c in clips else F.col(c) for c in df.columns]) if clips else df
-    return out, clips
+    outside = outlier_counts(df, bounds)
+    clips = {c: b for c, b in bounds.items() if outside[c] > 0}
+    return with_values(df, {c: lambda x, b=b: clip_column(x, *b) for c, b in clips.items()}) if clips else df, clips
 
 
 def clip_column(c, lo: float, hi: float):
@@ -118,10 +108,8 @@ def group_rare(df: DataFrame, share: float = RARE_SHARE) -> tuple[DataFrame, dic
     cols = [f.name for f in df.schema.fields if family_of(f.dataType) == "text"]
     fv = frequent_values(df, cols, share)
     grouped = {c: keep for c, (keep, has_rare) in fv.items() if has_rare}
-    out = df.select(*[
-        F.when(F.col(c).isNull() | F.col(c).isin(grouped[c]), F.col(c)).otherwise(F.lit("Other")).alias(c)
-        if c in grouped else F.col(c) for c in df.columns]) if grouped else df
-    return out, grouped
+    return with_values(df, {c: lambda x, keep=keep: F.when(x.isNull() | x.isin(keep), x).otherwise(F.lit("Other"))
+                            for c, keep in grouped.items()}) if grouped else df, grouped
 
 
 def recommended_clean(df: DataFrame, prof: Profile | None = None, method: str = "exact"
@@ -135,27 +123,22 @@ def recommended_clean(df: DataFrame, prof: Profile | None = None, method: str =
     step1, med = median_impute(df, prof, method)
     step2, modes = mode_impute(step1, prof)
     step3, clips = winsorize(step2, method=method)
-    step4, frequent = group_rare(step3)
+    step4, grouped = group_rare(step3)
     rows = []
     if med:
-        rows.append(("median_imputation", f"Imputed {len(med)} numeric columns with median: "
-                     f"{', '.join(list(med)[:5])}", len(med)))
+        rows.append(entry("median_imputation", len(med), items=", ".join(list(med)[:5])))
     if modes:
-        rows.append(("mode_imputation", f"Imputed {len(modes)} categorical columns with mode: "
-                     f"{', '.join(list(modes)[:5])}", len(modes)))
+        rows.append(entry("mode_imputation", len(modes), items=", ".join(list(modes)[:5])))
     if clips:
-        rows.append(("winsorize_outliers", f"Winsorized outliers in {len(clips)} columns (1st-99th percentile)",
-                     len(clips)))
-    if frequent:
-        rows.append(("group_rare_categories",
-                     f"Grouped rare categories (<1%) to 'Other' in {len(frequent)} columns", len(frequent)))
-    log = spark.createDataFrame([(i + 1, a, d, n) for i, (a, d, n) in enumerate(rows)], LOG_SCHEMA)
-    k = len(rows)
+        rows.append(entry("winsorize_outliers", len(clips)))
+    if grouped:
+        rows.append(entry("group_rare_categories", len(grouped)))
+    log = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], LOG_SCHEMA)
+    done = "recommended_cleaning_complete"
     tail = step4.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(k + 1).alias("step"), F.lit("recommended_cleaning_complete").alias("action"),
-        F.format_string("Recommended cleaning finished. Final rows: %d", F.col("n")).alias("details"),
+        F.lit(len(rows) + 1).alias("step"), F.lit(done).alias("action"), as_column(DETAILS[done], n=F.col("n")).alias("details"),
         F.col("n").cast("bigint").alias("n"))
-    return step4, log.unionByName(tail), RecommendedSpec(med, modes, clips, frequent)
+    return step4, log.unionByName(tail), RecommendedSpec(med, modes, clips, grouped)
 
 
 def clean(df: DataFrame, recommended: bool = False, materialize: str = "checkpoint",
@@ -191,13 +174,12 @@ def overview_row(df: DataFrame, side: str) -> DataFrame:
     one-row aggregates are stacked and folded by a global aggregate (no
     join)."""
     fields = df.schema.fields
-    miss = None
-    for f in fields:
-        e = missing_expr(f.name, f.dataType)
-        miss = e if miss is None else miss + e
-    base = df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                  (miss if miss is not None else F.lit(0)).cast("bigint").alias("missing_total"),
-                  F.lit(None).cast("bigint").alias("duplicates"))
+    p, _ = by_position(df)
+    gaps = [F.when(is_missing(F.col(f"c{i}"), f.dataType), 1).otherwise(0) for i, f in enumerate(fields)]
+    miss = F.sum(F.aggregate(F.array(*gaps), F.lit(0).cast("long"), lambda a, x: a + x)) if fields else F.lit(0)
+    base = p.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                 F.coalesce(miss, F.lit(0)).cast("bigint").alias("missing_total"),
+                 F.lit(None).cast("bigint").alias("duplicates"))
     dup = duplicate_rows(df).select(F.lit(None).cast("bigint").alias("rows"),
                                     F.lit(None).cast("bigint").alias("missing_total"), "duplicates")
     return base.unionByName(dup).agg(

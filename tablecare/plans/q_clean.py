@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import snake_case
+from ..functions.sentences import DETAILS, as_sql
 from ..operators.clean import null_missing_tokens, rename_map_df, safe_clean, trim_text, vote_table
 from ..operators.profile import profile
 from ..operators.recommend import group_rare, median_impute, mode_impute, quality_diff, recommended_clean, winsorize
@@ -145,15 +146,15 @@ def _log_sql():
 WITH s AS (SELECT count(*) AS n, {trimmed} AS trimmed, {nulls} AS new_nulls FROM dirty_orders),
 a AS (SELECT count(*) AS after FROM ({_clean_orders_sql()})),
 acts AS (
-  SELECT 1 AS ord, 'trim_whitespace' AS action, 'Trimmed whitespace in ' || trimmed || ' string columns' AS details,
+  SELECT 1 AS ord, 'trim_whitespace' AS action, {as_sql(DETAILS['trim_whitespace'], n='trimmed')} AS details,
          CAST(trimmed AS BIGINT) AS n, trimmed > 0 AS keep FROM s
-  UNION ALL SELECT 2, 'normalize_missing_tokens', 'Converted ' || new_nulls || ' missing value tokens to NaN',
+  UNION ALL SELECT 2, 'normalize_missing_tokens', {as_sql(DETAILS['normalize_missing_tokens'], n='new_nulls')},
          CAST(new_nulls AS BIGINT), new_nulls > 0 FROM s
-  UNION ALL SELECT 3, 'type_coercion', 'Coerced 2 columns: total_cents -> numeric, order_date -> datetime',
+  UNION ALL SELECT 3, 'type_coercion', {as_sql(DETAILS['type_coercion'], n=2, items="'total_cents -> numeric, order_date -> datetime'")},
          CAST(2 AS BIGINT), true
-  UNION ALL SELECT 4, 'remove_duplicates', 'Removed ' || (n - after) || ' duplicate rows', CAST(n - after AS BIGINT),
+  UNION ALL SELECT 4, 'remove_duplicates', {as_sql(DETAILS['remove_duplicates'], n='n - after')}, CAST(n - after AS BIGINT),
          n - after > 0 FROM s, a
-  UNION ALL SELECT 5, 'safe_cleaning_complete', 'Safe cleaning finished. Rows: ' || n || ' -> ' || after,
+  UNION ALL SELECT 5, 'safe_cleaning_complete', {as_sql(DETAILS['safe_cleaning_complete'], before='n', n='after')},
          CAST(after AS BIGINT), true FROM s, a)
 SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS step, action, details, n FROM acts WHERE keep""")
 
@@ -289,15 +290,12 @@ k AS (SELECT ({clipped}) AS clipped,
   (SELECT count_if(event_type IS NULL) FROM dirty_events) > 0 AS mode,
   (SELECT count(*) FROM s1) AS n),
 acts AS (
-  SELECT 1 AS ord, 'median_imputation' AS action, 'Imputed 1 numeric columns with median: value' AS details,
+  SELECT 1 AS ord, 'median_imputation' AS action, {as_sql(DETAILS['median_imputation'], n=1, items="'value'")} AS details,
          CAST(1 AS BIGINT) AS n, med AS keep FROM k
-  UNION ALL SELECT 2, 'mode_imputation', 'Imputed 1 categorical columns with mode: event_type', 1, mode FROM k
-  UNION ALL SELECT 3, 'winsorize_outliers', 'Winsorized outliers in ' || clipped || ' columns (1st-99th percentile)',
-         clipped, clipped > 0 FROM k
-  UNION ALL SELECT 4, 'group_rare_categories', 'Grouped rare categories (<1%) to ''Other'' in 1 columns', 1,
-         has_rare FROM k
-  UNION ALL SELECT 5, 'recommended_cleaning_complete', 'Recommended cleaning finished. Final rows: ' || n, n, true
-         FROM k)
+  UNION ALL SELECT 2, 'mode_imputation', {as_sql(DETAILS['mode_imputation'], n=1, items="'event_type'")}, 1, mode FROM k
+  UNION ALL SELECT 3, 'winsorize_outliers', {as_sql(DETAILS['winsorize_outliers'], n='clipped')}, clipped, clipped > 0 FROM k
+  UNION ALL SELECT 4, 'group_rare_categories', {as_sql(DETAILS['group_rare_categories'], n=1)}, 1, has_rare FROM k
+  UNION ALL SELECT 5, 'recommended_cleaning_complete', {as_sql(DETAILS['recommended_cleaning_complete'], n='n')}, n, true FROM k)
 SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS step, action, details, CAST(n AS BIGINT) AS n
 FROM acts WHERE keep""")
 

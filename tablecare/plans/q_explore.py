@@ -369,3 +369,28 @@ def _relevance_sql():
 @query("result_relevance", "V13", _relevance_sql())
 def q_relevance(spark, sf):
     return X.result_relevance(load_table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
+
+
+# ---- V5 / V7 for display -----------------------------------------------------------------
+
+_CELLS = "CAST(CASE WHEN {hi} > {lo} THEN least(floor(({v} - {lo}) / (({hi} - {lo}) / 32.0)), 31) ELSE 0 END AS INTEGER)"
+
+
+@query("scatter_sample", "V5 (bounded display sample)", with_dirty(f"""p AS (SELECT CAST(user_id AS DOUBLE) AS x, value AS y, CAST(event_id AS VARCHAR) AS key
+  FROM dirty_events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+c AS (SELECT p.*, {_CELLS.format(v='x', lo='x0', hi='x1')} AS cell_x, {_CELLS.format(v='y', lo='y0', hi='y1')} AS cell_y FROM p, e)
+SELECT x, y, cell_x, cell_y, n FROM (SELECT *, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY md5(key), x, y) AS r,
+  count(*) OVER (PARTITION BY cell_x, cell_y) AS n FROM c) WHERE r <= 4""".replace("p AS", "WITH p AS", 1)))
+def q_scatter_sample(spark, sf):
+    return X.scatter_sample(dirty_events(spark, sf), "user_id", "value", ["event_id"])
+
+
+@query("time_line", "V7 (the points a drawn line needs)", with_dirty("""WITH p AS (SELECT ts, value FROM dirty_events WHERE ts IS NOT NULL AND value IS NOT NULL),
+e AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM p),
+c AS (SELECT CAST(((epoch_us(ts) - a) * 800) // (b - a + 1) AS INTEGER) AS pixel, ts, value FROM p, e)
+SELECT DISTINCT pixel, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY ts, value) AS r1,
+  row_number() OVER (PARTITION BY pixel ORDER BY ts DESC, value DESC) AS r2, row_number() OVER (PARTITION BY pixel ORDER BY value, ts) AS r3,
+  row_number() OVER (PARTITION BY pixel ORDER BY value DESC, ts DESC) AS r4 FROM c) WHERE 1 IN (r1, r2, r3, r4)"""))
+def q_time_line(spark, sf):
+    return X.time_line(dirty_events(spark, sf), "ts", "value")

@@ -173,6 +173,37 @@ def q_train_reg(spark, sf):
     return _regressor(spark, sf).predictions
 
 
+# A fit whose every step has a closed form: rows without a target go, the split, medians and scaling of the training rows,
+# two penalised coefficients, the scores of the test rows.
+_GAPPY = """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS amount,
+ CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_discount END AS discount, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS price FROM {lineitem}"""
+_TRAIN = "FILTER (NOT test)"
+_RIDGE_SQL = f"""WITH v AS ({_GAPPY.format(lineitem='lineitem')}),
+s AS (SELECT amount, discount, price, {hash_bucket_sql("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))")} < 2000 AS test
+  FROM v WHERE price IS NOT NULL),
+m AS (SELECT quantile_cont(amount, 0.5) {_TRAIN} AS ma, quantile_cont(discount, 0.5) {_TRAIN} AS md FROM s),
+f AS (SELECT test, price, coalesce(amount, ma) AS a, coalesce(discount, md) AS d FROM s, m),
+t AS (SELECT avg(a) {_TRAIN} AS a0, stddev_pop(a) {_TRAIN} AS a1, avg(d) {_TRAIN} AS d0, stddev_pop(d) {_TRAIN} AS d1, avg(price) {_TRAIN} AS p0 FROM f),
+z AS (SELECT test, price, (a - a0) / a1 AS a, (d - d0) / d1 AS d, p0 FROM f, t),
+g AS (SELECT sum(a * a) + 1 AS aa, sum(d * d) + 1 AS dd, sum(a * d) AS ad, sum(a * (price - p0)) AS ap, sum(d * (price - p0)) AS dp FROM z WHERE NOT test),
+b AS (SELECT (dd * ap - ad * dp) / (aa * dd - ad * ad) AS ca, (aa * dp - ad * ap) / (aa * dd - ad * ad) AS cd FROM g),
+r AS (SELECT price, price - (p0 + ca * a + cd * d) AS e FROM z, b WHERE test)
+SELECT CAST((SELECT count(*) FROM s WHERE NOT test) AS BIGINT) AS train_rows, CAST(count(*) AS BIGINT) AS test_rows,
+ (SELECT {rnd_sql('ca', 2)} FROM b) AS coef_amount, (SELECT {rnd_sql('cd', 2)} FROM b) AS coef_discount,
+ {rnd_sql(rnd_sql('sqrt(avg(e * e))'), 2)} AS rmse, {rnd_sql(rnd_sql('avg(abs(e))'), 2)} AS mae, {rnd_sql('1 - sum(e * e) / (var_pop(price) * count(*))')} AS r2 FROM r"""
+
+
+@query("ridge_whole_path", "M1-M3, M5, M8, M9, M13, M15 (closed form)", _RIDGE_SQL)
+def q_ridge_path(spark, sf):
+    df = spark.sql(_GAPPY, lineitem=load_table(spark, sf, "lineitem"))
+    res = ML.train_baseline(df, "price", profile(df.drop("l_orderkey", "l_linenumber"), light=True), ["l_orderkey", "l_linenumber"])
+    coef = {r["feature"]: r["coefficient"] for r in res.importance.collect()}   # two rows
+    m = M.regression_metrics(res.predictions)
+    return m.select(F.lit(res.train_rows).cast("long").alias("train_rows"), F.lit(res.test_rows).cast("long").alias("test_rows"),
+                    rnd(F.lit(coef["num__amount"]), 2).alias("coef_amount"), rnd(F.lit(coef["num__discount"]), 2).alias("coef_discount"),
+                    rnd(F.col("rmse"), 2).alias("rmse"), rnd(F.col("mae"), 2).alias("mae"), rnd(F.col("r2")).alias("r2"))
+
+
 # Coefficient tables of many runs, derived from the whole part table: a run per brand, classes for brands of odd length.
 _COEFS = f"""SELECT p_brand AS run_id, concat('cat__', p_type, CASE p_size % 8 WHEN 0 THEN '_score' WHEN 1 THEN '_Label' WHEN 2 THEN '_win' ELSE '' END)
   AS feature, CASE WHEN length(p_type) % 2 = 0 THEN NULL ELSE CAST(p_partkey % 3 AS INT) END AS class_index,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, rnd_sql
 from ..functions.quantiles import quantiles
-from ..operators.profile import (duplicate_rows, frequency_table, load_overview, profile, profile_columns_df,
-                                 top_k_values)
+from ..functions.sentences import SUMMARY, as_sql
+from ..operators.heavy import frequent
+from ..operators.profile import duplicate_rows, frequency_table, load_overview, profile, profile_columns_df
 from ..sources.files import flatten_text
 from ..sources.tables import dirty_events, dirty_orders, load_table
 from .registry import query
@@ -97,7 +98,7 @@ def _top_values_sql(table, cols):
 
 
 def _top_values(spark, df, table, cols):
-    t = top_k_values(frequency_table(df.select(*cols)), 5)
+    t = frequent(df, cols).top(5)
     return t.select(F.lit(table).alias("table_name"), "name", "value", F.col("n").cast("bigint"),
                     F.col("rank").cast("int"))
 
@@ -145,20 +146,19 @@ def _summary_sql():
     # dirty_orders: order_date is text whose values do not all parse → categorical
     vote = f"(SELECT count({parse_datetime_sql('order_date')}) = count(order_date) FROM dirty_orders)"
     do = f"""SELECT 'dirty_orders' AS table_name,
-  'Dataset has ' || n || ' rows and 6 columns. Numeric columns: 2, Categorical: '
-  || (CASE WHEN {vote} THEN 3 ELSE 4 END) || ', Datetime: ' || (CASE WHEN {vote} THEN 1 ELSE 0 END) || '.'
-  || CASE WHEN d > 0 THEN ' Found ' || d || ' duplicate rows.' ELSE '' END AS summary_text
+  {as_sql(SUMMARY['size'], rows='n', cols=6)} || ' '
+  || {as_sql(SUMMARY['types'], numeric=2, categorical=f'CASE WHEN {vote} THEN 3 ELSE 4 END', datetime=f'CASE WHEN {vote} THEN 1 ELSE 0 END')}
+  || CASE WHEN d > 0 THEN ' ' || {as_sql(SUMMARY['duplicates'], duplicates='d')} ELSE '' END AS summary_text
 FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS d
       FROM dirty_orders)"""
     cols = ["event_id", "ts", "user_id", "event_type", "value"]
     hm = " || ".join(
         f"CASE WHEN 100.0 * count_if({c} IS NULL) / count(*) > 10 THEN {q(c)} || ',' ELSE '' END" for c in cols)
+    some = f"""array_to_string(list_slice(string_split(rtrim({hm}, ','), ','), 1, 3), ', ')
+     || CASE WHEN len(string_split(rtrim({hm}, ','), ',')) > 3 THEN '...' ELSE '' END"""
     ev = f"""SELECT 'dirty_events' AS table_name,
-  'Dataset has ' || count(*) || ' rows and 5 columns. Numeric columns: 3, Categorical: 1, Datetime: 1.'
-  || CASE WHEN ({hm}) <> '' THEN ' Columns with >10% missing: '
-     || array_to_string(list_slice(string_split(rtrim({hm}, ','), ','), 1, 3), ', ')
-     || CASE WHEN len(string_split(rtrim({hm}, ','), ',')) > 3 THEN '...' ELSE '' END || '.' ELSE '' END
-  AS summary_text
+  {as_sql(SUMMARY['size'], rows='count(*)', cols=5)} || ' ' || {as_sql(SUMMARY['types'], numeric=3, categorical=1, datetime=1)}
+  || CASE WHEN ({hm}) <> '' THEN ' ' || {as_sql(SUMMARY['missing'], missing=some)} ELSE '' END AS summary_text
 FROM dirty_events"""
     return with_dirty(do + "\nUNION ALL\n" + ev)
 

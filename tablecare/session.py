@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application; operators
+    that run Python in tasks call it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tablecare_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tablecare-code-")) / "tablecare_code.zip"   # the driver serves it to executors
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._tablecare_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor
     loss, unlike a local checkpoint). Used between multi-pass stages whose

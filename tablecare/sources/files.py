@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import by_position, with_values
 from ..functions.numeric import family_of
 from ..functions.text import first_free, flatten_newlines
+from ..session import ensure_checkpoint_dir
+from .ranges import csv_records, first_record, json_records
 
 CORRUPT = "_malformed"
 
@@ -28,10 +32,10 @@ def repair_header(names: list[str]) -> list[str]:
 
 
 def _header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.text(path).first()
+    first = first_record(spark, path, sep)
     if first is None:
         raise ValueError(f"{path} is empty")
-    return next(csv.reader(io.StringIO(first[0]), delimiter=sep))
+    return next(csv.reader(io.StringIO(first), delimiter=sep))
 
 
 def _field_count(record: Column, sep: str) -> Column:
@@ -44,9 +48,11 @@ def _raw_csv(spark: SparkSession, path: str, names: int, sep: str, multiline: bo
     """Fields as ``_c0`` …; ``CORRUPT`` holds the raw record wherever the number of fields is not ``names``."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(names)]
                           + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("quote", '"')
-            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .option("columnPruning", False).option("sep", sep).option("enforceSchema", True).csv(path))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": sep}
+    if multiline:
+        rows = csv_records(spark, path, sep).where(~F.col("first"))
+        return rows.select(F.from_csv("text", schema.toDDL(), options).alias("r")).select("r.*")
+    raw = spark.read.schema(schema).options(header=True, columnPruning=False, enforceSchema=True, **options).csv(path)
     # Spark refuses a query of the malformed column alone, so every query asks for the first field as well
     return raw.where(F.coalesce(F.length("_c0"), F.lit(0)) >= 0)
 
@@ -60,9 +66,10 @@ def read_csv(spark: SparkSession, path: str, *, sep: str = ",", flatten: bool =
     columns are read as strings; typing is the job of the cleaning vote
     (C5/C6). A table without rows is rejected unless ``reject_empty`` is off.
 
-    A quoted line break makes a file unsplittable, one task per file; pass
-    ``multiline=False`` for large files known to have none, which are then
-    split."""
+    Many tasks read one file although quoted fields may hold line breaks: a
+    first pass over the bytes settles where each task's range starts within
+    the quotes (:mod:`.ranges`). ``multiline=False`` saves that pass for files
+    known to have no quoted line break."""
     header = _header_names(spark, path, sep)
     names = repair_header(header) if repair else header
     raw = _raw_csv(spark, path, len(names), sep, multiline)
@@ -81,10 +88,18 @@ def csv_dropped_rows(spark: SparkSession, path: str, *, sep: str = ",", multilin
 
 def read_json(spark: SparkSession, path: str, *, lines: bool = False, flatten: bool = True, mode: str = "FAILFAST",
               reject_empty: bool = True) -> DataFrame:
-    """Array-of-records JSON document (``lines=True`` for JSON lines, the
-    splittable layout to use for large inputs). A malformed record raises;
-    ``mode="DROPMALFORMED"`` drops such records instead."""
-    df = spark.read.option("multiLine", not lines).option("mode", mode).json(path)
+    """Array-of-records JSON documents, or one object after another. A malformed record raises;
+    ``mode="DROPMALFORMED"`` drops such records instead.
+
+    Many tasks cut a document into its records (:mod:`.ranges`), which are written as JSON lines to
+    the shared checkpoint folder and read from there, so that the schema is inferred from all of them.
+    ``lines=True`` reads JSON lines as they are."""
+    if not lines:
+        found = json_records(spark, path, strict=mode == "FAILFAST")
+        target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+        found.select(F.translate("text", "\r\n", "  ").alias("value")).write.text(target)
+        path = target
+    df = spark.read.option("mode", mode).json(path)
     df = flatten_text(df) if flatten else df
     return non_empty(df, path) if reject_empty else df
 
@@ -99,16 +114,15 @@ def non_empty(df: DataFrame, what: str) -> DataFrame:
 def flatten_text(df: DataFrame) -> DataFrame:
     """In every text column replace newlines by spaces and strip — one
     projection, no UDF."""
-    return df.select(*[
-        flatten_newlines(F.col(f.name)).alias(f.name) if family_of(f.dataType) == "text" else F.col(f.name)
-        for f in df.schema.fields])
+    return with_values(df, {f.name: flatten_newlines for f in df.schema.fields if family_of(f.dataType) == "text"})
 
 
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows under an explicit total order, NULL shown as ''."""
+    p, col = by_position(df)
     keys = order_by or df.columns
-    return (df.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).limit(n)
-            .select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]))
+    return (p.orderBy(*[col(k).asc_nulls_first() for k in keys]).limit(n)
+            .select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in p.columns]).toDF(*df.columns))
 
 
 def load_summary(df: DataFrame) -> DataFrame:
@@ -119,11 +133,11 @@ def load_summary(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write the cleaned table (CSV with header when asked, parquet by
-    default)."""
+    """Write the cleaned table (CSV with header and doubled quotes when
+    asked, as :func:`read_csv` reads it; parquet by default)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 

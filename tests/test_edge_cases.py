@@ -100,7 +100,7 @@ def test_long_integers_stay_integers(spark):
     out = safe_clean(spark.createDataFrame([(i,) for i in ids], "id string")).df
     assert sorted(r["id"] for r in out.collect()) == [int(i) for i in ids]
     big = safe_clean(spark.createDataFrame([("12345678901234567890",), ("5",)], "id string")).df
-    assert dict(big.dtypes)["id"] == "double"
+    assert dict(big.dtypes)["id"] == "decimal(38,0)"     # as doubles, different long integers would become equal
 
 
 def test_histogram_single_value(spark):
@@ -145,3 +145,16 @@ def test_profile_approximate_mode_is_close(spark):
             assert a["top_values"] == c["top_values"]
         if c["column_type"] == "numeric":
             assert abs(a["outlier_pct"] - c["outlier_pct"]) <= 1.0
+
+
+def test_integers_beyond_64_bits_stay_apart(spark):
+    from tablecare.operators.clean import safe_clean
+    long = ["18446744073709551617", "18446744073709551618", "18446744073709551619", "7"]
+    wide = ["1" * 39, "2" * 39, "1" * 39 + "0", "7"]
+    df = spark.createDataFrame(list(zip(long, wide, ["1.5", "18446744073709551617", "18446744073709551618", "2"], "1234", strict=True)),
+                               "a string, b string, c string, d string")
+    out = safe_clean(df)
+    types = dict(out.df.dtypes)
+    assert types == {"a": "decimal(38,0)", "b": "string", "c": "string", "d": "bigint"}
+    assert sorted(int(r["a"]) for r in out.df.collect()) == sorted(map(int, long))
+    assert safe_clean(df.select("a")).df.count() == 4 and safe_clean(df.select("b")).df.count() == 4
