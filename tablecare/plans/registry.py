@@ -34,4 +34,4 @@ def query(name: str, operators: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (each registers on import)."""
-    from . import q_clean, q_explore, q_model, q_names, q_profile, q_targets  # noqa: F401
+    from . import q_clean, q_explore, q_model, q_names, q_profile, q_sources, q_targets  # noqa: F401
