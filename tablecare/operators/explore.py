@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_position, field_type
-from ..functions.numeric import (as_double, equal_width_bin, family_of, is_floating, rnd, safe_corr,
+from ..functions.numeric import (as_double, equal_width_bin, family_of, rnd, safe_corr,
                                  skewness_unbiased)
 from ..functions.quantiles import grouped_median, quantiles
 from ..functions.text import (OUTCOME_KEYWORDS, QUALITY_KEYWORDS, TEMPORAL_KEYWORDS, contains_any,
                               parse_datetime)
-from ..session import ship
 from .heavy import frequent
+from .moments import pair_moments
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -94,116 +94,22 @@ def category_frequency(df: DataFrame, column: str, top_n: int = 10) -> DataFrame
 
 # ---- V4 / V5 ----------------------------------------------------------------------------
 
-_PAIR = ("n", "mx", "my", "sxx", "syy", "sxy", "lox", "hix", "loy", "hiy")
-
-
-def _pair_moments(x):
-    """Pairwise-complete moments of the columns of one block of rows.
-
-    Returns k x k arrays: n rows with both present, the mean of i and of j
-    over them, centred sums of squares and products, and the extremes."""
-    import numpy as np
-
-    k = x.shape[1]
-    m = ~np.isnan(x)
-    out = {c: np.zeros((k, k)) for c in _PAIR}
-    full = m.all(axis=0)
-    if full.any() and len(x):   # columns without a gap: one centring serves all their pairs
-        at = np.flatnonzero(full)
-        v = x[:, at]
-        mean = v.mean(axis=0)
-        d = v - mean
-        s = d.T @ d
-        ij = np.ix_(at, at)
-        ones = np.ones(len(at))
-        sq = np.diag(s)
-        for name, a in (("n", np.full(s.shape, float(len(x)))), ("mx", np.outer(mean, ones)), ("my", np.outer(ones, mean)),
-                        ("sxx", np.outer(sq, ones)), ("syy", np.outer(ones, sq)), ("sxy", s),
-                        ("lox", np.outer(v.min(axis=0), ones)), ("hix", np.outer(v.max(axis=0), ones)),
-                        ("loy", np.outer(ones, v.min(axis=0))), ("hiy", np.outer(ones, v.max(axis=0)))):
-            out[name][ij] = a
-    for j in np.flatnonzero(~full):   # j has gaps: centre every column on the rows it shares with j
-        both = m[:, [j]] & m
-        n = both.sum(axis=0).astype(float)
-        some = n > 0
-        xi, yj = np.where(both, x, 0.0), np.where(both, x[:, [j]], 0.0)
-        mx, my = xi.sum(axis=0) / np.maximum(n, 1), yj.sum(axis=0) / np.maximum(n, 1)
-        dx, dy = np.where(both, x - mx, 0.0), np.where(both, x[:, [j]] - my, 0.0)
-        part = {"n": n, "mx": mx, "my": my, "sxx": (dx * dx).sum(axis=0), "syy": (dy * dy).sum(axis=0), "sxy": (dx * dy).sum(axis=0),
-                "lox": np.where(both, x, np.inf).min(axis=0, initial=np.inf), "hix": np.where(both, x, -np.inf).max(axis=0, initial=-np.inf),
-                "loy": np.where(both, x[:, [j]], np.inf).min(axis=0, initial=np.inf),
-                "hiy": np.where(both, x[:, [j]], -np.inf).max(axis=0, initial=-np.inf)}
-        flip = {"mx": "my", "my": "mx", "sxx": "syy", "syy": "sxx", "lox": "loy", "loy": "lox", "hix": "hiy", "hiy": "hix"}
-        for name, a in part.items():
-            a = np.where(some, a, 0.0)
-            out[name][:, j] = a
-            out[flip.get(name, name)][j, :] = a
-    return out
-
-
-def _merge_moments(a, b):
-    """Moments of two blocks of rows together (parallel formula)."""
-    import numpy as np
-
-    n = a["n"] + b["n"]
-    w = a["n"] * b["n"] / np.maximum(n, 1)
-    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
-    share = b["n"] / np.maximum(n, 1)
-    has_a, has_b = a["n"] > 0, b["n"] > 0
-
-    def pick(f, c):
-        return np.where(has_a & has_b, f(a[c], b[c]), np.where(has_a, a[c], b[c]))
-    return {"n": n, "mx": pick(lambda p, q: p + (q - p) * share, "mx"), "my": pick(lambda p, q: p + (q - p) * share, "my"),
-            "sxx": a["sxx"] + b["sxx"] + w * dx * dx, "syy": a["syy"] + b["syy"] + w * dy * dy,
-            "sxy": a["sxy"] + b["sxy"] + w * dx * dy, "lox": pick(np.minimum, "lox"), "hix": pick(np.maximum, "hix"),
-            "loy": pick(np.minimum, "loy"), "hiy": pick(np.maximum, "hiy")}
-
-
-def _partition_moments(k: int):
-    """One row per pair i <= j and partition."""
-    import numpy as np
-    import pandas as pd
-
-    def fn(batches):
-        total = None
-        with np.errstate(invalid="ignore", over="ignore"):
-            for pdf in batches:
-                if len(pdf):
-                    part = _pair_moments(pdf.to_numpy(dtype=float, na_value=np.nan))
-                    total = part if total is None else _merge_moments(total, part)
-        if total is not None:
-            ii, jj = np.triu_indices(k)
-            yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), **{c: total[c][ii, jj] for c in _PAIR}})
-    return fn
-
-
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """V4: long (x, y, r) over all numeric pairs, pairwise-complete; r NULL
     for constant input; diagonal 1.0 (NULL for a constant column).
 
-    One pass: every partition centres each pair on the rows where both are
-    present and merges its blocks by the parallel formula; the k(k+1)/2 rows
-    per partition are merged by the same formula in two sums per pair (the
-    overall mean first, as a window over the pair's partials). Sums of far
-    apart magnitudes never cancel, whatever stands in rows where only one of
-    the two is present. A pair is constant if an extreme pair of it is equal."""
+    One pass (:mod:`.moments`): every partition centres each pair on the rows
+    where both are present, and the partitions' tiles are merged by the
+    parallel formula, so sums of far apart magnitudes never cancel, whatever
+    stands in rows where only one of the two is present. A pair is constant if
+    an extreme pair of it is equal."""
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "x string, y string, r double")
-    ship(spark)
     p, col = by_position(df, "p")
     vals = p.select(*[as_double(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    parts = vals.mapInPandas(_partition_moments(len(cols)), "i int, j int, " + ", ".join(f"{c} double" for c in _PAIR))
-    pair = Window.partitionBy("i", "j")   # one row per partition of the input
-    parts = parts.where("n > 0").withColumns({
-        "gx": F.sum(F.col("n") * F.col("mx")).over(pair) / F.sum("n").over(pair),
-        "gy": F.sum(F.col("n") * F.col("my")).over(pair) / F.sum("n").over(pair)})
-    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
-    g = parts.groupBy("i", "j").agg(
-        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
-        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
-        (F.min("lox") < F.max("hix")).alias("vx"), (F.min("loy") < F.max("hiy")).alias("vy"))
+    g = pair_moments(vals).select("i", "j", "sxx", "syy", "sxy", (F.col("lox") < F.col("hix")).alias("vx"), (F.col("loy") < F.col("hiy")).alias("vy"))
     r = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy"))
     r = F.when(F.col("vx") & F.col("vy") & (F.col("sxx") > 0) & (F.col("syy") > 0) & ~F.isnan(r),
                rnd(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))

@@ -15,7 +15,7 @@ step  rule                                                          plan
 6     alphanumeric-only forms equal                                 equi-join
 7     one alphanumeric form contains the other (both > 3 chars)     rarest-gram join
 8     shared words / larger word count > .5 (best)                  prefix-filtered join
-9     character-set Jaccard > .7, both > 5 chars (best)             prefix-filtered join
+9     character-set Jaccard > .7, both > 5 chars (best)             trie join by group
 10    fallback: snake_case if a mapping is given, else unchanged    projection
 ====  ============================================================  =====================
 
@@ -28,12 +28,13 @@ key that many known names share is one row.
 Steps 7-9 are non-equi in nature. For containment the shorter form meets the
 longer ones at its rarest run of four characters, and pairs that meet are
 checked.
-Steps 8 and 9 compare *distinct* word sets and letter sets by prefix filtering
-(tokens ordered rarest-first globally; a pair that passes must share a token
-among the ``|A| - least overlap + 1`` rarest of both, the least overlap
-following from both sizes, which are part of the join key); letter sets are
-36-bit masks verified by ``bit_count``. No cross join, no capped candidate
-list.
+Step 8 compares *distinct* word sets by prefix filtering (tokens ordered
+rarest-first globally; a pair that passes must share a token among the
+``|A| - least overlap + 1`` rarest of both, the least overlap following from
+both sizes, which are part of the join key). In step 9 letter sets are 36-bit
+masks, dealt into groups by their most frequent letters and joined by walking
+two tries with bounds on union and intersection. No cross join, no capped
+candidate list.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, edge_trim, snake_case, words
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 TIER_NAMES = {1: "mapping_exact", 2: "exact", 3: "snake_case", 4: "case_insensitive", 5: "mapping_case_insensitive",
               6: "alphanumeric", 7: "containment", 8: "word_overlap", 9: "char_jaccard", 10: "fallback"}
@@ -159,18 +160,136 @@ def _letter_sets(df: DataFrame, name: str, id_col: str) -> DataFrame:
     return df.where(F.length(key) > 5).withColumn("toks", _letters(key)).withColumn(id_col, _mask(F.col("toks")))
 
 
+#: Letters whose presence deals the known letter sets into groups: at most 2 to that power.
+TOP_BITS = 8
+#: Pairs of trie nodes looked at together.
+NODE_PAIRS = 1 << 18
+
+
+class LetterTrie:
+    """A trie over masks of 36 bits, the first bit at its root. A node on level ``d`` is a prefix of ``d`` bits, with the
+    least and greatest number of bits set below it. ``compared`` counts the whole sets that ``similar`` came to."""
+
+    def __init__(self, masks):
+        import numpy as np
+
+        masks = np.unique(masks)
+        size = np.bitwise_count(masks).astype(np.int64)
+        self.prefix, self.least, self.most, self.first, self.compared = [], [], [], [], 0
+        for d in range(37):
+            head = masks >> np.uint64(36 - d)
+            at = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
+            set_ = np.bitwise_count(head[at]).astype(np.int64)
+            self.prefix.append(head[at])
+            self.least.append(np.minimum.reduceat(size, at) - set_)
+            self.most.append(np.maximum.reduceat(size, at) - set_)
+            if d:   # where each parent's children begin
+                parents = self.prefix[d] >> np.uint64(1)
+                self.first.append(np.append(np.searchsorted(parents, self.prefix[d - 1]), len(parents)))
+
+    def similar(self, other: LetterTrie):
+        """(mask, other's mask) arrays of the pairs whose common bits are more than .7 of all theirs.
+
+        Both tries are walked together. Two nodes can lead to such a pair only if the common bits of their prefixes and
+        as many below as either allows outweigh the bits of both prefixes and at least as many below."""
+        import numpy as np
+
+        todo = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            d, a, b = todo.pop()
+            x, y = self.prefix[d][a], other.prefix[d][b]
+            low, high = np.maximum(self.least[d][a], other.least[d][b]), np.minimum(self.most[d][a], other.most[d][b])
+            common, all_ = np.bitwise_count(x & y) + high, np.bitwise_count(x | y) + np.maximum(low, high)
+            ok = 10 * common.astype(np.int64) > 7 * all_.astype(np.int64)
+            if d == 36:
+                self.compared += len(a)
+                if ok.any():
+                    yield x[ok], y[ok]
+                continue
+            a, b = a[ok], b[ok]
+            a0, a1, b0, b1 = self.first[d][a], self.first[d][a + 1], other.first[d][b], other.first[d][b + 1]
+            pairs = [(p, q) for p in (0, 1) for q in (0, 1)]
+            left = np.concatenate([a0[(a0 + p < a1) & (b0 + q < b1)] + p for p, q in pairs])
+            right = np.concatenate([b0[(a0 + p < a1) & (b0 + q < b1)] + q for p, q in pairs])
+            todo += [(d + 1, left[k:k + NODE_PAIRS], right[k:k + NODE_PAIRS]) for k in range(0, len(left), NODE_PAIRS)]
+
+
+def _trie_join(batches):
+    """(rid, kid) of one group after another, whose rows (top, asked, mask) come sorted by group."""
+    import numpy as np
+    import pyarrow as pa
+
+    def join(rows):
+        asked = np.concatenate([r[0] for r in rows])
+        mask = np.concatenate([r[1] for r in rows]).astype(np.uint64)
+        if asked.any() and not asked.all():
+            for x, y in LetterTrie(mask[asked]).similar(LetterTrie(mask[~asked])):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["rid", "kid"])
+    held, at = [], None
+    for b in batches:
+        top, asked, mask = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and top[i] != at:
+                yield from join(held)
+                held = []
+            at = top[i]
+            held.append((asked[i:j], mask[i:j]))
+    if held:
+        yield from join(held)
+
+
+def _by_frequency(masks: DataFrame) -> Callable[[Column], Column]:
+    """Moves the bit of the most frequent letter of ``masks`` to the front, and so on; 36 counts come to the driver."""
+    counts = masks.agg(*[F.sum(F.shiftright("mask", i).bitwiseAND(1)).alias(f"n{i}") for i in range(36)]).first()
+    order = sorted(range(36), key=lambda i: -(counts[f"n{i}"] or 0))
+
+    def moved(c: Column) -> Column:
+        bits = [F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")), 35 - place) for place, i in enumerate(order)]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return moved
+
+
+def _mask_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(rid, kid): the distinct masks of ``asked`` and of ``known`` (both: mask) whose Jaccard similarity is over .7,
+    as places of the bits ordered by frequency.
+
+    The known masks are dealt by their first bits; an asked one goes to the groups whose bits and sizes allow the
+    similarity, and each group is joined by walking two tries."""
+    spark = known.sparkSession
+    ship(spark)
+    top, count = F.shiftright("mask", 36 - TOP_BITS), F.bit_count
+    groups = known.groupBy(top.alias("top")).agg(F.min(count("mask")).alias("least"), F.max(count("mask")).alias("most")).collect()   # at most 256
+    if not groups:
+        return spark.createDataFrame([], "rid long, kid long")
+    table = F.array(*[F.struct(F.lit(g["top"]).cast("long").alias("top"), F.lit(g["least"]).alias("least"), F.lit(g["most"]).alias("most")) for g in groups])
+
+    def near(g: Column) -> Column:
+        mine, all_ = count(top.bitwiseAND(g["top"])), count(top.bitwiseOR(g["top"]))
+        below = count("mask") - count(top)
+        low = F.greatest(below, g["least"] - count(g["top"]))
+        high = F.least(below, g["most"] - count(g["top"]))
+        return 10 * (mine + high) > 7 * (all_ + F.greatest(low, high))
+    dealt = asked.select(F.explode(F.transform(F.filter(table, near), lambda g: g["top"])).alias("top"), F.lit(True).alias("asked"), "mask")
+    rows = known.select(top.alias("top"), F.lit(False).alias("asked"), "mask").unionByName(dealt)
+    return rows.repartition("top").sortWithinPartitions("top").mapInArrow(_trie_join, "rid long, kid long")
+
+
 def char_jaccard_candidates(req: DataFrame, known: DataFrame) -> DataFrame:
     """Step 9: best character-set Jaccard > .7 over alphanumeric forms longer
-    than five characters (exactly verified on the masks)."""
+    than five characters (exact, on the masks)."""
     r = _letter_sets(req, "requested", "rid")
     kn = _letter_sets(known, "name", "kid")
-    k = _earliest(kn, F.col("kid")).withColumnRenamed("__k", "kid")
-    least = lambda a, b: F.floor((a + b) * F.lit(0.7 / 1.7)) + 1  # noqa: E731  overlap > .7 of the union
-    pairs = _set_pairs(r.select("rid", F.array_sort("toks").alias("toks")).distinct(),
-                       kn.select("kid", F.array_sort("toks").alias("toks")).distinct(), least, 0.7)
+    k = _earliest(kn, F.col("kid"))
+    moved = _by_frequency(k.select(F.col("__k").alias("mask")))
+    k = k.withColumn("kid", moved(F.col("__k")))
+    r = r.select("requested", moved(F.col("rid")).alias("rid"))
+    pairs = _mask_pairs(r.select(F.col("rid").alias("mask")).distinct(), k.select(F.col("kid").alias("mask")))
     score = F.bit_count(F.expr("rid & kid")) / F.bit_count(F.expr("rid | kid"))
     hits = pairs.withColumn("score", score).where(F.col("score") > 0.7).join(k, "kid")
-    return _resolved(r.select("requested", "rid").join(hits, "rid").select("requested", "matched", "score", "kord"), 9)
+    return _resolved(r.join(hits, "rid").select("requested", "matched", "score", "kord"), 9)
 
 
 def reconcile_names(requested: DataFrame, known: DataFrame, mapping: DataFrame | None = None,

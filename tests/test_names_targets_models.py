@@ -53,6 +53,32 @@ def test_fuzzy_steps_over_many_names(spark):
     assert pairs <= 40 * len(set(req))
 
 
+def test_letter_sets_meet_in_the_trie(spark):
+    """20,000 distinct letter sets: exactly the similar pairs, and few others looked at."""
+    import random
+
+    from tablecare.operators import names as N
+    rng = random.Random(8)
+    weights = [1 / (i + 1) ** 0.7 for i in range(36)]
+
+    def mask():
+        out = 0
+        for i in rng.choices(range(36), weights, k=rng.randint(8, 22)):
+            out |= 1 << i
+        return out
+    known = np.array(sorted({mask() for _ in range(30_000)})[:20_000], np.uint64)
+    asked = np.array(sorted({mask() for _ in range(60)} | {int(known[17])}), np.uint64)
+    both = np.bitwise_count(asked[:, None] & known).astype(int) * 10 > 7 * np.bitwise_count(asked[:, None] | known).astype(int)
+    want = {(int(asked[i]), int(known[j])) for i, j in zip(*np.nonzero(both), strict=True)}
+    assert len(known) == 20_000 and len(want) > 100
+    a, k = (spark.createDataFrame([(int(x),) for x in m], "mask long") for m in (asked, known))
+    got = N._mask_pairs(a, k).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert N._mask_pairs(a, k.limit(0)).collect() == [] and N._mask_pairs(a.limit(0), k).collect() == []
+    trie = N.LetterTrie(asked)
+    assert sum(len(x) for x, _ in trie.similar(N.LetterTrie(known))) == len(want) and trie.compared <= 3 * len(want)
+
+
 def test_reconcile_mapping_tiers(spark):
     mapping = spark.createDataFrame([("Customer Name", "customer_name", 0)], "original string, cleaned string, pos int")
     known = spark.createDataFrame([("customer_name",)], "name string")
