@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,11 +106,18 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def texts(batch: pa.RecordBatch, name: str, size: int = 256) -> Iterator[list[str]]:
-    """The column's strings (null: empty), ``size`` rows at a time."""
+def texts(batch: pa.RecordBatch, name: str, size: int = 256, size_bytes: int = 0) -> Iterator[list[str]]:
+    """The column's strings (null: empty), ``size`` rows at a time; with ``size_bytes``, fewer where they are
+    longer together (but always one)."""
     col = batch.column(batch.schema.get_field_index(name))
-    for i in range(0, len(col), size):
-        yield [x or "" for x in col.slice(i, size).to_pylist()]
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if size_bytes else None
+    i = 0
+    while i < len(col):
+        n = size
+        if size_bytes:
+            n = min(size, max(1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size_bytes, side="right")) - i))
+        yield [x or "" for x in col.slice(i, n).to_pylist()]
+        i += n
 
 
 def hashed_sample(df: DataFrame, n: int, *identity: Column | str) -> list:

@@ -58,6 +58,8 @@ FIRST = 4
 HUBS = 3
 #: Candidates per class and other component, round by round; the last has no limit.
 ROUNDS = (4, 64, None)
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 19
 #: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
 MARK_BITS = 1 << 22
 
@@ -94,15 +96,30 @@ class Shingler:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
 
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every word of bytes that begin and end between words."""
+        self._grow(len(data) + 1)
+        edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(_RANDOM[data], self.powers[:len(data)], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        return start, _mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
+
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         parts = [x.encode("utf-8", "surrogatepass") for x in batch]
         data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-        self._grow(len(data) + 1)
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(space, prepend=True))
-        start, end = edge[::2], edge[1::2]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * self.powers[:len(data)])))
-        words = _mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
+        starts, hashes, a = [], [], 0
+        while a < len(data):   # a slice at a time, cut behind a space, so that memory does not follow the longest text
+            b = min(a + SLICE, len(data))
+            while b < len(data) and not _SPACE[data[b - 1]]:
+                back = np.flatnonzero(_SPACE[data[a:b]])
+                b = a + int(back[-1]) + 1 if len(back) else min(b + SLICE, len(data))
+            start, hashed = self._words(data[a:b])
+            starts.append(start + a)
+            hashes.append(hashed)
+            a = b
+        start, words = np.concatenate(starts), np.concatenate(hashes)
         texts_end = np.cumsum([len(p) + 1 for p in parts])
         at = np.concatenate(([0], np.searchsorted(start, texts_end)))
         k = self.width
@@ -153,7 +170,7 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str, pla
 
         def f(batch):
             cols = [[], [], [], [], []]
-            for part in texts(batch, text):
+            for part in texts(batch, text, size_bytes=SLICE):
                 for s in shingle(part):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     c, first = (int(d[0]), int(d[1])), False
@@ -171,15 +188,29 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str, pla
     return written(arrow_map(rows, fields, make, [key, "row_id"]), "jaccard-features")
 
 
+def _marks(ids: DataFrame, key: str) -> DataFrame:
+    """A bit table of the hashes of ``ids``: at most 65,536 rows, so broadcasting it is safe."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return (ids.select(bit.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits")))
+
+
+_MARKED = "(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"
+
+
 def marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among ``ids``: a superset, found without shuffling ``docs``.
+    """The rows whose key may be among ``ids``: a superset, found without shuffling ``docs``."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return (docs.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"))
+            .where(F.expr(_MARKED)).drop("_bit", "_word", "_bits"))
+
 
-    The marks are a bit table of fixed size (65,536 rows), so broadcasting it is safe."""
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not among ``ids`` for sure, and the others."""
     bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    table = (ids.select(bit.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits")))
-    return (docs.withColumn("_bit", bit).join(F.broadcast(table), F.shiftright("_bit", 6) == F.col("_word"))
-            .where(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1")).drop("_bit", "_word", "_bits"))
+    known = rows.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"), "left")
+    unsure = F.coalesce(F.expr(_MARKED), F.lit(False))
+    return known.where(~unsure).select(*rows.columns), known.where(unsure).select(*rows.columns)
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str,
@@ -207,7 +238,7 @@ def _compare(pairs, classes, docs, width, percent, text, key, kind) -> DataFrame
 
         def f(batch):
             cols = [[], [], []]
-            for part in texts(batch, text):
+            for part in texts(batch, text, size_bytes=SLICE):
                 for s in shingle(part):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     c = (int(d[0]), int(d[1]))
@@ -232,8 +263,10 @@ def _compare(pairs, classes, docs, width, percent, text, key, kind) -> DataFrame
                 both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
                 spare.append(both - -(-percent * (len(s) + len(t)) // (100 + percent)))
             spare = pa.array(spare, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spare], names=["a", "b", "spare"]).filter(
-                pc.greater_equal(spare, 0))
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), spare], names=["a", "b", "spare"]).filter(pc.greater_equal(spare, 0))
+            del b
+            pa.default_memory_pool().release_unused()   # the sets of the next pairs take their place
+            yield out
 
     one = sets.select(digest.alias("ca"), F.col("shingles").alias("sa"))
     two = sets.select(digest.alias("cb"), F.col("shingles").alias("sb"))
@@ -303,7 +336,7 @@ class RTree:
                 a, b = a[ok], b[ok]
                 na, nb = self.sizes[a], other.sizes[b]
                 ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                ok &= (100 + percent) * np.minimum(self.rest[a], other.rest[b]) >= percent * (na + nb)  # see _few_pairs
+                ok &= (100 + percent) * np.minimum(self.rest[a], other.rest[b]) >= percent * (na + nb)  # see _dealt_out
                 for mine_, yours_, full in ((self.rough, other.rough, 65535), (self.points, other.points, 255)):
                     a, b = a[ok], b[ok]
                     ok = _reaches(mine_[a], yours_[b], self.sizes[a] + other.sizes[b], full, percent)
@@ -379,17 +412,26 @@ def _several(rows: DataFrame, columns: str, differ: str) -> DataFrame:
     return dealt.mapInArrow(run, columns)
 
 
-def _few_pairs(shards: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of classes of different components that share a hash with at most FEW classes
-    and may be similar by their sizes and places in the prefix."""
-    dealt = shards.repartition(F.col("key")).sortWithinPartitions("key", "node")
+def _dealt_out(rows: DataFrame, percent: int) -> DataFrame:
+    """What hashes shared by classes of different components call for, in one shuffle and one sort.
+
+    A hash of at most FEW classes gives its pairs (a, b) that may be similar by their sizes and places in the
+    prefix; one of more gives its rows (key, node, place) with their number c, for the R-trees."""
+    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "comp", "node")
+    names = ["key", "node", "place", "c", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in complete_groups(batches, ["key"]):
             key, node, comp, n, place = (t.column(c).to_numpy() for c in ("key", "node", "comp", "n", "place"))
             start, end = _groups(key)
+            size = np.repeat(end - start, end - start)
+            shared = np.repeat(comp[start] != comp[end - 1], end - start)
+            many = shared & (size > FEW)
+            if many.any():
+                none = pa.nulls(int(many.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.array(place[many]), pa.array(size[many]), none, none], names=names)
             left = np.repeat(end, end - start) - np.arange(len(key)) - 1  # rows of the key behind each
-            fits = np.repeat(end - start <= FEW, end - start)
+            fits = shared & (size <= FEW)
             for d in range(1, FEW):
                 a = np.flatnonzero(fits & (left >= d))
                 b = a + d
@@ -397,10 +439,12 @@ def _few_pairs(shards: DataFrame, percent: int) -> DataFrame:
                 ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                 ok &= (100 + percent) * rest >= percent * (n[a] + n[b])  # unless a smaller hash is shared too, which has its own rows
                 if ok.any():
-                    pair = np.unique(np.stack((node[a[ok]], node[b[ok]])), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+                    one, two = node[a[ok]], node[b[ok]]
+                    pair = np.unique(np.stack((np.minimum(one, two), np.maximum(one, two))), axis=1)
+                    none, nil = pa.nulls(pair.shape[1], pa.int64()), pa.nulls(pair.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([none, none, nil, none, pa.array(pair[0]), pa.array(pair[1])], names=names)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "key long, node long, place int, c long, a long, b long")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -472,8 +516,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "te
     rows = written(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row_id")), "jaccard-rows")
     known = rows.select(F.col("_row")[key].alias(key), F.col("_row")[text].alias(text), F.col("row_id").alias("_place"))
     found = near_duplicates(known, width, percent, text, key, place="_place")
-    kept = found.where((F.col("n_shingles") == 0) | F.col("is_first")).select("row_id")
-    return rows.join(kept, "row_id").select("_row.*")
+    gone = written(found.where((F.col("n_shingles") > 0) & ~F.col("is_first")).select("row_id"), "jaccard-gone")
+    # only rows that may go are shuffled with their texts
+    sure, unsure = parted(rows, gone, "row_id")
+    return sure.unionByName(unsure.join(gone, "row_id", "left_anti")).select("_row.*")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id",
@@ -511,15 +557,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     shared = written(_several(rows, "key long, row_id long, place int", "row_id"), "jaccard-shared")
     comp = F.coalesce("label", "node").alias("comp")
     whose = node.where("row_id = node").join(labels, "node", "left").select("row_id", "node", "n", comp)
-    shards = written(_several(shared.join(whose, "row_id").select("key", "node", "comp", "n", "place"),
-                              "key long, node long, comp long, n long, place int", "comp"), "jaccard-shards")
-    small = written(_bounded(_few_pairs(shards, percent), classes, percent).select("a", "b"), "jaccard-few")
+    shards = written(_dealt_out(shared.join(whose, "row_id").select("key", "node", "comp", "n", "place"), percent), "jaccard-shards")
+    few = shards.where("a IS NOT NULL").select("a", "b").distinct()
+    small = written(_bounded(few, classes, percent).select("a", "b"), "jaccard-few")
     if small.limit(1).count():
         links = links.union(verify(small, classes, docs, width, percent, text, key, "jaccard-links-few"))
         labels = components(links, "components-few")
 
-    large = shards.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW)
-    large = written(shards.select("key", "node", "place").join(large, "key"), "jaccard-large")
+    large = shards.where("key IS NOT NULL").select("key", "node", "place", "c")
     done = small
     for k, limit in enumerate(ROUNDS):
         found = written(_tree_round(large, classes, labels, percent, limit, shard), f"jaccard-pairs-{k}")
