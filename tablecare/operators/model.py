@@ -29,7 +29,7 @@ from ..functions.columns import by_position, field_type, with_values
 from ..functions.numeric import as_double, family_of, hash_bucket, is_floating
 from ..functions.quantiles import quantiles
 from ..functions.ranks import dense_ranks
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .profile import Profile
 
 MIN_ROWS = 10
@@ -109,6 +109,11 @@ def category_index(train: DataFrame, columns: list[str]) -> DataFrame:
     return dense_ranks(long, "c", "value").withColumn("idx", F.col("idx").cast("double"))
 
 
+def _to_all(table: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has few rows; else left to the planner."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def encode(df: DataFrame, index: DataFrame, columns: list[str], sizes: dict[int, int]) -> DataFrame:
     """Adds ``__idx_<column>``: the value's index; a value unseen in training
     gets the number of categories, which the encoder turns into all zeros.
@@ -116,7 +121,7 @@ def encode(df: DataFrame, index: DataFrame, columns: list[str], sizes: dict[int,
     every task."""
     for i, c in enumerate(columns):
         mine = index.where(F.col("c") == i).select(F.col("value").alias("__v"), F.col("idx").alias(f"__idx_{c}"))
-        mine = F.broadcast(mine) if sizes.get(i, 0) <= BROADCAST_ROWS else mine
+        mine = _to_all(mine, sizes.get(i, 0))
         df = (df.join(mine, F.col(c).cast("string") == F.col("__v"), "left").drop("__v")
               .withColumn(f"__idx_{c}", F.coalesce(f"__idx_{c}", F.lit(float(sizes.get(i, 0))))))
     return df
@@ -158,7 +163,10 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     if n < MIN_ROWS:
         raise ValueError(f"Insufficient data after dropping missing targets ({n} rows)")
 
+    # joined, filtered and hashed once: every pass below reads the columns it needs from files
     split = hash_split(data, key_cols, test_size, seed)
+    split = stored(split.select(*[F.col(c).cast("string").alias(c) if c in cat else F.col(c)
+                                  for c in split.columns if c in (*num, *cat, target, "is_test")]), "model-split")
     train = split.where(~F.col("is_test"))
     # numeric: median (train) → standardise (train, after imputation)
     med = quantiles(train, num, [0.5]) if num else {}
@@ -184,8 +192,8 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
         # classes seen in training, in order; a test label unseen there has no index and is never predicted
         prepared = prepared.withColumn("__y", F.col(target).cast("string"))
         classes = cut_lineage(category_index(prepared.where(~F.col("is_test")), ["__y"]).select("value", "idx"))
-        prepared = prepared.join(classes.select(F.col("value").alias("__y"), F.col("idx").alias("__label")), "__y", "left")
         n_classes = classes.count()
+        prepared = prepared.join(_to_all(classes, n_classes).select(F.col("value").alias("__y"), F.col("idx").alias("__label")), "__y", "left")
     else:
         prepared = prepared.withColumn("__label", as_double(F.col(target)))
     stages = ([one_hot(cat)] if cat else []) + [
@@ -196,9 +204,9 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
     te = assembled.where(F.col("is_test"))
     try:
         if classes is not None:
-            w = class_weights(tr, "__y")
-            # one row per class: left to the planner (AQE broadcasts it when it is small)
-            trw = tr.join(w.select(F.col("label").alias("__y"), "weight"), "__y")
+            w = cut_lineage(class_weights(train, target))
+            # one row per class: a shuffle by class would leave the fit as many tasks as there are classes
+            trw = tr.join(_to_all(w, n_classes).select(F.col("label").alias("__y"), "weight"), "__y")
             got = trw.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
             train_rows = int(got["n"])
             est = LogisticRegression(featuresCol="features", labelCol="__label", weightCol="weight",
@@ -209,7 +217,7 @@ def train_baseline(df: DataFrame, target: str, prof: Profile, key_cols: list[str
             mat = model.coefficientMatrix.toArray()
             coefs = [float(abs(mat[:, j]).mean()) for j in range(mat.shape[1])]
             signed = [float(v) for v in mat[0]] if mat.shape[0] == 1 else [None] * len(coefs)
-            of = classes.select(F.col("idx").alias("prediction"), F.col("value").alias("predicted"))
+            of = _to_all(classes, n_classes).select(F.col("idx").alias("prediction"), F.col("value").alias("predicted"))
             pred = model.transform(te).select(F.col("__y").alias("actual"), "prediction").join(of, "prediction", "left").select(
                 "actual", "predicted")
         else:

@@ -13,6 +13,7 @@ from ..functions.text import LEAKAGE_FEATURE_TERMS_EXPLAIN, LEAKAGE_FEATURE_TERM
 from ..operators import metrics as M
 from ..operators import model as ML
 from ..operators.profile import profile
+from ..session import stored
 from ..sources.tables import dirty_orders, load_table
 from .pack import PACK_SIZE
 from .q_clean import LOG_SQL
@@ -150,6 +151,7 @@ def _classifier(spark, sf):
     cust = load_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     df = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal")
+    df = stored(df, "orders-customer")   # many passes read it
     prof = profile(df, "orders_customer", light=True)
     prof.columns = [c for c in prof.columns if c["name"] != "o_orderkey"]
     return ML.train_baseline(df, "o_orderstatus", prof, ["o_orderkey"], run_id="orders_status")
