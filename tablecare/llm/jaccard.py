@@ -30,6 +30,7 @@ share a component; a null doc_id counts as larger than all others.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,10 @@ HUBS = 3
 ROUNDS = (4, 64, None)
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
+#: Places of prefix hashes share a number with the hash: so many low bits of it, which the hash gives up.
+PLACE_BITS = 24
+#: Hashes below it, on average a quarter of a set, are compared before whole sets are sent.
+LOW = 1 << 62
 #: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
 MARK_BITS = 1 << 22
 
@@ -149,6 +154,16 @@ def point_of(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
+def packed(point: bytes) -> bytes:
+    """A point as it is stored and shuffled: about a quarter of its bytes."""
+    c = zlib.compressobj(9, zlib.DEFLATED, -10, 4, zlib.Z_RLE)
+    return c.compress(point) + c.flush()
+
+
+def unpacked(points: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(zlib.decompress(x, -10, GROUPS) for x in points.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
 def overlap_bound(p: np.ndarray, q: np.ndarray, full: int = 255) -> np.ndarray:
     """Largest possible overlap of points, row by row; unbounded where both counts are cut off at ``full``."""
     m = np.minimum(p, q)
@@ -177,7 +192,7 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str, pla
                     if len(s) and c not in seen:
                         first = True
                         seen.add(c)
-                    row = (len(s), *c, point_of(s) if first else None,
+                    row = (len(s), *c, packed(point_of(s)) if first else None,
                            s[:prefix_length(len(s), percent)].view(np.int64) if first else None)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
@@ -214,9 +229,10 @@ def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFr
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str,
-           name: str) -> DataFrame:
-    """The (a, b) pairs of class nodes that are similar, on their whole shingle sets."""
-    near = written(_compare(pairs, classes, docs, width, percent, text, key, np.uint32), f"{name}-32")
+           name: str, screen: bool = False) -> DataFrame:
+    """The (a, b) pairs of class nodes that are similar, on their whole shingle sets; with ``screen``, pairs
+    that the hashes below LOW rule out are dropped before whole sets are sent."""
+    near = written(_compare(pairs, classes, docs, width, percent, text, key, np.uint32, screen), f"{name}-32")
     close = near.where("spare <= 2").select("a", "b")
     if not close.limit(1).count():
         return near.select("a", "b")
@@ -224,7 +240,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     return written(near.where("spare > 2").select("a", "b").union(sure.select("a", "b")), name)
 
 
-def _compare(pairs, classes, docs, width, percent, text, key, kind) -> DataFrame:
+def _compare(pairs, classes, docs, width, percent, text, key, kind, screen=False) -> DataFrame:
     """Similar pairs with ``spare``, the shingles their overlap has beyond the least; hashes cut to ``kind``."""
     digest = F.struct("c1", "c2")
     one = classes.select(F.col("node").alias("a"), digest.alias("ca"), F.col("doc").alias("da"))
@@ -237,41 +253,55 @@ def _compare(pairs, classes, docs, width, percent, text, key, kind) -> DataFrame
         shingle, seen = Shingler(width), set()
 
         def f(batch):
-            cols = [[], [], []]
+            cols = [[], [], [], [], []]
             for part in texts(batch, text, size_bytes=SLICE):
                 for s in shingle(part):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     c = (int(d[0]), int(d[1]))
-                    for col, v in zip(cols, (*c, None if c in seen else (s >> shift).astype(kind).tobytes()), strict=True):
+                    low = s[:np.searchsorted(s, np.uint64(LOW))] if screen else s[:0]
+                    sent = (None, None) if c in seen else ((low >> shift).astype(kind).tobytes(), (s >> shift).astype(kind).tobytes())
+                    for col, v in zip(cols, (*c, len(s), *sent), strict=True):
                         col.append(v)
                     seen.add(c)
             return cols
         return f
 
-    fields = [T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("shingles", T.BinaryType())]
+    fields = [T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("size", T.LongType()),
+              T.StructField("low", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
     source = marked(docs.select(key, text), wanted, key)
     sets = written(arrow_map(source, fields, make, []).where("shingles is not null"), "jaccard-sets")
+    if screen:
+        pairs = written(_overlapping(pairs, sets, "low", percent, kind), "jaccard-screened")
+    return _overlapping(pairs, sets, "shingles", percent, kind).select("a", "b", "spare")
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame, column: str, percent: int, kind) -> DataFrame:
+    """Pairs that may be similar by what ``column`` holds of their sets, as if they shared all the rest."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spare = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y, m, n in zip(b.column(4), b.column(5), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                rest = min(m - len(s), n - len(t))
                 if len(s) > len(t):
                     s, t = t, s
                 at = np.searchsorted(t, s)
                 both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                spare.append(both - -(-percent * (len(s) + len(t)) // (100 + percent)))
+                spare.append(both + rest - -(-percent * (m + n) // (100 + percent)))
             spare = pa.array(spare, pa.int64())
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), spare], names=["a", "b", "spare"]).filter(pc.greater_equal(spare, 0))
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), spare], names=["a", "b", "ca", "cb", "spare"])
+            out = out.filter(pc.greater_equal(spare, 0))
             del b
             pa.default_memory_pool().release_unused()   # the sets of the next pairs take their place
             yield out
 
-    one = sets.select(digest.alias("ca"), F.col("shingles").alias("sa"))
-    two = sets.select(digest.alias("cb"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b", "ca", "cb").join(two, "cb").select("a", "b", "ca", "sb").join(one, "ca").select("a", "b", "sa", "sb")
-    return both.mapInArrow(similar, "a long, b long, spare long")
+    digest = F.struct("c1", "c2")
+    one = sets.select(digest.alias("ca"), F.col(column).alias("sa"), F.col("size").alias("na"))
+    two = sets.select(digest.alias("cb"), F.col(column).alias("sb"), F.col("size").alias("nb"))
+    both = pairs.select("a", "b", "ca", "cb").join(two, "cb").join(one, "ca").select("a", "b", "ca", "cb", "sa", "sb", "na", "nb")
+    kept = "struct<c1: long, c2: long>"
+    return both.mapInArrow(similar, f"a long, b long, ca {kept}, cb {kept}, spare long")
 
 
 def coarse(points: np.ndarray) -> np.ndarray:
@@ -396,9 +426,21 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(key))
 
 
+def _placed(hashed: str, place: str):
+    """A hash without its last bits, and its place in the prefix in them (the largest that fits, at most).
+
+    Hashes that become equal make candidates that are verified like all others."""
+    most = (1 << PLACE_BITS) - 1
+    return F.col(hashed).bitwiseAND(F.lit(~most)).bitwiseOR(F.least(F.col(place), F.lit(most)).cast("long"))
+
+
+def _key_of(at: str):
+    return F.shiftright(at, PLACE_BITS)
+
+
 def _several(rows: DataFrame, columns: str, differ: str) -> DataFrame:
     """Rows whose key is shared by rows with different values of ``differ``; one shuffle, one sort."""
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", differ)
+    dealt = rows.repartition(_key_of("at")).withColumn("key", _key_of("at")).sortWithinPartitions("key", differ)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +459,9 @@ def _dealt_out(rows: DataFrame, percent: int) -> DataFrame:
 
     A hash of at most FEW classes gives its pairs (a, b) that may be similar by their sizes and places in the
     prefix; one of more gives its rows (key, node, place) with their number c, for the R-trees."""
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "comp", "node")
+    place = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    dealt = (rows.repartition(_key_of("at")).select(_key_of("at").alias("key"), place.alias("place"), "node", "comp", "n")
+             .sortWithinPartitions("key", "comp", "node"))
     names = ["key", "node", "place", "c", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +501,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (2, 3))
+            p, q = unpacked(b.column(2)), unpacked(b.column(3))
             size, bound = b.column(4).to_numpy(), np.minimum(overlap_bound(p, q), 1 << 40)
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bound / size)], names=["a", "b", "ratio"])
             yield out.filter(pa.array((100 + percent) * bound >= percent * size))
@@ -482,7 +526,7 @@ def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percen
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in complete_groups(batches, ["key", "i", "j"]):
             nodes, comps, sizes, rest, own, key, i, j = (t.column(c).to_numpy() for c in ("node", "comp", "n", "rest", "own", "key", "i", "j"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            points = unpacked(t.column("point"))
             start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             pairs: list[np.ndarray] = []
             held_keys = []
@@ -553,11 +597,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     links = verify(written(stars, "jaccard-stars"), classes, docs, width, percent, text, key, "jaccard-links-0")
     labels = components(links)
 
-    rows = heads.select("row_id", F.posexplode("hashes").alias("place", "key")).select("key", "row_id", "place")
-    shared = written(_several(rows, "key long, row_id long, place int", "row_id"), "jaccard-shared")
+    rows = heads.select("row_id", F.posexplode("hashes").alias("place", "key")).select(_placed("key", "place").alias("at"), "row_id")
+    shared = written(_several(rows, "at long, row_id long", "row_id"), "jaccard-shared")
     comp = F.coalesce("label", "node").alias("comp")
     whose = node.where("row_id = node").join(labels, "node", "left").select("row_id", "node", "n", comp)
-    shards = written(_dealt_out(shared.join(whose, "row_id").select("key", "node", "comp", "n", "place"), percent), "jaccard-shards")
+    shards = written(_dealt_out(shared.join(whose, "row_id").select("at", "node", "comp", "n"), percent), "jaccard-shards")
     few = shards.where("a IS NOT NULL").select("a", "b").distinct()
     small = written(_bounded(few, classes, percent).select("a", "b"), "jaccard-few")
     if small.limit(1).count():
@@ -571,7 +615,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
         held = found.where("a is null").select("key")
         new = written(found.where("a is not null").join(done, ["a", "b"], "left_anti"), f"jaccard-new-{k}")
         if new.limit(1).count():
-            links = links.union(verify(new, classes, docs, width, percent, text, key, f"jaccard-links-{k + 1}"))
+            links = links.union(verify(new, classes, docs, width, percent, text, key, f"jaccard-links-{k + 1}", screen=True))
             labels = components(links, f"components-{k + 1}")
         if not held.limit(1).count():
             break

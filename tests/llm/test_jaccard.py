@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tablecare.llm import jaccard
 
@@ -116,3 +117,45 @@ def test_rows_are_known_though_the_scans_differ(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 100 and len(set(got.values())) == 100
+
+
+def test_points_and_places_are_sent_small():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 40, 480, 6000, 200_000)]
+    sets.append(np.arange(900, dtype=np.uint64) * np.uint64(jaccard.GROUPS))   # one group, cut off
+    points = [jaccard.point_of(s) for s in sets]
+    stored = [jaccard.packed(p) for p in points]
+    assert jaccard.unpacked(pa.array(stored, pa.binary())).tobytes() == b"".join(points)
+    assert max(len(x) for x in stored[:3]) < jaccard.GROUPS // 3
+
+
+def test_screen_drops_no_similar_pair(spark, tmp_path, monkeypatch):
+    """Long documents round the limit, compared on a part of their sets first: the links are those of the whole sets."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 10**9, 1500)]
+    rows = []
+    for k in range(24):
+        words = list(base)
+        for at in rng.choice(len(words), 8 * k, replace=False):
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words)))
+    sets = [set(tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows]
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert 0 < len(want) < 276
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    feats = jaccard.features(docs, 5, 75, "text", "doc_id").where("n > 0")
+    classes = jaccard.written(feats.selectExpr("c1", "c2", "n", "doc_id as node", "doc_id as doc"), "test-classes")
+    pairs = spark.createDataFrame([(a, b) for a in range(24) for b in range(a + 1, 24)], "a long, b long")
+    sent = []
+    whole = jaccard._overlapping
+
+    def spy(pairs, sets, column, *more):
+        sent.append((column, pairs.count()))
+        return whole(pairs, sets, column, *more)
+
+    monkeypatch.setattr(jaccard, "_overlapping", spy)
+    got = {(r["a"], r["b"]) for r in jaccard.verify(pairs, classes, docs, 5, 75, "text", "doc_id", "test-links", screen=True).collect()}
+    assert got == want
+    assert sent[0] == ("low", 276) and sent[1][0] == "shingles" and len(want) <= sent[1][1] < 276
