@@ -32,14 +32,14 @@ def block_moments(x: np.ndarray) -> Moments:
     """Pairwise-complete moments of the columns of one block of rows, as k x k arrays (of i, then of j)."""
     k = x.shape[1]
     m = ~np.isnan(x)
-    out = {c: np.zeros((k, k)) for c in PAIR}
+    out = {c: np.zeros((k, k), np.longdouble if c in ("mx", "my") else float) for c in PAIR}
     full = m.all(axis=0)
     if full.any() and len(x):   # columns without a gap: one centring serves all their pairs
         at = np.flatnonzero(full)
         v = x[:, at]
         d = v - v.mean(axis=0)
         ones = np.ones(len(at))
-        own = {"mx": v.mean(axis=0), "sxx": (d * d).sum(axis=0), "lox": v.min(axis=0), "hix": v.max(axis=0)}
+        own = {"mx": _finer(v.mean(axis=0), d.mean(axis=0)), "sxx": (d * d).sum(axis=0), "lox": v.min(axis=0), "hix": v.max(axis=0)}
         ij = np.ix_(at, at)
         out["n"][ij] = float(len(x))
         out["sxy"][ij] = d.T @ d
@@ -53,6 +53,7 @@ def block_moments(x: np.ndarray) -> Moments:
         xi, yj = np.where(both, x, 0.0), np.where(both, x[:, [j]], 0.0)
         mx, my = xi.sum(axis=0) / np.maximum(n, 1), yj.sum(axis=0) / np.maximum(n, 1)
         dx, dy = np.where(both, x - mx, 0.0), np.where(both, x[:, [j]] - my, 0.0)
+        mx, my = (_finer(a, b.sum(axis=0) / np.maximum(n, 1)) for a, b in ((mx, dx), (my, dy)))
         part = {"n": n, "mx": mx, "my": my, "sxx": (dx * dx).sum(axis=0), "syy": (dy * dy).sum(axis=0), "sxy": (dx * dy).sum(axis=0),
                 "lox": np.where(both, x, np.inf).min(axis=0, initial=np.inf), "hix": np.where(both, x, -np.inf).max(axis=0, initial=-np.inf),
                 "loy": np.where(both, x[:, [j]], np.inf).min(axis=0, initial=np.inf),
@@ -67,11 +68,16 @@ def block_moments(x: np.ndarray) -> Moments:
 _OTHER = {"mx": "my", "my": "mx", "sxx": "syy", "syy": "sxx", "lox": "loy", "loy": "lox", "hix": "hiy", "hiy": "hix"}
 
 
+def _finer(mean: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A mean with the mean of what is left about it: differences of means far from zero lose digits in doubles."""
+    return mean.astype(np.longdouble) + np.where(np.isfinite(left), left, 0.0)
+
+
 def merge(a: Moments, b: Moments) -> Moments:
     """Moments of two sets of rows together (parallel formula)."""
     n = a["n"] + b["n"]
     w = a["n"] * b["n"] / np.maximum(n, 1)
-    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    dx, dy = ((b[c] - a[c]).astype(float) for c in ("mx", "my"))
     share = b["n"] / np.maximum(n, 1)
     has_a, has_b = a["n"] > 0, b["n"] > 0
 
@@ -150,7 +156,7 @@ def _merge_all(size: int) -> Callable:
             i, j = (x.ravel() for x in np.indices(t["n"].shape))
             i, j = i + p * size, j + q * size
             keep = (i <= j) & (t["n"].ravel() > 0)
-            cols = [pa.array(i[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), *[pa.array(t[c].ravel()[keep]) for c in PAIR]]
+            cols = [pa.array(i[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), *[pa.array(t[c].ravel()[keep].astype(float)) for c in PAIR]]
             yield pa.RecordBatch.from_arrays(cols, names=["i", "j", *PAIR])
     return run
 
