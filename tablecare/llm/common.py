@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +25,8 @@ from ..session import ensure_checkpoint_dir
 WORD_RX = r"[^\x20\x09-\x0D]+"
 #: A frame with at most this many (narrow) rows may be broadcast; the count is taken first.
 BROADCAST_ROWS = 100_000
+#: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
+MARK_BITS = 1 << 22
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,16 +47,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: What ``written`` has made in each of the open ``passing`` blocks, the innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` into the folder named by ``spark.checkpoint.dir`` and read it back.
 
     Later passes start from files that every executor sees, so a lost executor
-    costs only its own tasks."""
+    costs only its own tasks. With ``stays`` they outlive the innermost ``passing`` block."""
     spark = df.sparkSession
     ship(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    blocks = _MADE.get()[:-1] if stays else _MADE.get()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame | str) -> None:
+    """Delete the files of frames that came from ``written`` (or of their paths), when nothing reads them any more.
+
+    Spark deletes the shuffle files behind them once the driver's garbage is collected, which is asked for here."""
+    for f in frames:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f if isinstance(f, str) else f._path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        spark._jvm.System.gc()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` makes inside is deleted when the block ends, unless it ``stays``: a frame that
+    is used later must not read it."""
+    made: list[str] = []
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        discard(spark, *made)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,6 +98,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _marks(ids: DataFrame, key: str) -> DataFrame:
+    """A bit table of the hashes of ``ids``: at most 65,536 rows, so broadcasting it is safe."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return (ids.select(bit.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits")))
+
+
+_MARKED = "(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"
+
+
+def marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ``ids``: a superset, found without shuffling ``docs``."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return (docs.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"))
+            .where(F.expr(_MARKED)).drop("_bit", "_word", "_bits"))
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not among ``ids`` for sure, and the others."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    known = rows.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"), "left")
+    unsure = F.coalesce(F.expr(_MARKED), F.lit(False))
+    return known.where(~unsure).select(*rows.columns), known.where(unsure).select(*rows.columns)
+
+
 def arrow_map(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable],
               keep: list[str] | None = None) -> DataFrame:
     """Add columns computed batch by batch in Python.

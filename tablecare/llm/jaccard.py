@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, complete_groups, texts, written
+from .common import arrow_map, complete_groups, discard, marked, parted, passing, texts, written
 from .graph import components
 
 GROUPS, COARSE = 512, 64
@@ -65,8 +65,6 @@ SLICE = 1 << 19
 PLACE_BITS = 24
 #: Hashes below it, on average a quarter of a set, are compared before whole sets are sent.
 LOW = 1 << 62
-#: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
-MARK_BITS = 1 << 22
 
 
 _RANDOM = np.random.default_rng(4099).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -203,41 +201,19 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str, pla
     return written(arrow_map(rows, fields, make, [key, "row_id"]), "jaccard-features")
 
 
-def _marks(ids: DataFrame, key: str) -> DataFrame:
-    """A bit table of the hashes of ``ids``: at most 65,536 rows, so broadcasting it is safe."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    return (ids.select(bit.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits")))
-
-
-_MARKED = "(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"
-
-
-def marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among ``ids``: a superset, found without shuffling ``docs``."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    return (docs.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"))
-            .where(F.expr(_MARKED)).drop("_bit", "_word", "_bits"))
-
-
-def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key is not among ``ids`` for sure, and the others."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    known = rows.withColumn("_bit", bit).join(F.broadcast(_marks(ids, key)), F.shiftright("_bit", 6) == F.col("_word"), "left")
-    unsure = F.coalesce(F.expr(_MARKED), F.lit(False))
-    return known.where(~unsure).select(*rows.columns), known.where(unsure).select(*rows.columns)
-
-
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str,
            name: str, screen: bool = False) -> DataFrame:
     """The (a, b) pairs of class nodes that are similar, on their whole shingle sets; with ``screen``, pairs
     that the hashes below LOW rule out are dropped before whole sets are sent."""
-    near = written(_compare(pairs, classes, docs, width, percent, text, key, np.uint32, screen), f"{name}-32")
+    spark = docs.sparkSession
+    with passing(spark):   # the sets go as soon as they are compared
+        near = written(_compare(pairs, classes, docs, width, percent, text, key, np.uint32, screen), f"{name}-32", stays=True)
     close = near.where("spare <= 2").select("a", "b")
     if not close.limit(1).count():
         return near.select("a", "b")
-    sure = _compare(close, classes, docs, width, percent, text, key, np.uint64)
-    return written(near.where("spare > 2").select("a", "b").union(sure.select("a", "b")), name)
+    with passing(spark):
+        sure = _compare(close, classes, docs, width, percent, text, key, np.uint64)
+        return written(near.where("spare > 2").select("a", "b").union(sure.select("a", "b")), name, stays=True)
 
 
 def _compare(pairs, classes, docs, width, percent, text, key, kind, screen=False) -> DataFrame:
@@ -556,11 +532,13 @@ def _tree_round(shards: DataFrame, classes: DataFrame, labels: DataFrame, percen
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The first row of every component, and all rows without words, with the columns of ``docs``.
 
-    The rows are written once with a number, as their places in two scans of the input may differ."""
+    The rows are written once with a number, as their places in two scans of the input may differ.
+    They and the numbers of those that go are all that stays on disk."""
     rows = written(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row_id")), "jaccard-rows")
     known = rows.select(F.col("_row")[key].alias(key), F.col("_row")[text].alias(text), F.col("row_id").alias("_place"))
-    found = near_duplicates(known, width, percent, text, key, place="_place")
-    gone = written(found.where((F.col("n_shingles") > 0) & ~F.col("is_first")).select("row_id"), "jaccard-gone")
+    with passing(docs.sparkSession):
+        found = near_duplicates(known, width, percent, text, key, place="_place")
+        gone = written(found.where((F.col("n_shingles") > 0) & ~F.col("is_first")).select("row_id"), "jaccard-gone", stays=True)
     # only rows that may go are shuffled with their texts
     sure, unsure = parted(rows, gone, "row_id")
     return sure.unionByName(unsure.join(gone, "row_id", "left_anti")).select("_row.*")
@@ -594,14 +572,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     best = Window.partitionBy("b").orderBy(F.desc("ratio"), "a")  # at most 2 x FIRST hubs of one class
     stars = _bounded(stars, classes, percent).withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS)
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verify(written(stars, "jaccard-stars"), classes, docs, width, percent, text, key, "jaccard-links-0")
+    stars = written(stars, "jaccard-stars")
+    links = verify(stars, classes, docs, width, percent, text, key, "jaccard-links-0")
     labels = components(links)
 
     rows = heads.select("row_id", F.posexplode("hashes").alias("place", "key")).select(_placed("key", "place").alias("at"), "row_id")
     shared = written(_several(rows, "at long, row_id long", "row_id"), "jaccard-shared")
+    sizes = written(feats.select(key, "row_id", "n", "c1", "c2"), "jaccard-sizes")
+    discard(docs.sparkSession, feats, stars)   # prefix hashes and points are not read from there again
     comp = F.coalesce("label", "node").alias("comp")
     whose = node.where("row_id = node").join(labels, "node", "left").select("row_id", "node", "n", comp)
     shards = written(_dealt_out(shared.join(whose, "row_id").select("at", "node", "comp", "n"), percent), "jaccard-shards")
+    discard(docs.sparkSession, node, shared)
     few = shards.where("a IS NOT NULL").select("a", "b").distinct()
     small = written(_bounded(few, classes, percent).select("a", "b"), "jaccard-few")
     if small.limit(1).count():
@@ -625,6 +607,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     named = classes.join(labels, "node", "left").select("c1", "c2", "doc", F.coalesce("label", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "comp").select("c1", "c2", "comp", "component_id")
-    return (feats.select(key, "row_id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    return (sizes.join(named, ["c1", "c2"], "left")
             .select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), "row_id",
                     F.coalesce(F.col("row_id") == F.col("comp"), F.lit(False)).alias("is_first")))

@@ -22,19 +22,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, word_count, written
+from .common import parted, passing, small, word_count, written
 
 DIGITS = [16, 16, 15, 15]
 BITS = 31
 
 
-def sampling_code(weight: Column, *identity: Column) -> Column:
-    """62-bit place of a row in the weighted random order."""
-    u = (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(20_011)), 11) + 1).cast("double") / float(2 ** 53)
+def sampling_hash(*identity: Column) -> Column:
+    """53 bits from which a row's place is taken; equal rows share them."""
+    return F.shiftrightunsigned(F.xxhash64(*identity, F.lit(20_011)), 11)
+
+
+def tie_hash() -> Column:
+    """31 bits that order equal keys, by the row's place in the input."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS)
+
+
+def sampling_code(weight: Column, hashed: Column, tie: Column) -> Column:
+    """62-bit place of a row in the weighted random order, from its ``sampling_hash`` and ``tie_hash``."""
+    u = (hashed + 1).cast("double") / float(2 ** 53)
     p = -F.expm1(F.log(u) / weight)  # uniform transform of the exponential key; grows with it
     high = F.least(F.floor(p * float(2 ** BITS)), F.lit(2 ** BITS - 1)).cast("long")
-    low = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS)
-    return F.shiftleft(high, BITS) + low
+    return F.shiftleft(high, BITS) + tie
 
 
 def source_targets(sizes: DataFrame, weights: list[float], max_epochs: float) -> DataFrame:
@@ -88,12 +97,6 @@ def find_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select(*targets.columns, F.when(crossing_fits, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("cut"))
 
 
-def with_sizes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``size`` and ``code``; ``_weight`` is the row's quality weight."""
-    return docs.withColumn("size", word_count(F.col(text))).withColumn(
-        "code", sampling_code(F.col("_weight"), F.col(key), F.col(text)))
-
-
 def plan_mix(sized: DataFrame, weights: list[float], max_epochs: float) -> DataFrame:
     """Per source: size, target, epochs, rest and cut."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -123,11 +126,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: list[float] = (1.0, 2.0, 3.
     """One row per document: key, source, size, source_size, target and taken words.
 
     The weights repeat over the sources in code point order, the null source last."""
-    sized = with_sizes(docs.select(key, "source", text).withColumn("_weight", F.lit(1.0)), text, key)
-    sized = sized.drop("code").withColumn("_u", F.xxhash64(F.col(key), F.col(text))).select(key, "source", "size", "_u")
+    sized = docs.select(key, "source", word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("_u"))
     weighted = quality_weights(sized, weights_of(labels, key), key)
-    sized = written(weighted.withColumn("code", sampling_code(F.col("_weight"), F.col("_u"))).select(key, "source", "size", "code"),
-                    "mix-sized")
+    code = sampling_code(F.col("_weight"), sampling_hash(F.col("_u")), tie_hash())
+    sized = written(weighted.select(key, "source", "size", code.alias("code")), "mix-sized")
     return copies(sized, plan_mix(sized, list(weights), max_epochs)).select(
         key, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -138,13 +140,26 @@ def mix_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), max_epochs
     whole epochs say, so never fewer than once if the source is taken whole).
 
     Rows weigh as their labels say, and the same without ``labels``. They are written once with
-    their size and code, so that the sizes and the choice are of the same codes."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("source"), F.col(text).alias(text),
-                      F.col(key).alias(key))
+    their size and hashes, so that the sizes and the choice are of the same codes. The choice is made
+    without the texts; of these, only rows that may be chosen otherwise than if no row had a label
+    are shuffled."""
+    code = sampling_code(F.lit(1.0), sampling_hash(F.col(key), F.col(text)), tie_hash())
+    full = written(docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("source"), word_count(F.col(text)).alias("size"),
+                               sampling_hash(F.col(key), F.col(text)).alias("_u"), code.alias("code"),
+                               F.monotonically_increasing_id().alias("row_id")), "mix-rows")
     if labels is None:
-        row = row.withColumn("_weight", F.lit(1.0))
+        chosen = copies(full, plan_mix(full.drop("_row"), list(weights), max_epochs))
     else:
-        row = quality_weights(row, small(written(weights_of(labels, key), "mix-labels")), key)
-    full = written(with_sizes(row, text, key).select("_row", "source", "size", "code"), "mix-rows")
-    chosen = copies(full, plan_mix(full.drop("_row"), list(weights), max_epochs)).where("copies > 0")
-    return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+        with passing(docs.sparkSession):
+            narrow = full.select(F.col("_row")[key].alias("_key"), "source", "size", "_u", F.col("code").alias("_plain"), "row_id")
+            weighted = quality_weights(narrow, small(written(weights_of(labels, key), "mix-labels")), "_key")
+            code = sampling_code(F.col("_weight"), F.col("_u"), F.col("_plain").bitwiseAND(F.lit((1 << BITS) - 1)))
+            sized = written(weighted.select("source", "size", code.alias("code"), "_plain", "row_id"), "mix-sized")
+            plan = written(plan_mix(sized, list(weights), max_epochs), "mix-plan", stays=True)
+            other = copies(sized, plan).where((F.col("code") <= F.col("cut")) != (F.col("_plain") <= F.col("cut")))
+            other = written(other.select("row_id", F.col("copies").alias("_copies")), "mix-other", stays=True)
+        sure, unsure = parted(full, other, "row_id")
+        unsure = copies(unsure, plan).join(small(other), "row_id", "left").select("_row", F.coalesce("_copies", "copies").alias("copies"))
+        chosen = copies(sure, plan).select("_row", "copies").unionByName(unsure)
+    return (chosen.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("_row.*"))

@@ -1,4 +1,8 @@
-from tablecare.llm import mixing
+from collections import Counter
+
+import numpy as np
+
+from tablecare.llm import common, mixing
 
 from .helpers import EDGES, SMALL, WORD, documents
 
@@ -74,3 +78,27 @@ def test_the_pipeline_draws_good_rows_more_often(spark, tmp_path):
     good, bad = (sum(i % 2 == k for i in taken) / 200 for k in (1, 0))
     assert good > bad + 0.2
     assert all(r["text"] == dict((i, t) for i, t, _ in rows).get(r["doc_id"], "no key") for r in got.limit(20).collect())
+
+
+def test_few_texts_move_whatever_the_number_of_labels(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} has " + "many words " * (i % 7), "st"[i % 2]) for i in range(600)]
+    docs = documents(spark, rows, tmp_path)
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(600)], "doc_id long, quality int")
+    (tmp_path / "kept").mkdir()
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda _: str(tmp_path / "kept"))
+    monkeypatch.setattr(mixing, "small", lambda df: df)   # as with more labels than may be broadcast
+    got = Counter(r["doc_id"] for r in mixing.mix_rows(docs, labels=labels).collect())
+    folders = {p.name.rsplit("-", 1)[0]: p for p in (tmp_path / "kept").iterdir()}
+    assert set(folders) == {"mix-rows", "mix-plan", "mix-other"}
+    full, plan, other = (spark.read.parquet(str(folders[n])).toPandas() for n in ("mix-rows", "mix-plan", "mix-other"))
+    assert 0 < len(other) < len(rows) / 3
+    full["doc_id"] = [r["doc_id"] for r in full["_row"]]
+    weight = np.where(full["doc_id"] // 2 % 2, 2.0, 0.5)
+    high = np.floor(-np.expm1(np.log((full["_u"] + 1) / 2.0 ** 53) / weight) * 2.0 ** 31).astype(np.int64)
+    full["place"] = high * 2 ** 31 + full["code"] % 2 ** 31
+    for p in plan.to_dict("records"):
+        mine = full[full["source"] == p["source"]].sort_values("place")
+        copies = mine["doc_id"].map(lambda i: got[i])
+        more = copies > p["epochs"]
+        assert set(copies) <= {p["epochs"], p["epochs"] + 1} and more.is_monotonic_decreasing
+        assert abs((copies * mine["size"]).sum() - p["target"]) <= mine["size"].max() / 2 + 1
