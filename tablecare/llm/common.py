@@ -25,6 +25,8 @@ from ..session import ensure_checkpoint_dir
 WORD_RX = r"[^\x20\x09-\x0D]+"
 #: A frame with at most this many (narrow) rows may be broadcast; the count is taken first.
 BROADCAST_ROWS = 100_000
+#: Bytes of rows that Spark hands a Python worker at once: both sides hold such a batch, and buffers of its size, per core.
+BATCH_BYTES = 2 << 20
 #: Bits of the table that marks documents needed for verification; 64 to a row, so its size is fixed.
 MARK_BITS = 1 << 22
 
@@ -43,6 +45,15 @@ def ship(spark: SparkSession) -> None:
     sc._tablecare_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most about ``BATCH_BYTES`` at once from now on, unless the session sets a size of its own.
+
+    Spark's 10,000 rows of whole texts (at most 64 MB) would take several times that per core, outside the JVM's heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -131,6 +142,7 @@ def arrow_map(df: DataFrame, fields: list[T.StructField], make: Callable[[], Cal
     per field, as long as the batch. ``keep`` names the input columns that stay
     (default: all); one with a new column's name is replaced."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)

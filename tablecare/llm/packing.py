@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import texts, written
+from .common import small_batches, texts, written
 
 #: Chunks whose ids a worker keeps; beyond it the table starts anew.
 CHUNKS = 400_000
@@ -194,6 +194,7 @@ _PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("s
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, separator: int, capacity: int, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and ``_row`` (its place in the input)."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], *_PIECE.fields])
     arrow = to_arrow_schema(schema)
 

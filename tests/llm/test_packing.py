@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tablecare.llm import packing
+from tablecare.llm import common, packing
 
 from .helpers import EDGES, SMALL, documents
 
@@ -51,3 +52,17 @@ def test_tightest_space_is_taken():
         assert (space[b] == min(fits)) if b in space else not fits
         assert o == 100 - space.get(b, 100)
         space[b] = space.get(b, 100) - n
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 600, 1, 1).selectExpr("id as doc_id", "repeat('word ', 4000) as text")
+    sizes = common.arrow_map(docs, [T.StructField("n", T.LongType())], lambda: lambda b: [[b.nbytes] * b.num_rows], ["doc_id"])
+    assert sizes.count() == 600 and sizes.agg({"n": "max"}).first()[0] < common.BATCH_BYTES + 100_000
+    spark.conf.unset(name)
+    assert packing.pack(docs, PATH).count() == 600 * 4
+    assert spark.conf.get(name) == str(common.BATCH_BYTES)
+    spark.conf.set(name, "1m")
+    common.small_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
