@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import small_batches, texts, written
 
 #: Chunks whose ids a worker keeps; beyond it the table starts anew.
-CHUNKS = 400_000
+CHUNKS = 200_000
 #: Texts tokenized together.
 TEXTS = 128
 
