@@ -6,9 +6,12 @@ The overlap of two sets is at most the sum over groups of the smaller count, and
 below two R-tree nodes at most the sum of the smaller upper corners; pairs of nodes and points
 that cannot reach the similarity are cut off, the others are verified on the whole sets.
 
-How the work is spread: two sets of similarity ``t`` share one of the ``n - ceil(t n) + 1``
-smallest hashes of either (the prefix), so an R-tree is built for every prefix hash that classes
-of different components share, and no similar pair is missed. Only connections are wanted, so:
+How the work is spread: two sets of similarity ``t`` share one of the first ``n - ceil(t n) + 1``
+hashes of either (the prefix) in any order that holds for all sets, so an R-tree is built for every
+prefix hash that classes of different components share, and no similar pair is missed. The order is
+by how often hashes occur, as counted in a table of fixed size, and then by the hashes themselves:
+those of a passage that many texts have come last and call for no large trees. Only connections are
+wanted, so:
 
 1. every class is paired with the best bounded of a few classes of like size that share one of its
    four smallest hashes; the pairs are verified and components are formed: large groups of near copies
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, complete_groups, discard, marked, parted, passing, texts, written
+from .common import arrow_map, complete_groups, discard, marked, parted, passing, small_batches, texts, written
 from .graph import components
 
 GROUPS, COARSE = 512, 64
@@ -53,12 +56,18 @@ PAIRS = 1 << 15
 HELD = 1 << 17
 #: A hash shared by at most this many classes gives all its pairs.
 FEW = 8
-#: Prefix hashes used to merge near copies before the join.
+#: Smallest hashes used to merge near copies before the join.
 FIRST = 4
 #: Hubs that a class is compared with there.
 HUBS = 3
 #: Candidates per class and other component, round by round; the last has no limit.
 ROUNDS = (4, 64, None)
+#: Hashes that begin with the same bits are counted together, in a cell.
+CELL_BITS = 22
+#: Cells with fewer hashes than 2 to this power are of level 0 and come first in a prefix.
+LEAST_LEVEL = 4
+#: Cells above level 0; if more have enough hashes, it begins at a higher level.
+FREQUENT = 1 << 17
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
 #: Places of prefix hashes share a number with the hash: so many low bits of it, which the hash gives up.
@@ -170,19 +179,63 @@ def overlap_bound(p: np.ndarray, q: np.ndarray, full: int = 255) -> np.ndarray:
     return out
 
 
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, width: int, text: str) -> bytes:
+    """The level of every cell, a byte each, deflated: the logarithm of its hashes in all rows, or 0.
+
+    A task tells of cells with more hashes than by chance only. Levels make an order and rule nothing out."""
+    spark = docs.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, held = Shingler(width), np.zeros(1 << CELL_BITS, np.uint32)
+        for b in batches:
+            for part in texts(b, text, size_bytes=SLICE):
+                np.add.at(held, _cells(np.concatenate(shingle(part))), np.uint32(1))
+        usual = held.mean()
+        often = np.flatnonzero(held > 2 * usual + 4)
+        yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(held[often] - int(usual), pa.int64())], names=["cell", "n"])
+
+    small_batches(spark)
+    with passing(spark):
+        sums = docs.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        found = written(sums.select("cell", F.floor(F.log2("n")).cast("int").alias("level")).where(F.col("level") >= LEAST_LEVEL), "jaccard-frequent")
+        total, least = 0, 256
+        for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():
+            total += r["count"]
+            if total > FREQUENT:
+                break
+            least = r["level"]
+        taken = found.where(F.col("level") >= least).toArrow()
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[taken.column("cell").to_numpy()] = taken.column("level").to_numpy()
+    return zlib.compress(levels.tobytes(), 1)
+
+
+def prefix(s: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set by level and hash."""
+    n, level = prefix_length(len(s), percent), levels[_cells(s)]
+    rare = s[level == 0]
+    return rare[:n] if len(rare) >= n else s[np.argsort(level, kind="stable")[:n]]
+
+
 def features(docs: DataFrame, width: int, percent: int, text: str, key: str, place: str | None = None) -> DataFrame:
-    """Per row: ``row_id`` (the column ``place``, or else the place in the input), key, n, class digest (c1, c2), counts per group and prefix hashes.
+    """Per row: ``row_id`` (the column ``place``, or else the place in the input), key, n, class digest (c1, c2), counts per group,
+    prefix hashes and the FIRST smallest hashes.
 
     Counts and hashes are null but for a class's first row in its task."""
     fields = [T.StructField("n", T.LongType()), T.StructField("c1", T.LongType()),
               T.StructField("c2", T.LongType()), T.StructField("point", T.BinaryType()),
-              T.StructField("hashes", T.ArrayType(T.LongType()))]
+              T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))]
+    deflated = frequency_levels(docs, width, text)
 
     def make():
-        shingle, seen = Shingler(width), set()
+        shingle, seen, levels = Shingler(width), set(), np.frombuffer(zlib.decompress(deflated), np.uint8)
 
         def f(batch):
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for part in texts(batch, text, size_bytes=SLICE):
                 for s in shingle(part):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
@@ -191,7 +244,8 @@ def features(docs: DataFrame, width: int, percent: int, text: str, key: str, pla
                         first = True
                         seen.add(c)
                     row = (len(s), *c, packed(point_of(s)) if first else None,
-                           s[:prefix_length(len(s), percent)].view(np.int64) if first else None)
+                           prefix(s, percent, levels).view(np.int64) if first else None,
+                           s[:min(FIRST, prefix_length(len(s), percent))].view(np.int64) if first else None)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
             return cols
@@ -457,7 +511,7 @@ def _dealt_out(rows: DataFrame, percent: int) -> DataFrame:
                 b = a + d
                 rest = np.minimum(n[a] - place[a], n[b] - place[b])
                 ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                ok &= (100 + percent) * rest >= percent * (n[a] + n[b])  # unless a smaller hash is shared too, which has its own rows
+                ok &= (100 + percent) * rest >= percent * (n[a] + n[b])  # unless an earlier hash is shared too, which has its own rows
                 if ok.any():
                     one, two = node[a[ok]], node[b[ok]]
                     pair = np.unique(np.stack((np.minimum(one, two), np.maximum(one, two))), axis=1)
@@ -558,7 +612,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     node = written(heads.select("row_id", "c1", "c2", "n").join(classes.select("c1", "c2", "node"), ["c1", "c2"])
                    .select("row_id", "node", "n"), "jaccard-heads")
 
-    first = (heads.select("row_id", F.explode(F.slice("hashes", 1, FIRST)).alias("key")).join(node, "row_id")
+    first = (heads.select("row_id", F.explode("first").alias("key")).join(node, "row_id")
              .where("row_id = node").select("node", "n", "key"))
     # two rulers of size bands, so that sizes within 7 % of each other share a band of one of them
     band = F.log(F.col("n")) / float(np.log(1.15))

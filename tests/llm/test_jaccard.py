@@ -159,3 +159,35 @@ def test_screen_drops_no_similar_pair(spark, tmp_path, monkeypatch):
     got = {(r["a"], r["b"]) for r in jaccard.verify(pairs, classes, docs, 5, 75, "text", "doc_id", "test-links", screen=True).collect()}
     assert got == want
     assert sent[0] == ("low", 276) and sent[1][0] == "shingles" and len(want) <= sent[1][1] < 276
+
+
+def test_a_common_passage_calls_for_no_large_trees(spark, tmp_path, monkeypatch):
+    r = random.Random(11)
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, f"{' '.join(f'u{i}x{j}' for j in range(60))} {passage} {' '.join(f'v{i}x{j}' for j in range(60))}", "s") for i in range(400)]
+    rows += family(r, 6, 120, 1000)
+    rows += [(2000 + i, passage + f" end{i}" * (i % 3), "s") for i in range(9)]   # little beside the passage
+    docs = documents(spark, rows, tmp_path)
+    put, large = jaccard.written, []
+
+    def held(df, name, **kw):
+        out = put(df, name, **kw)
+        if name == "jaccard-shards":
+            large.extend(out.where("key is not null").select("c").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", held)
+    check(docs)
+    assert max((x["c"] for x in large), default=0) < 50   # 400 in order of the hashes alone
+
+
+def test_prefix_order_holds_for_all_sets():
+    r = np.random.default_rng(2)
+    levels = np.zeros(1 << jaccard.CELL_BITS, np.uint8)
+    pool = np.unique(r.integers(0, 1 << 64, 300, dtype=np.uint64))
+    levels[jaccard._cells(pool)] = r.integers(0, 4, len(pool))
+    order = sorted(pool.tolist(), key=lambda x: (levels[x >> (64 - jaccard.CELL_BITS)], x))
+    for n in (1, 2, 7, 40, len(pool)):
+        s = np.sort(r.choice(pool, n, replace=False))
+        mine = set(s.tolist())
+        assert jaccard.prefix(s, 75, levels).tolist() == [x for x in order if x in mine][:jaccard.prefix_length(n, 75)]
